@@ -4,8 +4,14 @@ from __future__ import annotations
 
 from plumbline.llm.bpe import op10_bpe
 from plumbline.llm.packing import op9_packing
+from plumbline.llm.simhash import op3_simhash
+from plumbline.llm.spotsigs import op1_spotsigs
+from plumbline.llm.textdensity import op2_textdensity
 
 QUERIES = {
+    "op1_spotsigs": op1_spotsigs,
+    "op2_textdensity": op2_textdensity,
+    "op3_simhash": op3_simhash,
     "op9_packing": op9_packing,
     "op10_bpe": op10_bpe,
 }
