@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -31,9 +30,9 @@ from plumbline.session import ship, table
 SAMPLE = 12_000
 FOLDS = 5
 PREFIXES = (3, 4, 5, 6)
-MAX_FEATURES = 1_500
+MAX_FEATURES = 600
 #: How many times more frequent a feature must be in toxic texts.
-LIFT = 10
+LIFT = 5
 VOTERS = 48
 RIDGE = 1.0
 CACHED_WORDS = 400_000
@@ -59,9 +58,9 @@ def patterns(text: str) -> list[int]:
 
 @dataclass
 class Model:
-    """Weights of the mined features and patterns."""
+    """Weights of the mined features (by hash) and patterns."""
 
-    features: dict[str, int] = field(default_factory=dict)
+    features: dict[int, int] = field(default_factory=dict)
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     pattern_weights: np.ndarray = field(default_factory=lambda: np.zeros(3))
     intercept: float = 0.0
@@ -83,7 +82,7 @@ class Scorer:
         if len(known) > CACHED_WORDS:
             known.clear()
         for w in words.difference(known):
-            known[w] = tuple(m.features[f] for f in features_of(w) if f in m.features)
+            known[w] = tuple(m.features[f] for f in hashes(features_of(w)).tolist() if f in m.features)
         found = set()
         for hit in filter(None, map(known.__getitem__, words)):
             found.update(hit)
@@ -123,57 +122,60 @@ def label_model(votes: np.ndarray, annotation: np.ndarray, rounds: int = 25) ->
 
 def fit_logistic(x: np.ndarray, target: np.ndarray, ridge: float = RIDGE, rounds: int = 30) -> tuple[np.ndarray, float]:
     """Ridge logistic regression on soft targets by Newton steps; the intercept is not penalised."""
-    z = np.concatenate([x, np.ones((len(x), 1))], 1)
-    w = np.zeros(z.shape[1])
-    penalty = np.full(z.shape[1], ridge)
+    n = x.shape[1] + 1
+    w = np.zeros(n)
+    penalty = np.full(n, ridge)
     penalty[-1] = 1e-6
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        gradient = z.T @ (p - target) + penalty * w
-        hessian = (z * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ z + np.diag(penalty)
+        gradient, hessian = penalty * w, np.diag(penalty)
+        for at in range(0, len(x), 2000):  # in slices, for little memory
+            z = np.concatenate([x[at : at + 2000].astype(np.float64), np.ones((len(x[at : at + 2000]), 1))], 1)
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+            gradient = gradient + z.T @ (p - target[at : at + 2000])
+            hessian = hessian + (z * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ z
         step = np.linalg.solve(hessian, gradient)
         w -= step
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-5:
             break
     return w[:-1], float(w[-1])
 
 
-def unlike(words: list[list[str]], toxic: np.ndarray, common: float = 0.005) -> list[int]:
-    """Rows to mine from: one of each set of near copies with the same label. Near copies are taken to share the word
-    of smallest checksum among their uncommon words."""
-    counts = Counter(w for own in words for w in own)
-    limit = max(3.0, common * len(words))
+def hashes(names: list[str]) -> np.ndarray:
+    """Sorted distinct 32-bit hashes of features."""
+    return np.unique(np.fromiter((zlib.crc32(n.encode("utf-8", "replace")) for n in names), np.uint32, len(names)))
+
+
+def unlike(words: list[np.ndarray], toxic: np.ndarray, common: float = 0.005) -> np.ndarray:
+    """Rows to mine from: one of each set of near copies with the same label. Near copies are taken to share the
+    smallest hash among their uncommon words."""
+    names, counts = np.unique(np.concatenate(words), return_counts=True)
+    frequent = names[counts > max(3.0, common * len(words))]
     seen, kept = set(), []
     for i, own in enumerate(words):
-        rare = [w for w in own if counts[w] <= limit] or own
-        mark = (min(map(_checksum, rare), default=0), toxic[i])
+        rare = own[~np.isin(own, frequent, assume_unique=True)]
+        rare = rare if len(rare) else own
+        mark = (int(rare[0]) if len(rare) else -1, toxic[i])
         if mark not in seen:
             seen.add(mark)
             kept.append(i)
-    return kept
-
-
-def _checksum(word: str) -> int:
-    return zlib.crc32(word.encode("utf-8", "replace"))
+    return np.array(kept)
 
 
-def mine(rows: list[set[str]], toxic: np.ndarray) -> list[str]:
+def mine(rows: list[np.ndarray], toxic: np.ndarray) -> list[int]:
     """Features that stand out in toxic rows, strongest first: much more frequent there, with a likelihood ratio
     statistic above what the number of features tried would give by chance."""
     n1 = int(toxic.sum())
     n0 = len(rows) - n1
-    c1: Counter = Counter()
-    for own, y in zip(rows, toxic):
-        if y:
-            c1.update(own)
-    tried = [f for f, c in c1.items() if c >= 3]
-    wanted = set(tried)
-    c0: Counter = Counter()
-    for own, y in zip(rows, toxic):
-        if not y:
-            c0.update(own & wanted)
-    a = np.array([c1[f] for f in tried], float)
-    b = np.array([c0[f] for f in tried], float)
+    ones = [r for r, y in zip(rows, toxic) if y]
+    if not ones:
+        return []
+    tried, a = np.unique(np.concatenate(ones), return_counts=True)
+    tried, a = tried[a >= 3], a[a >= 3].astype(float)
+    b = np.zeros(len(tried))
+    for r, y in zip(rows, toxic):
+        if not y and len(tried):
+            at = np.minimum(np.searchsorted(tried, r), len(tried) - 1)
+            b[at[tried[at] == r]] += 1
     share = (a + b) / max(1, n1 + n0)
 
     def part(k, n, p):
@@ -182,26 +184,26 @@ def mine(rows: list[set[str]], toxic: np.ndarray) -> list[str]:
     g = 2 * (part(a, n1, share) + part(n1 - a, n1, 1 - share) + part(b, n0, share) + part(n0 - b, n0, 1 - share))
     strong = (a / max(n1, 1) > LIFT * b / max(n0, 1)) & (g > 2 * np.log(max(1, len(tried)) / 0.05))
     order = sorted(np.flatnonzero(strong), key=lambda i: (-g[i], tried[i]))
-    return [tried[i] for i in order[:MAX_FEATURES]]
+    return [int(tried[i]) for i in order[:MAX_FEATURES]]
 
 
-def fit(words: list[list[str]], marks: np.ndarray, y: np.ndarray) -> Model:
-    """Mine, vote, estimate and train on rows given by their distinct words, pattern votes and labels."""
+def fit(words: list[np.ndarray], features: list[np.ndarray], marks: np.ndarray, y: np.ndarray) -> Model:
+    """Mine, vote, estimate and train on rows given by hashes of their words and features, pattern votes and labels."""
     if not len(y) or not 0 < y.sum() < len(y):
         return Model(constant=float(y.mean()) if len(y) else 0.0)
-    sets = [{f for w in own for f in features_of(w)} for own in words]
     kept = unlike(words, y)
-    names = mine([sets[i] for i in kept], y[kept])
+    names = mine([features[i] for i in kept], y[kept])
     index = {f: i for i, f in enumerate(names)}
     x = np.zeros((len(y), len(names)), np.float32)
-    for r, own in enumerate(sets):
-        x[r, [index[f] for f in own if f in index]] = 1
+    wanted = np.array(sorted(names), np.uint32)
+    for r, own in enumerate(features):
+        x[r, [index[f] for f in own[np.isin(own, wanted, assume_unique=True)].tolist()]] = 1
     groups = min(VOTERS, max(1, len(names)))
     lexicons = np.stack([x[:, g::groups].max(1) if len(names) else np.zeros(len(y)) for g in range(groups)], 1)
     total = x.sum(1)
     votes = np.concatenate([lexicons, marks, (total >= 2)[:, None], (total >= 5)[:, None], (total >= 10)[:, None]], 1)
     posterior, report = label_model(votes, y)
-    weights, intercept = fit_logistic(np.concatenate([x, marks], 1).astype(np.float64), posterior)
+    weights, intercept = fit_logistic(np.concatenate([x, marks.astype(np.float32)], 1), posterior)
     return Model(index, weights[: len(names)], weights[len(names) :], intercept, None, report)
 
 
@@ -213,17 +215,20 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     def run(batches):
         for batch in batches:
-            words, marks = [], []
+            words, features, marks = [], [], []
             for t in batch.column(1).to_pylist():
-                words.append(sorted(set(WORD.findall((t or "").lower()))))
+                own = list(set(WORD.findall((t or "").lower())))
+                words.append(hashes(own).tobytes())
+                features.append(hashes([f for w in own for f in features_of(w)]).tobytes())
                 marks.append(patterns(t or ""))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(words, pa.list_(pa.string())), pa.array(marks, pa.list_(pa.int32()))], [key, "y", "words", "marks"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(words, pa.binary()), pa.array(features, pa.binary()), pa.array(marks, pa.list_(pa.int32()))], [key, "y", "words", "features", "marks"])
 
     kind = docs.schema[key].dataType.simpleString()
-    found = rows.select(key, "text", "y").mapInArrow(run, f"{key} {kind}, y int, words array<string>, marks array<int>").toArrow()
-    found = found.sort_by(key)
-    y = np.array(found.column("y").to_pylist(), float)
-    return fit(found.column("words").to_pylist(), np.array(found.column("marks").to_pylist(), float).reshape(len(y), -1), y)
+    found = rows.select(key, "text", "y").mapInArrow(run, f"{key} {kind}, y int, words binary, features binary, marks array<int>").toArrow()
+    order = np.argsort(np.array(found.column(key).to_pylist()), kind="stable")
+    words, features = ([np.frombuffer(x, np.uint32) for x in found.column(c).to_pylist()] for c in ("words", "features"))
+    y, marks = np.array(found.column("y").to_pylist(), float), np.array(found.column("marks").to_pylist(), float).reshape(len(order), -1)
+    return fit([words[i] for i in order], [features[i] for i in order], marks[order], y[order])
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
