@@ -372,14 +372,14 @@ def profile_iqr_outliers(spark, sf_dir):
     return iqr_outliers(table(spark, sf_dir, "events"), "value").withColumns({"low": rounded(F.col("low"), 4), "high": rounded(F.col("high"), 4), "rate": rounded(F.col("rate"))})
 
 
-@query("profile_anomalies", """SELECT 'o_orderstatus' AS "column", 2 AS severity, 'constant' AS flag, 1 AS position FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL""")
+@query("profile_anomalies", """SELECT 'o_orderstatus' AS "column", 2 AS severity, 'constant' AS flag, 1 AS position WHERE (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') > 0""")
 def profile_anomalies(spark, sf_dir):
     df = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
     cols = ["o_orderstatus", "o_totalprice"]
     return anomalies(counts(df, cols).join(numeric(df, cols).select("column", "low", "high", "negatives"), "column"))
 
 
-@query("profile_warnings", """SELECT 'o_orderstatus' AS "column", 'constant' AS warning FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL""")
+@query("profile_warnings", """SELECT 'o_orderstatus' AS "column", 'constant' AS warning WHERE (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') > 0""")
 def profile_warnings(spark, sf_dir):
     df = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
     cols = ["o_orderstatus", "o_totalprice"]
