@@ -65,7 +65,7 @@ def sketch(shingles: Column) -> Column:
 
 def template_table(spark, templates: dict[str, str] | None = None) -> DataFrame:
     """(template, shingles, size_class, n): size_class is the power of two from n up."""
-    rows = spark.createDataFrame(sorted((templates or TEMPLATES).items()), "template string, text string")
+    rows = spark.createDataFrame(sorted((TEMPLATES if templates is None else templates).items()), "template string, text string")
     rows = rows.select("template", words_of(F.col("text")).alias("words"))
     rows = rows.select("template", F.array_distinct(shingles_of(F.col("words"))).alias("shingles"))
     rows = rows.withColumn("n", F.size("shingles")).where("n > 0")

@@ -227,7 +227,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     found = rows.select(key, "text", "y").mapInArrow(run, f"{key} {kind}, y int, words binary, features binary, marks array<int>").toArrow()
     order = np.argsort(np.array(found.column(key).to_pylist()), kind="stable")
     words, features = ([np.frombuffer(x, np.uint32) for x in found.column(c).to_pylist()] for c in ("words", "features"))
-    y, marks = np.array(found.column("y").to_pylist(), float), np.array(found.column("marks").to_pylist(), float).reshape(len(order), -1)
+    y, marks = np.array(found.column("y").to_pylist(), float), np.array(found.column("marks").to_pylist(), float).reshape(len(order), 3)
     return fit([words[i] for i in order], [features[i] for i in order], marks[order], y[order])
 
 
