@@ -179,11 +179,11 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     fps = materialise(fingerprints(docs, key, text), "fingerprints")
     firsts = materialise(fps.groupBy("fp").agg(F.min(key).alias("first")), "distinct-fingerprints")
     roots = components(near_links(firsts.select("fp"))).select(F.col("node").alias("fp"), "root")
-    # only linked fingerprints have a root; the others are components of their own
-    named = firsts.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = materialise(named, "named")
-    smallest = named.where("fp != root or first is null").select("root").distinct().join(named, "root").groupBy("root").agg(F.min("first").alias("component_id"))
-    ids = named.join(smallest, "root", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    # only linked fingerprints have a root; each of the others is a component of its own
+    linked = materialise(roots.join(firsts, "fp"), "linked")
+    smallest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = linked.select("fp", "root").join(smallest, "root").select("fp", "component_id")
+    ids = firsts.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
     return fps.join(ids, "fp").select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
