@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.prefix import cumulative
 from plumbline.functions.tails import hypergeometric_greater
 from plumbline.functions.values import bucket, rounded
 from plumbline.plans.registry import query
@@ -30,14 +31,17 @@ def positive(target: str, label) -> Column:
 
 
 def fine_splits(df: DataFrame, feature: str, k: int = 20, zero: bool = False) -> list[float]:
-    """Midpoints of neighbouring values at the first value whose cumulative count reaches each 1/k (TA-2). The windows
-    run over distinct values."""
+    """Midpoints of neighbouring values at the first value whose cumulative count reaches each 1/k (TA-2). The driver sees
+    the k values and their successors."""
     per = df.where(F.col(feature).isNotNull()).groupBy(F.col(feature).cast("double").alias("v")).agg(F.count("*").alias("n"))
-    order = Window.partitionBy().orderBy("v")
-    cum = per.select("v", F.sum("n").over(order).alias("c"), F.lead("v").over(order).alias("next"), F.sum("n").over(Window.partitionBy()).alias("t"))
-    at = cum.where("next is not null").groupBy(F.floor(F.col("c") * k / F.col("t")).alias("q")).agg(F.min_by(F.struct("v", "next"), "v").alias("s")).where("q >= 1")
-    found = [((r.s.v + r.s.next) / 2) for r in at.collect()]
-    return sorted(set(found) | ({0.0} if zero else set()))
+    cum = cumulative(per, ["v"], {"c": "n"})
+    at = cum.groupBy(F.floor(F.col("c") * k / F.col("c_total")).alias("q")).agg(F.min("v").alias("v")).where("q >= 1")
+    cuts = sorted({r.v for r in at.collect()})
+    if not cuts:
+        return [0.0] if zero else []
+    after = per.agg(*[F.min(F.when(F.col("v") > c, F.col("v"))).alias(f"s{i}") for i, c in enumerate(cuts)]).first()
+    found = {(c + s) / 2 for c, s in zip(cuts, after) if s is not None}
+    return sorted(found | ({0.0} if zero else set()))
 
 
 def fine_groups(df: DataFrame, feature: str, top: int = 49) -> DataFrame:
@@ -104,6 +108,36 @@ def multinomial_iv(rows: DataFrame) -> DataFrame:
     return one.select(parts[0].alias("feature"), parts[1].alias("class_"), "iv", "events").groupBy("feature").agg(F.avg("iv").alias("macro"), (F.sum(F.col("iv") * F.col("events")) / F.sum("events")).alias("weighted"), F.max("iv").alias("maximum"))
 
 
+def bin_ranges(df: DataFrame, feature: str, bins: Column, expected: list[str]) -> DataFrame:
+    """Rows, minimum, maximum and mean of the feature per bin; expected bins without rows (guards) count zero (TA-8)."""
+    per = df.groupBy(bins.alias("bin")).agg(F.count("*").alias("n"), F.min(feature).alias("low"), F.max(feature).alias("high"), F.avg(feature).alias("mean"))
+    grid = df.sparkSession.createDataFrame([(b,) for b in expected], "bin string")
+    return per.join(grid, "bin", "full_outer").select("bin", F.coalesce("n", F.lit(0)).alias("n"), "low", "high", "mean")
+
+
+def merge_categories(counts: DataFrame, max_groups: int) -> DataFrame:
+    """Categories (feature, value, class_, k) merged pair by pair, the least loss of class entropy first, to at most
+    `max_groups` (TA-13). At most some dozen categories a feature: one small group each."""
+
+    def solve(g: pd.DataFrame) -> pd.DataFrame:
+        table_ = g.pivot_table(index="value", columns="class_", values="k", aggfunc="sum", fill_value=0).sort_index()
+        groups = [([v], row.to_numpy(float)) for v, row in table_.iterrows()]
+
+        def cost(x):
+            n = x.sum()
+            return -sum(c * math.log(c / n) for c in x if c > 0) if n else 0.0
+
+        while len(groups) > max_groups:
+            loss, i, j = min((cost(groups[i][1] + groups[j][1]) - cost(groups[i][1]) - cost(groups[j][1]), i, j) for i in range(len(groups)) for j in range(i + 1, len(groups)))
+            groups[i] = (groups[i][0] + groups[j][0], groups[i][1] + groups[j][1])
+            del groups[j]
+        rows = [(g.feature.iloc[0], v, b) for b, (values, _) in enumerate(groups) for v in values]
+        return pd.DataFrame(rows, columns=["feature", "value", "grp"])
+
+    ship(counts.sparkSession)
+    return counts.groupBy("feature").applyInPandas(solve, "feature string, value string, grp bigint")
+
+
 def bin_warnings(bins: DataFrame, min_share: float = 0.02, min_events: int = 5) -> DataFrame:
     """Bins that are too small or hold too few events, and breaks of monotonic event rates in bin order (TA-15)."""
     own = Window.partitionBy("feature")
@@ -166,9 +200,9 @@ def optimal_coarse(fine: DataFrame, max_bins: int = 5, min_share: float = 0.05,
 def grouped_auc(scored: DataFrame, by: list[str], score: str = "score") -> DataFrame:
     """Folded area under the ROC curve of a grouped score: rows (by..., score, p, q) of positives and negatives (TA-19)."""
     per = scored.groupBy(*by, score).agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
-    w = Window.partitionBy(*by).orderBy(score)
-    area = F.col("p") * (F.sum("q").over(w) - F.col("q") / 2)
-    out = per.select(*by, area.alias("a"), "p", "q").groupBy(*by).agg((F.sum("a") / F.nullif(F.sum("p") * F.sum("q"), F.lit(0))).alias("auc"))
+    c = cumulative(per, [score], {"cq": "q", "cp": "p"}, by)
+    area = F.col("p") * (F.col("cq") - F.col("q") / 2)
+    out = c.select(*by, area.alias("a"), "p", "q").groupBy(*by).agg((F.sum("a") / F.nullif(F.sum("p") * F.sum("q"), F.lit(0))).alias("auc"))
     return out.withColumn("auc", F.greatest("auc", 1 - F.col("auc"))).withColumn("gini", 2 * F.col("auc") - 1)
 
 
@@ -415,3 +449,17 @@ def separation_leakage(spark, sf_dir):
 @query("separation_smell", " UNION ALL ".join(f"SELECT '{f}' AS feature, round(corr({f}, (l_returnflag = 'R')::INT), 6) AS correlation FROM lineitem" for f in FEATURES))
 def separation_smell(spark, sf_dir):
     return smell(table(spark, sf_dir, "lineitem"), FEATURES, positive("l_returnflag", "R")).withColumn("correlation", rounded(F.col("correlation")))
+
+
+@query("bins_ranges", """SELECT bin, sum(n)::BIGINT AS n, round(min(low), 4) AS low, round(max(high), 4) AS high, round(max(mean), 4) AS mean FROM (
+ SELECT CASE WHEN l_quantity < 2 THEN 'GUARD_LOW' WHEN l_quantity > 60 THEN 'GUARD_HIGH' ELSE 'R' || len(list_filter([10, 20, 30, 40], lambda z: z < l_quantity)) END AS bin, count(*) AS n, min(l_quantity) AS low, max(l_quantity) AS high, avg(l_quantity) AS mean FROM lineitem GROUP BY 1
+ UNION ALL SELECT unnest(['GUARD_LOW', 'GUARD_HIGH']), 0, NULL, NULL, NULL) GROUP BY 1""")
+def bins_ranges(spark, sf_dir):
+    out = bin_ranges(table(spark, sf_dir, "lineitem"), "l_quantity", apply_bins("l_quantity", EDGES["l_quantity"], guards=(2.0, 60.0)), ["GUARD_LOW", "GUARD_HIGH"])
+    return out.withColumns({c: rounded(F.col(c), 4) for c in ("low", "high", "mean")})
+
+
+@query("bins_merged_categories")
+def bins_merged_categories(spark, sf_dir):
+    per = table(spark, sf_dir, "orders").groupBy(F.lit("o_orderpriority").alias("feature"), F.col("o_orderpriority").alias("value"), F.col("o_orderstatus").alias("class_")).agg(F.count("*").alias("k"))
+    return merge_categories(per, 3)

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.prefix import cumulative
 from plumbline.functions.tails import chi2_one, t_two_sided
 from plumbline.functions.values import bucket, rounded
 from plumbline.operators.drift import quantile_edges
@@ -31,8 +32,7 @@ def average_ranks(df: DataFrame, column: str, by: list[str] | None = None) -> Da
     """value -> average rank (ties share it), from counts per distinct value (DR-2, WN-7)."""
     by = by or []
     per = df.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).alias("v")).agg(F.count("*").alias("n"))
-    upto = Window.partitionBy(*by).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    return per.select(*by, "v", (F.sum("n").over(upto) - (F.col("n") - 1) / 2).alias("rank"))
+    return cumulative(per, ["v"], {"c": "n"}, by).select(*by, "v", (F.col("c") - (F.col("n") - 1) / 2).alias("rank"))
 
 
 def pearson(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.prefix import cumulative
 from plumbline.functions.values import bucket, rounded
 from plumbline.operators.profile import counts, histogram, numeric
 from plumbline.plans.registry import query
@@ -154,12 +155,17 @@ def project_groups(df: DataFrame, feature: str, groups: DataFrame) -> DataFrame:
 
 def ks(df: DataFrame, value: str, is_a: Column, by: list[str] | None = None) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov statistic of rows with and without `is_a` (ST-12). Distinct values are counted
-    first, so the ordered window runs over values, not rows."""
+    first, and their running sums need no single task."""
     by = by or []
     per = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count_if(is_a).alias("a"), F.count_if(~is_a).alias("b"))
-    upto, all_ = Window.partitionBy(*by).orderBy("v").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*by)
-    gap = F.abs(F.sum("a").over(upto) / F.sum("a").over(all_) - F.sum("b").over(upto) / F.sum("b").over(all_))
-    return per.select(*by, gap.alias("gap")).groupBy(*by).agg(F.max("gap").alias("ks"))
+    return largest_gap(per, by)
+
+
+def largest_gap(per: DataFrame, by: list[str]) -> DataFrame:
+    """KS of counts (by..., v, a, b)."""
+    c = cumulative(per, ["v"], {"ca": "a", "cb": "b"}, by)
+    gap = F.abs(F.col("ca") / F.nullif(F.col("ca_total"), F.lit(0)) - F.col("cb") / F.nullif(F.col("cb_total"), F.lit(0)))
+    return c.select(*by, gap.alias("gap")).groupBy(*by).agg(F.max("gap").alias("ks"))
 
 
 def ks_by_segment(df: DataFrame, value: str, segment: str) -> DataFrame:
@@ -171,9 +177,7 @@ def ks_by_segment(df: DataFrame, value: str, segment: str) -> DataFrame:
     per = rows.where(F.col("segment") != largest).groupBy("segment", "v").agg(F.count("*").alias("b"), F.lit(0).cast("long").alias("a"))
     spread = base.select(F.explode(F.array(*map(F.lit, others)) if others else F.array().cast("array<string>")).alias("segment"), "v", F.lit(0).cast("long").alias("b"), "a")
     both = per.unionByName(spread).groupBy("segment", "v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    upto, all_ = Window.partitionBy("segment").orderBy("v").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("segment")
-    gap = F.abs(F.sum("a").over(upto) / F.sum("a").over(all_) - F.sum("b").over(upto) / F.sum("b").over(all_))
-    return both.select("segment", gap.alias("gap")).groupBy("segment").agg(F.max("gap").alias("ks")).withColumn("baseline", F.lit(largest))
+    return largest_gap(both, ["segment"]).withColumn("baseline", F.lit(largest))
 
 
 def quarterly_rate(df: DataFrame, target: str, date: str) -> DataFrame:

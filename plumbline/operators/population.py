@@ -159,3 +159,16 @@ def population_months_window(spark, sf_dir):
  NOT (n <= 1 OR (c <> 'l_returnflag' AND n <= 10)) AS recommended FROM (SELECT 'l_linenumber' AS c, count(DISTINCT l_linenumber) AS n FROM lineitem UNION ALL SELECT 'l_quantity', count(DISTINCT l_quantity) FROM lineitem UNION ALL SELECT 'l_tax', count(DISTINCT l_tax) FROM lineitem UNION ALL SELECT 'l_returnflag', count(DISTINCT l_returnflag) FROM lineitem)""")
 def population_selection(spark, sf_dir):
     return selection(table(spark, sf_dir, "lineitem"), ["l_linenumber", "l_quantity", "l_tax", "l_returnflag"], "l_tax")
+
+
+@query("population_best_match", """SELECT 'documents' AS baseline, 'documents' AS "current", (SELECT count(*) FROM duckdb_columns() WHERE table_name = 'documents') AS compatible, 0 AS incompatible UNION ALL SELECT 'labels', 'labels', (SELECT count(*) FROM duckdb_columns() WHERE table_name = 'labels'), 0""")
+def population_best_match(spark, sf_dir):
+    both = catalogue(table(spark, sf_dir, "documents"), "documents").unionByName(catalogue(table(spark, sf_dir, "labels"), "labels"))
+    return best_match(both, both)
+
+
+@query("population_eligible", """SELECT 'l_tax' AS "column", true AS kept, NULL AS reason WHERE (SELECT count(*) FROM lineitem) > 0 UNION ALL SELECT 'l_returnflag', false, 'type categorical' WHERE (SELECT count(*) FROM lineitem) > 0""")
+def population_eligible(spark, sf_dir):
+    from plumbline.operators.profile import classify
+
+    return eligible(classify(table(spark, sf_dir, "lineitem"), ["l_tax", "l_returnflag"]), ["numerical", "binary"])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions.values import rounded
+from plumbline.functions.values import rounded, similarity
 from plumbline.plans.registry import query
 from plumbline.session import table
 
@@ -230,8 +230,6 @@ def schema_drift(old: DataFrame, new: DataFrame, floor: float = 0.8) -> DataFram
     status = F.when(F.col("old_type").isNull(), "added").when(F.col("new_type").isNull(), "removed").when(F.col("old_type") != F.col("new_type"), "retyped").when(F.col("old_at") != F.col("new_at"), "reordered").otherwise("same")
     both = both.withColumn("status", status)
     gone, come = both.where("status = 'removed'").select(F.col("column").alias("was"), "old_type"), both.where("status = 'added'").select(F.col("column").alias("now"), "new_type")
-    from plumbline.functions.values import similarity
-
     pairs = gone.join(come, F.col("old_type") == F.col("new_type")).withColumn("likeness", similarity(F.col("was"), F.col("now"))).where(F.col("likeness") >= floor)
     return both.join(pairs.groupBy(F.col("was").alias("column")).agg(F.max_by("now", F.struct("likeness", "now")).alias("renamed_to")), "column", "left").select("column", "old_type", "new_type", "status", "renamed_to")
 
@@ -389,3 +387,12 @@ def profile_warnings(spark, sf_dir):
 @query("source_inventory", " UNION ALL ".join(f"""SELECT '{t}' AS "table", count(*) AS rows, {n} AS columns FROM {t}""" for t, n in (("orders", 6), ("lineitem", 11), ("customer", 5), ("events", 6))))
 def source_inventory(spark, sf_dir):
     return inventory({t: table(spark, sf_dir, t) for t in ("orders", "lineitem", "customer", "events")})
+
+
+@query("source_schema_drift", """WITH o AS (SELECT column_name AS "column", lower(data_type) AS t, column_index - 1 AS p FROM duckdb_columns() WHERE table_name = 'documents' AND column_name <> 'n_chars'),
+ n AS (SELECT CASE column_name WHEN 'source' THEN 'source_' ELSE column_name END AS "column", lower(data_type) AS t, column_index - 1 AS p FROM duckdb_columns() WHERE table_name = 'documents'),
+ b AS (SELECT coalesce(o."column", n."column") AS "column", o.t AS a, n.t AS b FROM o FULL JOIN n ON o."column" = n."column")
+ SELECT "column", CASE WHEN a IS NULL THEN 'added' WHEN b IS NULL THEN 'removed' WHEN a <> b THEN 'retyped' ELSE 'same' END AS status, CASE WHEN "column" = 'source' THEN 'source_' END AS renamed_to FROM b""")
+def source_schema_drift(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return schema_drift(catalogue(d.drop("n_chars"), "documents"), catalogue(d.withColumnRenamed("source", "source_"), "documents")).select("column", "status", "renamed_to")
