@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions.prefix import cumulative
 from plumbline.functions.tails import chi2_one, t_two_sided
@@ -18,7 +19,7 @@ from plumbline.session import ship, table
 MATERIAL, ALPHA = 0.20, 0.05
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _t_tail(r: pd.Series, n: pd.Series) -> pd.Series:
     def one(r, n):
         if r is None or n is None or n < 3 or r != r:
