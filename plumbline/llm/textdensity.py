@@ -55,13 +55,18 @@ CLOSES_P = BLOCKS - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot"
 class Page:
     """The tree of one page as parallel lists in document order, and its text pieces."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, exempt: frozenset[int] = frozenset()):
+        self.exempt = exempt  # nodes that their names do not leave out
+        self.holders: set[int] = set()  # nodes left out by name that hold an article or main element
         self.parent, self.tag, self.last = [-1], ["html"], [0]
         self.chars, self.tags, self.link_chars, self.link_tags = [0], [0], [0], [0]
         self.pieces: list[tuple[int, int, str]] = []  # node, block, text
         self.block = 0
         self.stack = [(0, "html", False)]  # node, tag, left out
+        self.by_name: set[int] = set()
         self._read(source)
+        if self.holders:  # a layout element around the article is not boilerplate, whatever its name
+            self.__init__(source, exempt | self.holders)
 
     def _pop_to(self, at: int) -> None:
         for node, tag, _ in self.stack[at:]:
@@ -95,8 +100,13 @@ class Page:
             self.block += 1
         if tag == "br":
             self._text(" ")
-        out = out or tag in LEFT_OUT or (bool(attributes) and tag not in ("body", "html", "article", "main") and self._named(attributes))
         node = len(self.tag)
+        named = bool(attributes) and tag not in ("body", "html", "main") and node not in self.exempt and self._named(attributes)
+        if named:
+            self.by_name.add(node)
+        elif tag in ("article", "main"):
+            self.holders.update(k for k, _, _ in self.stack if k in self.by_name)
+        out = out or tag in LEFT_OUT or named
         self.parent.append(parent)
         self.tag.append(tag)
         self.last.append(node)
@@ -111,7 +121,13 @@ class Page:
 
     @staticmethod
     def _named(attributes: str) -> bool:
-        return any(w in LEFT_OUT_WORDS for found in NAMES.findall(attributes) for w in re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", html.unescape(found)).lower()))
+        """One of the names is a word that is left out, but for layouts that only say whether they have such a part."""
+        for found in NAMES.findall(attributes):
+            for name in html.unescape(found).strip("\"'").split():
+                words = re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name).lower())
+                if words[0] not in ("has", "with", "no", "without") and any(w in LEFT_OUT_WORDS and words[k - 1] not in ("has", "with", "no", "without") for k, w in enumerate(words)):
+                    return True
+        return False
 
     def _read(self, source: str) -> None:
         at, n = 0, len(source)

@@ -21,6 +21,11 @@ def test_main_text():
     assert main_text(PAGE).split("\n\n") == ["Title & more", "First paragraph with quite a lot of text to count, and a link in it.", "Second paragraph, bolder than the first.", "one", "two"]
 
 
+def test_layout_names_do_not_hide_the_article():
+    page = '<body><div class="page-with-sidebar layout"><div id="menu-wrap header"><article class="post no-comments"><h1>Head</h1><p>Body text.</p></article></div><div class="sidebar"><p>Side text</p></div><div class="comments"><article class="comment"><p>Nice.</p></article></div></div></body>'
+    assert main_text(page) == "Head\n\nBody text."
+
+
 @pytest.mark.parametrize(("source", "text"), [(None, ""), ("", ""), ("plain", "plain"), ("<p>a<p>b", "a\n\nb"), ("<script>x", ""), ("<body><nav>x</nav>", ""), ("<article><h1>H</h1><p>b &lt;c&gt;</article>", "H\n\nb <c>")])
 def test_main_text_edge_cases(source, text):
     assert main_text(source) == text
