@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.bpe import CACHE_ENTRIES, PATTERN, byte_alphabet, chunks, default_vocabulary, worker_object
+from plumbline.llm.bpe import PATTERN, byte_alphabet, chunks, default_vocabulary, worker_object
 from plumbline.session import materialise, ship, shuffle_partitions, table
 
 LENGTH = 1024
@@ -30,6 +30,8 @@ END_ID = 0
 DIMENSIONS = 3
 BITS = 16
 BATCH_TEXTS = 1_000
+#: Chunks whose ids a task remembers.
+CACHED_CHUNKS = 150_000
 
 
 class TokenBytes:
@@ -62,7 +64,7 @@ class TokenBytes:
             return self.plain(text)
         known, first, plain = self.known, pieces[0], self.encoding.encode_ordinary
         del pieces[0]
-        if len(known) > CACHE_ENTRIES:
+        if len(known) > CACHED_CHUNKS:
             known.clear()
         for piece in set(pieces).difference(known):
             known[piece] = array(self.code, plain(" " + piece)).tobytes()
@@ -117,6 +119,7 @@ def tokenised(docs: DataFrame, vocabulary: str, key: str, text: str) -> DataFram
                     [part.column(0), part.column(1), pa.array(hilbert_key(cells), pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array(raw, pa.binary())],
                     ["uid", "doc_id", "curve_key", "doc_tokens", "ids"],
                 )
+        tok.known.clear()  # the worker lives on with other tasks
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))

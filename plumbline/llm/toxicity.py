@@ -35,7 +35,7 @@ MAX_FEATURES = 600
 LIFT = 5
 VOTERS = 48
 RIDGE = 1.0
-CACHED_WORDS = 400_000
+CACHED_WORDS = 120_000
 WORD = re.compile(r"[^\W_]+")
 SHOUT = re.compile(r"\b[^\W\d_a-zß-öø-ÿ]{4,}\b")
 MASKED = re.compile(r"\w[*#@$%!]{2,}\w")
