@@ -212,6 +212,6 @@ def direction_chart_sample(spark, sf_dir):
 
 @query("direction_candidate_pairs")
 def direction_candidate_pairs(spark, sf_dir):
-    from plumbline.operators.profile import catalogue
+    from plumbline.operators.profile import live_catalogue
 
-    return candidate_pairs(catalogue(table(spark, sf_dir, "lineitem"), "lineitem"))
+    return candidate_pairs(live_catalogue(table(spark, sf_dir, "lineitem"), "lineitem").where("distinct > 1"))

@@ -118,13 +118,13 @@ def applicable(library: DataFrame, columns: DataFrame) -> DataFrame:
 
 
 def column_types(spark, sf_dir, names=("orders", "customer")) -> DataFrame:
+    """(table, column, logical_type) of whole tables, by their values."""
     from functools import reduce
 
-    from plumbline.operators.profile import catalogue
+    from plumbline.operators.profile import classify
 
-    cols = reduce(DataFrame.unionByName, [catalogue(table(spark, sf_dir, t), t) for t in names])
-    kind = F.when(F.col("dtype").isin("bigint", "int", "double"), "numerical").when(F.col("dtype").startswith("timestamp"), "datetime").otherwise("categorical")
-    return cols.withColumn("logical_type", kind)
+    tables = {t: table(spark, sf_dir, t) for t in names}
+    return reduce(DataFrame.unionByName, [classify(df, df.columns).withColumn("table", F.lit(t)) for t, df in tables.items()])
 
 
 @query("matching_vocabulary", "SELECT trim(lower(c_mktsegment)) AS value, count(*) AS n FROM customer GROUP BY 1")
@@ -138,7 +138,7 @@ def matching_dictionary(spark, sf_dir):
     return dictionary_mapping(d, column_types(spark, sf_dir)).withColumn("score", rounded(F.col("score")))
 
 
-@query("matching_roles")
+@query("matching_roles", """SELECT * FROM (VALUES ('customer', 'customer', 'c_custkey', 1.0), ('date', 'orders', 'o_orderdate', 1.0), ('segment', 'customer', 'c_mktsegment', 1.0)) v(role, "table", "column", score) WHERE (SELECT count(*) FROM orders) > 0""")
 def matching_roles(spark, sf_dir):
     r = spark.createDataFrame([("customer", "c_custkey", None), ("segment", "c_mktsegment", "categorical"), ("date", "o_orderdate", "datetime"), ("amount", "o_orderdate", "numerical")], "role string, name string, wants string")
     return roles(r, column_types(spark, sf_dir))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.values import rounded
-from plumbline.operators.profile import catalogue, is_special
+from plumbline.operators.profile import is_special, live_catalogue
 from plumbline.plans.registry import query
 from plumbline.session import table
 
@@ -147,7 +147,7 @@ def population_guidance_date(spark, sf_dir):
  SELECT coalesce(a."column", b."column") AS "column", a.k AS baseline_kind, b.k AS current_kind, CASE WHEN b.k IS NULL THEN 'baseline_only' WHEN a.k IS NULL THEN 'current_only' WHEN a.k = b.k THEN 'compatible' ELSE 'incompatible' END AS status
  FROM (SELECT * FROM c WHERE table_name = 'documents') a FULL JOIN (SELECT * FROM c WHERE table_name = 'labels') b ON a."column" = b."column" """)
 def population_compare(spark, sf_dir):
-    return compare(catalogue(table(spark, sf_dir, "documents"), "documents"), catalogue(table(spark, sf_dir, "labels"), "labels"))
+    return compare(live_catalogue(table(spark, sf_dir, "documents"), "documents"), live_catalogue(table(spark, sf_dir, "labels"), "labels"))
 
 
 @query("population_months_window", "SELECT count(*) AS rows, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderstatus = 'F' AND strftime(o_orderdate, '%Y-%m') BETWEEN '1996-03' AND '1997-02'")
@@ -163,7 +163,7 @@ def population_selection(spark, sf_dir):
 
 @query("population_best_match", """SELECT 'documents' AS baseline, 'documents' AS "current", (SELECT count(*) FROM duckdb_columns() WHERE table_name = 'documents') AS compatible, 0 AS incompatible UNION ALL SELECT 'labels', 'labels', (SELECT count(*) FROM duckdb_columns() WHERE table_name = 'labels'), 0""")
 def population_best_match(spark, sf_dir):
-    both = catalogue(table(spark, sf_dir, "documents"), "documents").unionByName(catalogue(table(spark, sf_dir, "labels"), "labels"))
+    both = live_catalogue(table(spark, sf_dir, "documents"), "documents").unionByName(live_catalogue(table(spark, sf_dir, "labels"), "labels"))
     return best_match(both, both)
 
 

@@ -239,6 +239,13 @@ def catalogue(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.createDataFrame([(name, f.name, f.dataType.simpleString(), i) for i, f in enumerate(df.schema)], "table string, column string, dtype string, position int")
 
 
+def live_catalogue(df: DataFrame, name: str) -> DataFrame:
+    """The catalogue with the number of populated rows and distinct values of each column; columns that are null in every
+    row are left out. One scan."""
+    found = counts(df, df.columns).select("column", (F.col("total") - F.col("nulls")).alias("populated"), F.col("distinct_raw").alias("distinct"))
+    return catalogue(df, name).join(found, "column").where("populated > 0")
+
+
 def inventory(tables: dict[str, DataFrame]) -> DataFrame:
     """Columns and row count of each table (IO-5, IO-7, AG-18)."""
     rows = reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("rows")).withColumns({"table": F.lit(n), "columns": F.lit(len(df.columns)).cast("long")}) for n, df in tables.items()])
@@ -395,4 +402,4 @@ def source_inventory(spark, sf_dir):
  SELECT "column", CASE WHEN a IS NULL THEN 'added' WHEN b IS NULL THEN 'removed' WHEN a <> b THEN 'retyped' ELSE 'same' END AS status, CASE WHEN "column" = 'source' THEN 'source_' END AS renamed_to FROM b""")
 def source_schema_drift(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return schema_drift(catalogue(d.drop("n_chars"), "documents"), catalogue(d.withColumnRenamed("source", "source_"), "documents")).select("column", "status", "renamed_to")
+    return schema_drift(live_catalogue(d.drop("n_chars"), "documents"), live_catalogue(d.withColumnRenamed("source", "source_"), "documents")).select("column", "status", "renamed_to")
