@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.components import components
+from plumbline.llm.nearcopies import one_per_group as one_per_group  # the pipeline's stage has its own settings
 from plumbline.session import materialise, ship, shuffle_partitions, table
 
 WORDS = 3
@@ -187,12 +188,5 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return fps.join(ids, "fp").select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per component: the row whose key names it (rows with a null key, which nothing can name, stay)."""
-    kept = near_groups(docs, key, text).where(F.col(key) == F.col("component_id")).select(key)
-    named = docs.where(F.col(key).isNotNull()).join(kept, key, "left_semi").dropDuplicates([key])
-    return named.select(*docs.columns).unionByName(docs.where(F.col(key).isNull()))
-
-
 def op3_simhash(spark, sf_dir):
     return near_groups(table(spark, sf_dir, "documents"))
