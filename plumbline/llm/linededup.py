@@ -1,6 +1,8 @@
 """Site-relative line deduplication (operator 8).
 
-A line is boilerplate on a host if it stands in more than RATIO of the host's pages, and in MIN_PAGES of them at least.
+A line is boilerplate on a host if it stands in more than RATIO of the host's pages, whatever the host's size, and in
+LEAST_PAGES of them at least, so that a host of one page is not emptied. The query op8_linededup alone asks for MIN_PAGES
+pages, as its SQL does.
 Pages containing a line are counted once each: lines are made distinct per page, hashed to 128 bits and counted with
 partial aggregation, so a host with a third of all rows is summed by all tasks. A host has at most (lines per page) /
 RATIO boilerplate lines, whatever its size; their hashes form one array per host, which is broadcast if it is small when
@@ -19,6 +21,8 @@ from pyspark.sql import functions as F
 from plumbline.session import materialise, table
 
 RATIO = 0.05
+LEAST_PAGES = 2
+#: Of the query and its SQL only.
 MIN_PAGES = 10
 #: Measured size of the per-host table up to which it is broadcast.
 BROADCAST_BYTES = 8 << 20
@@ -34,12 +38,12 @@ def line_counts(docs: DataFrame, host: str = "source", text: str = "text") -> Da
     return joined.withColumn("ratio", F.col("pages") / F.col("host_pages"))
 
 
-def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = LEAST_PAGES) -> DataFrame:
     """(host, bad): the hashes of each host's boilerplate lines, for hosts that have any."""
     return line_counts(docs, host, text).where((F.col("ratio") > ratio) & (F.col("pages") >= min_pages)).groupBy("host").agg(F.array_sort(F.collect_set("line_hash")).alias("bad"))
 
 
-def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = LEAST_PAGES) -> DataFrame:
     """`docs` with the boilerplate lines taken out of `text`, and the number taken out in lines_dropped."""
     bad = materialise(boilerplate(docs, host, text, ratio, min_pages), "boilerplate").select(F.col("host").alias("_host"), "bad")
     size = bad.agg(F.coalesce(F.sum(F.size("bad") * 24 + 64), F.lit(0)).alias("bytes")).first().bytes
@@ -55,7 +59,7 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
 
 
 def op8_linededup(spark, sf_dir):
-    return drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "source", "text", F.col("n_chars"), "lines_dropped")
+    return drop_boilerplate(table(spark, sf_dir, "documents"), min_pages=MIN_PAGES).select("doc_id", "source", "text", F.col("n_chars"), "lines_dropped")
 
 
 OP8_SQL = f"""
