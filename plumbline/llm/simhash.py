@@ -9,7 +9,8 @@ either of two such fingerprints also receives the other, and whole fingerprints
 Equal fingerprints are grouped before anything is replicated, and each anchor returns a spanning forest of its links,
 never all pairs. Components are found by star contraction. Null texts count as empty: fingerprint zero, linked like any
 other. Rows with equal text share a component; a null doc_id never names a component unless all of its ids are null.
-Extra columns are ignored.
+A very long text is hashed whole, in memory proportional to it. Extra columns are ignored. An empty table stays empty.
+The near-duplicate stage of the pipeline uses the same method with settings of its own (nearcopies).
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.components import components
-from plumbline.llm.nearcopies import one_per_group as one_per_group  # the pipeline's stage has its own settings
+from plumbline.llm.runs import complete_runs
 from plumbline.session import materialise, ship, shuffle_partitions, table
 
 WORDS = 3
@@ -115,29 +116,13 @@ def spanning(fps: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def run_links(fps: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links within one anchor. A long run is first split by equal 16-bit quarters: with at most three differing bits
-    at least one of the four quarters is equal."""
-    if len(fps) <= LONG_RUN:
-        return spanning(fps)
-    out = []
-    for q in range(4):
-        part = (fps >> np.uint64(16 * q)) & np.uint64(0xFFFF)
-        order = np.argsort(part, kind="stable")
-        cuts = np.flatnonzero(np.diff(part[order])) + 1
-        for own in np.split(fps[order], cuts):
-            if len(own) > 1:
-                out += spanning(own)
-    return out
-
-
 def links_in_order(anchor: np.ndarray, fp: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Links of rows sorted by anchor: short runs by comparing rows k apart, long runs one by one."""
     starts = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
     sizes = np.diff(np.append(starts, len(anchor)))
     out = []
     for s, n in zip(starts[sizes > SHORT_RUN], sizes[sizes > SHORT_RUN]):
-        out += run_links(fp[s : s + n])
+        out += spanning(fp[s : s + n])
     short = np.repeat((sizes <= SHORT_RUN) & (sizes > 1), sizes)
     anchor, fp = anchor[short], fp[short]
     for k in range(1, SHORT_RUN):
@@ -150,29 +135,36 @@ def links_in_order(anchor: np.ndarray, fp: np.ndarray) -> list[tuple[np.ndarray,
     return out
 
 
-def near_links(fps: DataFrame) -> DataFrame:
-    """(a, b): links among the distinct fingerprints of `fps` that connect exactly what links of at most three bits connect."""
+def met(rows: DataFrame, limit: int | None) -> DataFrame:
+    """(a, b): links of the fingerprints that meet under one key; (key, null) for a key with more than `limit` of them."""
 
     def run(batches):
-        anchor, fp = np.empty(0, np.int64), np.empty(0, np.uint64)
-
-        def give(n):
-            found = links_in_order(anchor[:n], fp[:n]) if n else []
-            if found:
+        for cols, long in complete_runs(batches, limit):
+            if long is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([long]), pa.array([None], pa.int64())], ["a", "b"])
+            elif found := links_in_order(cols[0], cols[1].view(np.uint64)):
                 a, b = (np.concatenate(x).view(np.int64) for x in zip(*found))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-        for batch in batches:
-            anchor = np.concatenate([anchor, batch.column(0).to_numpy(zero_copy_only=False)])
-            fp = np.concatenate([fp, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)])
-            if len(anchor):
-                done = int(np.searchsorted(anchor, anchor[-1]))  # the last run may go on in the next batch
-                yield from give(done)
-                anchor, fp = anchor[done:], fp[done:]
-        yield from give(len(anchor))
-
-    spread = anchored(fps).repartition(shuffle_partitions(fps.sparkSession), "anchor").sortWithinPartitions("anchor", "fp")
-    return spread.mapInArrow(run, "a bigint, b bigint").distinct()
+    dealt = rows.repartition(shuffle_partitions(rows.sparkSession), "anchor").sortWithinPartitions("anchor", "fp")
+    return dealt.mapInArrow(run, "a bigint, b bigint")
+
+
+def near_links(fps: DataFrame) -> DataFrame:
+    """(a, b): links among the distinct fingerprints of `fps` that connect exactly what links of at most three bits connect.
+
+    An anchor with more than LONG_RUN fingerprints is dealt anew, by its equal 16-bit quarters, of which two fingerprints
+    that differ in at most three bits share at least one; a task then holds those of one quarter only."""
+    rows = anchored(fps)
+    found = materialise(met(rows, LONG_RUN).distinct(), "links")
+    long = found.where("b IS NULL").select(F.col("a").alias("anchor"))
+    links = found.where("b IS NOT NULL")
+    if long.isEmpty():
+        return links
+    quarters = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda q: F.struct(q.alias("q"), F.call_function("shiftrightunsigned", F.col("fp"), (q * 16).cast("int")).bitwiseAND(F.lit(0xFFFF).cast("long")).alias("v")))
+    dealt = rows.join(long, "anchor", "left_semi").select("anchor", "fp", F.explode(quarters).alias("own"))
+    dealt = dealt.select(F.xxhash64("anchor", "own.q", "own.v").alias("anchor"), "fp")
+    return links.union(met(dealt, None)).distinct()
 
 
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

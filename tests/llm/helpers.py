@@ -58,6 +58,12 @@ def components(links: list[tuple[int, int]], nodes: list[int]) -> dict[int, int]
     return {n: find(n) for n in nodes}
 
 
+def shingles(text: str) -> set[tuple[str, ...]]:
+    """Runs of five words, without ASCII case."""
+    w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+
 def near_groups(docs: list[tuple[int, str]]) -> dict[int, int]:
     fps = {i: fingerprint(t) for i, t in docs}
     ids = sorted(fps)

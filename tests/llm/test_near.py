@@ -29,9 +29,6 @@ def test_groups_edge_cases(spark):
     got = {(r.doc_id, r.component_id) for r in simhash.near_groups(documents(spark)).collect()}
     assert {(1, 1), (2, 1), (3, 3), (4, 3), (5, 3), (9, 9)} <= got
     assert simhash.near_groups(empty(spark)).count() == 0
-    kept = simhash.one_per_group(documents(spark))
-    assert kept.columns == documents(spark).columns
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 3, 6, 7, 8, 9]
 
 
 def test_every_near_pair_meets_at_an_anchor(spark):
@@ -53,12 +50,18 @@ def test_dense_anchor_gives_few_links_and_one_component():
     near = np.array([base] + [base ^ np.uint64(1 << a) for a in range(60)] + [base ^ np.uint64(1 << a | 1 << (a + 1)) for a in range(60)], np.uint64)
     links = simhash.spanning(near)
     assert sum(len(a) for a, _ in links) == len(near) - 1
-    cut, simhash.LONG_RUN = simhash.LONG_RUN, 8
+
+
+def test_crowded_anchors_lose_no_link(spark):
+    base = 0x0123456789ABCDEF
+    near = [base] + [base ^ 1 << a for a in range(60)] + [base ^ (1 << a | 1 << a + 1) for a in range(60)] + [base ^ 0xFFFF << 8 ^ 7 << a for a in range(0, 60, 7)]
+    want = helpers.components([(a, b) for n, a in enumerate(near) for b in near[:n] if (a ^ b).bit_count() <= 3], near)
+    kept, simhash.LONG_RUN = simhash.LONG_RUN, 4
     try:
-        pairs = [(int(a), int(b)) for x, y in simhash.run_links(near) for a, b in zip(x, y)]
+        links = [(r.a, r.b) for r in simhash.near_links(spark.createDataFrame([(v,) for v in near], "fp bigint")).collect()]
     finally:
-        simhash.LONG_RUN = cut
-    assert len(set(helpers.components(pairs, [int(v) for v in near]).values())) == 1
+        simhash.LONG_RUN = kept
+    assert helpers.components(links, near) == want
 
 
 def test_components_of_chain_and_star(spark):
