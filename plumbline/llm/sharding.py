@@ -5,9 +5,11 @@ rolled up to every shorter prefix, and each row's shard is the shortest prefix o
 limit, so only oversized buckets are split, one bit at a time. Cells that are still too large at that depth are the
 only ones looked at again, STEP bits deeper each round, until all fit, hold a single row, or the hash is used up.
 
-The hash covers the key, or the key and the bytes of the row where keys repeat heavily (`salt`). A row larger than the
-limit ends alone in a shard that does not fit (fits = false); rows that hash alike in all bits stay together and are
-marked in the same way. A null key hashes as the text 'null'; a null text has no bytes. Extra columns are ignored.
+The hash covers the key. Rows of one key that together exceed the limit share its 60 bits; their directory goes on with
+60 bits of a hash of key and row number, so that a heavily repeated key is split like any other. A row larger than the
+limit ends alone in a shard that does not fit (fits = false); a very long text is only measured. A null key hashes as the
+text 'null'; a null text has no bytes. Repeated rows are rows of their own. An empty table gives an empty result. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,34 +35,52 @@ def prefix(h: Column, depth: Column) -> Column:
     return F.call_function("shiftright", h, (F.lit(HASH_BITS) - depth).cast("int"))
 
 
-def shards(docs: DataFrame, limit: int = LIMIT_BYTES, key: str = "doc_id", text: str = "text", salt: str | None = None) -> DataFrame:
-    """Per row: key, n_bytes, shard (the prefix in binary digits), depth, shard_bytes, shard_rows, fits."""
-    h = hash_bits(F.col(key) if salt is None else F.concat_ws("/", F.col(key).cast("string"), F.col(salt).cast("string")))
-    rows = docs.select(F.col(key).alias("key"), h.alias("h"), F.coalesce(F.octet_length(F.col(text).cast("string")), F.lit(0)).cast("long").alias("n_bytes"))
-    rows = materialise(rows, "hashed")
-    total = rows.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("b")).first().b
+def digits(p: Column, depth: Column) -> Column:
+    """The first `depth` bits, `p`, in binary digits."""
+    return F.when(depth == 0, "").otherwise(F.lpad(F.conv(p.cast("string"), 10, 2), depth.cast("int"), F.lit("0")))
+
+
+def directory(rows: DataFrame, limit: int) -> DataFrame:
+    """`rows` (parent, h, n_bytes and others), each with the shortest prefix (depth, p) of its hash whose rows fit the limit
+    within its parent, and their sum and number. A cell that is too large when the hash is used up stays whole."""
+    total = rows.groupBy("parent").agg(F.sum("n_bytes").alias("b")).agg(F.coalesce(F.max("b"), F.lit(0)).alias("b")).first().b
     low, high = 0, min(HASH_BITS, max(1, -(-int(total) // max(1, limit))).bit_length() + STEP // 2)
     found, rest = [], rows
     while True:
-        cells = rest.groupBy(prefix(F.col("h"), F.lit(high)).alias("cell")).agg(F.sum("n_bytes").alias("b"), F.count("*").alias("n"))
+        cells = rest.groupBy("parent", prefix(F.col("h"), F.lit(high)).alias("cell")).agg(F.sum("n_bytes").alias("b"), F.count("*").alias("n"))
         depths = F.explode(F.sequence(F.lit(low), F.lit(high))).alias("depth")
-        up = cells.select("cell", "b", "n", depths).withColumn("p", F.call_function("shiftright", "cell", (F.lit(high) - F.col("depth")).cast("int")))
-        sums = up.groupBy("depth", "p").agg(F.sum("b").alias("shard_bytes"), F.sum("n").alias("shard_rows"))
+        up = cells.select("parent", "cell", "b", "n", depths).withColumn("p", F.call_function("shiftright", "cell", (F.lit(high) - F.col("depth")).cast("int")))
+        sums = up.groupBy("parent", "depth", "p").agg(F.sum("b").alias("shard_bytes"), F.sum("n").alias("shard_rows"))
         last = (F.col("depth") == HASH_BITS) & (high == HASH_BITS)
         fitting = sums.where((F.col("shard_bytes") <= limit) | (F.col("shard_rows") == 1) | last)
-        best = up.select("cell", "depth", "p").join(fitting, ["depth", "p"]).groupBy("cell").agg(F.min(F.struct("depth", "p", "shard_bytes", "shard_rows")).alias("s"))
-        best = materialise(best, "directory").withColumnRenamed("cell", "at")
-        at = prefix(F.col("h"), F.lit(high))
-        found.append(rest.join(best, at == F.col("at")).select("key", "n_bytes", "s.*"))
+        best = up.select("parent", "cell", "depth", "p").join(fitting, ["parent", "depth", "p"]).groupBy("parent", "cell").agg(F.min(F.struct("depth", "p", "shard_bytes", "shard_rows")).alias("s"))
+        best = materialise(best.withColumnRenamed("cell", "at").withColumnRenamed("parent", "of"), "directory")
+        here = (F.col("parent") == F.col("of")) & (prefix(F.col("h"), F.lit(high)) == F.col("at"))
+        found.append(rest.join(best, here).select(*rest.columns, "s.*"))
         if high == HASH_BITS:
             break
-        rest = materialise(rest.join(best.select("at"), at == F.col("at"), "left_anti"), "oversized")
+        rest = materialise(rest.join(best.select("of", "at"), here, "left_anti"), "oversized")
         if not rest.take(1):
             break
         low, high = high + 1, min(HASH_BITS, high + STEP)
-    bits = F.when(F.col("depth") == 0, "").otherwise(F.lpad(F.conv(F.col("p").cast("string"), 10, 2), F.col("depth").cast("int"), F.lit("0")))
-    out = reduce(DataFrame.unionByName, found)
-    return out.select(F.col("key").alias(key), "n_bytes", bits.alias("shard"), F.col("depth").cast("long").alias("depth"), "shard_bytes", "shard_rows", (F.col("shard_bytes") <= limit).alias("fits"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def shards(docs: DataFrame, limit: int = LIMIT_BYTES, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row: key, n_bytes, shard (the prefix in binary digits), depth, shard_bytes, shard_rows, fits."""
+    rows = docs.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("uid"), hash_bits(F.col(key)).alias("h"), F.coalesce(F.octet_length(F.col(text).cast("string")), F.lit(0)).cast("long").alias("n_bytes"))
+    rows = materialise(rows.withColumn("parent", F.lit(-1).cast("long")), "hashed")
+    found = directory(rows, limit)
+    # rows that share the whole hash, and do not fit: the same, by a hash of the row
+    crowded = (F.col("depth") == HASH_BITS) & (F.col("shard_bytes") > limit) & (F.col("shard_rows") > 1)
+    same = materialise(found.where(crowded).select("key", "uid", "n_bytes", F.col("h").alias("parent"), hash_bits(F.concat_ws("/", F.col("key").cast("string"), F.col("uid").cast("string"))).alias("h")), "same-hash")
+    own = digits(F.col("p"), F.col("depth"))
+    columns = ["key", "n_bytes", "shard", "depth", "shard_bytes", "shard_rows"]
+    out = found.withColumn("shard", own)
+    if same.take(1):
+        more = directory(same, limit).withColumn("shard", F.concat(digits(F.col("parent"), F.lit(HASH_BITS)), own)).withColumn("depth", F.col("depth") + HASH_BITS)
+        out = out.where(~crowded).select(*columns).unionByName(more.select(*columns))
+    return out.select(F.col("key").alias(key), "n_bytes", "shard", F.col("depth").cast("long").alias("depth"), "shard_bytes", "shard_rows", (F.col("shard_bytes") <= limit).alias("fits"))
 
 
 def op4_sharding(spark, sf_dir):
