@@ -1,15 +1,14 @@
 """Site-relative line deduplication (operator 8).
 
 A line is boilerplate on a host if it stands in more than RATIO of the host's pages, whatever the host's size, and in
-LEAST_PAGES of them at least, so that a host of one page is not emptied. The query op8_linededup alone asks for MIN_PAGES
-pages, as its SQL does.
+LEAST_PAGES of them at least, so that a host of one page is not emptied.
 Pages containing a line are counted once each: lines are made distinct per page, hashed to 128 bits and counted with
 partial aggregation, so a host with a third of all rows is summed by all tasks. A host has at most (lines per page) /
 RATIO boilerplate lines, whatever its size; their hashes form one array per host, which is broadcast if it is small when
 measured and joined otherwise. Pages keep their other lines, in order.
 
-Lines are compared without the spaces around them; blank lines always stay. A null text stays null and has no lines, but its page counts
-for the host. A null host is a host of its own. Repeated rows are pages of their own. Other columns pass through;
+Lines are compared without the spaces around them; blank lines always stay, and a line of any length counts whole. A null
+text stays null and has no lines, but its page counts for the host. A null host is a host of its own. Repeated rows are pages of their own. Other columns pass through;
 n_chars, where there is one, is brought up to date. An empty table stays empty.
 """
 
@@ -22,8 +21,6 @@ from plumbline.session import materialise, table
 
 RATIO = 0.05
 LEAST_PAGES = 2
-#: Of the query and its SQL only.
-MIN_PAGES = 10
 #: Measured size of the per-host table up to which it is broadcast.
 BROADCAST_BYTES = 8 << 20
 
@@ -59,7 +56,7 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
 
 
 def op8_linededup(spark, sf_dir):
-    return drop_boilerplate(table(spark, sf_dir, "documents"), min_pages=MIN_PAGES).select("doc_id", "source", "text", F.col("n_chars"), "lines_dropped")
+    return drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "source", "text", F.col("n_chars"), "lines_dropped")
 
 
 OP8_SQL = f"""
@@ -67,7 +64,7 @@ WITH pages AS (SELECT source, count(*) AS host_pages FROM documents GROUP BY sou
 l AS (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
 counts AS (SELECT source, trim(line, ' ') AS line, count(DISTINCT doc_id) AS pages FROM l WHERE trim(line, ' ') <> '' GROUP BY 1, 2),
 bad AS (SELECT c.source, c.line FROM counts c JOIN pages p ON c.source IS NOT DISTINCT FROM p.source
-        WHERE c.pages * 1.0 / p.host_pages > {RATIO} AND c.pages >= {MIN_PAGES}),
+        WHERE c.pages * 1.0 / p.host_pages > {RATIO} AND c.pages >= {LEAST_PAGES}),
 kept AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.i) FILTER (WHERE b.line IS NULL) AS text, count(b.line) AS lines_dropped
          FROM l LEFT JOIN bad b ON b.source IS NOT DISTINCT FROM l.source AND b.line = trim(l.line, ' ') GROUP BY l.doc_id)
 SELECT d.doc_id, d.source, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text,
