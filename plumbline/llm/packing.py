@@ -1,13 +1,16 @@
 """Packing documents into fixed-length token sequences in space-filling-curve order (operator 9).
 
-Every document is tokenised, its ids are hashed to a short vector (a fixed random sign per id and dimension), and the
-vector's cell on a Hilbert curve is its sort key, so that similar documents become neighbours. A range sort by the key
+Every document is tokenised and its ids are hashed to a vector, the mean of a fixed random sign per id and dimension. The
+corpus' mean vector is taken off and what is left is brought to unit length, so that it says which ids a document has
+more of than others have, whatever its length; DIMENSIONS random directions of it give the document's cell on a Hilbert
+curve, which is its sort key, so that similar documents become neighbours. A range sort by the key
 (ties by doc_id, then row) gives each document its start in one long stream of ids; the stream is cut every `length`
 ids, so only the last sequence is short. Ids are written once to the shared folder; the sort moves only keys and
 lengths, and the ids move once, to meet their positions. The driver sees one number per range partition.
 
-A null text is empty and packs as its end id alone; repeated rows each get their own place; an empty table gives an
-empty result; other columns are ignored.
+A null text is empty and packs as its end id alone, in the middle cell; repeated rows each get their own place, ties go by
+doc_id and then row; a text of over LONG_TEXT characters is encoded by operator 10's own encoder, which gives the same
+ids and takes runs of white space of any length; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,14 +25,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.bpe import PATTERN, byte_alphabet, chunks, default_vocabulary, worker_object
+from plumbline.llm.bpe import PATTERN, ByteBpe, byte_alphabet, chunks, default_vocabulary, worker_object
 from plumbline.session import materialise, ship, shuffle_partitions, table
 
 LENGTH = 1024
 END_ID = 0
+HASHED = 16
 DIMENSIONS = 3
 BITS = 16
-BATCH_TEXTS = 1_000
+#: Cells cover this many standard deviations of a random direction on either side.
+SPREAD = 3.5
+LONG_TEXT = 100_000
+BATCH_TEXTS = 500
 #: Chunks whose ids a task remembers.
 CACHED_CHUNKS = 150_000
 
@@ -40,6 +47,7 @@ class TokenBytes:
     def __init__(self, path: str):
         import tiktoken
 
+        self.path, self.own = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = byte_alphabet()
@@ -49,7 +57,7 @@ class TokenBytes:
         self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
         self.code, self.kind = ("H", np.uint16) if max([*ranks.values(), *self.special.values()]) < 1 << 16 else ("I", np.uint32)
         self.known: dict[str, bytes] = {}
-        signs = np.random.default_rng(20240229).integers(0, 2, (1 + max(ranks.values(), default=0) + len(self.special), DIMENSIONS)) * 2 - 1
+        signs = np.random.default_rng(20240229).integers(0, 2, (1 + max(ranks.values(), default=0) + len(self.special), HASHED)) * 2 - 1
         self.signs = signs.astype(np.float32)
 
     def plain(self, text: str) -> bytes:
@@ -57,6 +65,9 @@ class TokenBytes:
 
     def __call__(self, text: str | None) -> bytes:
         text = text or ""
+        if len(text) > LONG_TEXT:
+            self.own = self.own or ByteBpe(self.path)
+            return array(self.code, self.own.encode(text)).tobytes()
         if any(s in text for s in self.special):
             return array(self.code, self.encoding.encode(text, allowed_special="all")).tobytes()
         pieces = chunks(text)
@@ -71,8 +82,23 @@ class TokenBytes:
         return self.plain(first) + b"".join(map(known.__getitem__, pieces))
 
     def vector(self, ids: np.ndarray) -> np.ndarray:
-        """Mean sign per dimension, scaled so that random ids would give unit variance."""
-        return self.signs[ids].sum(0) / np.sqrt(max(1, len(ids)))
+        """Mean sign per dimension."""
+        total = np.zeros(HASHED)
+        for start in range(0, len(ids), 1 << 14):  # in slices, for little memory
+            total += self.signs[ids[start : start + (1 << 14)]].sum(0)
+        return total / max(1, len(ids))
+
+
+#: The random directions, at right angles to each other.
+DIRECTIONS = np.linalg.qr(np.random.default_rng(20240301).normal(size=(HASHED, DIMENSIONS)))[0]
+
+
+def cells(vectors: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """The cell of each row: its difference from the mean, at unit length, along each direction."""
+    off = vectors - mean
+    length = np.sqrt((off**2).sum(1, keepdims=True))
+    at = np.divide(off, length, out=np.zeros_like(off), where=length > 1e-12) @ DIRECTIONS * np.sqrt(HASHED)
+    return np.clip((at + SPREAD) * ((1 << BITS) / (2 * SPREAD)), 0, (1 << BITS) - 1).astype(np.int64)
 
 
 def hilbert_key(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -103,7 +129,7 @@ def hilbert_key(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 def tokenised(docs: DataFrame, vocabulary: str, key: str, text: str) -> DataFrame:
-    """Row id, document id, curve key, number of ids with the end id, and the ids."""
+    """Row id, document id, hashed vector, number of ids with the end id, and the ids."""
 
     def run(batches):
         tok = worker_object(TokenBytes, vocabulary)
@@ -111,19 +137,32 @@ def tokenised(docs: DataFrame, vocabulary: str, key: str, text: str) -> DataFram
         for batch in batches:
             for start in range(0, batch.num_rows, BATCH_TEXTS):
                 part = batch.slice(start, BATCH_TEXTS)
-                raw = [tok(x) + end for x in part.column(2).to_pylist()]
+                raw = [tok(x.as_py()) + end for x in part.column(2)]
                 ids = [np.frombuffer(x, tok.kind) for x in raw]
-                at = np.stack([tok.vector(x) for x in ids])
-                cells = np.clip((at + 8) * ((1 << BITS) / 16), 0, (1 << BITS) - 1).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(hilbert_key(cells), pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array(raw, pa.binary())],
-                    ["uid", "doc_id", "curve_key", "doc_tokens", "ids"],
+                    [part.column(0), part.column(1), pa.array([tok.vector(x) for x in ids], pa.list_(pa.float32())), pa.array([len(x) for x in ids], pa.int64()), pa.array(raw, pa.binary())],
+                    ["uid", "doc_id", "vector", "doc_tokens", "ids"],
                 )
         tok.known.clear()  # the worker lives on with other tasks
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"uid bigint, doc_id {kind}, curve_key bigint, doc_tokens bigint, ids binary")
+    return rows.mapInArrow(run, f"uid bigint, doc_id {kind}, vector array<float>, doc_tokens bigint, ids binary")
+
+
+def curve_keys(rows: DataFrame) -> DataFrame:
+    """uid, doc_id, doc_tokens and the key on the curve; the driver sees the mean vector only."""
+    found = rows.agg(*[F.avg(F.col("vector")[d]).alias(f"m{d}") for d in range(HASHED)]).first()
+    mean = np.array([x or 0.0 for x in found])
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                at = cells(batch.column(3).flatten().to_numpy().reshape(-1, HASHED).astype(np.float64), mean)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(hilbert_key(at), pa.int64())], ["uid", "doc_id", "doc_tokens", "curve_key"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.select("uid", "doc_id", "doc_tokens", "vector").mapInArrow(run, f"uid bigint, doc_id {kind}, doc_tokens bigint, curve_key bigint")
 
 
 def stream_positions(rows: DataFrame) -> DataFrame:
@@ -139,7 +178,8 @@ def stream_positions(rows: DataFrame) -> DataFrame:
 
     spark = rows.sparkSession
     order = ["curve_key", "doc_id", "uid"]
-    ordered = rows.select(*order, "doc_tokens").repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
+    keys = materialise(curve_keys(rows), "curve-keys")
+    ordered = keys.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
     local = materialise(ordered.select("uid", "doc_tokens").mapInArrow(run, "uid bigint, part bigint, pos bigint, n bigint"), "positions")
     totals = {r.part: r.total for r in local.groupBy("part").agg(F.sum("n").alias("total")).collect()}  # one row a range partition
     offsets, at = [], 0

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.llm.bpe import ByteBpe, Digester, Merger, decode, default_vocabulary, digests, encode
-from plumbline.llm.packing import LENGTH, hilbert_key, pack
+from plumbline.llm.packing import BITS, DIRECTIONS, HASHED, LENGTH, SPREAD, TokenBytes, cells, curve_keys, hilbert_key, pack, tokenised
 from tests.llm.helpers import ROWS, documents, empty
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -93,3 +93,48 @@ def test_pack(spark, reference):
 def test_pack_covers_repeated_rows(spark):
     df = documents(spark).where(F.col("doc_id") == 9)
     assert sum(r.length for r in pack(df).collect()) == 2 * pack(df.limit(1)).first().doc_tokens
+
+
+def test_long_white_space_and_long_texts(spark, reference):
+    texts = [" " * 1_000_000, "\n\t " * 150_000, "word " * 60_000, ("é🙂 " * 200 + "x" * 5_000) * 20]
+    got = pack(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).groupBy("doc_id").agg(F.sum("length").alias("n"), F.first("doc_tokens").alias("m")).collect()
+    assert len(got) == 4 and all(r.n == r.m for r in got)
+    bpe = ByteBpe(default_vocabulary())
+    for r in got:
+        assert r.m == len(bpe.encode(texts[r.doc_id])) + 1
+    assert bpe.encode(texts[2]) == reference.encode(texts[2], add_special_tokens=False).ids
+
+
+def test_order_follows_likeness_and_not_length(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = tokenised(docs, default_vocabulary(), "doc_id", "text").cache()
+    keys = sorted((r.curve_key, r.doc_id) for r in curve_keys(rows).collect())
+    ids = {r.doc_id: frozenset(np.frombuffer(r.ids, np.uint16).tolist()) for r in rows.collect()}
+    at = [ids[d] for _, d in keys]
+
+    def like(pairs):
+        return np.mean([len(a & b) / len(a | b) for a, b in pairs])
+
+    shuffled = np.random.default_rng(1).permutation(len(at))
+    assert like(zip(at, at[1:])) > 1.5 * like(zip(at, [at[i] for i in shuffled]))
+    vectors = np.array([r.vector for r in rows.select("vector").collect()], float)
+    c = cells(vectors, vectors.mean(0))
+    assert ((c == 0) | (c == (1 << BITS) - 1)).any(1).mean() < 0.01
+
+
+def test_keys_of_the_curve_by_definition(spark):
+    """The stream is in the order of the curve's keys, computed here document by document."""
+    docs = documents(spark)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    tok = TokenBytes(default_vocabulary())
+    vectors = np.array([[np.mean([tok.signs[i][d] for i in np.frombuffer(tok(t) + b"\0\0", np.uint16)]) for d in range(HASHED)] for _, t in rows])
+    off = vectors - vectors.mean(0)
+    at = (off / np.maximum(np.linalg.norm(off, axis=1, keepdims=True), 1e-12)) @ DIRECTIONS * HASHED**0.5
+    want = {}
+    for (k, _), c in zip(rows, at):
+        cell = [int(min(max((x + SPREAD) * 2**BITS / (2 * SPREAD), 0), 2**BITS - 1)) for x in c]
+        want.setdefault(k, set()).add(int(hilbert_key(np.array([cell]))[0]) >> 24)
+    got = {}
+    for r in curve_keys(tokenised(docs, default_vocabulary(), "doc_id", "text")).collect():
+        got.setdefault(r.doc_id, set()).add(r.curve_key >> 24)  # up to rounding of the vectors
+    assert sum(got[k] == want[k] for k in want) >= len(want) - 1
