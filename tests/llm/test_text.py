@@ -1,6 +1,9 @@
 """Operators 2, 6, 7 and 8."""
 
+import math
+import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -8,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.llm import licenses, linededup, toxicity
-from plumbline.llm.textdensity import extract, main_text
+from plumbline.llm.textdensity import Page, extract, main_text
 from plumbline.session import table
 from tests.llm.helpers import ROWS, SF_DIR, documents, empty
 from tests.oracle import connect, differences
@@ -35,6 +38,86 @@ def test_main_text_edge_cases(source, text):
     assert main_text(source) == text
 
 
+UNNAMED = (
+    "<body><div>" + "".join(f"<p><a href=x{i}>link number {i}</a></p>" for i in range(12)) + "</div><div>"
+    + "".join(f"<p>Paragraph {i} " + "goes on for quite a number of words " * 6 + "</p>" for i in range(4)) + "<p>Short end.</p></div><div>Copyright</div></body>"
+)
+
+
+def test_density_decides_where_no_name_tells(monkeypatch):
+    got = main_text(UNNAMED)
+    assert got.startswith("Paragraph 0") and got.endswith("Short end.") and "link" not in got and "Copyright" not in got
+    plain = Page.densities
+    for changed in (lambda d: [1 / x if x else 0.0 for x in d], lambda d: [1.0 if x else 0.0 for x in d]):
+        monkeypatch.setattr(Page, "densities", lambda self, changed=changed: changed(plain(self)))
+        assert main_text(UNNAMED) != got
+
+
+def random_tree(rng, depth=0):
+    kind = rng.choice(["div", "p", "a", "b"]) if depth < 4 else "b"
+    inside = ["w" * rng.randint(1, 9) if rng.random() < 0.6 or depth >= 4 or kind == "p" else random_tree(rng, depth + 1) for _ in range(rng.randint(0, 4))]
+    return (kind, inside)
+
+
+def source_of(node):
+    return node if isinstance(node, str) else f"<{node[0]}>{''.join(map(source_of, node[1]))}</{node[0]}>"
+
+
+def counts(node):
+    """Characters, tags, characters in links and link tags below a node, by definition."""
+    c = t = lc = lt = 0
+    for x in node[1]:
+        if isinstance(x, str):
+            c += len(x)
+        else:
+            a, b, d, e = counts(x)
+            c, t = c + a, t + 1 + b
+            lc, lt = (lc + a, lt + 1 + b) if x[0] == "a" else (lc + d, lt + e)
+    return c, t, lc, lt
+
+
+def test_densities_by_definition():
+    rng = random.Random(6)
+    for _ in range(300):
+        root = ("html", [("body", [random_tree(rng) for _ in range(rng.randint(1, 4))])])
+        page = Page("".join(map(source_of, root[1])))
+        got, nodes = page.densities(), []
+
+        def walk(node):
+            nodes.append(node)
+            for x in node[1]:
+                if not isinstance(x, str):
+                    walk(x)
+
+        walk(root)
+        assert [n[0] for n in nodes] == page.tag
+        c0, _, lc0, _ = counts(root)
+        for n, d in zip(nodes, got):
+            c, t, lc, lt = counts(n)
+            if n[0] == "a":  # a link's own characters and tags are link characters and tags
+                lc, lt = c, t
+            if not c:
+                assert d == 0
+                continue
+            t = max(1, t)
+            base = math.log(c / max(1, c - lc) * lc + lc0 / max(1, c0) * c + math.e)
+            top = math.log(max(1.0, c / max(1, lc) * t / max(1, lt)) + 1e-9)
+            assert abs(d - c / t * max(0.0, top / (math.log(base + 1e-9) if base > math.e else 1.0))) < 1e-9
+
+
+@pytest.mark.parametrize("source", ["<a " * 350_000, "<div>" * 50_000 + "x", "<div>" * 50_000 + "x" + "</b>" * 50_000, '<p class="x>' * 80_000, "<title>" * 100_000, '<div class="ad"><article>' * 20_000 + "t", "<b><table>" + "<i>" * 50_000 + "</b>" * 50_000])
+def test_broken_pages_take_linear_time(source):
+    began = time.perf_counter()
+    main_text(source)
+    assert time.perf_counter() - began < 4
+
+
+def test_parts_set_apart():
+    page = "<body><p>One lonely paragraph of the article, long enough to be read.</p><section id=commentList><p>A reader says so, at length, again and again and again.</p></section><footer>F</footer></body>"
+    assert main_text(page) == "One lonely paragraph of the article, long enough to be read."
+    assert main_text("<body><div class=comments><p>Only comments here.</p></div></body>") == "Only comments here."
+
+
 def test_extract_drops_source_and_counts(spark):
     df = spark.createDataFrame([(1, "u", "<p>é🙂", "clash"), (2, None, None, None)], "page_id bigint, url string, html string, n_chars string")
     got = {r.page_id: r for r in extract(df).collect()}
