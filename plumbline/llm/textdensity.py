@@ -10,8 +10,7 @@ to an article or main element around it, and to headings beside it.
 Scripts, styles, forms and menus are no text and are left out before counting; everything else counts. What stands
 apart by its element (header, footer, aside) or by a word of its class, id or role (adverts, notices, reader comments and
 the like) can have the density of an article, so it is not chosen, and is left out of what is chosen; an element that
-holds an article or main element is not set apart by its name. A page on which everything is set apart gives the choice
-among all of it.
+holds an article or main element is not set apart by its name. A page on which everything is set apart has an empty text.
 
 A null or empty page gives an empty text; broken mark-up is read leniently and in time proportional to the page, however
 deep or long; repeated rows repeat; extra columns are ignored, those that clash with a result column give way to it. An
@@ -273,8 +272,6 @@ class Page:
             p = self.parent[i]
             apart[i] = apart[p] or self.apart[i]
             widened[i] = widened[p] if widened[p] >= 0 else i if self.tag[i] in ("article", "main") and not apart[i] else -1
-        if not any(self.chars[i] and not apart[i] for i in range(1, n)):
-            apart = [False] * n
         best = list(range(n))  # the node of largest sum in each subtree, of what is not set apart
         for i in range(n - 1, 0, -1):
             p = self.parent[i]

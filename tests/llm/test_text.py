@@ -115,7 +115,7 @@ def test_broken_pages_take_linear_time(source):
 def test_parts_set_apart():
     page = "<body><p>One lonely paragraph of the article, long enough to be read.</p><section id=commentList><p>A reader says so, at length, again and again and again.</p></section><footer>F</footer></body>"
     assert main_text(page) == "One lonely paragraph of the article, long enough to be read."
-    assert main_text("<body><div class=comments><p>Only comments here.</p></div></body>") == "Only comments here."
+    assert main_text("<body><div class=comments><p>Only comments here.</p></div></body>") == ""
 
 
 def test_extract_drops_source_and_counts(spark):
