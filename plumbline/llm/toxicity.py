@@ -316,7 +316,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     def run(batches):
         scorer = Scorer(slim)
         for batch in batches:
-            keep = [scorer(None if t is None else str(t)) < 0.5 for t in map(pa.Scalar.as_py, batch.column(text))]
+            keep = [scorer(None if t is None else str(t)) < 0.5 for t in (x.as_py() for x in batch.column(text))]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
