@@ -7,9 +7,17 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Texts read as missing, and the accepted date formats.
+#: Texts read as missing, and the accepted date formats with the shape of their texts.
 MISSING_TEXTS = ("", "nan", "none", "null", "na", "n/a")
-DATE_FORMATS = ("yyyy-MM-dd", "yyyy/MM/dd", "dd/MM/yyyy", "dd-MM-yyyy", "yyyyMMdd", "yyyy-MM-dd HH:mm:ss", "dd MMM yyyy")
+DATE_FORMATS = {
+    "yyyy-MM-dd": r"^\d{4}-\d{2}-\d{2}$",
+    "yyyy/MM/dd": r"^\d{4}/\d{2}/\d{2}$",
+    "dd/MM/yyyy": r"^\d{2}/\d{2}/\d{4}$",
+    "dd-MM-yyyy": r"^\d{2}-\d{2}-\d{4}$",
+    "yyyyMMdd": r"^\d{8}$",
+    "yyyy-MM-dd HH:mm:ss": r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$",
+    "dd MMM yyyy": r"^\d{2} [A-Za-z]{3} \d{4}$",
+}
 
 
 def missing(c: Column) -> Column:
@@ -24,9 +32,14 @@ def number(c: Column) -> Column:
 
 
 def date(c: Column) -> Column:
-    """As date by the first of the accepted formats that fits; null elsewhere."""
+    """As date by the accepted format that has the text's shape; null elsewhere. A format is only tried on texts of its
+    shape, since a failing parse is dear; texts of dates and timestamps are cast."""
     text = F.trim(c.cast("string"))
-    return F.coalesce(*[F.to_date(F.try_to_timestamp(text, F.lit(f))) for f in DATE_FORMATS])
+    out = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}( \d{2}:\d{2}:\d{2})?$"), text.try_cast("timestamp").cast("date"))
+    for f, shape in DATE_FORMATS.items():
+        if not f.startswith("yyyy-MM-dd"):
+            out = out.when(text.rlike(shape), F.to_date(F.try_to_timestamp(text, F.lit(f))))
+    return out
 
 
 def norm(c: Column) -> Column:

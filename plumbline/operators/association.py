@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.prefix import cumulative
 from plumbline.functions.tails import hypergeometric_greater
+from plumbline.functions.quantiles import percentiles
 from plumbline.functions.values import bucket, rounded
 from plumbline.plans.registry import query
 from plumbline.session import ship, table
@@ -47,8 +48,8 @@ def fine_splits(df: DataFrame, feature: str, k: int = 20, zero: bool = False) ->
 def fine_groups(df: DataFrame, feature: str, top: int = 49) -> DataFrame:
     """value -> bin: the `top` most frequent (ties by value), the rest OTHER (TA-3)."""
     per = df.where(F.col(feature).isNotNull()).groupBy(F.col(feature).cast("string").alias("value")).agg(F.count("*").alias("n"))
-    rn = F.row_number().over(Window.partitionBy().orderBy(F.desc("n"), "value"))
-    return per.withColumn("bin", F.when(rn <= top, F.col("value")).otherwise("OTHER"))
+    first = per.orderBy(F.desc("n"), "value").limit(top).select("value", F.col("value").alias("bin"))  # `top` rows
+    return per.join(F.broadcast(first), "value", "left").withColumn("bin", F.coalesce("bin", F.lit("OTHER")))
 
 
 def apply_bins(feature: str, edges: list[float], specials: list | None = None, guards: tuple[float, float] | None = None) -> Column:
@@ -208,7 +209,8 @@ def grouped_auc(scored: DataFrame, by: list[str], score: str = "score") -> DataF
 
 def percentile_benchmark(df: DataFrame, features: list[str], target: Column, buckets: int = 10) -> DataFrame:
     """Quantile buckets and a bucket of missing values, scored by their mean target, and the AUC of that (TA-21)."""
-    qs = df.agg(*[F.percentile(f, F.array(*[F.lit(i / buckets) for i in range(1, buckets)])).alias(f) for f in features]).first()
+    found = percentiles(df, {f: F.col(f) for f in features}, [i / buckets for i in range(1, buckets)]).collect()  # one row a feature
+    qs = {f: None for f in features} | {r["column"]: r.q for r in found}
     stats = fine_statistics(long_bins(df, {f: apply_bins(f, sorted(set(qs[f] or []))) for f in features}, target))
     return grouped_auc(stats.select("feature", (F.col("s") / F.col("n")).alias("score"), F.col("s").alias("p"), (F.col("n") - F.col("s")).alias("q")), ["feature"])
 
@@ -280,11 +282,11 @@ def localized(df: DataFrame, features: list[str], target: Column, min_rows: int
     exact p (greater), Bonferroni-adjusted, the best by capture per feature (TA-22, TA-23). Only survivors reach Python."""
     rows = df.select(target.alias("y"), F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features])).alias("r")).where("y is not null").select("y", "r.*")
     per = rows.groupBy("feature", "v").agg(F.count("*").alias("n"), F.sum("y").alias("e"))
-    own, up = Window.partitionBy("feature"), Window.partitionBy("feature").orderBy("v")
-    per = per.withColumns({"tn": F.sum("n").over(own), "te": F.sum("e").over(own), "cn": F.sum("n").over(up), "ce": F.sum("e").over(up)})
+    per = cumulative(per, ["v"], {"cn": "n", "ce": "e"}, ["feature"]).withColumnsRenamed({"cn_total": "tn", "ce_total": "te"})
     kinds = F.explode(F.array(F.struct(F.when(F.col("v").isNull(), "missing").otherwise("value").alias("kind"), F.col("n").alias("rows"), F.col("e").alias("events")), F.struct(F.lit("lower").alias("kind"), F.col("cn").alias("rows"), F.col("ce").alias("events")), F.struct(F.lit("upper").alias("kind"), (F.col("tn") - F.col("cn") + F.col("n")).alias("rows"), (F.col("te") - F.col("ce") + F.col("e")).alias("events")))).alias("k")
     all_ = per.select("feature", "v", "tn", "te", kinds).select("feature", "v", "tn", "te", "k.*").where("v is not null or kind = 'missing'")
-    all_ = all_.withColumn("tried", F.count("*").over(own))
+    tried = all_.groupBy("feature").agg(F.count("*").alias("tried"))
+    all_ = all_.join(F.broadcast(tried), "feature")  # one row a feature
     share = F.col("events") / F.col("rows")
     rest = (F.col("te") - F.col("events")) / F.nullif(F.col("tn") - F.col("rows"), F.lit(0))
     kept = all_.where((F.col("rows") >= min_rows) & (F.col("events") >= min_events) & (share >= rate) & (share - F.coalesce(rest, F.lit(0.0)) >= uplift))
@@ -295,7 +297,7 @@ def localized(df: DataFrame, features: list[str], target: Column, min_rows: int
 
     ship(df.sparkSession)
     scored = kept.withColumn("p", F.least(fisher("events", "rows", "te", "tn") * F.col("tried"), F.lit(1.0))).withColumn("capture", F.col("events") / F.col("te"))
-    best = F.row_number().over(own.orderBy(F.desc("capture"), "p", "kind", "v"))
+    best = F.row_number().over(Window.partitionBy("feature").orderBy(F.desc("capture"), "p", "kind", "v"))
     return scored.withColumn("rn", best).where("rn = 1").select("feature", "kind", F.col("v").alias("value"), "rows", "events", "capture", "p")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.prefix import cumulative
+from plumbline.functions.quantiles import percentile_row, percentiles
 from plumbline.functions.values import bucket, rounded
 from plumbline.operators.profile import counts, histogram, numeric
 from plumbline.plans.registry import query
@@ -17,8 +18,7 @@ EPSILON = 1e-6
 
 def quantile_edges(df: DataFrame, column: str, bins: int = 10) -> list[float]:
     """Distinct linear quantiles at 0, 1/bins, ..., 1: bins + 1 numbers at most."""
-    q = df.agg(F.percentile(F.col(column).cast("double"), F.array(*[F.lit(i / bins) for i in range(bins + 1)])).alias("q")).first().q
-    return sorted(set(q or []))
+    return sorted(set(percentile_row(df, F.col(column), [i / bins for i in range(bins + 1)])))
 
 
 def indexed(df: DataFrame, order: list[str]) -> DataFrame:
@@ -56,7 +56,7 @@ def expectation_psi(df: DataFrame, feature: str, date: str, tie: str, ref_share:
 
 def early_recent(df: DataFrame, date: str, share: float = 0.4) -> DataFrame:
     """`df` with window: early up to the date quantile, recent after it; rows without a date are dropped (ST-2)."""
-    at = df.agg(F.percentile(F.unix_micros(F.col(date).cast("timestamp")), F.lit(share)).alias("q")).first().q
+    at = next(iter(percentile_row(df, F.unix_micros(F.col(date).cast("timestamp")), [share])), None)
     early = F.unix_micros(F.col(date).cast("timestamp")) <= F.lit(at)
     return df.where(F.col(date).isNotNull()).withColumn("window", F.when(early, "early").otherwise("recent"))
 
@@ -66,8 +66,11 @@ def window_drift(df: DataFrame, feature: str) -> DataFrame:
     x, early = F.col(feature).cast("double"), F.col("window") == "early"
     agg = {}
     for name, cond in (("early", early), ("recent", ~early)):
-        agg |= {f"{name}_n": F.count(F.when(cond, x)), f"{name}_mean": F.avg(F.when(cond, x)), f"{name}_median": F.percentile(F.when(cond, x), F.lit(0.5))}
-    one = df.agg(*[v.alias(k) for k, v in agg.items()])
+        agg |= {f"{name}_n": F.count(F.when(cond, x)), f"{name}_mean": F.avg(F.when(cond, x))}
+    medians = percentiles(df, {"early": F.when(early, x), "recent": F.when(~early, x)}, [0.5])
+    middle = medians.agg(*[F.max(F.when(F.col("column") == n, F.col("q")[0])).alias(f"{n}_median") for n in ("early", "recent")])
+    one = df.agg(*[v.alias(k) for k, v in agg.items()]).crossJoin(F.broadcast(middle))  # one row beside one
+    one = one.select("early_n", "early_mean", "early_median", "recent_n", "recent_mean", "recent_median")
     return one.withColumns({"mean_change": F.col("recent_mean") - F.col("early_mean"), "median_change": F.col("recent_median") - F.col("early_median")})
 
 
@@ -172,12 +175,14 @@ def ks_by_segment(df: DataFrame, value: str, segment: str) -> DataFrame:
     """KS of every segment against the largest one (ties to the smaller name) (ST-13)."""
     rows = df.where(F.col(value).isNotNull() & F.col(segment).isNotNull()).select(F.col(value).alias("v"), F.col(segment).cast("string").alias("segment"))
     largest = rows.groupBy("segment").agg(F.count("*").alias("n")).agg(F.min_by("segment", F.struct(-F.col("n"), "segment")).alias("s")).first().s
-    base = rows.where(F.col("segment") == largest).groupBy("v").agg(F.count("*").alias("a"))
-    others = [r.segment for r in rows.where(F.col("segment") != largest).select("segment").distinct().limit(1000).collect()]  # segments, not rows
-    per = rows.where(F.col("segment") != largest).groupBy("segment", "v").agg(F.count("*").alias("b"), F.lit(0).cast("long").alias("a"))
-    spread = base.select(F.explode(F.array(*map(F.lit, others)) if others else F.array().cast("array<string>")).alias("segment"), "v", F.lit(0).cast("long").alias("b"), "a")
-    both = per.unionByName(spread).groupBy("segment", "v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    return largest_gap(both, ["segment"]).withColumn("baseline", F.lit(largest))
+    base = rows.groupBy("v").agg(F.count_if(F.col("segment") == largest).alias("a"))
+    base = cumulative(base, ["v"], {"ca": "a"})
+    per = rows.where(F.col("segment") != largest).groupBy("segment", "v").agg(F.count("*").alias("b"))
+    # between two values of a segment only the base moves, so the gap is widest at a value or just before one
+    both = cumulative(per, ["v"], {"cb": "b"}, ["segment"]).join(base, "v")
+    at = F.abs(F.col("ca") / F.col("ca_total") - F.col("cb") / F.col("cb_total"))
+    before = F.abs((F.col("ca") - F.col("a")) / F.col("ca_total") - (F.col("cb") - F.col("b")) / F.col("cb_total"))
+    return both.groupBy("segment").agg(F.max(F.greatest(at, before)).alias("ks")).withColumn("baseline", F.lit(largest))
 
 
 def quarterly_rate(df: DataFrame, target: str, date: str) -> DataFrame:

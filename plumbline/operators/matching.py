@@ -1,5 +1,5 @@
 """Matching of names: dictionaries, roles, entities and knowledge-base entries to columns (MT-*). The catalogues are
-tables of columns, so the work grows with columns and names; blocks by shared word keep pairs few."""
+tables of columns, so the work grows with columns and names."""
 
 from __future__ import annotations
 
@@ -15,14 +15,11 @@ SUGGEST, ALIAS, ROLE = 0.60, 0.84, 0.70
 
 
 def scored_pairs(left: DataFrame, right: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Pairs of names (left.name, right.other) within `by` with exact, edit and word likeness; pairs meet if they share a
-    word or a three-letter beginning of one."""
+    """All pairs of names (left.name, right.other) within `by` with exact, edit and word likeness. Both sides are catalogues
+    of names, a table's columns on either, so the pairs are as few as those; no pair is left out by a block."""
     by = by or []
-    def keyed(df, c):
-        words = name_tokens(F.col(c))
-        return df.withColumns({f"{c}_words": words, "_k": F.explode_outer(F.array_distinct(F.transform(words, lambda w: F.substring(w, 1, 3))))})
-
-    pairs = keyed(left, "name").join(keyed(right, "other"), [*by, "_k"]).drop("_k").dropDuplicates([*by, "name", "other"])
+    left, right = left.withColumns({"name_words": name_tokens(F.col("name")), "_one": F.lit(1)}), right.withColumns({"other_words": name_tokens(F.col("other")), "_one": F.lit(1)})
+    pairs = left.join(right, by or ["_one"]).dropDuplicates([*by, "name", "other"])
     exact = norm_name(F.col("name")) == norm_name(F.col("other"))
     score = F.when(exact, 1.0).otherwise(F.greatest(similarity(norm_name(F.col("name")), norm_name(F.col("other"))), jaccard(F.col("name_words"), F.col("other_words"))))
     return pairs.select(*by, "name", "other", exact.alias("exact"), score.alias("score"))

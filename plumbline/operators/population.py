@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.functions.quantiles import percentiles
 from plumbline.functions.values import rounded
 from plumbline.operators.profile import is_special, live_catalogue
 from plumbline.plans.registry import query
@@ -59,10 +60,10 @@ def guidance(df: DataFrame, column: str, options: int = 5) -> DataFrame:
     """Suggested splits: quartiles of a number, the median day of a date, the most frequent values of others (PF-6)."""
     kind = df.schema[column].dataType
     if isinstance(kind, T.NumericType):
-        q = df.agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+        q = percentiles(df, {column: F.col(column)}, [0.25, 0.5, 0.75])
         return q.select(F.lit("numeric_cutoff").alias("strategy"), F.posexplode("q").alias("position", "at")).select("strategy", "position", F.col("at").cast("string").alias("suggestion"))
     if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        days = df.agg(F.percentile(F.unix_date(F.to_date(column)), F.lit(0.5)).alias("d"))
+        days = percentiles(df, {column: F.unix_date(F.to_date(column))}, [0.5]).select(F.col("q")[0].alias("d"))
         return days.select(F.lit("temporal_cutoff").alias("strategy"), F.lit(0).alias("position"), F.date_from_unix_date(F.floor("d").cast("int")).cast("string").alias("suggestion"))
     top = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("suggestion")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "suggestion").limit(options)
     return top.select(F.lit("category_groups").alias("strategy"), (F.row_number().over(Window.partitionBy().orderBy(F.desc("n"), "suggestion")) - 1).alias("position"), "suggestion")  # at most `options` rows

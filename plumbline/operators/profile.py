@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.functions.quantiles import percentile_row, percentiles
 from plumbline.functions.values import rounded, similarity
 from plumbline.plans.registry import query
 from plumbline.session import table
@@ -52,14 +53,22 @@ def _stack(one: DataFrame, columns: list[str], metrics: list[str]) -> DataFrame:
     return one.select(F.explode(rows).alias("r")).select("r.*")
 
 
+def distinct_counts(df: DataFrame, columns: list[str], specials: dict[str, list] | None = None) -> DataFrame:
+    """(column, distinct_raw, distinct_regular): distinct values, and those that are no special value. The columns' values
+    are counted in one shuffle of (column, value), each row once a column."""
+    pairs = [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"), is_special(F.col(c), (specials or {}).get(c, [])).alias("special")) for c in columns]
+    found = df.select(F.explode(F.array(*pairs)).alias("r")).select("r.*").where("value is not null").groupBy("column", "value").agg(F.min("special").alias("special"))
+    return found.groupBy("column").agg(F.count("*").alias("distinct_raw"), F.count_if(~F.col("special")).alias("distinct_regular"))
+
+
 def counts(df: DataFrame, columns: list[str], specials: dict[str, list] | None = None) -> DataFrame:
     """Counts block: total, null, special, regular, effectively missing, shares to four digits, distinct (AG-1)."""
     specials, aggregates = specials or {}, []
     for c in columns:
         x, sp = F.col(c), is_special(F.col(c), specials.get(c, []))
         regular = F.when(x.isNotNull() & ~sp, x)
-        aggregates += [F.count("*").alias(f"total__{c}"), F.count_if(x.isNull()).alias(f"nulls__{c}"), F.count_if(sp).alias(f"special__{c}"), F.count(regular).alias(f"regular__{c}"), F.count_distinct(x).alias(f"distinct_raw__{c}"), F.count_distinct(regular).alias(f"distinct_regular__{c}")]
-    long = _stack(df.agg(*aggregates), columns, ["total", "nulls", "special", "regular", "distinct_raw", "distinct_regular"])
+        aggregates += [F.count("*").alias(f"total__{c}"), F.count_if(x.isNull()).alias(f"nulls__{c}"), F.count_if(sp).alias(f"special__{c}"), F.count(regular).alias(f"regular__{c}")]
+    long = _stack(df.agg(*aggregates), columns, ["total", "nulls", "special", "regular"]).join(distinct_counts(df, columns, specials), "column", "left").na.fill(0, ["distinct_raw", "distinct_regular"])
     return long.withColumn("missing_share", F.round((F.col("nulls") + F.col("special")) / F.nullif(F.col("total"), F.lit(0)), 4))
 
 
@@ -73,10 +82,13 @@ def numeric(df: DataFrame, columns: list[str]) -> DataFrame:
         for name, value in {
             "parse_failures": F.count_if(F.col(c).isNotNull() & x.isNull()), "finite": F.count(fine), "zeros": F.count_if(fine == 0), "negatives": F.count_if(fine < 0),
             "low": F.min(fine), "high": F.max(fine), "mean": F.avg(fine), "variance": F.var_pop(fine), "std": F.stddev_pop(fine),
-            "skew": F.when(~flat, F.skewness(fine)), "kurt": F.when(~flat, F.kurtosis(fine)), "percentiles": F.percentile(fine, F.array(*map(F.lit, PERCENTILES))),
+            "skew": F.when(~flat, F.skewness(fine)), "kurt": F.when(~flat, F.kurtosis(fine)),
         }.items():
             aggregates.append(value.alias(f"{name}__{c}"))
-    long = _stack(df.agg(*aggregates), columns, ["parse_failures", "finite", "zeros", "negatives", "low", "high", "mean", "variance", "std", "skew", "kurt", "percentiles"])
+    long = _stack(df.agg(*aggregates), columns, ["parse_failures", "finite", "zeros", "negatives", "low", "high", "mean", "variance", "std", "skew", "kurt"])
+    parsed = {c: F.col(c).cast("string").try_cast("double") for c in columns}
+    ranks = percentiles(df, {c: F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x) for c, x in parsed.items()}, list(PERCENTILES))
+    long = long.join(ranks.withColumnRenamed("q", "percentiles"), "column", "left")
     named = {f"p{int(p * 100):02d}": F.get("percentiles", F.lit(i)) for i, p in enumerate(PERCENTILES)}
     return long.withColumns(named).withColumn("iqr", F.col("p75") - F.col("p25")).drop("percentiles")
 
@@ -84,8 +96,9 @@ def numeric(df: DataFrame, columns: list[str]) -> DataFrame:
 def mad(df: DataFrame, column: str) -> DataFrame:
     """Median absolute deviation, unscaled (AG-4)."""
     x = df.select(F.col(column).cast("double").alias("x")).where("x is not null")
-    middle = x.agg(F.percentile("x", F.lit(0.5)).alias("median"))
-    return x.crossJoin(F.broadcast(middle)).groupBy("median").agg(F.percentile(F.abs(F.col("x") - F.col("median")), F.lit(0.5)).alias("mad"))  # one row beside each
+    middle = percentile_row(x, F.col("x"), [0.5])
+    median = F.lit(middle[0] if middle else None).cast("double")
+    return percentiles(x, {"x": F.abs(F.col("x") - median)}, [0.5]).select(median.alias("median"), F.col("q")[0].alias("mad"))
 
 
 def histogram(df: DataFrame, column: str, bins: int = BINS) -> DataFrame:
@@ -148,8 +161,9 @@ def discovery(df: DataFrame, columns: list[str]) -> DataFrame:
     for c in columns:
         numeric_ = isinstance(df.schema[c].dataType, T.NumericType)
         x = F.col(c).cast("double") if numeric_ else F.lit(None).cast("double")
-        aggregates += [F.count("*").alias(f"n__{c}"), F.count_if(F.col(c).isNull()).alias(f"nulls__{c}"), F.count_distinct(c).alias(f"distinct__{c}"), F.avg(x).alias(f"mean__{c}"), F.stddev_samp(x).alias(f"std__{c}")]
-    long = _stack(df.agg(*aggregates), columns, ["n", "nulls", "distinct", "mean", "std"])
+        aggregates += [F.count("*").alias(f"n__{c}"), F.count_if(F.col(c).isNull()).alias(f"nulls__{c}"), F.avg(x).alias(f"mean__{c}"), F.stddev_samp(x).alias(f"std__{c}")]
+    distinct = distinct_counts(df, columns).select("column", F.col("distinct_raw").alias("distinct"))
+    long = _stack(df.agg(*aggregates), columns, ["n", "nulls", "mean", "std"]).join(distinct, "column", "left").na.fill(0, ["distinct"]).select("column", "n", "nulls", "distinct", "mean", "std")
     ratio, keyish = F.col("distinct") / F.nullif(F.col("n"), F.lit(0)), F.lower("column").rlike("(_id|id|key|code|_no)$")
     return long.withColumns({"null_rate": F.col("nulls") / F.nullif(F.col("n"), F.lit(0)), "candidate_key": F.coalesce(ratio >= 0.95, F.lit(False)), "likely_foreign_key": F.coalesce((ratio >= 0.5) & (ratio < 0.95) & keyish, F.lit(False))})
 
@@ -209,7 +223,7 @@ def sigma_range(df: DataFrame, column: str, sigmas: float = 5.0, mostly: float =
 def iqr_outliers(df: DataFrame, column: str, times: float = 1.5) -> DataFrame:
     """Bounds, number and rate of values beyond `times` interquartile ranges (OT-2; 3 for far outliers, OT-8)."""
     x = df.select(F.col(column).cast("double").alias("x")).where("x is not null")
-    q = x.agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.75))).alias("q")).select((F.col("q")[0] - times * (F.col("q")[1] - F.col("q")[0])).alias("low"), (F.col("q")[1] + times * (F.col("q")[1] - F.col("q")[0])).alias("high"))
+    q = percentiles(x, {"x": F.col("x")}, [0.25, 0.75]).select((F.col("q")[0] - times * (F.col("q")[1] - F.col("q")[0])).alias("low"), (F.col("q")[1] + times * (F.col("q")[1] - F.col("q")[0])).alias("high"))
     out = (F.col("x") < F.col("low")) | (F.col("x") > F.col("high"))
     return x.crossJoin(F.broadcast(q)).groupBy("low", "high").agg(F.count_if(out).alias("outliers"), F.avg(out.cast("int")).alias("rate"))  # one row beside each
 

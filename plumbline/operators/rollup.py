@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -100,17 +102,18 @@ def effective_threshold(rows: DataFrame, scopes: tuple[str, ...] = ("engagement"
     return rows.withColumn("rn", rn).where("rn = 1").drop("rn")
 
 
-def lineage(edges: DataFrame, start: DataFrame, rounds: int = 100) -> DataFrame:
-    """Everything reachable from `start` (node) over edges (source, target), with its distance (RS-11). The frontier of
-    each round is written to the shared folder; nodes seen before are left out."""
+def lineage(edges: DataFrame, start: DataFrame, gather: int = 20) -> DataFrame:
+    """Everything reachable from `start` (node) over edges (source, target), with its distance (RS-11), however far. The
+    frontier of each round is written to the shared folder; nodes seen before are left out, and every `gather` rounds
+    what was seen is written as one table."""
     seen = materialise(start.select("node").distinct().withColumn("distance", F.lit(0)), "lineage")
     front = seen
-    for d in range(1, rounds + 1):
+    for d in count(1):
         step = front.join(edges, front.node == edges.source).select(F.col("target").alias("node")).distinct()
         front = materialise(step.join(seen.select("node"), "node", "left_anti").withColumn("distance", F.lit(d)), "lineage")
         if not front.take(1):
             break
-        seen = seen.unionByName(front)
+        seen = seen.unionByName(front) if d % gather else materialise(seen.unionByName(front), "lineage")
     return seen
 
 
@@ -138,8 +141,16 @@ def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def row_ids(df: DataFrame, key: list[str], scope: str) -> DataFrame:
-    """Deterministic row id: SHA-256 of the scope and the natural key (IO-8)."""
-    return df.withColumn("row_id", F.sha2(F.concat_ws("|", F.lit(scope), *[F.col(c).cast("string") for c in key]), 256))
+    """Deterministic row id: SHA-256 of the scope and the natural key (IO-8). A null part is told from an empty one."""
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0"))
+    return df.withColumn("row_id", F.sha2(F.concat_ws("|", F.lit(scope), *[part(c) for c in key]), 256))
+
+
+def ordinal_row_ids(df: DataFrame, snapshot: str, revision: str, name: str) -> DataFrame:
+    """Deterministic row id of a parsed file's rows: SHA-256 of snapshot, parser revision, table and the row's ordinal in its
+    file (IO-8). For DataFrames read straight from files; ordinals are the readers', so nothing is sorted."""
+    at = F.concat_ws(":", F.element_at(F.split("_metadata.file_path", "/"), -1), F.col("_metadata.row_index").cast("string"))
+    return df.select("*", F.sha2(F.concat_ws("|", F.lit(snapshot), F.lit(revision), F.lit(name), at), 256).alias("row_id"))
 
 
 def usage_events(spark, sf_dir) -> DataFrame:
@@ -225,11 +236,12 @@ def rollup_thresholds(spark, sf_dir):
     return effective_threshold(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("diagnostic"), F.col("o_orderpriority").alias("key"), scope.alias("scope"), F.col("o_orderkey").alias("id")))
 
 
-@query("rollup_lineage", """WITH RECURSIVE e AS (SELECT n_nationkey AS s, n_nationkey // 2 AS t FROM nation WHERE n_nationkey > 0), l(node, distance) AS (SELECT max(n_nationkey), 0 FROM nation UNION SELECT t, distance + 1 FROM l JOIN e ON e.s = l.node) SELECT node, min(distance)::INT AS distance FROM l GROUP BY 1""")
+@query("rollup_lineage", """WITH RECURSIVE e AS (SELECT o_orderkey AS s, o_orderkey // 2 AS t FROM orders WHERE o_orderkey > 0), l(node, distance) AS (SELECT o_orderkey, 0 FROM orders WHERE o_orderpriority = '1-URGENT' UNION SELECT t, distance + 1 FROM l JOIN e ON e.s = l.node) SELECT node, min(distance)::INT AS distance FROM l GROUP BY 1""")
 def rollup_lineage(spark, sf_dir):
-    n = table(spark, sf_dir, "nation")
-    edges = n.where("n_nationkey > 0").select(F.col("n_nationkey").alias("source"), F.floor(F.col("n_nationkey") / 2).cast("int").alias("target"))
-    return lineage(edges, n.agg(F.max("n_nationkey").alias("node")))
+    """Every order stems from the one of half its number."""
+    o = table(spark, sf_dir, "orders")
+    edges = o.where("o_orderkey > 0").select(F.col("o_orderkey").alias("source"), F.expr("o_orderkey div 2").alias("target"))
+    return lineage(edges, o.where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("node")))
 
 
 @query("rollup_masked", "SELECT c_custkey, 'ID-' || upper(left(sha256('salt|' || c_name), 12)) AS masked FROM customer")
@@ -237,9 +249,12 @@ def rollup_masked(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", masked(F.col("c_name"), "salt").alias("masked"))
 
 
-@query("rollup_expired", "SELECT CASE WHEN o_orderdate::DATE + INTERVAL 24 MONTH < DATE '1999-06-30' THEN 'inferred' ELSE 'confirmed' END AS state, count(*) AS rules FROM orders GROUP BY 1")
+@query("rollup_expired", "SELECT CASE WHEN o_orderdate::DATE + INTERVAL 24 MONTH < DATE '1999-06-30' OR o_orderpriority <> (SELECT max(o_orderpriority) FROM orders) THEN 'inferred' ELSE 'confirmed' END AS state, count(*) AS rules FROM orders GROUP BY 1")
 def rollup_expired(spark, sf_dir):
-    rules = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("confirmed_at"), F.lit("a").alias("stored_hash"), F.lit("a").alias("current_hash"))
+    """An order stands for a rule, its priority for the hash of the schema that it was confirmed on."""
+    o = table(spark, sf_dir, "orders")
+    now = o.agg(F.max("o_orderpriority").alias("current_hash"))
+    rules = o.select(F.to_date("o_orderdate").alias("confirmed_at"), F.col("o_orderpriority").alias("stored_hash")).crossJoin(F.broadcast(now))  # one row beside each
     return expired(rules, "1999-06-30", 24).groupBy("state").agg(F.count("*").alias("rules"))
 
 

@@ -122,12 +122,13 @@ def evaluate(df: DataFrame, rules: list[dict]) -> DataFrame:
         (rows.append((r["id"], f"column absent: {', '.join(absent)}")) if absent else usable.append(r))
     parts = []
     if usable:
-        aggregates = []
-        for i, r in enumerate(usable):
+        stages, aggregates = [], []
+        for i, r in enumerate(usable):  # 0 out of scope, 1 not evaluable, 2 passing, 3 excepted, 4 violating: each predicate is computed once a row
             evaluated, excepted, violating = states(r)
             scope = F.coalesce(predicate(r["condition"]), F.lit(False)) if r.get("condition") else F.lit(True)
-            aggregates += [F.count_if(c).alias(f"{n}{i}") for n, c in (("s", scope), ("n", evaluated), ("e", excepted), ("v", violating))]
-        one = df.agg(*aggregates)  # one pass for all rules
+            stages.append(F.when(~scope, 0).when(~evaluated, 1).when(excepted, 3).when(violating, 4).otherwise(2).alias(f"c{i}"))
+            aggregates += [F.count_if(cond).alias(f"{n}{i}") for n, cond in (("s", F.col(f"c{i}") >= 1), ("n", F.col(f"c{i}") >= 2), ("e", F.col(f"c{i}") == 3), ("v", F.col(f"c{i}") == 4))]
+        one = df.select(*stages).agg(*aggregates)  # one pass for all rules
         stack = ", ".join(f"'{r['id']}', '{r.get('severity', 'MINOR')}', {float(r.get('tolerance', 0))}d, s{i}, n{i}, e{i}, v{i}" for i, r in enumerate(usable))
         long = one.selectExpr(f"stack({len(usable)}, {stack}) AS (rule_id, severity, tolerance, n_scope, n_evaluated, n_excepted, n_violations)")
         rate = F.when(F.col("n_evaluated") > 0, F.col("n_violations") / F.col("n_evaluated"))

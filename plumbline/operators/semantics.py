@@ -79,7 +79,7 @@ def resolve(assessments: DataFrame, key: list[str]) -> DataFrame:
     """One tag a cell by precedence, with the suppressed ones and the number of claims (WN-6)."""
     rank = F.array_position(F.array(*map(F.lit, PRECEDENCE)), F.col("tag"))
     claims = assessments.where("status = 'APPLIED_TAG'").groupBy(*key, "variable").agg(F.array_sort(F.collect_list(F.struct(rank.alias("rank"), "entry", "tag"))).alias("c"))
-    return claims.select(*key, "variable", F.col("c")[0]["tag"].alias("tag"), F.col("c")[0]["entry"].alias("entry"), F.array_join(F.transform(F.slice("c", 2, 100), lambda x: x["tag"]), ",").alias("suppressed"), F.size("c").alias("claims"))
+    return claims.select(*key, "variable", F.col("c")[0]["tag"].alias("tag"), F.col("c")[0]["entry"].alias("entry"), F.array_join(F.transform(F.slice("c", F.lit(2), F.size("c")), lambda x: x["tag"]), ",").alias("suppressed"), F.size("c").alias("claims"))
 
 
 def summary(tags: DataFrame, cells: int) -> DataFrame:

@@ -39,6 +39,8 @@ def scratch_dir(spark: SparkSession) -> str:
     if found:
         return found.rstrip("/")
     if not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="plumbline-ckpt-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
