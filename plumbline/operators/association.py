@@ -4,6 +4,7 @@ aggregation; trees and optimal bins work on its bounded statistics, one feature
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -237,9 +238,101 @@ def concordance(df: DataFrame, score: str, target: str) -> DataFrame:
     return one.select(F.greatest(auc, 1 - auc).alias("auc"))
 
 
+#: Leaves, depth and smallest share of a leaf of the configurations of single-feature trees, and the AUC of risk tiers.
+TREES = {"primary": (6, 3, 0.02), "conservative": (4, 2, 0.05), "permissive": (10, 4, 0.01)}
+MEDIUM_RISK, HIGH_RISK, STABLE = 0.75, 0.90, 0.03
+
+
+def tree_leaves(cells: DataFrame, max_leaves: int = 6, max_depth: int = 3, min_share: float = 0.02) -> DataFrame:
+    """(feature, leaf, low, high, n, s, rule): the leaves of each feature's best-first tree over its ordered cells (feature,
+    position, n, s), with the observed ends of each and its rule (TA-18, TA-24). Leaves hold max(50, share of n) rows at
+    least and, as leaves and depth, adapt to the number of cells. A null position is a state of its own, split off first
+    if it is large enough: the missing indicator. At most some thousand cells a feature."""
+
+    def grow(g: pd.DataFrame) -> pd.DataFrame:
+        name, total = g.feature.iloc[0], int(g.n.sum())
+        least = max(50, math.ceil(min_share * total))
+        known, gone = g[g.position.notna()].sort_values("position"), g[g.position.isna()]
+        at, cn, cs = known.position.tolist(), [0, *known.n.cumsum().tolist()], [0.0, *known.s.astype(float).cumsum().tolist()]
+        states = len(known) + (len(gone) > 0)
+        leaves_allowed, depth_allowed = max(2, min(max_leaves, states)), max(1, min(max_depth, states - 1))
+
+        def split(a, b, depth):
+            best = (0.0, None)
+            if depth < depth_allowed:
+                n, s = cn[b] - cn[a], cs[b] - cs[a]
+                for m in range(a + 1, b):
+                    l, r = cn[m] - cn[a], cn[b] - cn[m]
+                    if l >= least and r >= least:
+                        gain = (cs[m] - cs[a]) ** 2 / l + (cs[b] - cs[m]) ** 2 / r - s * s / n
+                        if gain > best[0] + 1e-12:
+                            best = (gain, m)
+            return best
+
+        apart = len(gone) > 0 and gone.n.sum() >= least and cn[-1] >= least
+        leaves = {(0, len(known), int(apart)): split(0, len(known), int(apart))} if len(known) else {}
+        while leaves and len(leaves) + apart < leaves_allowed:
+            k = max(leaves, key=lambda k: (leaves[k][0], -k[0]))
+            m = leaves[k][1]
+            if m is None:
+                break
+            del leaves[k]
+            leaves[k[0], m, k[2] + 1], leaves[m, k[1], k[2] + 1] = split(k[0], m, k[2] + 1), split(m, k[1], k[2] + 1)
+        out = []
+        for i, (a, b, _) in enumerate(sorted(leaves)):
+            ends = ([f"{name} > {at[a - 1]:.6g}"] if a else []) + ([f"{name} <= {at[b - 1]:.6g}"] if b < len(at) else [])
+            out.append((name, i, at[a], at[b - 1], int(cn[b] - cn[a]), float(cs[b] - cs[a]), " and ".join(ends) or "all values"))
+        if len(gone):
+            n, s = int(gone.n.sum()), float(gone.s.sum())
+            if apart or not out:
+                out.append((name, len(out), None, None, n, s, f"{name} missing"))
+            else:  # too few to stand alone: with the leaf of the nearest rate
+                j = min(range(len(out)), key=lambda j: abs(out[j][5] / out[j][4] - s / n))
+                out[j] = (*out[j][:4], out[j][4] + n, out[j][5] + s, out[j][6] + " or missing")
+        return pd.DataFrame(out, columns=["feature", "leaf", "low", "high", "n", "s", "rule"])
+
+    ship(cells.sparkSession)
+    return cells.select("feature", F.col("position").cast("double").alias("position"), "n", F.col("s").cast("double").alias("s")).groupBy("feature").applyInPandas(grow, "feature string, leaf int, low double, high double, n bigint, s double, rule string")
+
+
+def leaves_auc(leaves: DataFrame, by: list[str]) -> DataFrame:
+    """AUC, Gini and number of leaves of leaf means against a 0/1 target."""
+    auc = grouped_auc(leaves.select(*by, (F.col("s") / F.col("n")).alias("score"), F.col("s").alias("p"), (F.col("n") - F.col("s")).alias("q")), by)
+    return auc.join(leaves.groupBy(*by).agg(F.count("*").cast("int").alias("leaves")), by)
+
+
+def tree_separation(cells: DataFrame) -> DataFrame:
+    """Per feature: AUC of the primary tree, its risk tier, the spread over all configurations and what that says of its
+    robustness; the other configurations count for features of medium or high risk only (TA-18)."""
+    every = [tree_leaves(cells, *p).withColumn("configuration", F.lit(k)) for k, p in TREES.items()]
+    found = leaves_auc(reduce(DataFrame.unionByName, every), ["feature", "configuration"])
+    tier = lambda a: F.when(a >= HIGH_RISK, "high").when(a >= MEDIUM_RISK, "medium").otherwise("low")
+    wide = found.withColumn("tier", tier(F.col("auc"))).groupBy("feature").agg(
+        F.max(F.when(F.col("configuration") == "primary", F.col("auc"))).alias("auc"), F.max(F.when(F.col("configuration") == "primary", F.col("leaves"))).alias("leaves"),
+        (F.max("auc") - F.min("auc")).alias("spread"), F.count_distinct("tier").alias("tiers"))
+    risk = tier(F.col("auc"))
+    robust = F.when(risk == "low", "not tested (low risk)").when((F.col("spread") > STABLE) | (F.col("tiers") > 1), "configuration-sensitive").when(risk == "high", "robust high association").otherwise("stable")
+    return wide.select("feature", "auc", (2 * F.col("auc") - 1).alias("gini"), "leaves", risk.alias("risk"), F.when(risk != "low", F.col("spread")).alias("spread"), robust.alias("robustness"))
+
+
+def quick_bins(distinct: int, continuous: bool, max_fine: int = 100, max_bins: int = 10, min_bins: int = 2, user_splits: int = 0) -> dict[str, int]:
+    """Limits of quick binning by the number of distinct values (TA-14): fine bins by its root, coarse ones by its logarithm."""
+    fine_cap, cap, factor = (16, 5, 1.5) if continuous else (25, 6, 2.0)
+    fine = max(4, min(fine_cap, math.ceil(factor * math.sqrt(max(distinct, 1)))))
+    coarse = min(max_bins, max(2, min(cap, math.ceil(math.log2(max(distinct, 1) + 1)))))
+    return {"max_fine": min(max_fine, max(fine, user_splits + 1)), "max_bins": coarse, "min_bins": min(min_bins, coarse)}
+
+
+def foundation_bins(found: int, max_fine: int = 100, max_bins: int = 10, min_bins: int = 2, user_splits: int = 0) -> tuple[dict[str, int], list[str]]:
+    """Limits that `found` fine bins allow, and which of them were lowered (TA-14)."""
+    fine, coarse = max(4, min(max_fine, max(found, user_splits + 1))), max(2, min(max_bins, found))
+    limits = {"max_fine": fine, "max_bins": coarse, "min_bins": min(min_bins, coarse)}
+    return limits, [k for k, was in (("max_fine", max_fine), ("max_bins", max_bins), ("min_bins", min_bins)) if limits[k] < was]
+
+
 def tree_auc(cells: DataFrame, max_leaves: int = 6, min_share: float = 0.02) -> DataFrame:
     """Best-first regression tree of each feature over its ordered cells (feature, position, n, s), leaves no smaller than
-    max(50, share of n), and the AUC of the leaf means (TA-18, TA-24). At most some thousand cells a feature."""
+    max(50, share of n), and the AUC of the leaf means (TA-18). At most some thousand cells a feature."""
 
     def grow(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("position")
@@ -437,6 +530,29 @@ def separation_tree(spark, sf_dir):
     return tree_auc(cells).withColumn("auc", rounded(F.col("auc")))
 
 
+def _tree_cells(spark, sf_dir) -> DataFrame:
+    rows = long_bins(table(spark, sf_dir, "lineitem"), {"l_quantity": F.col("l_quantity"), "l_discount": F.when(F.col("l_discount") < 0.08, F.col("l_discount")), "price": F.when(F.col("l_quantity") > 25, 1.0).otherwise(0.0)}, F.when(F.col("l_quantity") > 25, 1).otherwise(0))
+    return fine_statistics(rows).select("feature", F.col("bin").cast("double").alias("position"), "n", "s")
+
+
+@query("separation_tree_risk", """WITH c AS (SELECT count(*) AS n FROM lineitem) SELECT 'l_quantity' AS feature, 1.0 AS auc, 1.0 AS gini, 'high' AS risk, 0.0 AS spread, 'robust high association' AS robustness FROM c UNION ALL SELECT 'price', 1.0, 1.0, 'high', 0.0, 'robust high association' FROM c WHERE n > 0""")
+def separation_tree_risk(spark, sf_dir):
+    """The target is a threshold of l_quantity, which every configuration finds."""
+    out = tree_separation(_tree_cells(spark, sf_dir)).where("feature <> 'l_discount'")
+    return out.select("feature", rounded(F.col("auc")).alias("auc"), rounded(F.col("gini")).alias("gini"), "risk", rounded(F.col("spread")).alias("spread"), "robustness")
+
+
+@query("separation_tree_missing", """SELECT 'l_discount missing' AS rule, count(*) AS n, sum((l_quantity > 25)::INT)::DOUBLE AS s FROM lineitem WHERE l_discount >= 0.08""")
+def separation_tree_missing(spark, sf_dir):
+    """The leaf of missing discounts, which stands apart."""
+    return tree_leaves(_tree_cells(spark, sf_dir)).where("rule = 'l_discount missing'").select("rule", "n", "s")
+
+
+@query("separation_tree_leaves")
+def separation_tree_leaves(spark, sf_dir):
+    return tree_leaves(_tree_cells(spark, sf_dir))
+
+
 @query("separation_localized")
 def separation_localized(spark, sf_dir):
     df = table(spark, sf_dir, "lineitem").withColumn("y", (F.col("l_quantity") > 40).cast("int"))

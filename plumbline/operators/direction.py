@@ -205,7 +205,7 @@ def direction_segments(spark, sf_dir):
     return per.select("segment", rounded(F.col("r")).alias("r"), holds(F.col("r"), "monotone").alias("holds"))
 
 
-@query("direction_chart_sample")
+@query("direction_chart_sample", "WITH n AS (SELECT count(*) AS n FROM orders), r AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS i FROM orders) SELECT o_orderkey, o_totalprice FROM r, n WHERE i % greatest(1, n.n // 400) = 0")
 def direction_chart_sample(spark, sf_dir):
     return chart_sample(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"])
 

@@ -179,8 +179,10 @@ def missing_break(spark, sf_dir):
 
 @query("missing_tree")
 def missing_tree(spark, sf_dir):
-    df = labelled(spark, sf_dir)
-    return tree_drivers(df, F.col("toxic").isNull(), ["n_chars", "lang", "source"], key="doc_id")[1]
+    """Of prices that urgent orders lack."""
+    from plumbline.operators.gates import planted
+
+    return tree_drivers(planted(spark, sf_dir), F.col("urgent_gone").isNull(), ["o_orderpriority", "o_orderstatus", "o_custkey"], key="o_orderkey")[1]
 
 
 @query("drivers_features")
@@ -206,6 +208,10 @@ def missing_verdicts(spark, sf_dir):
     return verdicts(e).select("column", "verdict")
 
 
-@query("missing_fitness", """SELECT 'below threshold' AS verdict, 1 AS columns, 'FIT' AS status WHERE (SELECT count(*) FROM documents) > 0 UNION ALL SELECT 'untestable', 1, 'FIT' WHERE (SELECT count(*) FROM documents) > 0""")
+@query("missing_fitness", """WITH t AS (SELECT count(*) AS n, count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS u FROM orders), v AS (SELECT 'below threshold' AS verdict FROM t UNION ALL SELECT 'entirely empty' FROM t UNION ALL SELECT CASE WHEN u >= 2 * greatest(30, round(0.01 * n)) THEN 'strong pattern' ELSE 'untestable' END FROM t) SELECT verdict, count(*) AS columns, 'REVIEW' AS status FROM v GROUP BY 1""")
 def missing_fitness(spark, sf_dir):
-    return fitness(missing_verdicts(spark, sf_dir))
+    """Of three columns: whole, empty, and missing where orders are urgent."""
+    from plumbline.operators.gates import column_verdicts, planted
+
+    roles = {"whole": "mandatory", "empty": "optional", "urgent_gone": "unmarked"}
+    return fitness(column_verdicts(planted(spark, sf_dir), roles, ["o_orderpriority", "o_orderstatus"]))

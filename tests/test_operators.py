@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import tails
 from plumbline.functions.prefix import cumulative
+from plumbline.functions.quantiles import percentiles
+from plumbline.functions.values import date as values_date
 from plumbline.functions.values import name_tokens, number, parse_period, period_key
-from plumbline.operators import association, drift, missingness, panel, population, rules
+from plumbline.operators import association, drift, matching, missingness, panel, population, rollup, rules, semantics
 from plumbline.plans.registry import Check, Registry
 from plumbline.sources import readers
 
@@ -215,3 +217,84 @@ def test_streams_agree_with_batch(spark, tmp_path):
     assert spark.table("stream_bins").agg(F.sum("rows")).first()[0] == one.count()
     assert spark.table("stream_rules").agg(F.sum("V_violations")).first()[0] == one.where("value > 50 or value < 0").count()
     assert spark.table("stream_missing").agg(F.sum("rows")).first()[0] == one.count()
+
+
+def test_segments_beyond_a_thousand_keep_their_statistic(spark):
+    rows = [(f"s{i}", float(i % 7 + k)) for i in range(1200) for k in range(2)] + [("base", float(k)) for k in range(10)]
+    got = {r.segment: r.ks for r in drift.ks_by_segment(spark.createDataFrame(rows, "segment string, value double"), "value", "segment").collect()}
+    assert len(got) == 1200 and all(v is not None for v in got.values())
+    base = [float(k) for k in range(10)]
+    for i in (0, 3, 6, 1199):
+        own = [float(i % 7 + k) for k in range(2)]
+        want = max(abs(sum(x <= v for x in base) / 10 - sum(x <= v for x in own) / 2) for v in [*base, *own])
+        assert abs(got[f"s{i}"] - want) < 1e-12
+
+
+def test_lineage_of_any_depth(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(45)] + [(3, 9)], "source int, target int")
+    got = {r.node: r.distance for r in rollup.lineage(edges, spark.createDataFrame([(0,)], "node int"), gather=10).collect()}
+    assert got == {i: i if i < 9 else i - 5 for i in range(46)}
+
+
+def test_all_suppressed_claims_are_listed(spark):
+    rows = [(1, "v", f"e{i:03d}", "APPLIED_TAG", semantics.PRECEDENCE[i % len(semantics.PRECEDENCE)]) for i in range(130)]
+    r = semantics.resolve(spark.createDataFrame(rows, "id int, variable string, entry string, status string, tag string"), ["id"]).first()
+    assert r.claims == 130 and len(r.suppressed.split(",")) == 129
+
+
+def test_names_without_a_common_beginning_meet(spark):
+    d = spark.createDataFrame([("t", "xcustomer_key", 0)], "table string, name string, position int")
+    c = spark.createDataFrame([("t", "customer_key", "bigint")], "table string, column string, dtype string")
+    assert [(r["column"], r.kind) for r in matching.dictionary_mapping(d, c).collect()] == [("customer_key", "suggested")]
+
+
+def test_row_ids_tell_null_parts(spark, tmp_path):
+    df = spark.createDataFrame([("a", None), (None, "a"), ("", "a"), ("a", "")], "x string, y string")
+    assert rollup.row_ids(df, ["x", "y"], "s").select("row_id").distinct().count() == 4
+    df.write.parquet(str(tmp_path / "t"))
+    own = lambda: {(r.x, r.y): r.row_id for r in rollup.ordinal_row_ids(spark.read.parquet(str(tmp_path / "t")), "s1", "r1", "t").collect()}
+    assert len(set(own().values())) == 4 and own() == own()
+
+
+def test_percentiles_by_definition(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [(f"g{i % 3}", float(x)) for i, x in enumerate(rng.integers(0, 40, 500) / 4)] + [("g0", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    shares = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
+    for r in percentiles(df, {"x": F.col("x")}, shares, ["g"]).collect():
+        assert np.allclose(r.q, np.quantile([x for g, x in rows if g == r.g and x is not None], shares))
+    assert percentiles(df.where("x is null"), {"x": F.col("x")}, shares).count() == 0
+
+
+@pytest.mark.parametrize(("text", "day"), [("2020-02-03", "2020-02-03"), ("2020/02/03", "2020-02-03"), ("03/02/2020", "2020-02-03"), ("03-02-2020", "2020-02-03"), ("20200203", "2020-02-03"), ("2020-02-03 04:05:06", "2020-02-03"), ("03 Feb 2020", "2020-02-03"), ("2020-13-03", None), ("x", None), ("", None)])
+def test_dates_of_every_format(spark, text, day):
+    got = spark.createDataFrame([(text,)], "t string").select(values_date(F.col("t")).cast("string").alias("d")).first().d
+    assert got == day
+
+
+def test_tree_leaves_add_up_and_adapt(spark):
+    cells = spark.createDataFrame([("f", float(i), 60, 50.0 if i >= 6 else 5.0) for i in range(10)] + [("f", None, 70, 65.0), ("one", 1.0, 500, 100.0)], "feature string, position double, n bigint, s double")
+    got = {}
+    for r in association.tree_leaves(cells).collect():
+        got.setdefault(r.feature, []).append(r)
+    assert len(got["one"]) == 1 and got["one"][0].rule == "all values"
+    leaves = got["f"]
+    assert sum(r.n for r in leaves) == 670 and sum(r.s for r in leaves) == 50 * 4 + 5 * 6 + 65 and min(r.n for r in leaves) >= 50
+    assert [r.rule for r in leaves][-1] == "f missing" and "f <= 5" in leaves[0].rule
+    rows = [(c["n"], c["s"], r.s / r.n) for c in cells.where("feature = 'f'").collect() for r in leaves if (c.position is None) == (r.low is None) and (c.position is None or r.low <= c.position <= r.high)]
+    pairs = good = 0.0
+    for n1, s1, p1 in rows:
+        for n0, s0, p0 in rows:
+            pairs += s1 * (n0 - s0)
+            good += s1 * (n0 - s0) * (1.0 if p1 > p0 else 0.5 if p1 == p0 else 0.0)
+    auc = association.leaves_auc(association.tree_leaves(cells).where("feature = 'f'"), ["feature"]).first().auc
+    assert abs(auc - good / pairs) < 1e-9
+
+
+def test_quick_and_foundation_bins():
+    assert association.quick_bins(4, False) == {"max_fine": 4, "max_bins": 3, "min_bins": 2}
+    assert association.quick_bins(10_000, False) == {"max_fine": 25, "max_bins": 6, "min_bins": 2}
+    assert association.quick_bins(10_000, True) == {"max_fine": 16, "max_bins": 5, "min_bins": 2}
+    assert association.foundation_bins(3) == ({"max_fine": 4, "max_bins": 3, "min_bins": 2}, ["max_fine", "max_bins"])

@@ -19,4 +19,4 @@ def test_query(spark, con, name):
     if name in catalogue.ORACLE_SQL:
         assert not differences(df, con, catalogue.ORACLE_SQL[name])
     else:
-        assert df.count() >= 0
+        assert df.count() > 0 and len(df.columns) == len(set(df.columns))
