@@ -139,6 +139,13 @@ def test_long_license_in_long_text(spark):
     assert [(r.doc_id, r.template) for r in got] == [(1, "mit-permission")] and 0.8 <= got[0].containment < 1
 
 
+def test_every_template_is_found_in_a_longer_text(spark):
+    filler = " ".join(f"w{i}" for i in range(700))
+    rows = [(k, f"{filler} {v} {filler}") for k, v in sorted(licenses.TEMPLATES.items())]
+    got = {(r.doc_id, r.template): r.containment for r in licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert all(got[k, k] == 1.0 for k, _ in rows)
+
+
 @pytest.mark.parametrize("name", ["op4_sharding", "op5_bitsliced", "op6_licenses", "op8_linededup"])
 def test_query_against_sql(spark, name):
     from plumbline.llm.queries import ORACLE_SQL, QUERIES
