@@ -53,7 +53,11 @@ def directory(rows: DataFrame, limit: int) -> DataFrame:
         sums = up.groupBy("parent", "depth", "p").agg(F.sum("b").alias("shard_bytes"), F.sum("n").alias("shard_rows"))
         last = (F.col("depth") == HASH_BITS) & (high == HASH_BITS)
         fitting = sums.where((F.col("shard_bytes") <= limit) | (F.col("shard_rows") == 1) | last)
-        best = up.select("parent", "cell", "depth", "p").join(fitting, ["parent", "depth", "p"]).groupBy("parent", "cell").agg(F.min(F.struct("depth", "p", "shard_bytes", "shard_rows")).alias("s"))
+        # a short prefix stands over many cells: it meets them in parts of eight, by their last bits
+        parts = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.lit(0), F.lit(high) - F.col("depth") - 3).cast("int"))
+        salted = fitting.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+        under = up.select("parent", "cell", "depth", "p", F.col("cell").bitwiseAND(parts - 1).alias("part"))
+        best = under.join(salted, ["parent", "depth", "p", "part"]).groupBy("parent", "cell").agg(F.min(F.struct("depth", "p", "shard_bytes", "shard_rows")).alias("s"))
         best = materialise(best.withColumnRenamed("cell", "at").withColumnRenamed("parent", "of"), "directory")
         here = (F.col("parent") == F.col("of")) & (prefix(F.col("h"), F.lit(high)) == F.col("at"))
         found.append(rest.join(best, here).select(*rest.columns, "s.*"))
