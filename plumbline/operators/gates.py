@@ -75,13 +75,14 @@ def encoded(df: DataFrame, predictors: list[str], rows: int) -> tuple[dict[str,
 
 def tree(df: DataFrame, target: Column, features: dict[str, tuple[str, Column]], least: int, depth: int = DEPTH):
     """(rows with y, f0, f1, ... and leaf; the leaves' paths) of a shallow Gini tree (CM-10)."""
-    from pyspark.ml.classification import DecisionTreeClassifier
     from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import DecisionTreeRegressor
 
     names = list(features)
     rows = df.select("*", target.cast("double").alias("y"), *[features[n][1].alias(f"f{i}") for i, n in enumerate(names)]).where("y is not null")
     vectors = VectorAssembler(inputCols=[f"f{i}" for i in range(len(names))], outputCol="features").transform(rows)
-    model = DecisionTreeClassifier(labelCol="y", maxDepth=depth, impurity="gini", minInstancesPerNode=least, maxBins=64, seed=7).fit(vectors)
+    # the variance of a 0/1 target is half its Gini impurity; a classifier would join leaves of the same majority
+    model = DecisionTreeRegressor(labelCol="y", maxDepth=depth, minInstancesPerNode=least, maxBins=64, seed=7).fit(vectors)
     paths: list[tuple[list[tuple[int, str, float]], float]] = []
 
     def walk(node, path):

@@ -90,23 +90,24 @@ def encoded(df: DataFrame, predictors: list[str], levels: int = 20) -> tuple[Dat
 def tree_drivers(df: DataFrame, target: Column, predictors: list[str], depth: int = 3, key: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(features, leaves) of a shallow Gini tree on a 0/1 target: importance summed to the source column with AUC of the
     held-out third (by hash), and leaves with support, purity and lift (CM-10, DV-1..6)."""
-    from pyspark.ml.classification import DecisionTreeClassifier
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
     from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import DecisionTreeRegressor
 
     spark = df.sparkSession
     rows, names = encoded(df.withColumn("y", target.cast("double")).where("y is not null"), predictors)
     rows = VectorAssembler(inputCols=[f"f{i}" for i in range(len(names))], outputCol="features").transform(rows)
     fold = F.pmod(F.xxhash64(*([key] if key else predictors)), F.lit(10))
-    model = DecisionTreeClassifier(labelCol="y", maxDepth=depth, impurity="gini", minInstancesPerNode=30, maxBins=64, seed=7).fit(rows.where(fold < 7))
+    # the variance of a 0/1 target is half its Gini impurity; a classifier would join leaves of the same majority
+    model = DecisionTreeRegressor(labelCol="y", maxDepth=depth, minInstancesPerNode=30, maxBins=64, seed=7).fit(rows.where(fold < 7))
     held = model.transform(rows.where(fold >= 7))
-    auc = BinaryClassificationEvaluator(labelCol="y").evaluate(held) if held.select("y").distinct().count() == 2 else None
+    auc = BinaryClassificationEvaluator(labelCol="y", rawPredictionCol="prediction").evaluate(held) if held.select("y").distinct().count() == 2 else None
     total: dict[str, float] = {}
     for n, v in zip(names, model.featureImportances.toArray()):
         source = max((p for p in predictors if n == p or n.startswith(f"{p}_") or n.startswith(f"{p}=")), key=len)
         total[source] = total.get(source, 0.0) + float(v)
     features = spark.createDataFrame([(k, v, auc) for k, v in sorted(total.items(), key=lambda x: (-x[1], x[0]))], "feature string, importance double, auc double")
-    scored = model.transform(rows).groupBy(F.col("probability").cast("string").alias("leaf")).agg(F.count("*").alias("support"), F.avg("y").alias("purity"), F.sum("y").alias("hits"))
+    scored = model.transform(rows).groupBy(F.col("prediction").alias("leaf")).agg(F.count("*").alias("support"), F.avg("y").alias("purity"), F.sum("y").alias("hits"))
     all_ = Window.partitionBy()  # at most 2 ** depth leaves
     base = F.sum("hits").over(all_) / F.sum("support").over(all_)
     leaves = scored.select("support", "purity", (F.col("purity") / base).alias("lift"), (F.col("hits") / F.sum("hits").over(all_)).alias("coverage")).where("lift > 1")
