@@ -1,4 +1,4 @@
-"""The registered queries of the ten numbered operators, and their SQL where SQL can state them."""
+"""The registered queries of the ten numbered operators (two of operator 1), and their SQL where SQL can state them."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from plumbline.llm.linededup import OP8_SQL, op8_linededup
 from plumbline.llm.packing import op9_packing
 from plumbline.llm.sharding import OP4_SQL, op4_sharding
 from plumbline.llm.simhash import op3_simhash
-from plumbline.llm.spotsigs import op1_spotsigs
+from plumbline.llm.spotsigs import op1_spotsigs, spotsigs_links
 from plumbline.llm.textdensity import op2_textdensity
 from plumbline.llm.toxicity import op7_toxicity
 
@@ -24,5 +24,6 @@ QUERIES = {
     "op8_linededup": op8_linededup,
     "op9_packing": op9_packing,
     "op10_bpe": op10_bpe,
+    "spotsigs_links": spotsigs_links,
 }
 ORACLE_SQL = {"op4_sharding": OP4_SQL, "op5_bitsliced": OP5_SQL, "op6_licenses": op6_sql(), "op8_linededup": OP8_SQL}

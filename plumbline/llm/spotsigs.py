@@ -7,7 +7,7 @@ k-th repetition of a signature is a signature of its own, so that the set stands
 Two fingerprints are alike as the Jaccard coefficient of their sets; two empty sets count as alike (1).
 
 near_links() finds all pairs of at least a given likeness: sets are partitioned by length, so that only lengths that
-can reach the likeness meet, and each set is looked up by its rarest signatures only.
+can reach the likeness meet, and each set is looked up by its rarest signatures only; near_classes() tells them by row.
 
 Null texts count as empty (empty fingerprint). Rows that repeat a key are ordered by their text. Null keys come first.
 Extra columns are ignored. An empty table gives an empty result.
@@ -101,7 +101,7 @@ def shown(signatures: np.ndarray) -> str:
 
 
 def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text", anchors: list[str] | None = None) -> DataFrame:
-    """(key, signatures): the set of each text, as an array of longs."""
+    """(key, signatures, digest): the set of each text, as a sorted array of longs, and its 128-bit hash in hexadecimal."""
     ship(docs.sparkSession)
     words = " ".join(anchors or ANCHORS)
 
@@ -109,37 +109,52 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text", anchors
         sign = worker_object(Signer, words)
         for batch in batches:
             found = [sign(x).astype(np.int64) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], [key, "signatures"])
+            digests = [xxhash.xxh3_128_hexdigest(x.tobytes()) for x in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64())), pa.array(digests, pa.string())], [key, "signatures", "digest"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, F.col(text).cast("string").alias("text")).mapInArrow(run, f"{key} {kind}, signatures array<bigint>")
+    return docs.select(key, F.col(text).cast("string").alias("text")).mapInArrow(run, f"{key} {kind}, signatures array<bigint>, digest string")
 
 
 def near_links(docs: DataFrame, threshold: float = SIMILARITY, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(links, members): links (a, b, likeness) between the smallest keys of classes of equal fingerprints, for every
-    pair of different classes with likeness >= threshold; members (key, class_id).
+    """(links, members): links (a, b, likeness) between the digests of classes of equal fingerprints, a < b, for every pair
+    of different classes with likeness >= threshold; members (key, digest, class_id), one for every row, where class_id is
+    the smallest key of the class (null if all its keys are).
 
     Lengths of such pairs differ by at most the factor `threshold`, so a set of length n in length partition p meets
     partitions p and p + 1 only. Among the first n - ceil(threshold * n) + 1 signatures in global order of rarity, such
-    a pair shares at least one, so only those are joined; empty sets form one class and link to nothing."""
+    a pair shares at least one, so only those are joined; empty sets form one class and link to nothing. Copies of a text
+    are one class, so a group of copies is never joined with itself."""
     sets = materialise(signatures(docs, key, text), "signatures")
-    classes = sets.groupBy("signatures").agg(F.min(key).alias("class_id"))
-    members = sets.join(classes, "signatures").select(key, "class_id")
-    classes = materialise(classes.where(F.size("signatures") > 0), "signature-classes")
-    exploded = classes.select("class_id", F.size("signatures").alias("n"), F.explode("signatures").alias("s"))
+    smallest = sets.groupBy("digest").agg(F.min(key).alias("class_id"))
+    members = sets.select(key, "digest").join(smallest, "digest")
+    classes = materialise(sets.where(F.size("signatures") > 0).groupBy("digest").agg(F.first("signatures").alias("signatures")), "signature-classes")
+    exploded = classes.select("digest", F.size("signatures").alias("n"), F.explode("signatures").alias("s"))
     counts = exploded.groupBy("s").agg(F.count("*").alias("docs"))
-    ranked = exploded.join(counts, "s").groupBy("class_id", "n").agg(F.array_sort(F.collect_list(F.struct("docs", "s"))).alias("by_rarity"))
-    probes = ranked.select("class_id", "n", F.explode(F.slice("by_rarity", F.lit(1), (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).cast("int"))).alias("p"))
-    probes = probes.select("class_id", "n", "p.s", F.floor(F.log("n") / -math.log(threshold) + 1e-9).alias("part"))
-    other = probes.select(F.col("class_id").alias("b"), F.col("n").alias("m"), "s", F.explode(F.array("part", F.col("part") - 1)).alias("part"))
-    met = probes.join(other, ["s", "part"]).where("class_id != b and n <= m and n >= m * %r - 1e-9 and (n < m or class_id < b)" % threshold)
-    pairs = met.select(F.col("class_id").alias("a"), "b").distinct()
-    left, right = classes.select(F.col("class_id").alias("a"), F.col("signatures").alias("x")), classes.select(F.col("class_id").alias("b"), F.col("signatures").alias("y"))
+    ranked = exploded.join(counts, "s").groupBy("digest", "n").agg(F.array_sort(F.collect_list(F.struct("docs", "s"))).alias("by_rarity"))
+    probes = ranked.select("digest", "n", F.explode(F.slice("by_rarity", F.lit(1), (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).cast("int"))).alias("p"))
+    # a signature of one class alone joins nothing, whatever its place
+    probes = probes.where("p.docs > 1").select("digest", "n", "p.s", F.floor(F.log("n") / -math.log(threshold) + 1e-9).alias("part"))
+    probes = materialise(probes, "signature-probes")
+    other = probes.select(F.col("digest").alias("b"), F.col("n").alias("m"), "s", F.explode(F.array("part", F.col("part") - 1)).alias("part"))
+    met = probes.join(other, ["s", "part"]).where("digest != b and n <= m and n >= m * %r - 1e-9 and (n < m or digest < b)" % threshold)
+    pairs = met.select(F.least("digest", "b").alias("a"), F.greatest("digest", "b").alias("b")).distinct()
+    left, right = classes.select(F.col("digest").alias("a"), F.col("signatures").alias("x")), classes.select(F.col("digest").alias("b"), F.col("signatures").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
     scored = pairs.join(left, "a").join(right, "b").withColumn("likeness", shared / (F.size("x") + F.size("y") - shared))
     return scored.where(F.col("likeness") >= threshold).select("a", "b", "likeness"), members
 
 
+def near_classes(docs: DataFrame, threshold: float = SIMILARITY, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, class_id, copies, links) of every row: the smallest key of the rows of equal fingerprint, how many they are, and
+    how many other classes are as like as the threshold."""
+    links, members = near_links(docs, threshold, key, text)
+    ends = links.select(F.explode(F.array("a", "b")).alias("digest")).groupBy("digest").agg(F.count("*").alias("links"))
+    sizes = members.groupBy("digest").agg(F.count("*").alias("copies"))
+    known = sizes.join(ends, "digest", "left")
+    return members.join(known, "digest").select(key, "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def part_number(key: Column, splits: list) -> Column:
     """How many of the ascending `splits` are at most the key (0 for null), by a two-level search."""
     if not splits:
@@ -213,3 +228,8 @@ def edited_likeness(docs: DataFrame, key: str = "doc_id", text: str = "text", an
 
 def op1_spotsigs(spark, sf_dir):
     return edited_likeness(table(spark, sf_dir, "documents"))
+
+
+def spotsigs_links(spark, sf_dir):
+    """The partitioned comparison of operator 1 over all documents: class and number of links of each."""
+    return near_classes(table(spark, sf_dir, "documents"))

@@ -103,14 +103,32 @@ def test_edited_likeness_edge_cases(spark):
     assert len(one) == 1 and one[0].near_next == 1
 
 
+def linked_by_brute_force(rows, threshold=0.8):
+    """(key, class, copies, links) of every row, all pairs compared."""
+    sign = spotsigs.Signer(" ".join(spotsigs.ANCHORS))
+    sets = [(k, frozenset(sign(t).tolist())) for k, t in rows]
+    keys = {s: [k for k, x in sets if x == s] for _, s in sets}
+    links = {s: sum(o != s and bool(s) and bool(o) and len(o & s) >= threshold * len(o | s) for o in keys) for s in keys}
+    return sorted((repr(k), min((x for x in keys[s] if x is not None), default=None), len(keys[s]), links[s]) for k, s in sets)
+
+
+def linked(docs):
+    return sorted((repr(r.doc_id), r.class_id, r.copies, r.links) for r in spotsigs.near_classes(docs).collect())
+
+
 def test_length_partitioned_links(spark):
     docs = table(spark, SF_DIR, "documents")
-    links, members = spotsigs.near_links(docs, 0.8)
-    sign = spotsigs.Signer(" ".join(spotsigs.ANCHORS))
-    classes = {}
-    for r in sorted(docs.collect(), key=lambda r: r.doc_id):
-        classes.setdefault(frozenset(sign(r.text).tolist()), r.doc_id)
-    reps = [(k, s) for s, k in classes.items() if s]
-    want = {frozenset((a, b)) for i, (a, x) in enumerate(reps) for b, y in reps[:i] if len(x & y) >= 0.8 * len(x | y)}
-    assert {frozenset((r.a, r.b)) for r in links.collect()} == want
-    assert members.count() == docs.count()
+    want = linked_by_brute_force([(r.doc_id, r.text) for r in docs.collect()])
+    assert linked(docs) == want and any(x[3] for x in want) and any(x[2] > 1 for x in want)
+
+
+def test_links_of_dense_near_copies(spark):
+    body = [f"the word{i} of thing{i % 37}" for i in range(60)]
+    rows = [(k, " ".join([*body[: k + 1], "the new", f"item{k}", *body[k + 1 :]]) if k % 5 else " ".join(body)) for k in range(40)]
+    want = linked_by_brute_force(rows)
+    assert linked(spark.createDataFrame(rows, "doc_id bigint, text string")) == want and max(x[3] for x in want) > 20
+
+
+def test_links_edge_cases(spark):
+    assert linked(documents(spark)) == linked_by_brute_force([(r[0], r[1]) for r in ROWS])
+    assert spotsigs.near_classes(empty(spark)).count() == 0
