@@ -41,6 +41,7 @@ SIMILARITY = 0.8
 CACHED_TOKENS = 400_000
 EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”‘’…–—¿¡"
 FINE = 64
+RARITY = 20
 
 
 class Signer:
@@ -101,45 +102,66 @@ def shown(signatures: np.ndarray) -> str:
 
 
 def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text", anchors: list[str] | None = None) -> DataFrame:
-    """(key, signatures, digest): the set of each text, as a sorted array of longs, and its 128-bit hash in hexadecimal."""
+    """(key, signatures, digest): the set of each text, as 32-bit words in ascending unsigned order, and its 128-bit hash."""
     ship(docs.sparkSession)
     words = " ".join(anchors or ANCHORS)
 
     def run(batches):
         sign = worker_object(Signer, words)
         for batch in batches:
-            found = [sign(x).astype(np.int64) for x in batch.column(1).to_pylist()]
-            digests = [xxhash.xxh3_128_hexdigest(x.tobytes()) for x in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64())), pa.array(digests, pa.string())], [key, "signatures", "digest"])
+            found = [sign(x) for x in batch.column(1).to_pylist()]
+            digests = [xxhash.xxh3_128_digest(x.tobytes()) for x in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.view(np.int32) for x in found], pa.list_(pa.int32())), pa.array(digests, pa.binary())], [key, "signatures", "digest"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, F.col(text).cast("string").alias("text")).mapInArrow(run, f"{key} {kind}, signatures array<bigint>, digest string")
+    return docs.select(key, F.col(text).cast("string").alias("text")).mapInArrow(run, f"{key} {kind}, signatures array<int>, digest binary")
+
+
+def probes(classes: DataFrame, threshold: float) -> DataFrame:
+    """(class, n, s): the rarest n - ceil(threshold * n) + 1 signatures of each class (class, signatures).
+
+    Rarity is the number of classes with a signature of the same RARITY bits: one order for all sets, which is all that the
+    result rests on, and a table of 2^RARITY counts at any size of the corpus."""
+    bucket = F.col("s").bitwiseAND((1 << RARITY) - 1)
+    found = classes.select(F.explode("signatures").alias("s")).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).toArrow()
+    counts = np.zeros(1 << RARITY, np.uint32)
+    counts[found["bucket"].to_numpy()] = np.minimum(found["n"].to_numpy(), 2**32 - 1)
+
+    def run(batches):
+        for batch in batches:
+            owners, lengths, rare = [], [], []
+            for c, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+                x = x.values.to_numpy()
+                n = len(x)
+                first = n - math.ceil(threshold * n - 1e-9) + 1
+                x = x[np.lexsort((x, counts[x & ((1 << RARITY) - 1)]))[:first]]
+                owners.append(np.full(len(x), c, np.int64))
+                lengths.append(np.full(len(x), n, np.int32))
+                rare.append(x)
+            if owners:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (owners, lengths, rare)], ["class", "n", "s"])
+
+    return classes.select("class", "signatures").mapInArrow(run, "class bigint, n int, s int")
 
 
 def near_links(docs: DataFrame, threshold: float = SIMILARITY, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(links, members): links (a, b, likeness) between the digests of classes of equal fingerprints, a < b, for every pair
-    of different classes with likeness >= threshold; members (key, digest, class_id), one for every row, where class_id is
-    the smallest key of the class (null if all its keys are).
+    """(links, members): links (a, b, likeness), a < b, for every pair of different classes of equal fingerprints with
+    likeness >= threshold; members (key, class), one for every row. A class is a number; empty sets have the null class,
+    which links to nothing.
 
     Lengths of such pairs differ by at most the factor `threshold`, so a set of length n in length partition p meets
-    partitions p and p + 1 only. Among the first n - ceil(threshold * n) + 1 signatures in global order of rarity, such
-    a pair shares at least one, so only those are joined; empty sets form one class and link to nothing. Copies of a text
-    are one class, so a group of copies is never joined with itself."""
+    partitions p and p + 1 only. Among the rarest n - ceil(threshold * n) + 1 signatures such a pair shares at least one,
+    so only those are joined. Copies of a text are one class, so a group of copies is never joined with itself."""
     sets = materialise(signatures(docs, key, text), "signatures")
-    smallest = sets.groupBy("digest").agg(F.min(key).alias("class_id"))
-    members = sets.select(key, "digest").join(smallest, "digest")
-    classes = materialise(sets.where(F.size("signatures") > 0).groupBy("digest").agg(F.first("signatures").alias("signatures")), "signature-classes")
-    exploded = classes.select("digest", F.size("signatures").alias("n"), F.explode("signatures").alias("s"))
-    counts = exploded.groupBy("s").agg(F.count("*").alias("docs"))
-    ranked = exploded.join(counts, "s").groupBy("digest", "n").agg(F.array_sort(F.collect_list(F.struct("docs", "s"))).alias("by_rarity"))
-    probes = ranked.select("digest", "n", F.explode(F.slice("by_rarity", F.lit(1), (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).cast("int"))).alias("p"))
-    # a signature of one class alone joins nothing, whatever its place
-    probes = probes.where("p.docs > 1").select("digest", "n", "p.s", F.floor(F.log("n") / -math.log(threshold) + 1e-9).alias("part"))
-    probes = materialise(probes, "signature-probes")
-    other = probes.select(F.col("digest").alias("b"), F.col("n").alias("m"), "s", F.explode(F.array("part", F.col("part") - 1)).alias("part"))
-    met = probes.join(other, ["s", "part"]).where("digest != b and n <= m and n >= m * %r - 1e-9 and (n < m or digest < b)" % threshold)
-    pairs = met.select(F.least("digest", "b").alias("a"), F.greatest("digest", "b").alias("b")).distinct()
-    left, right = classes.select(F.col("digest").alias("a"), F.col("signatures").alias("x")), classes.select(F.col("digest").alias("b"), F.col("signatures").alias("y"))
+    classes = sets.where(F.size("signatures") > 0).groupBy("digest").agg(F.first("signatures").alias("signatures"))
+    classes = materialise(classes.withColumn("class", F.monotonically_increasing_id()), "signature-classes")
+    members = sets.select(key, "digest").join(classes.select("digest", "class"), "digest", "left").select(key, "class")
+    part = F.floor(F.log("n") / -math.log(threshold) + 1e-9).cast("int")
+    small = probes(classes, threshold).select("s", part.alias("part"), "class", "n")
+    large = small.select("s", F.explode(F.array("part", F.col("part") - 1)).alias("part"), F.col("class").alias("b"), F.col("n").alias("m"))
+    met = small.join(large, ["s", "part"]).where("class != b and n <= m and n >= m * %r - 1e-9 and (n < m or class < b)" % threshold)
+    pairs = met.select(F.least("class", "b").alias("a"), F.greatest("class", "b").alias("b")).distinct()
+    left, right = classes.select(F.col("class").alias("a"), F.col("signatures").alias("x")), classes.select(F.col("class").alias("b"), F.col("signatures").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
     scored = pairs.join(left, "a").join(right, "b").withColumn("likeness", shared / (F.size("x") + F.size("y") - shared))
     return scored.where(F.col("likeness") >= threshold).select("a", "b", "likeness"), members
@@ -149,10 +171,10 @@ def near_classes(docs: DataFrame, threshold: float = SIMILARITY, key: str = "doc
     """(key, class_id, copies, links) of every row: the smallest key of the rows of equal fingerprint, how many they are, and
     how many other classes are as like as the threshold."""
     links, members = near_links(docs, threshold, key, text)
-    ends = links.select(F.explode(F.array("a", "b")).alias("digest")).groupBy("digest").agg(F.count("*").alias("links"))
-    sizes = members.groupBy("digest").agg(F.count("*").alias("copies"))
-    known = sizes.join(ends, "digest", "left")
-    return members.join(known, "digest").select(key, "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    ends = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("links"))
+    known = members.groupBy("class").agg(F.min(key).alias("class_id"), F.count("*").alias("copies")).join(ends, "class", "left")
+    rows = members.alias("m").join(known.alias("k"), F.col("m.class").eqNullSafe(F.col("k.class")))
+    return rows.select(F.col(f"m.{key}").alias(key), "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def part_number(key: Column, splits: list) -> Column:
