@@ -149,16 +149,32 @@ def bin_warnings(bins: DataFrame, min_share: float = 0.02, min_events: int = 5)
     return w.select("feature", "bin", F.explode(found).alias("warning"))
 
 
-def optimal_coarse(fine: DataFrame, max_bins: int = 5, min_share: float = 0.05, order: str = "position") -> DataFrame:
+#: Phases of the event rate from bin to bin (1 rises, -1 falls) that each trend allows.
+TRENDS = {"ascending": (1,), "descending": (-1,), "peak": (1, -1), "valley": (-1, 1)}
+
+
+def quick_limits(cells: int, max_bins: int, continuous: bool = False) -> tuple[int, int]:
+    """(fine bins, coarse bins) of quick mode, by the number of distinct values (TA-14)."""
+    root = math.sqrt(max(cells, 1))
+    fine = max(4, min(16, math.ceil(1.5 * root)) if continuous else min(25, math.ceil(2 * root)))
+    return fine, min(max_bins, max(2, min(5 if continuous else 6, math.ceil(math.log2(max(cells, 1) + 1)))))
+
+
+def optimal_coarse(fine: DataFrame, max_bins: int = 5, min_share: float = 0.05, order: str = "position", min_events: float = 0, min_difference: float = 0.0, trends: tuple[str, ...] = ("ascending", "descending"), quick: bool = False) -> DataFrame:
     """Contiguous merge of each feature's fine bins (feature, position, n, s) that maximises the information value under
-    a bound on bins and a least size, with event rates that rise, fall, or turn once; the best trend is kept (TA-11..14).
-    At most some hundred fine bins a feature: one small group each. If no trend is feasible, one bin is returned."""
+    a bound on bins, a least size, least events and non-events a bin and a least difference of the event rates of
+    neighbours, with rates that rise, fall, or, where `trends` says so, turn once (peak, valley); the best trend is kept
+    (TA-11). Coarse bins never exceed the fine ones, and in quick mode adapt to their number (TA-14). If no trend of two
+    bins is feasible, the fallback cuts at the fine bin nearest to half of the rows (TA-12); a single fine bin stays one. At most
+    some hundred fine bins a feature: one small group each."""
 
     def solve(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(order)
         n, s = g.n.to_numpy(float), g.s.to_numpy(float)
         cn, cs, m = [0, *n.cumsum()], [0, *s.cumsum()], len(g)
         te, tn = max(cs[-1], 1e-9), max(cn[-1] - cs[-1], 1e-9)
+        limit = max(1, min(quick_limits(m, max_bins)[1] if quick else max_bins, m))
+        least = min_share * cn[-1]
 
         def value(i, j):
             e, ne = cs[j] - cs[i], cn[j] - cn[i] - cs[j] + cs[i]
@@ -168,32 +184,43 @@ def optimal_coarse(fine: DataFrame, max_bins: int = 5, min_share: float = 0.05,
         def rate(i, j):
             return (cs[j] - cs[i]) / max(cn[j] - cn[i], 1e-9)
 
-        least, best = min_share * cn[-1], (-1.0, [0, m], "none")
-        for sign, trend in ((1, "ascending"), (-1, "descending")):
-            # reach[(i, j)]: best value of a chain whose last bin is [i, j), per number of bins
-            reach = {(0, j): {1: (value(0, j), None)} for j in range(1, m + 1) if cn[j] >= least}
+        def allowed(i, j):
+            e = cs[j] - cs[i]
+            return cn[j] - cn[i] >= least and e >= min_events and cn[j] - cn[i] - e >= min_events
+
+        best = (-1.0, None, "none")
+        for trend in trends:
+            phases = TRENDS[trend]
+            # reach[i, j]: best value of a chain whose last bin is [i, j), per number of bins and phase of its last step
+            reach = {(0, j): {(1, 0): (value(0, j), None)} for j in range(1, m + 1) if allowed(0, j)}
             for j in range(2, m + 1):
                 for i in range(1, j):
-                    if cn[j] - cn[i] < least:
+                    if not allowed(i, j):
                         continue
                     here = {}
                     for h in range(i):
-                        for k, (v, _) in reach.get((h, i), {}).items():
-                            if k < max_bins and sign * (rate(i, j) - rate(h, i)) > 0 and v + value(i, j) > here.get(k + 1, (-1.0,))[0]:
-                                here[k + 1] = (v + value(i, j), (h, i, k))
+                        step = rate(i, j) - rate(h, i) if (h, i) in reach else 0.0
+                        for (k, phase), (v, _) in reach.get((h, i), {}).items():
+                            for later in range(phase, len(phases)):
+                                if k < limit and phases[later] * step > 0 and abs(step) >= min_difference and v + value(i, j) > here.get((k + 1, later), (-1.0,))[0]:
+                                    here[k + 1, later] = (v + value(i, j), (h, i, (k, phase)))
                     if here:
                         reach[i, j] = here
             for (i, j), own in reach.items():
-                for k, (v, _) in own.items():
-                    if j == m and v > best[0]:
-                        cuts, at = [m], (i, j, k)
+                for state, (v, _) in own.items():
+                    if j == m and i > 0 and v > best[0]:
+                        cuts, at = [m], (i, j, state)
                         while at:
                             cuts.append(at[0])
                             at = reach[at[0], at[1]][at[2]][1]
                         best = (v, sorted(set(cuts)), trend)
-        cuts = best[1]
+        cuts, objective = best[1], best[0]
+        if cuts is None:
+            cut = min(range(1, m), key=lambda i: abs(cn[i] - cn[-1] / 2)) if m > 1 and limit > 1 else 0
+            cuts = sorted({0, cut, m})
+            objective = sum(value(a, b) for a, b in zip(cuts, cuts[1:]))
         label = [next(b for b in range(len(cuts) - 1) if cuts[b] <= i < cuts[b + 1]) for i in range(m)]
-        return pd.DataFrame({"feature": g.feature, "position": g[order].astype("int64"), "coarse": label, "trend": best[2], "objective": max(best[0], 0.0)})
+        return pd.DataFrame({"feature": g.feature, "position": g[order].astype("int64"), "coarse": label, "trend": best[2], "objective": objective})
 
     ship(fine.sparkSession)
     return fine.groupBy("feature").applyInPandas(solve, "feature string, position bigint, coarse bigint, trend string, objective double")

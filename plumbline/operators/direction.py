@@ -138,6 +138,41 @@ def against_expected(found: DataFrame, expected: DataFrame) -> DataFrame:
     return found.join(expected, "feature", "left").select("feature", "direction", "strength", "expected", status.alias("status"))
 
 
+def segmented(df: DataFrame, segment: str, feature: str, target: str, bins: int = 5, floor: float = 0.02) -> DataFrame:
+    """analyse() of every segment in one plan (DR-9): rows, rank correlation, standardised slope, shape over the segment's
+    own quantile bins, direction, strength and the reason where a segment is not assessed. The row with a null
+    segment is the whole table, which is always computed; rows without a segment are the segment of the empty text. Bins cut a segment's distinct values where their running count passes an
+    equal share of its rows, so a value never stands in two bins."""
+    ship(df.sparkSession)
+    both = df.where(F.col(feature).isNotNull() & F.col(target).isNotNull())
+    rows = both.select(F.explode(F.array(F.lit(None).cast("string"), F.concat(F.lit("="), F.coalesce(F.col(segment).cast("string"), F.lit(""))))).alias("seg"), F.col(feature).cast("double").alias("a"), F.col(target).cast("double").alias("b"))
+    pairs = rows.withColumn("seg", F.coalesce("seg", F.lit(""))).groupBy("seg", "a", "b").agg(F.count("*").alias("w"))
+    ranked = {}
+    for c in "ab":
+        per = pairs.groupBy("seg", F.col(c).alias("v")).agg(F.sum("w").alias("n"))
+        ranked[c] = cumulative(per, ["v"], {"c": "n"}, ["seg"]).select("seg", F.col("v").alias(c), (F.col("c") - (F.col("n") - 1) / 2).alias(f"r{c}"), (F.col("c") - F.col("n")).alias(f"below{c}"))
+    j = pairs.join(ranked["a"], ["seg", "a"]).join(ranked["b"], ["seg", "b"])
+    w = F.sum("w")
+    mean = lambda x: F.sum(x * F.col("w")) / w
+    cov = lambda x, y: mean(F.col(x) * F.col(y)) - mean(F.col(x)) * mean(F.col(y))
+    sums = j.groupBy("seg").agg(w.alias("n"), F.count_distinct("a").alias("k"), cov("ra", "rb").alias("rab"), cov("ra", "ra").alias("raa"), cov("rb", "rb").alias("rbb"), cov("a", "b").alias("ab"), cov("a", "a").alias("aa"), cov("b", "b").alias("bb"))
+    total = pairs.groupBy("seg").agg(F.sum("w").alias("total"))
+    binned_ = j.join(total, "seg").groupBy("seg", F.floor(F.col("belowa") * bins / F.col("total")).alias("bin")).agg((F.sum(F.col("b") * F.col("w")) / F.sum("w")).alias("m"))
+    ends = binned_.groupBy("seg").agg(F.min_by("m", "bin").alias("first"), F.max_by("m", "bin").alias("last"), F.max("m").alias("high"), F.min("m").alias("low"))
+    turn = (F.col("high") > F.greatest("first", "last") + floor) | (F.col("low") < F.least("first", "last") - floor)
+    move = F.col("last") - F.col("first")
+    shape = F.when(turn, "NON_MONOTONIC").when(move >= floor, "INCREASING").when(move <= -floor, "DECREASING").otherwise("FLAT")
+    safe = lambda x: F.nullif(F.sqrt(x), F.lit(0.0))
+    one = sums.join(ends, "seg").select("seg", "n", "k", (F.col("rab") / safe(F.col("raa") * F.col("rbb"))).alias("rho"), (F.col("ab") / safe(F.col("aa"))).alias("slope"), (F.col("ab") / safe(F.col("aa") * F.col("bb"))).alias("r"), shape.alias("shape"))
+    n = F.col("n").cast("double")
+    one = one.withColumns({"rho_p": _t_tail("rho", n), "slope_p": _t_tail("r", n)})
+    votes = [F.when((F.abs("rho") >= MATERIAL) & (F.col("rho_p") <= ALPHA), F.signum("rho")).otherwise(0.0), F.when(F.col("slope_p") <= ALPHA, F.signum("slope")).otherwise(0.0), F.when(F.col("shape") == "INCREASING", 1.0).when(F.col("shape") == "DECREASING", -1.0).otherwise(0.0)]
+    direction, strength = consensus(votes, F.col("shape"))
+    reason = F.when(F.col("n") < 30, "fewer than 30 rows").when(F.col("k") < 2, "constant feature")
+    name = F.when(F.col("seg") != "", F.substring("seg", 2, 2**31 - 1))
+    return one.select(name.alias("segment"), "n", "rho", "slope", "shape", F.when(reason.isNull(), direction).alias("direction"), F.when(reason.isNull(), strength).otherwise("INSUFFICIENT_DATA").alias("strength"), reason.alias("reason"))
+
+
 def holds(rho: Column, kind: str, floor: float = 0.1) -> Column:
     """An expected monotone or inverse relation holds (DR-10)."""
     return rho >= floor if kind == "monotone" else rho <= -floor
@@ -215,3 +250,15 @@ def direction_candidate_pairs(spark, sf_dir):
     from plumbline.operators.profile import live_catalogue
 
     return candidate_pairs(live_catalogue(table(spark, sf_dir, "lineitem"), "lineitem").where("distinct > 1"))
+
+
+@query("direction_segmented", """WITH x AS (SELECT NULL AS segment, l_quantity AS a, l_extendedprice AS b FROM lineitem UNION ALL SELECT l_returnflag, l_quantity, l_extendedprice FROM lineitem),
+ r AS (SELECT *, rank() OVER (PARTITION BY segment ORDER BY a) + (count(*) OVER (PARTITION BY segment, a) - 1) / 2 AS ra, rank() OVER (PARTITION BY segment ORDER BY b) + (count(*) OVER (PARTITION BY segment, b) - 1) / 2 AS rb,
+  floor((rank() OVER (PARTITION BY segment ORDER BY a) - 1) * 5 / count(*) OVER (PARTITION BY segment)) AS bin FROM x),
+ m AS (SELECT segment, bin, avg(b) AS m FROM r GROUP BY ALL),
+ e AS (SELECT segment, arg_min(m, bin) AS f, arg_max(m, bin) AS l, max(m) AS h, min(m) AS w FROM m GROUP BY 1),
+ s AS (SELECT segment, CASE WHEN h > greatest(f, l) + 0.02 OR w < least(f, l) - 0.02 THEN 'NON_MONOTONIC' WHEN l - f >= 0.02 THEN 'INCREASING' WHEN l - f <= -0.02 THEN 'DECREASING' ELSE 'FLAT' END AS shape FROM e)
+ SELECT r.segment, count(*) AS n, round(corr(ra, rb), 6) AS rho, round(covar_pop(a, b) / stddev_pop(a), 2) AS slope, any_value(shape) AS shape FROM r JOIN s ON s.segment IS NOT DISTINCT FROM r.segment GROUP BY 1""")
+def direction_segmented(spark, sf_dir):
+    found = segmented(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_quantity", "l_extendedprice")
+    return found.select("segment", "n", rounded(F.col("rho")).alias("rho"), rounded(F.col("slope"), 2).alias("slope"), "shape")

@@ -3,9 +3,12 @@ tables of columns, so the work grows with columns and names."""
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions.values import jaccard, name_tokens, norm_name, rounded, similarity
 from plumbline.plans.registry import query
@@ -14,6 +17,12 @@ from plumbline.session import ship, table
 SUGGEST, ALIAS, ROLE = 0.60, 0.84, 0.70
 
 
+@F.pandas_udf(T.DoubleType())
+def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Twice the length of the matching blocks over both lengths; for the few names of catalogues."""
+    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+
+
 def scored_pairs(left: DataFrame, right: DataFrame, by: list[str] | None = None) -> DataFrame:
     """All pairs of names (left.name, right.other) within `by` with exact, edit and word likeness. Both sides are catalogues
     of names, a table's columns on either, so the pairs are as few as those; no pair is left out by a block."""
@@ -26,23 +35,29 @@ def scored_pairs(left: DataFrame, right: DataFrame, by: list[str] | None = None)
 
 
 def dictionary_mapping(dictionary: DataFrame, columns: DataFrame, floor: float = SUGGEST) -> DataFrame:
-    """One-to-one mapping of dictionary names to columns within each table: exact first, then the best suggestion of what
-    is left, in file order (MT-1). One group a table: the names of its columns."""
-    pairs = scored_pairs(dictionary.select("table", "name"), columns.select("table", F.col("column").alias("other")), ["table"]).where(F.col("score") >= floor)
-    pairs = pairs.join(dictionary.select("table", "name", "position"), ["table", "name"])
+    """One-to-one mapping of dictionary names to columns within each table, in file order: a name takes the free column that
+    equals it when normalised, else suggests the free column of the highest sequence ratio, else is below the floor, with
+    that ratio and no column (MT-1). One group a table: the names of its columns. A dictionary of a table without columns
+    gives no row."""
+    left = dictionary.select("table", "name", "position", norm_name(F.col("name")).alias("a"))
+    right = columns.select("table", F.col("column").alias("other"), norm_name(F.col("column")).alias("b")).distinct()
+    pairs = left.join(right, "table").withColumn("score", sequence_ratio("a", "b")).withColumn("exact", F.col("a") == F.col("b"))
 
     def greedy(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["exact", "position", "score", "other"], ascending=[False, True, False, True])
-        used, done, out = set(), set(), []
-        for r in g.itertuples():
-            if r.name_ not in done and r.other not in used:
-                done.add(r.name_)
-                used.add(r.other)
-                out.append((r.table, r.name_, r.other, "exact" if r.exact else "suggested", r.score))
+        used, out = set(), []
+        for _, own in g.sort_values(["position", "name_", "exact", "score", "other"], ascending=[True, True, False, False, True]).groupby(["position", "name_"], sort=False):
+            free = [r for r in own.itertuples() if r.other not in used and r.score > 0]
+            one = free[0] if free else None
+            if one is not None and (one.exact or one.score >= floor):
+                used.add(one.other)
+                out.append((one.table, one.name_, one.other, "exact" if one.exact else "suggested", one.score))
+            else:
+                out.append((own["table"].iloc[0], own.name_.iloc[0], None, "below_floor", one.score if one is not None else None))
         return pd.DataFrame(out, columns=["table", "name", "column", "kind", "score"])
 
     ship(dictionary.sparkSession)
-    return pairs.withColumnRenamed("name", "name_").groupBy("table").applyInPandas(greedy, "table string, name string, column string, kind string, score double")
+    kept = pairs.select("table", F.col("name").alias("name_"), "position", "other", "score", "exact")
+    return kept.groupBy("table").applyInPandas(greedy, "table string, name string, column string, kind string, score double")
 
 
 def dictionary_state(columns: DataFrame, mapped: DataFrame) -> DataFrame:
@@ -84,27 +99,41 @@ def entity_tables(bindings: DataFrame) -> DataFrame:
     return per.groupBy("entity").agg(F.min_by("table", F.struct(-F.col("votes"), "table")).alias("table"), F.max("votes").alias("votes"))
 
 
-def ranked_matches(queries_: DataFrame, base: DataFrame, top: int = 3) -> DataFrame:
-    """Knowledge-base entries (entry, text) of each query (name, description): half word-set likeness, half TF-IDF
-    cosine; the words' weights come from the base (MT-7)."""
-    def words(df, key, c):
-        return df.select(key, F.explode(F.array_distinct(name_tokens(F.col(c)))).alias("w"))
+def ranked_matches(queries_: DataFrame, base: DataFrame, top: int = 3, aliases_: DataFrame | None = None) -> DataFrame:
+    """Knowledge-base entries (entry, text) of each query (name, description), with position and status (MT-7). A query whose
+    name equals an alias (alias, entry) of one entry only, both normalised, is an exact match; else entries are ranked by
+    half the likeness of word sets and half the TF-IDF cosine of words and word pairs, whose weights come from the base; a
+    query that shares no word with the base has one row without an entry, "no_match"."""
+    if aliases_ is not None:
+        known = aliases_.groupBy(norm_name(F.col("alias")).alias("a")).agg(F.min("entry").alias("entry"), F.count_distinct("entry").alias("k")).where("k = 1")
+        exact = queries_.select("name", norm_name(F.col("name")).alias("a")).join(known, "a").select("name", "entry", F.lit(1.0).alias("score"), F.lit(1).alias("position"), F.lit("exact_match").alias("status"))
+        return exact.unionByName(ranked_matches(queries_.join(exact, "name", "left_anti"), base, top))
+
+    def grams(df, key, c):
+        words = df.select(key, name_tokens(F.col(c)).alias("t"))
+        pairs = F.zip_with(F.slice("t", F.lit(1), F.greatest(F.size("t") - 1, F.lit(0))), F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0))), lambda x, y: F.concat_ws(" ", x, y))
+        return words.select(key, F.explode(F.concat("t", pairs)).alias("w")).groupBy(key, "w").agg(F.count("*").alias("tf"))
 
     n = base.select("entry").distinct().count()
-    b, q = words(base, "entry", "text"), words(queries_, "name", "description")
+    b, q = grams(base, "entry", "text"), grams(queries_, "name", "description")
     idf = b.groupBy("w").agg((F.log((F.lit(n) + 1) / (F.count("*") + 1)) + 1).alias("idf"))
-    norm = lambda df, key: df.join(idf, "w").groupBy(key).agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias(f"{key}_norm"), F.count("*").alias(f"{key}_n"))
-    shared = q.join(b, "w").join(idf, "w").groupBy("name", "entry").agg(F.sum(F.col("idf") * F.col("idf")).alias("dot"), F.count("*").alias("k"))
+    single = (~F.contains(F.col("w"), F.lit(" "))).cast("int")
+    norm = lambda df, key: df.join(idf, "w", "left").groupBy(key).agg(F.sqrt(F.sum(F.pow(F.col("idf") * F.col("tf"), 2))).alias(f"{key}_norm"), F.sum(single).alias(f"{key}_n"))
+    shared = q.join(b.withColumnRenamed("tf", "tf_b"), "w").join(idf, "w").groupBy("name", "entry").agg(F.sum(F.col("idf") * F.col("idf") * F.col("tf") * F.col("tf_b")).alias("dot"), F.sum(single).alias("k"))
     both = shared.join(norm(q, "name"), "name").join(norm(b, "entry"), "entry")
     score = 0.5 * F.col("k") / (F.col("name_n") + F.col("entry_n") - F.col("k")) + 0.5 * F.col("dot") / (F.col("name_norm") * F.col("entry_norm"))
     rn = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("score"), "entry"))
-    return both.select("name", "entry", score.alias("score")).withColumn("position", rn).where(F.col("position") <= top)
+    found = both.select("name", "entry", score.alias("score")).withColumn("position", rn).where(F.col("position") <= top)
+    out = queries_.select("name").distinct().join(found, "name", "left")
+    return out.withColumn("status", F.when(F.col("entry").isNull(), "no_match").otherwise("candidate_match"))
 
 
 def accuracy(ranked_: DataFrame, truth: DataFrame) -> DataFrame:
-    """Top-1 and top-3 accuracy by category (name, expected, category) (MT-8)."""
-    hit = ranked_.join(truth, "name", "right").groupBy("name", "category").agg(F.max((F.coalesce(F.col("entry") == F.col("expected"), F.lit(False)) & (F.col("position") == 1)).cast("int")).alias("one"), F.max(F.coalesce(F.col("entry") == F.col("expected"), F.lit(False)).cast("int")).alias("three"))
-    return hit.groupBy("category").agg(F.count("*").alias("cases"), F.avg(F.coalesce("one", F.lit(0))).alias("top1"), F.avg("three").alias("top3"))
+    """Top-1 and top-3 accuracy by category (name, expected, category) and over all cases, category "overall" (MT-8)."""
+    right = F.coalesce(F.col("entry") == F.col("expected"), F.lit(False))
+    hit = ranked_.join(truth, "name", "right").groupBy("name", "category").agg(F.max((right & (F.col("position") == 1)).cast("int")).alias("one"), F.max((right & (F.col("position") <= 3)).cast("int")).alias("three"))
+    rows = hit.select(F.explode(F.array("category", F.lit("overall"))).alias("category"), F.coalesce("one", F.lit(0)).alias("one"), F.coalesce("three", F.lit(0)).alias("three"))
+    return rows.groupBy("category").agg(F.count("*").alias("cases"), F.avg("one").alias("top1"), F.avg("three").alias("top3"))
 
 
 def applicable(library: DataFrame, columns: DataFrame) -> DataFrame:
@@ -129,7 +158,7 @@ def matching_vocabulary(spark, sf_dir):
     return vocabulary(table(spark, sf_dir, "customer"), "c_mktsegment")
 
 
-@query("matching_dictionary", """SELECT * FROM (VALUES ('orders', 'O_ORDERKEY', 'o_orderkey', 'exact', 1.0), ('orders', 'o_order_date', 'o_orderdate', 'suggested', 0.916667)) v("table", name, "column", kind, score) WHERE (SELECT count(*) FROM orders) > 0""")
+@query("matching_dictionary", """SELECT * FROM (VALUES ('orders', 'O_ORDERKEY', 'o_orderkey', 'exact', 1.0), ('orders', 'o_order_date', 'o_orderdate', 'suggested', 0.956522), ('orders', 'zzz', NULL, 'below_floor', NULL)) v("table", name, "column", kind, score) WHERE (SELECT count(*) FROM orders) > 0""")
 def matching_dictionary(spark, sf_dir):
     d = spark.createDataFrame([("orders", "O_ORDERKEY", 0), ("orders", "o_order_date", 1), ("orders", "zzz", 2)], "table string, name string, position int")
     return dictionary_mapping(d, column_types(spark, sf_dir)).withColumn("score", rounded(F.col("score")))

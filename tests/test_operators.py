@@ -13,7 +13,7 @@ from plumbline.functions.prefix import cumulative
 from plumbline.functions.quantiles import percentiles
 from plumbline.functions.values import date as values_date
 from plumbline.functions.values import name_tokens, number, parse_period, period_key
-from plumbline.operators import association, drift, gates, matching, missingness, panel, population, rollup, rules, semantics
+from plumbline.operators import association, direction, drift, gates, matching, missingness, panel, population, rollup, rules, semantics
 from plumbline.plans.registry import Check, Registry
 from plumbline.sources import readers
 
@@ -308,3 +308,81 @@ def test_a_weak_pattern_is_not_pruned(spark):
     assert got.verdict == "weak pattern" and got.gate == "d" and "g" in got.rule
     leaves = gates.leaf_rules(half, F.col("x").isNull(), ["g"], 6000).collect()
     assert sum(r.support for r in leaves) == 6000 and abs(sum(r.explained for r in leaves) - 1) < 1e-9
+
+
+@pytest.mark.parametrize("trend", sorted(association.TRENDS))
+def test_optimal_bins_are_the_best_of_all_cuts(spark, trend):
+    import itertools
+    import math
+    import random
+
+    dice = random.Random(trend)
+    cells = [("x", i, 40 + dice.randrange(60), dice.randrange(1, 39)) for i in range(9)]
+    total, events = sum(c[2] for c in cells), sum(c[3] for c in cells)
+
+    def judged(cuts):
+        bins = [(sum(c[2] for c in cells[a:b]), sum(c[3] for c in cells[a:b])) for a, b in zip(cuts, cuts[1:])]
+        rates = [s / n for n, s in bins]
+        steps = [b - a for a, b in zip(rates, rates[1:])]
+        signs = [k for k, _ in itertools.groupby(1 if d > 0 else -1 for d in steps)]
+        fits = tuple(signs) == association.TRENDS[trend] or (len(signs) == 1 and signs[0] in association.TRENDS[trend])
+        if not fits or any(abs(d) < 0.01 for d in steps) or any(n < 0.05 * total or s < 20 or n - s < 20 for n, s in bins):
+            return None
+        share = [((s + 0.5) / (events + 2.5), (n - s + 0.5) / (total - events + 2.5)) for n, s in bins]
+        return sum((b - a) * math.log(b / a) for a, b in share)
+
+    found = [(judged((0, *inner, 9)), (0, *inner, 9)) for k in range(1, 5) for inner in itertools.combinations(range(1, 9), k)]
+    want = max((f for f in found if f[0] is not None), default=None)
+    got = association.optimal_coarse(spark.createDataFrame(cells, "feature string, position int, n bigint, s bigint"), min_events=20, min_difference=0.01, trends=(trend,)).orderBy("position").collect()
+    if want is None:
+        assert got[0].trend == "none" and len({r.coarse for r in got}) == 2
+    else:
+        assert got[0].trend == trend and abs(got[0].objective - want[0]) < 1e-9
+        assert [r.coarse for r in got] == [sum(c <= i for c in want[1][1:-1]) for i in range(9)]
+
+
+def test_quick_mode_adapts_to_the_cells():
+    assert association.quick_limits(2, 10) == (4, 2)
+    assert association.quick_limits(100, 10) == (20, 6)
+    assert association.quick_limits(10_000, 10, continuous=True) == (16, 5)
+
+
+def test_optimal_bins_fall_back(spark):
+    flat = spark.createDataFrame([("x", i, 10, 5) for i in range(4)] + [("y", 0, 10, 5)], "feature string, position int, n bigint, s bigint")
+    got = {(r.feature, r.position): (r.coarse, r.trend) for r in association.optimal_coarse(flat).collect()}
+    assert [got["x", i][0] for i in range(4)] == [0, 0, 1, 1] and got["y", 0] == (0, "none")
+
+
+def test_direction_of_every_segment(spark):
+    rows = [("up", i, 2 * i) for i in range(50)] + [("down", i, -3 * i) for i in range(50)] + [("few", i, i) for i in range(5)] + [("one", 1, i) for i in range(40)] + [(None, i, abs(i - 30)) for i in range(60)]
+    got = {r.segment: r for r in direction.segmented(spark.createDataFrame(rows, "g string, x int, y int"), "g", "x", "y").collect()}
+    assert (got["up"].direction, got["up"].strength, got["up"].rho) == ("INCREASING", "STRONG", 1.0)
+    assert (got["down"].direction, got["down"].strength) == ("DECREASING", "STRONG")
+    assert got["few"].reason == "fewer than 30 rows" and got["one"].reason == "constant feature"
+    assert got[""].shape == "NON_MONOTONIC" and got[None].n == len(rows)
+
+
+def test_dictionary_claims_in_file_order(spark):
+    d = spark.createDataFrame([("t", "Loan Amt", 0), ("t", "loan_amount", 1), ("t", "LOAN-AMOUNT", 2), ("t", "qqq", 3)], "table string, name string, position int")
+    c = spark.createDataFrame([("t", "loan_amount", "x"), ("t", "loan_id", "x")], "table string, column string, logical_type string")
+    got = {r.name: (r["column"], r.kind) for r in matching.dictionary_mapping(d, c).collect()}
+    assert got == {"Loan Amt": ("loan_amount", "suggested"), "loan_amount": (None, "below_floor"), "LOAN-AMOUNT": (None, "below_floor"), "qqq": (None, "below_floor")}
+    score = {r.name: r.score for r in matching.dictionary_mapping(d, c).collect()}
+    assert abs(score["Loan Amt"] - 16 / 19) < 1e-12 and score["qqq"] is None
+
+
+def test_matches_by_alias_words_and_none(spark):
+    base = spark.createDataFrame([("dti", "debt to income ratio"), ("ltv", "loan to value ratio"), ("age", "age of the customer")], "entry string, text string")
+    names = spark.createDataFrame([("Debt-Income", "x"), ("x1", "ratio of debt to income"), ("x2", "qwerty"), ("x3", "value of a loan to")], "name string, description string")
+    alias = spark.createDataFrame([("debt income", "dti"), ("both", "dti"), ("both", "ltv")], "alias string, entry string")
+    ranked = matching.ranked_matches(names, base, aliases_=alias).collect()
+    first = {r.name: (r.entry, r.status) for r in ranked if r.position in (None, 1)}
+    assert first == {"Debt-Income": ("dti", "exact_match"), "x1": ("dti", "candidate_match"), "x2": (None, "no_match"), "x3": ("ltv", "candidate_match")}
+    weight = {w: math.log(4 / (n + 1)) + 1 for w, n in {"debt": 1, "to": 2, "income": 1, "ratio": 2, "of": 1, "debt to": 1, "to income": 1, "income ratio": 1}.items()}
+    size = lambda words: math.sqrt(sum(weight[w] ** 2 for w in words))
+    q, e = ["ratio", "of", "debt", "to", "income", "debt to", "to income"], ["debt", "to", "income", "ratio", "debt to", "to income", "income ratio"]
+    want = 0.5 * 4 / 5 + 0.5 * sum(weight[w] ** 2 for w in set(q) & set(e)) / (size(q) * size(e))
+    assert abs(next(r.score for r in ranked if (r.name, r.entry) == ("x1", "dti")) - want) < 1e-12
+    truth = spark.createDataFrame([("Debt-Income", "dti", "a"), ("x1", "dti", "a"), ("x2", "age", "b"), ("x3", "dti", "b")], "name string, expected string, category string")
+    got = {r.category: (r.cases, r.top1, r.top3) for r in matching.accuracy(spark.createDataFrame(ranked), truth).collect()}
+    assert got == {"a": (2, 1.0, 1.0), "b": (2, 0.0, 0.5), "overall": (4, 0.5, 0.75)}
