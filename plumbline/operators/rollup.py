@@ -122,6 +122,15 @@ def masked(c: Column, salt: str, prefix: str = "ID-") -> Column:
     return F.when(c.isNotNull(), F.concat(F.lit(prefix), F.upper(F.substring(F.sha2(F.concat_ws("|", F.lit(salt), c.cast("string")), 256), 1, 12))))
 
 
+def external_report(df: DataFrame, identifiers: dict[str, str], segment: str, policy: str, salt: str) -> DataFrame:
+    """Rows for readers outside (RS-12): identifiers (column -> prefix) become salted references, the segment is kept as it
+    is (retain), becomes a reference (mask) or is emptied (omit). Nulls stay null; no salt or another policy is an error."""
+    if not salt or policy not in ("retain", "mask", "omit"):
+        raise ValueError("a report needs a salt and one of the policies retain, mask and omit")
+    label = {"retain": F.col(segment), "mask": masked(F.col(segment), f"{salt}|SEG", "SEG-"), "omit": F.lit(None).cast("string")}[policy]
+    return df.withColumns({c: masked(F.col(c), f"{salt}|{p}", f"{p}-") for c, p in identifiers.items()} | {segment: label})
+
+
 def expired(rules: DataFrame, today: str, months: int) -> DataFrame:
     """Confirmed rules past their shelf life, or whose table's schema hash changed, fall back to inferred (RS-13)."""
     old = F.add_months("confirmed_at", months) < F.lit(today).cast("date")
@@ -249,6 +258,11 @@ def rollup_masked(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", masked(F.col("c_name"), "salt").alias("masked"))
 
 
+@query("rollup_external_report", """SELECT 'CUS-' || upper(left(sha256('salt|CUS|' || c_custkey), 12)) AS c_custkey, 'SEG-' || upper(left(sha256('salt|SEG|' || c_mktsegment), 12)) AS c_mktsegment, c_nationkey FROM customer""")
+def rollup_external_report(spark, sf_dir):
+    return external_report(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey"), {"c_custkey": "CUS"}, "c_mktsegment", "mask", "salt")
+
+
 @query("rollup_expired", "SELECT CASE WHEN o_orderdate::DATE + INTERVAL 24 MONTH < DATE '1999-06-30' OR o_orderpriority <> (SELECT max(o_orderpriority) FROM orders) THEN 'inferred' ELSE 'confirmed' END AS state, count(*) AS rules FROM orders GROUP BY 1")
 def rollup_expired(spark, sf_dir):
     """An order stands for a rule, its priority for the hash of the schema that it was confirmed on."""

@@ -103,6 +103,21 @@ def validate(df: DataFrame, key: str, bound: list[str]) -> DataFrame:
     return df.agg((F.count_distinct(key) == F.count("*")).alias("unique"), (F.count_if(F.col(key).isNull()) == 0).alias("populated")).withColumn("unscoped", F.lit(", ".join(absent)))
 
 
+def scope_plan(entries: DataFrame, bindings: DataFrame, declared: DataFrame) -> DataFrame:
+    """Routing of entries (entry, roles, declarations: arrays) before any row is read (VS-8): READY_FOR_EVALUATION if every
+    role is bound (role, column) to exactly one column and every declaration (name) is made, else UNSCOPED with what is
+    missing, in the order of names. A role bound to several columns counts as missing."""
+    one = bindings.groupBy("role").agg(F.count_distinct("column").alias("k")).where("k = 1").select(F.col("role").alias("x"), F.lit("role").alias("kind"))
+    have = one.unionByName(declared.select(F.col("name").alias("x"), F.lit("declaration").alias("kind")).distinct()).withColumn("have", F.lit(1))
+    of_kind = lambda c, k: F.transform(c, lambda v: F.struct(F.lit(k).alias("kind"), v.alias("x")))
+    needs = entries.select("entry", F.explode(F.concat(of_kind("roles", "role"), of_kind("declarations", "declaration"))).alias("r")).select("entry", "r.*")
+    lost = needs.distinct().join(have, ["kind", "x"], "left").where("have IS NULL").groupBy("entry")
+    listed = lambda k: F.array_join(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("x")))), ";")
+    found = entries.select("entry").join(lost.agg(listed("role").alias("roles"), listed("declaration").alias("declarations")), "entry", "left")
+    status = F.when(F.col("roles").isNull(), "READY_FOR_EVALUATION").otherwise("UNSCOPED")
+    return found.select("entry", status.alias("routing"), F.coalesce("roles", F.lit("")).alias("missing_roles"), F.coalesce("declarations", F.lit("")).alias("missing_declarations"))
+
+
 def daily(spark, sf_dir) -> DataFrame:
     """Events by user and day: the panel of the examples."""
     e = table(spark, sf_dir, "events")
@@ -185,3 +200,17 @@ def semantics_unfinished(spark, sf_dir):
 @query("semantics_validate", """SELECT count(DISTINCT o_orderkey) = count(*) AS "unique", count(*) FILTER (WHERE o_orderkey IS NULL) = 0 AS populated, 'maturity' AS unscoped FROM orders""")
 def semantics_validate(spark, sf_dir):
     return validate(table(spark, sf_dir, "orders"), "o_orderkey", ["o_orderstatus", "maturity"])
+
+
+@query("semantics_scope_plan", """WITH b AS (SELECT s_nationkey FROM supplier WHERE s_acctbal > 0 GROUP BY 1 HAVING count(DISTINCT s_suppkey) = 1),
+ e AS (SELECT c_custkey AS entry, CASE WHEN c_nationkey NOT IN (SELECT s_nationkey FROM b) THEN 'nation ' || c_nationkey ELSE '' END AS missing_roles, CASE WHEN c_mktsegment NOT IN (SELECT c_mktsegment FROM customer GROUP BY 1 HAVING avg(c_acctbal) > (SELECT avg(c_acctbal) FROM customer)) THEN c_mktsegment ELSE '' END AS missing_declarations FROM customer)
+ SELECT entry, CASE WHEN missing_roles = '' AND missing_declarations = '' THEN 'READY_FOR_EVALUATION' ELSE 'UNSCOPED' END AS routing, missing_roles, missing_declarations FROM e""")
+def semantics_scope_plan(spark, sf_dir):
+    """An entry a customer, which needs one supplier in credit in its nation and a market segment of more than average balance."""
+    customer, supplier = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
+    nation = lambda c: F.concat(F.lit("nation "), F.col(c).cast("string"))
+    entries = customer.select(F.col("c_custkey").alias("entry"), F.array(nation("c_nationkey")).alias("roles"), F.array("c_mktsegment").alias("declarations"))
+    bound = supplier.where("s_acctbal > 0").select(nation("s_nationkey").alias("role"), F.col("s_suppkey").alias("column"))
+    mean = customer.agg(F.avg("c_acctbal").alias("mean"))  # one row
+    rich = customer.groupBy(F.col("c_mktsegment").alias("name")).agg(F.avg("c_acctbal").alias("own")).crossJoin(mean).where("own > mean")
+    return scope_plan(entries, bound, rich.select("name"))

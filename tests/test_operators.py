@@ -386,3 +386,21 @@ def test_matches_by_alias_words_and_none(spark):
     truth = spark.createDataFrame([("Debt-Income", "dti", "a"), ("x1", "dti", "a"), ("x2", "age", "b"), ("x3", "dti", "b")], "name string, expected string, category string")
     got = {r.category: (r.cases, r.top1, r.top3) for r in matching.accuracy(spark.createDataFrame(ranked), truth).collect()}
     assert got == {"a": (2, 1.0, 1.0), "b": (2, 0.0, 0.5), "overall": (4, 0.5, 0.75)}
+
+
+def test_report_policies(spark):
+    df = spark.createDataFrame([("f1", "north"), (None, None)], "facility string, segment string")
+    report = lambda policy: rollup.external_report(df, {"facility": "FAC"}, "segment", policy, "s").collect()
+    kept, hidden, gone = report("retain"), report("mask"), report("omit")
+    assert kept[0].segment == "north" and hidden[0].segment.startswith("SEG-") and gone[0].segment is None
+    assert kept[0].facility == hidden[0].facility != "f1" and kept[1].facility is None and hidden[1].segment is None
+    with pytest.raises(ValueError):
+        rollup.external_report(df, {"facility": "FAC"}, "segment", "mask", "")
+
+
+def test_scope_plan_needs_one_column_a_role(spark):
+    entries = spark.createDataFrame([("e1", ["a"], []), ("e2", ["a", "b"], ["d"]), ("e3", ["c"], ["x"]), ("e4", [], [])], "entry string, roles array<string>, declarations array<string>")
+    bound = spark.createDataFrame([("a", "c1"), ("a", "c1"), ("b", "c2"), ("b", "c3")], "role string, column string")
+    got = {r[0]: tuple(r)[1:] for r in semantics.scope_plan(entries, bound, spark.createDataFrame([("d",)], "name string")).collect()}
+    ready = ("READY_FOR_EVALUATION", "", "")
+    assert got == {"e1": ready, "e2": ("UNSCOPED", "b", ""), "e3": ("UNSCOPED", "c", "x"), "e4": ready}
