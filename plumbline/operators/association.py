@@ -15,7 +15,7 @@ from plumbline.functions.tails import hypergeometric_greater
 from plumbline.functions.quantiles import percentiles
 from plumbline.functions.values import bucket, rounded
 from plumbline.plans.registry import query
-from plumbline.session import ship, table
+from plumbline.session import materialise, ship, table
 
 CELLS = 1000
 
@@ -119,10 +119,13 @@ def bin_ranges(df: DataFrame, feature: str, bins: Column, expected: list[str]) -
 
 def merge_categories(counts: DataFrame, max_groups: int) -> DataFrame:
     """Categories (feature, value, class_, k) merged pair by pair, the least loss of class entropy first, to at most
-    `max_groups` (TA-13). At most some dozen categories a feature: one small group each."""
+    `max_groups` (TA-13). One group a feature: fine groups (fine_groups) bound its categories, and more than CELLS are an
+    error."""
 
     def solve(g: pd.DataFrame) -> pd.DataFrame:
         table_ = g.pivot_table(index="value", columns="class_", values="k", aggfunc="sum", fill_value=0).sort_index()
+        if len(table_) > CELLS:
+            raise ValueError(f"{g.feature.iloc[0]} has {len(table_)} categories; gather the rare ones first")
         groups = [([v], row.to_numpy(float)) for v, row in table_.iterrows()]
 
         def cost(x):
@@ -244,24 +247,24 @@ def percentile_benchmark(df: DataFrame, features: list[str], target: Column, buc
 
 
 def concordance(df: DataFrame, score: str, target: str) -> DataFrame:
-    """Share of concordant pairs of rows with different targets, score ties at a half, folded (TA-20). Counts per (score,
-    target) are ordered within each pair of score groups, so the score should have few levels."""
-    per = df.groupBy(F.col(score).alias("s"), F.col(target).alias("t")).agg(F.count("*").alias("n"))
-    levels = per.groupBy("s").agg(F.lit(1).alias("x")).select(F.col("s").alias("s2"))
-    # for every score level, the cumulative count by target of every other level: levels are few
-    spread = per.join(levels, F.col("s2") >= F.col("s"))
-    below = spread.select("s2", "s", "t", "n")
-    joined = per.select(F.col("s").alias("s2"), F.col("t").alias("t2"), F.col("n").alias("n2"))
-    lower = below.groupBy("s2", "s", "t").agg(F.sum("n").alias("n"))
-    both = lower.withColumn("n2", F.lit(0)).select("s2", "s", "t", "n", "n2").unionByName(joined.join(levels.select(F.col("s2").alias("s")), F.col("s") <= F.col("s2")).select("s2", "s", F.col("t2").alias("t"), F.lit(0).alias("n"), "n2"))
-    cells = both.groupBy("s2", "s", "t").agg(F.sum("n").alias("n"), F.sum("n2").alias("n2"))
-    w = Window.partitionBy("s2", "s").orderBy("t")
-    cells = cells.withColumns({"less": F.sum("n").over(w) - F.col("n"), "all": F.sum("n").over(Window.partitionBy("s2", "s"))})
-    win, lose = F.sum(F.col("n2") * F.col("less")), F.sum(F.col("n2") * (F.col("all") - F.col("less") - F.col("n")))
-    per_pair = cells.groupBy("s2", "s").agg(win.alias("win"), lose.alias("lose"))
-    tie = F.col("s2") == F.col("s")
-    one = per_pair.agg(F.sum(F.when(tie, F.col("win") * 0.5 + F.lit(0.0)).otherwise(F.col("win"))).alias("good"), F.sum(F.when(tie, F.col("win")).otherwise(F.col("win") + F.col("lose"))).alias("pairs"))
-    auc = F.col("good") / F.nullif(F.col("pairs"), F.lit(0))
+    """Share of concordant pairs of rows with different targets, score ties at a half, folded (TA-20). Null scores and targets
+    take no part.
+
+    Scores are numbered in their order. Two different numbers agree above their highest differing bit, so each pair of cells
+    (score, target) meets exactly once, under that bit and the bits above it, the lower score with a 0 and the higher with
+    a 1; there running counts in the order of targets tell how many pairs agree. Rows grow as cells x bits of the number of scores,
+    and no two levels are joined."""
+    per = materialise(df.select(F.col(score).alias("s"), F.col(target).alias("t")).where("s is not null and t is not null").groupBy("s", "t").agg(F.count("*").alias("n")), "concordance")
+    number = cumulative(per.select("s").distinct().withColumn("one", F.lit(1)), ["s"], {"r": "one"}).select("s", F.col("r").cast("long").alias("r"))
+    bits = max(1, per.agg(F.count_distinct("s")).first()[0].bit_length())
+    at = F.explode(F.array(*[F.struct(F.lit(k).alias("bit"), F.shiftright("r", k + 1).alias("above"), F.shiftright("r", k).bitwiseAND(F.lit(1)).alias("high")) for k in range(bits + 1)])).alias("b")
+    cells = per.join(number, "s").select("t", "n", at).groupBy("b.bit", "b.above", "t").agg(F.sum(F.when(F.col("b.high") == 0, F.col("n")).otherwise(0)).alias("low"), F.sum(F.when(F.col("b.high") == 1, F.col("n")).otherwise(0)).alias("high"))
+    c = cumulative(cells, ["t"], {"upto": "low"}, ["bit", "above"])
+    high = F.col("high").cast("double")
+    apart = c.agg(F.sum(high * (F.col("upto") - F.col("low"))).alias("agree"), F.sum(high * (F.col("upto_total") - F.col("upto"))).alias("disagree"))
+    same = per.groupBy("s").agg(F.sum("n").cast("double").alias("all"), F.sum(F.col("n").cast("double") * F.col("n")).alias("own")).agg((F.sum(F.col("all") * F.col("all") - F.col("own")) / 2).alias("ties"))
+    one = apart.crossJoin(F.broadcast(same))  # one row beside one row
+    auc = (F.col("agree") + F.col("ties") / 2) / F.nullif(F.col("agree") + F.col("disagree") + F.col("ties"), F.lit(0.0))
     return one.select(F.greatest(auc, 1 - auc).alias("auc"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -186,13 +187,28 @@ def chart_sample(df: DataFrame, order: list[str], rows: int = 400) -> DataFrame:
     return indexed(df, order).where(F.col("_index") % max(1, n // rows) == 0).drop("_index")
 
 
-def candidate_pairs(columns: DataFrame, top: int = 50) -> DataFrame:
-    """Pairs of numeric columns of a catalogue, those of like names first (DR-12)."""
-    from plumbline.functions.values import jaccard, name_tokens
+#: What a part of a column's name adds to the score of its pairs, and the parts of outcomes and of drivers.
+PAIR_WEIGHTS = {
+    "target": 6, "default": 6, "bad": 6, "pd": 6, "rating": 5, "score": 4, "risk": 4,
+    "leverage": 6, "coverage": 6, "debt": 5, "utilization": 5, "delinquency": 5, "exposure": 4, "ltv": 4,
+    "income": 2, "balance": 2, "revenue": 1,
+}
+OUTCOMES = ("target", "default", "bad", "pd", "rating", "score", "risk")
+DRIVERS = ("leverage", "coverage", "debt", "income", "utilization", "delinquency", "balance", "exposure", "ltv", "revenue")
 
-    c = columns.where(F.col("dtype").isin("double", "bigint", "int", "float")).select("column", name_tokens(F.col("column")).alias("t"))
-    pairs = c.alias("a").join(c.alias("b"), F.col("a.column") < F.col("b.column"))
-    return pairs.select(F.col("a.column").alias("a"), F.col("b.column").alias("b"), jaccard(F.col("a.t"), F.col("b.t")).alias("score")).orderBy(F.desc("score"), "a", "b").limit(top)
+
+def candidate_pairs(columns: DataFrame, excluded: list[str] | None = None, top: int = 50) -> DataFrame:
+    """Pairs of numeric columns of a catalogue (column, dtype) for tests of two variables, at most `top` (DR-12). Identifiers
+    and the columns `excluded` (dates, the target) take no part. A pair scores the weights of the parts in its names, and
+    5 more where it joins an outcome and a driver; shorter names go first among equals."""
+    name = F.lower("column")
+    usable = F.col("dtype").rlike("^(tinyint|smallint|int|bigint|float|double|decimal)") & ~name.endswith("id") & ~F.col("column").isin(excluded or [])
+    weight = reduce(Column.__add__, [F.when(F.contains(name, F.lit(part)), w).otherwise(0) for part, w in PAIR_WEIGHTS.items()])
+    c = columns.where(usable).select("column", weight.alias("w"))
+    pairs = c.alias("a").join(c.alias("b"), F.col("a.column") < F.col("b.column"))  # a table's columns
+    both = F.lower(F.concat_ws(" ", "a.column", "b.column"))
+    bonus = F.when(both.rlike("|".join(OUTCOMES)) & both.rlike("|".join(DRIVERS)), 5).otherwise(0)
+    return pairs.select(F.col("a.column").alias("a"), F.col("b.column").alias("b"), (F.col("a.w") + F.col("b.w") + bonus).alias("score")).orderBy(F.desc("score"), F.length("a") + F.length("b"), "a", "b").limit(top)
 
 
 _RANKS = """WITH r AS (SELECT rank() OVER (ORDER BY {a}) + (count(*) OVER (PARTITION BY {a}) - 1) / 2 AS ra, rank() OVER (ORDER BY {b}) + (count(*) OVER (PARTITION BY {b}) - 1) / 2 AS rb FROM {t}) SELECT round(corr(ra, rb), 6) AS r, count(*) AS n FROM r"""
@@ -245,11 +261,17 @@ def direction_chart_sample(spark, sf_dir):
     return chart_sample(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"])
 
 
-@query("direction_candidate_pairs")
+_NAMED = {"l_quantity": "leverage_coverage", "l_extendedprice": "debt_balance", "l_discount": "default_rate", "l_tax": "tax_income", "l_linenumber": "line", "l_partkey": "part_id"}
+
+
+@query("direction_candidate_pairs", f"""WITH w(part, w) AS (VALUES {', '.join(f"('{k}', {v})" for k, v in PAIR_WEIGHTS.items())}), d AS ({' UNION ALL '.join(f"SELECT '{n}' AS c, count(DISTINCT {k}) AS k FROM lineitem" for k, n in _NAMED.items() if n != 'part_id')} UNION ALL SELECT 'l_orderkey', count(DISTINCT l_orderkey) FROM lineitem UNION ALL SELECT 'l_suppkey', count(DISTINCT l_suppkey) FROM lineitem),
+ c AS (SELECT c, coalesce(sum(w), 0) AS w FROM d LEFT JOIN w ON contains(c, part) WHERE k > 1 GROUP BY c)
+ SELECT x.c AS a, y.c AS b, (x.w + y.w + CASE WHEN regexp_matches(x.c || ' ' || y.c, '{'|'.join(OUTCOMES)}') AND regexp_matches(x.c || ' ' || y.c, '{'|'.join(DRIVERS)}') THEN 5 ELSE 0 END)::INT AS score FROM c x JOIN c y ON x.c < y.c ORDER BY score DESC, length(a) + length(b), a, b LIMIT 12""")
 def direction_candidate_pairs(spark, sf_dir):
+    """Line items under names of credit data."""
     from plumbline.operators.profile import live_catalogue
 
-    return candidate_pairs(live_catalogue(table(spark, sf_dir, "lineitem"), "lineitem").where("distinct > 1"))
+    return candidate_pairs(live_catalogue(table(spark, sf_dir, "lineitem").withColumnsRenamed(_NAMED), "lineitem").where("distinct > 1"), top=12)
 
 
 @query("direction_segmented", """WITH x AS (SELECT NULL AS segment, l_quantity AS a, l_extendedprice AS b FROM lineitem UNION ALL SELECT l_returnflag, l_quantity, l_extendedprice FROM lineitem),

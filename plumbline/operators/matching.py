@@ -122,7 +122,7 @@ def ranked_matches(queries_: DataFrame, base: DataFrame, top: int = 3, aliases_:
     shared = q.join(b.withColumnRenamed("tf", "tf_b"), "w").join(idf, "w").groupBy("name", "entry").agg(F.sum(F.col("idf") * F.col("idf") * F.col("tf") * F.col("tf_b")).alias("dot"), F.sum(single).alias("k"))
     both = shared.join(norm(q, "name"), "name").join(norm(b, "entry"), "entry")
     score = 0.5 * F.col("k") / (F.col("name_n") + F.col("entry_n") - F.col("k")) + 0.5 * F.col("dot") / (F.col("name_norm") * F.col("entry_norm"))
-    rn = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("score"), "entry"))
+    rn = F.row_number().over(Window.partitionBy("name").orderBy(F.desc(F.round("score", 9)), "entry"))  # sums in any order
     found = both.select("name", "entry", score.alias("score")).withColumn("position", rn).where(F.col("position") <= top)
     out = queries_.select("name").distinct().join(found, "name", "left")
     return out.withColumn("status", F.when(F.col("entry").isNull(), "no_match").otherwise("candidate_match"))
@@ -182,10 +182,22 @@ def matching_entities(spark, sf_dir):
     return entity_tables(b).withColumn("table", F.col("table").cast("string"))
 
 
-@query("matching_accuracy")
+def _grams(rows: str) -> str:
+    spaced = r"regexp_replace(regexp_replace(x, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Za-z])([0-9])', '\\1 \\2', 'g')"
+    words = f"SELECT k, list_filter(regexp_split_to_array(lower({spaced}), '[^a-z0-9]+'), lambda y: y <> '') AS t FROM ({rows})"
+    return f"SELECT k, w, count(*) AS tf FROM (SELECT k, unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))) AS w FROM ({words})) GROUP BY 1, 2"
+
+
+@query("matching_accuracy", f"""WITH q AS ({_grams("SELECT item_id AS k, split_part(text, '.', 1) AS x FROM benchmark")}), b AS ({_grams("SELECT item_id AS k, text AS x FROM benchmark")}),
+ idf AS (SELECT w, ln(((SELECT count(DISTINCT item_id) FROM benchmark) + 1) / (count(*) + 1)) + 1 AS v, (NOT contains(w, ' '))::INT AS one FROM b GROUP BY w),
+ qn AS (SELECT k, sqrt(sum((v * tf) ** 2)) AS norm, sum((NOT contains(w, ' '))::INT) AS n FROM q LEFT JOIN idf USING (w) GROUP BY k), bn AS (SELECT k, sqrt(sum((v * tf) ** 2)) AS norm, sum(one) AS n FROM b JOIN idf USING (w) GROUP BY k),
+ s AS (SELECT q.k AS name, b.k AS entry, sum(v * v * q.tf * b.tf) AS dot, sum(one) AS shared FROM q JOIN b USING (w) JOIN idf USING (w) GROUP BY 1, 2),
+ r AS (SELECT name, entry, row_number() OVER (PARTITION BY name ORDER BY round(0.5 * shared / (qn.n + bn.n - shared) + 0.5 * dot / (qn.norm * bn.norm), 9) DESC, entry) AS position FROM s JOIN qn ON qn.k = name JOIN bn ON bn.k = entry),
+ h AS (SELECT item_id, CASE WHEN length(split_part(text, '.', 1)) > 40 THEN 'long' ELSE 'short' END AS category, coalesce(position = 1, false)::INT AS one, coalesce(position <= 3, false)::INT AS three FROM benchmark LEFT JOIN r ON name = item_id AND entry = item_id)
+ SELECT category, count(*) AS cases, round(avg(one), 6) AS top1, round(avg(three), 6) AS top3 FROM (SELECT category, one, three FROM h UNION ALL SELECT 'overall', one, three FROM h) GROUP BY 1""")
 def matching_accuracy(spark, sf_dir):
     """Benchmark passages looked up by their first sentence."""
     base = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("entry"), "text")
     q = base.select(F.col("entry").alias("name"), F.substring_index("text", ".", 1).alias("description"))
     truth = q.select("name", F.col("name").alias("expected"), F.when(F.length("description") > 40, "long").otherwise("short").alias("category"))
-    return accuracy(ranked_matches(q, base), truth)
+    return accuracy(ranked_matches(q, base), truth).withColumns({c: rounded(F.col(c)) for c in ("top1", "top3")})

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.quantiles import percentile_row
 from plumbline.functions.values import missing, rounded
 from plumbline.operators.profile import is_special
 from plumbline.plans.registry import query
@@ -153,7 +154,7 @@ def missing_rates(spark, sf_dir):
  SELECT round(e, 6) AS early, round(r, 6) AS recent, round(r - e, 6) AS change FROM m""")
 def missing_change(spark, sf_dir):
     df = labelled(spark, sf_dir)
-    middle = df.agg(F.percentile("doc_id", F.lit(0.5)).alias("m")).first().m
+    middle = percentile_row(df, F.col("doc_id"), [0.5])[0]
     out = change(df.withColumn("window", F.when(F.col("doc_id") < middle, "early").otherwise("recent")), "toxic")
     return out.select(*[rounded(F.col(c)).alias(c) for c in out.columns])
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.quantiles import percentiles
 from plumbline.functions.values import parse_period, period_key, period_ordinal, rounded
 from plumbline.plans.registry import query
 from plumbline.session import table
@@ -30,35 +31,52 @@ def calendar_gaps(rows: DataFrame, grain: str) -> DataFrame:
     return ends.select(F.explode(F.sequence("a", "b")).alias("ordinal")).join(seen, "ordinal", "left_anti").select("ordinal", period_key(F.col("ordinal"), grain).alias("period"))
 
 
-def required(rows: DataFrame) -> DataFrame:
-    """The observed span of each entity: one row for every period from its first to its last (CM-16, trap of the full grid)."""
-    spans = rows.where("invalid is null").groupBy("entity_key").agg(F.min("ordinal").alias("a"), F.max("ordinal").alias("b"))
-    return spans.select("entity_key", F.explode(F.sequence("a", "b")).alias("ordinal"))
+def spans(rows: DataFrame) -> DataFrame:
+    """First and last period of each entity (a, b) and the number of periods that it was seen in."""
+    return received(rows).groupBy("entity_key").agg(F.min("ordinal").alias("a"), F.max("ordinal").alias("b"), F.count("*").alias("seen"))
+
+
+def required(spans_: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """How many entities' spans cover each period, by group: one more from a start on, one less after an end, summed in the
+    order of periods (CM-16, trap of the full grid). No row an entity and period is made, so a wild date costs nothing."""
+    by = by or []
+    steps = F.explode(F.array(F.struct(F.col("a").alias("ordinal"), F.lit(1).alias("step")), F.struct((F.col("b") + 1).alias("ordinal"), F.lit(-1).alias("step")))).alias("r")
+    per = spans_.select(*by, steps).groupBy(*by, "r.ordinal").agg(F.sum("r.step").alias("step"))
+    order = Window.partitionBy(*by).orderBy("ordinal")  # one row a period
+    open_ = per.withColumns({"required": F.sum("step").over(order), "until": F.lead("ordinal").over(order) - 1}).where("required > 0")
+    return open_.select(*by, F.explode(F.sequence("ordinal", "until")).alias("ordinal"), "required")
 
 
 def received(rows: DataFrame) -> DataFrame:
     return rows.where("invalid is null").select("entity_key", "ordinal").distinct()
 
 
+def covered(need: DataFrame, got: DataFrame, by: list[str], grain: str) -> DataFrame:
+    """Required and received numbers side by side, with the share and the period's label."""
+    both = need.join(got.groupBy(*by).agg(F.count("*").alias("received")), by, "left").withColumn("received", F.coalesce("received", F.lit(0)))
+    return both.withColumns({"period": period_key(F.col("ordinal"), grain), "coverage": F.col("received") / F.col("required")})
+
+
 def period_coverage(rows: DataFrame, grain: str, floor: float = FLOOR) -> DataFrame:
     """Required, received, coverage and verdict of each period (CM-16)."""
-    got = received(rows).withColumn("got", F.lit(1))
-    per = required(rows).join(got, ["entity_key", "ordinal"], "left").groupBy("ordinal").agg(F.count("*").alias("required"), F.count("got").alias("received"))
-    return per.withColumns({"period": period_key(F.col("ordinal"), grain), "coverage": F.col("received") / F.col("required")}).withColumn("passed", F.col("coverage") >= floor)
+    return covered(required(spans(rows)), received(rows), ["ordinal"], grain).withColumn("passed", F.col("coverage") >= floor)
 
 
 def missing_pairs(rows: DataFrame) -> DataFrame:
-    """Required entity-period pairs that were not received (JN-2)."""
-    return required(rows).join(received(rows), ["entity_key", "ordinal"], "left_anti")
+    """Required entity-period pairs that were not received: the periods between two neighbouring ones (JN-2)."""
+    before = F.lag("ordinal").over(Window.partitionBy("entity_key").orderBy("ordinal"))
+    gaps = received(rows).withColumn("before", before).where("ordinal > before + 1")
+    return gaps.select("entity_key", F.explode(F.sequence(F.col("before") + 1, F.col("ordinal") - 1)).alias("ordinal"))
 
 
 def continuity(rows: DataFrame) -> DataFrame:
     """Portfolio coverage, missing pairs, entities and periods with gaps (CM-18)."""
-    got = received(rows).withColumn("got", F.lit(1))
-    both = required(rows).join(got, ["entity_key", "ordinal"], "left")
-    lost = F.col("got").isNull()
-    one = both.agg(F.count("*").alias("required"), F.count("got").alias("received"), F.count_distinct(F.when(lost, F.col("entity_key"))).alias("entities_with_gaps"), F.count_distinct(F.when(lost, F.col("ordinal"))).alias("periods_with_gaps"))
-    return one.withColumns({"missing": F.col("required") - F.col("received"), "coverage": F.col("received") / F.nullif(F.col("required"), F.lit(0))})
+    own, zero = spans(rows), F.lit(0)
+    length = F.col("b").cast("long") - F.col("a") + 1
+    entities = own.agg(F.coalesce(F.sum(length), zero).alias("required"), F.coalesce(F.sum("seen"), zero).alias("received"), F.count_if(F.col("seen") < length).alias("entities_with_gaps"))
+    periods = covered(required(own), received(rows), ["ordinal"], "month").agg(F.count_if(F.col("received") < F.col("required")).alias("periods_with_gaps"))
+    one = entities.crossJoin(F.broadcast(periods))  # one row beside one row
+    return one.withColumns({"missing": F.col("required") - F.col("received"), "coverage": F.col("received") / F.nullif(F.col("required"), zero)})
 
 
 def duplicates(rows: DataFrame, values: list[str]) -> DataFrame:
@@ -70,10 +88,10 @@ def duplicates(rows: DataFrame, values: list[str]) -> DataFrame:
 
 def segment_cells(rows: DataFrame, segment: str, grain: str) -> DataFrame:
     """Coverage per segment and period over the entities whose segment never changes (CM-19)."""
-    stable = rows.where("invalid is null").groupBy("entity_key").agg(F.min(segment).alias("segment"), F.max(segment).alias("other"), F.count_if(F.col(segment).isNull()).alias("nulls")).where("segment = other and nulls = 0").select("entity_key", "segment")
-    got = received(rows).withColumn("got", F.lit(1))
-    cells = required(rows).join(stable, "entity_key").join(got, ["entity_key", "ordinal"], "left")
-    return cells.groupBy("segment", "ordinal").agg(F.count("*").alias("required"), F.count("got").alias("received")).withColumn("coverage", F.col("received") / F.col("required")).withColumn("period", period_key(F.col("ordinal"), grain))
+    valid = rows.where("invalid is null")
+    stable = valid.groupBy("entity_key").agg(F.min(segment).alias("segment"), F.max(segment).alias("other"), F.count_if(F.col(segment).isNull()).alias("nulls"), F.min("ordinal").alias("a"), F.max("ordinal").alias("b")).where("segment = other and nulls = 0")
+    got = valid.groupBy("entity_key", "ordinal").agg(F.min(segment).alias("segment")).join(stable.select("entity_key"), "entity_key", "left_semi")
+    return covered(required(stable, ["segment"]), got, ["segment", "ordinal"], grain)
 
 
 def peer_coverage(cells: DataFrame) -> DataFrame:
@@ -122,7 +140,14 @@ def resolution(cases_: DataFrame, finished: list[str], by: list[str], floor: flo
 def loss_by_vintage(cases_: DataFrame, loss: str, finished: list[str], tolerance: float = 0.1) -> DataFrame:
     """Mean and median loss, stamped CENSORED where too many cases are open (VR-4)."""
     open_ = F.avg((~F.col("last_status").isin(finished)).cast("int"))
-    return cases_.groupBy("vintage").agg(F.avg(loss).alias("mean"), F.percentile(loss, F.lit(0.5)).alias("median"), open_.alias("open_share")).withColumn("stamp", F.when(F.col("open_share") > tolerance, "CENSORED"))
+    per = cases_.groupBy("vintage").agg(F.avg(loss).alias("mean"), open_.alias("open_share"))
+    return with_median(per, cases_, "vintage", loss, "median").withColumn("stamp", F.when(F.col("open_share") > tolerance, "CENSORED"))
+
+
+def with_median(per: DataFrame, rows: DataFrame, by: str, value: str, name: str) -> DataFrame:
+    """`per`, one row a group, with the exact median of `value` over the group's rows."""
+    medians = percentiles(rows, {value: F.col(value)}, [0.5], [by]).select(F.col(by).alias("_by"), F.col("q")[0].alias(name))
+    return per.join(medians, F.col(by).eqNullSafe(F.col("_by")), "left").drop("_by")
 
 
 def mix_gap(cases_: DataFrame, flag: str) -> DataFrame:
@@ -140,19 +165,27 @@ def stale_open(cases_: DataFrame, finished: list[str], as_of: str, months: int,
 
 def median_gap(cases_: DataFrame, value: str) -> DataFrame:
     """Each vintage's median less the pooled median (VR-8)."""
-    pooled = cases_.agg(F.percentile(value, F.lit(0.5)).alias("pooled"))
-    return cases_.groupBy("vintage").agg(F.percentile(value, F.lit(0.5)).alias("median")).crossJoin(F.broadcast(pooled)).withColumn("gap", F.col("median") - F.col("pooled"))  # one row beside each
+    pooled = percentiles(cases_, {value: F.col(value)}, [0.5]).agg(F.max(F.col("q")[0]).alias("pooled"))
+    per = with_median(cases_.select("vintage").distinct(), cases_, "vintage", value, "median")
+    return per.crossJoin(F.broadcast(pooled)).withColumn("gap", F.col("median") - F.col("pooled"))  # one row beside each
 
 
 def later_event(cured: DataFrame, events: DataFrame, entity: str, at: str, months: int) -> DataFrame:
-    """Rows of `cured` (entity, at) followed within `months` by an event of the same entity: an interval semi join (VR-10, JN-6)."""
-    e = events.select(F.col(entity).alias("_e"), F.col(at).alias("_at"))
-    return cured.join(e, (F.col(entity) == F.col("_e")) & (F.col("_at") > F.col(at)) & (F.col("_at") <= F.add_months(F.col(at), months)), "left_semi")
+    """Rows of `cured` (entity, at) followed within `months` by an event of the same entity: an interval semi join (VR-10,
+    JN-6). Rows meet events by entity and stretch of `months` months, an event in its own stretch and the one before, so a
+    busy entity is spread over its stretches."""
+    def stretch(c):
+        return F.floor((F.year(c) * 12 + F.month(c)) / max(months, 1))
+
+    e = events.select(F.col(entity).alias("_e"), F.col(at).alias("_at")).distinct().withColumn("_s", F.explode(F.array(stretch("_at"), stretch("_at") - 1)))
+    near = (F.col(entity) == F.col("_e")) & (stretch(at) == F.col("_s")) & (F.col("_at") > F.col(at)) & (F.col("_at") <= F.add_months(F.col(at), months))
+    return cured.join(e, near, "left_semi")
 
 
 def longest_segment(df: DataFrame, entity: str, segment: str, date: str, least: int = 20) -> DataFrame:
     """The segment with the longest median observation, among those with enough entities (VR-11)."""
-    per = df.groupBy(entity, segment).agg(F.datediff(F.max(date), F.min(date)).alias("days")).groupBy(F.col(segment).alias("segment")).agg(F.percentile("days", F.lit(0.5)).alias("median_days"), F.count("*").alias("entities"))
+    own = df.groupBy(entity, F.col(segment).alias("segment")).agg(F.datediff(F.max(date), F.min(date)).alias("days"))
+    per = with_median(own.groupBy("segment").agg(F.count("*").alias("entities")), own, "segment", "days", "median_days")
     return per.where(F.col("entities") >= least).agg(F.max_by("segment", F.struct("median_days", "segment")).alias("segment"), F.max("median_days").alias("median_days"))
 
 

@@ -49,6 +49,11 @@ def split(df: DataFrame, column: str, spec: dict, nulls: str = "exclude", specia
     return df.withColumn("population", side)
 
 
+def pooled(baseline: DataFrame, current: DataFrame) -> DataFrame:
+    """Two populations as one, with a column that names the side; a column of one side only is null on the other (SO-1)."""
+    return baseline.withColumn("population", F.lit("baseline")).unionByName(current.withColumn("population", F.lit("current")), allowMissingColumns=True)
+
+
 def preview(populated: DataFrame) -> DataFrame:
     """Rows and share of each side, with a warning below 30 rows or a tenth (PF-5)."""
     per = populated.where("population is not null").groupBy("population").agg(F.count("*").alias("rows"))
@@ -173,3 +178,10 @@ def population_eligible(spark, sf_dir):
     from plumbline.operators.profile import classify
 
     return eligible(classify(table(spark, sf_dir, "lineitem"), ["l_tax", "l_returnflag"]), ["numerical", "binary"])
+
+
+@query("population_pooled", """SELECT population, count(*) AS rows, count(o_totalprice) AS priced, round(avg(o_totalprice), 2) AS mean FROM (SELECT 'baseline' AS population, o_totalprice FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01' UNION ALL SELECT 'current', NULL FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01') GROUP BY 1""")
+def population_pooled(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    both = pooled(o.where("o_orderdate < timestamp'1998-01-01'"), o.where("o_orderdate >= timestamp'1998-01-01'").drop("o_totalprice"))
+    return both.groupBy("population").agg(F.count("*").alias("rows"), F.count("o_totalprice").alias("priced"), rounded(F.avg("o_totalprice"), 2).alias("mean"))

@@ -64,17 +64,24 @@ def usage(events: DataFrame, by: list[str], unit: str | None = None) -> DataFram
 
 
 def durations(events: DataFrame, start: str, end: str) -> DataFrame:
-    """Time from the last start of an object to its end, per object (RS-10, JN-9)."""
+    """Seconds from the last start of an object to each of its ends (RS-10, JN-9); objects without a start give no row."""
     s = events.where(F.col("event_type") == start).groupBy("object_id").agg(F.max("at").alias("started"))
-    e = events.where(F.col("event_type") == end).groupBy("object_id").agg(F.max("at").alias("ended"))
-    return s.join(e, "object_id").where("ended >= started").select("object_id", (F.unix_seconds(F.col("ended").cast("timestamp")) - F.unix_seconds(F.col("started").cast("timestamp"))).alias("seconds"))
+    e = events.where(F.col("event_type") == end).select("object_id", F.col("at").alias("ended"))
+    return e.join(s, "object_id").select("object_id", (F.unix_seconds(F.col("ended").cast("timestamp")) - F.unix_seconds(F.col("started").cast("timestamp"))).alias("seconds"))
 
 
-def ratios(events: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
-    """Named ratios of event counts: overrides to suggestions, reruns to replacements (RS-10)."""
-    kinds = sorted({k for p in pairs.values() for k in p})
-    one = events.agg(*[F.count_if(F.col("event_type") == k).alias(k) for k in kinds])
-    return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("measure"), (F.col(a) / F.nullif(F.col(b), F.lit(0))).alias("ratio")) for n, (a, b) in pairs.items()])).alias("r")).select("r.*")
+def ratios(events: DataFrame, measures: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """Named ratios of counts of events, each with the condition of what is counted and of what it is counted against: reuse
+    depth, overrides, reruns after replacements (RS-10). Nothing to count against gives 0."""
+    counts = [c for i, (a, b) in enumerate(measures.values()) for c in (F.count_if(a).alias(f"a{i}"), F.count_if(b).alias(f"b{i}"))]
+    rows = [F.struct(F.lit(n).alias("measure"), F.col(f"a{i}").alias("counted"), F.col(f"b{i}").alias("against"), F.coalesce(F.col(f"a{i}") / F.nullif(F.col(f"b{i}"), F.lit(0)), F.lit(0.0)).alias("ratio")) for i, n in enumerate(measures)]
+    return events.agg(*counts).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def trend(events: DataFrame, kinds: dict[str, str], unit: str = "day") -> DataFrame:
+    """Counts of some kinds of events (name -> event type) side by side, by day, week or month; only buckets with one (RS-10)."""
+    own = events.where(F.col("event_type").isin(list(kinds.values())))
+    return own.groupBy(F.date_trunc(unit, "at").cast("date").cast("string").alias("bucket")).agg(*[F.count_if(F.col("event_type") == k).alias(n) for n, k in kinds.items()])
 
 
 def sessions(events: DataFrame, by: list[str], at: str, minutes: int) -> DataFrame:
@@ -212,14 +219,24 @@ def rollup_usage_detail(spark, sf_dir):
     return usage(usage_events(spark, sf_dir), ["object_id", "event_type"])
 
 
-@query("rollup_durations", """WITH e AS (SELECT *, (props->>'$.k')::INT AS o FROM events), s AS (SELECT o, max(ts) AS a FROM e WHERE event_type = 'view' GROUP BY 1), x AS (SELECT o, max(ts) AS b FROM e WHERE event_type = 'click' GROUP BY 1) SELECT o AS object_id, (floor(epoch_us(b) / 1e6) - floor(epoch_us(a) / 1e6))::BIGINT AS seconds FROM s JOIN x USING (o) WHERE b >= a""")
+@query("rollup_durations", """WITH e AS (SELECT *, (props->>'$.k')::INT AS o FROM events), s AS (SELECT o, max(ts) AS a FROM e WHERE event_type = 'view' GROUP BY 1) SELECT o AS object_id, count(*) AS ends, round(avg(floor(epoch_us(ts) / 1e6) - floor(epoch_us(a) / 1e6)), 3) AS mean_seconds FROM s JOIN e USING (o) WHERE event_type = 'click' GROUP BY 1""")
 def rollup_durations(spark, sf_dir):
-    return durations(usage_events(spark, sf_dir), "view", "click")
+    return durations(usage_events(spark, sf_dir), "view", "click").groupBy("object_id").agg(F.count("*").alias("ends"), rounded(F.avg("seconds"), 3).alias("mean_seconds"))
+
 
+_RATIO = "SELECT '{n}' AS measure, count(*) FILTER (WHERE {a}) AS counted, count(*) FILTER (WHERE {b}) AS against, coalesce(round(count(*) FILTER (WHERE {a}) / nullif(count(*) FILTER (WHERE {b}), 0), 6), 0) AS ratio FROM events"
 
-@query("rollup_ratios", """SELECT 'errors_per_view' AS measure, round(count(*) FILTER (WHERE event_type = 'error') / count(*) FILTER (WHERE event_type = 'view'), 6) AS ratio FROM events UNION ALL SELECT 'clicks_per_view', round(count(*) FILTER (WHERE event_type = 'click') / count(*) FILTER (WHERE event_type = 'view'), 6) FROM events""")
+
+@query("rollup_ratios", " UNION ALL ".join(_RATIO.format(n=n, a=a, b=b) for n, a, b in (("reuse_depth", "event_type = 'click'", "event_type = 'view'"), ("override_rate", "event_type IN ('error', 'click')", "event_type IN ('error', 'click', 'view')"), ("rerun_rate", "event_type = 'view' AND (props->>'$.k')::INT < 10", "event_type = 'view'"), ("never", "event_type = 'view'", "event_type = 'none'"))))
 def rollup_ratios(spark, sf_dir):
-    return ratios(usage_events(spark, sf_dir), {"errors_per_view": ("error", "view"), "clicks_per_view": ("click", "view")}).withColumn("ratio", rounded(F.col("ratio")))
+    kind = F.col("event_type")
+    measures = {"reuse_depth": (kind == "click", kind == "view"), "override_rate": (kind.isin("error", "click"), kind.isin("error", "click", "view")), "rerun_rate": ((kind == "view") & (F.col("object_id") < 10), kind == "view"), "never": (kind == "view", kind == "none")}
+    return ratios(usage_events(spark, sf_dir), measures).withColumn("ratio", rounded(F.col("ratio")))
+
+
+@query("rollup_trend", """SELECT ts::DATE::VARCHAR AS bucket, count(*) FILTER (WHERE event_type = 'view') AS bound, count(*) FILTER (WHERE event_type = 'click') AS created FROM events WHERE event_type IN ('view', 'click') GROUP BY 1""")
+def rollup_trend(spark, sf_dir):
+    return trend(usage_events(spark, sf_dir), {"bound": "view", "created": "click"})
 
 
 @query("rollup_sessions", """WITH g AS (SELECT event_id, user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > 1800000000 THEN 1 ELSE 0 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)) SELECT user_id, count(*) AS events, sum(n)::BIGINT AS sessions FROM g GROUP BY 1""")

@@ -404,3 +404,42 @@ def test_scope_plan_needs_one_column_a_role(spark):
     got = {r[0]: tuple(r)[1:] for r in semantics.scope_plan(entries, bound, spark.createDataFrame([("d",)], "name string")).collect()}
     ready = ("READY_FOR_EVALUATION", "", "")
     assert got == {"e1": ready, "e2": ("UNSCOPED", "b", ""), "e3": ("UNSCOPED", "c", "x"), "e4": ready}
+
+
+def test_panel_with_a_wild_date_and_an_entity_of_many_periods(spark):
+    rows = [("A", f"2025-{m:02d}") for m in (1, 2, 5)] + [("B", "2025-02"), ("B", "9025-02"), ("C", "2025-05"), ("C", "2025-05")]
+    p = panel.prepared(spark.createDataFrame(rows, "e string, p string"), "e", "p", "month")
+    one = panel.continuity(p).first()
+    want = {("A", m) for m in range(1, 6)} | {("B", m) for m in range(2, 7000 * 12 + 3)} | {("C", 5)}
+    assert (one.required, one.received, one.entities_with_gaps) == (len(want), 6, 2)
+    assert one.periods_with_gaps == 2 + 1 + 7000 * 12 - 4  # March, April, A's May (B lacks it), and B's until 9025-01
+    per = {r.period: (r.required, r.received) for r in panel.period_coverage(p, "month").collect()}
+    assert (per["2025-01"], per["2025-02"], per["2025-05"], per["9025-02"]) == ((1, 1), (2, 2), (3, 2), (1, 1)) and len(per) == 7000 * 12 + 2
+    assert panel.missing_pairs(p).count() == one.missing
+    empty = panel.continuity(p.where("e = 'none'")).first()
+    assert (empty.required, empty.received, empty.periods_with_gaps, empty.coverage) == (0, 0, 0, None)
+
+
+def test_later_event_by_stretches_equals_all_pairs(spark):
+    import random
+
+    r = random.Random(3)
+    days = lambda n: [(r.choice("ab"), f"20{r.randint(10, 13)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}") for _ in range(n)]
+    a, b = (spark.createDataFrame(days(n), "e string, d string").selectExpr("e", "date(d) AS d") for n in (60, 40))
+    for months in (1, 5, 12):
+        got = sorted(map(tuple, panel.later_event(a, b, "e", "d", months).collect()))
+        a.createOrReplaceTempView("_a"), b.createOrReplaceTempView("_b")
+        want = spark.sql(f"SELECT * FROM _a WHERE EXISTS (SELECT 1 FROM _b WHERE _b.e = _a.e AND _b.d > _a.d AND _b.d <= add_months(_a.d, {months}))")
+        assert got == sorted(map(tuple, want.collect())) and got
+
+
+def test_concordance_equals_all_pairs(spark):
+    import random
+
+    r = random.Random(5)
+    for levels in (1, 2, 9, 200):
+        rows = [(float(r.randint(1, levels)), r.randint(0, 6)) for _ in range(150)] + [(None, 1), (1.0, None)]
+        whole = [x for x in rows if None not in x]
+        scores = [0.5 if a[0] == b[0] else float(a[0] > b[0]) for a in whole for b in whole if a[1] > b[1]]
+        want = sum(scores) / len(scores)
+        assert abs(association.concordance(spark.createDataFrame(rows, "s double, t int"), "s", "t").first().auc - max(want, 1 - want)) < 1e-9
