@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Texts read as missing, and the accepted date formats with the shape of their texts.
 MISSING_TEXTS = ("", "nan", "none", "null", "na", "n/a")
@@ -20,20 +21,34 @@ DATE_FORMATS = {
 }
 
 
-def missing(c: Column) -> Column:
+def kinds(schema: T.StructType) -> dict[str, str]:
+    """The columns that are numbers or dates by their type; their values need no parsing."""
+    number_ = {f.name: "number" for f in schema if isinstance(f.dataType, T.NumericType)}
+    return number_ | {f.name: "date" for f in schema if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))}
+
+
+def missing(c: Column, kind: str | None = None) -> Column:
     """Null, NaN or a text that stands for nothing."""
+    if kind == "number":
+        return c.isNull() | F.isnan(c.cast("double"))
+    if kind == "date":
+        return c.isNull()
     return c.isNull() | F.lower(F.trim(c.cast("string"))).isin(*MISSING_TEXTS)
 
 
-def number(c: Column) -> Column:
+def number(c: Column, kind: str | None = None) -> Column:
     """As double; null where missing or unparseable."""
-    x = c.cast("string").try_cast("double")
-    return F.when(missing(c) | F.isnan(x), None).otherwise(x)
+    if kind == "date":
+        return F.lit(None).cast("double")
+    x = c.cast("double") if kind == "number" else c.cast("string").try_cast("double")
+    return F.when(missing(c, kind) | F.isnan(x), None).otherwise(x)
 
 
-def date(c: Column) -> Column:
+def date(c: Column, kind: str | None = None) -> Column:
     """As date by the accepted format that has the text's shape; null elsewhere. A format is only tried on texts of its
-    shape, since a failing parse is dear; texts of dates and timestamps are cast."""
+    shape, since a failing parse is dear; dates and timestamps are cast, by their type or their text."""
+    if kind == "date":
+        return c.cast("date")
     text = F.trim(c.cast("string"))
     out = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}( \d{2}:\d{2}:\d{2})?$"), text.try_cast("timestamp").cast("date"))
     for f, shape in DATE_FORMATS.items():

@@ -143,6 +143,17 @@ def applicable(library: DataFrame, columns: DataFrame) -> DataFrame:
     return needs.join(have, "logical_type", "left").groupBy("test").agg((F.count("*") == F.count("have")).alias("applicable"))
 
 
+def populated_columns(spark, sf_dir, names=("orders", "customer")) -> DataFrame:
+    """(table, column) of the columns that hold a value in any row."""
+    from functools import reduce
+
+    def one(t):
+        df = table(spark, sf_dir, t)
+        return df.agg(F.array_compact(F.array(*[F.when(F.count(c) > 0, F.lit(c)) for c in df.columns])).alias("c")).select(F.lit(t).alias("table"), F.explode("c").alias("column"))
+
+    return reduce(DataFrame.unionByName, map(one, names))
+
+
 def column_types(spark, sf_dir, names=("orders", "customer")) -> DataFrame:
     """(table, column, logical_type) of whole tables, by their values."""
     from functools import reduce
@@ -161,7 +172,7 @@ def matching_vocabulary(spark, sf_dir):
 @query("matching_dictionary", """SELECT * FROM (VALUES ('orders', 'O_ORDERKEY', 'o_orderkey', 'exact', 1.0), ('orders', 'o_order_date', 'o_orderdate', 'suggested', 0.956522), ('orders', 'zzz', NULL, 'below_floor', NULL)) v("table", name, "column", kind, score) WHERE (SELECT count(*) FROM orders) > 0""")
 def matching_dictionary(spark, sf_dir):
     d = spark.createDataFrame([("orders", "O_ORDERKEY", 0), ("orders", "o_order_date", 1), ("orders", "zzz", 2)], "table string, name string, position int")
-    return dictionary_mapping(d, column_types(spark, sf_dir)).withColumn("score", rounded(F.col("score")))
+    return dictionary_mapping(d, populated_columns(spark, sf_dir)).withColumn("score", rounded(F.col("score")))
 
 
 @query("matching_roles", """SELECT * FROM (VALUES ('customer', 'customer', 'c_custkey', 1.0), ('date', 'orders', 'o_orderdate', 1.0), ('segment', 'customer', 'c_mktsegment', 1.0)) v(role, "table", "column", score) WHERE (SELECT count(*) FROM orders) > 0""")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.quantiles import percentile_row, percentiles
-from plumbline.functions.values import rounded, similarity
+from plumbline.functions.values import kinds, rounded, similarity
 from plumbline.plans.registry import query
 from plumbline.session import table
 
@@ -74,9 +74,10 @@ def counts(df: DataFrame, columns: list[str], specials: dict[str, list] | None =
 
 def numeric(df: DataFrame, columns: list[str]) -> DataFrame:
     """Numeric block: parse failures, zeros, negatives, moments, percentiles (AG-2, 3, 5)."""
-    aggregates = []
+    typed, aggregates = kinds(df.schema), []
+    parsed = {c: F.col(c).cast("double") if typed.get(c) == "number" else F.col(c).cast("string").try_cast("double") for c in columns}
     for c in columns:
-        x = F.col(c).cast("string").try_cast("double")
+        x = parsed[c]
         fine = F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
         flat = F.var_pop(fine) == 0
         for name, value in {
@@ -86,7 +87,6 @@ def numeric(df: DataFrame, columns: list[str]) -> DataFrame:
         }.items():
             aggregates.append(value.alias(f"{name}__{c}"))
     long = _stack(df.agg(*aggregates), columns, ["parse_failures", "finite", "zeros", "negatives", "low", "high", "mean", "variance", "std", "skew", "kurt"])
-    parsed = {c: F.col(c).cast("string").try_cast("double") for c in columns}
     ranks = percentiles(df, {c: F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x) for c, x in parsed.items()}, list(PERCENTILES))
     long = long.join(ranks.withColumnRenamed("q", "percentiles"), "column", "left")
     named = {f"p{int(p * 100):02d}": F.get("percentiles", F.lit(i)) for i, p in enumerate(PERCENTILES)}

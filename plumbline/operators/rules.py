@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.values import date, missing, number, rounded
+from plumbline.functions.values import date, kinds, missing, number, rounded
 from plumbline.plans.registry import query
 from plumbline.session import table
 
@@ -21,69 +21,70 @@ SEVERITIES = ("CRITICAL", "MATERIAL", "MINOR")
 LIFT, COVERAGE = 3.0, 0.5
 
 
-def ineq(a: str, op: str, b, tol: float = 0.0, factor: float = 1.0, offset: float = 0.0) -> Column:
+def ineq(a: str, op: str, b, tol: float = 0.0, factor: float = 1.0, offset: float = 0.0, types: dict | None = None) -> Column:
     """a op b * factor + offset; b is a column, or '#n' or a number for a literal (RL-1)."""
-    right = F.lit(float(str(b).lstrip("#"))) if not isinstance(b, str) or b.startswith("#") else number(F.col(b))
-    left, right = number(F.col(a)), right * factor + offset
+    right = F.lit(float(str(b).lstrip("#"))) if not isinstance(b, str) or b.startswith("#") else number(F.col(b), (types or {}).get(b))
+    left, right = number(F.col(a), (types or {}).get(a)), right * factor + offset
     ops = {">=": left >= right - tol, "<=": left <= right + tol, ">": left > right - tol, "<": left < right + tol, "==": F.abs(left - right) <= tol, "!=": F.abs(left - right) > tol}
     return ops[op]
 
 
-def dateorder(earlier: str, later: str, allow_equal: bool = True) -> Column:
-    a, b = date(F.col(earlier)), date(F.col(later))
+def dateorder(earlier: str, later: str, allow_equal: bool = True, types: dict | None = None) -> Column:
+    a, b = date(F.col(earlier), (types or {}).get(earlier)), date(F.col(later), (types or {}).get(later))
     return a <= b if allow_equal else a < b
 
 
-def formula(operands: list, op: str, factor: float = 1.0, offset: float = 0.0) -> Column:
+def formula(operands: list, op: str, factor: float = 1.0, offset: float = 0.0, types: dict | None = None) -> Column:
     """Operands joined by one operator; a zero divisor gives null (RL-3)."""
-    cols = [F.lit(float(x.lstrip("#"))) if isinstance(x, str) and x.startswith("#") else number(F.col(x)) for x in operands]
+    cols = [F.lit(float(x.lstrip("#"))) if isinstance(x, str) and x.startswith("#") else number(F.col(x), (types or {}).get(x)) for x in operands]
     ops = {"+": lambda x, y: x + y, "-": lambda x, y: x - y, "*": lambda x, y: x * y, "/": lambda x, y: x / F.nullif(y, F.lit(0.0))}
     return reduce(ops[op], cols) * factor + offset
 
 
-def identity(target: str, operands: list, op: str, tol: float = 0.0, factor: float = 1.0, offset: float = 0.0) -> Column:
-    return F.abs(number(F.col(target)) - formula(operands, op, factor, offset)) <= tol
+def identity(target: str, operands: list, op: str, tol: float = 0.0, factor: float = 1.0, offset: float = 0.0, types: dict | None = None) -> Column:
+    return F.abs(number(F.col(target), (types or {}).get(target)) - formula(operands, op, factor, offset, types)) <= tol
 
 
-def dom_range(col: str, lo=None, hi=None) -> Column:
-    x = number(F.col(col))
+def dom_range(col: str, lo=None, hi=None, types: dict | None = None) -> Column:
+    x = number(F.col(col), (types or {}).get(col))
     out = x.isNotNull() | F.lit(None)
     if lo is not None:
         out = out & (x >= lo)
     return out & (x <= hi) if hi is not None else out
 
 
-def dom_set(col: str, allowed: list) -> Column:
+def dom_set(col: str, allowed: list, types: dict | None = None) -> Column:
     texts, numbers = [str(v).strip() for v in allowed], [float(v) for v in allowed if str(v).replace(".", "", 1).lstrip("-").isdigit()]
     hit = F.trim(F.col(col).cast("string")).isin(texts)
     if numbers:
-        hit = hit | F.coalesce(number(F.col(col)).isin(numbers), F.lit(False))
-    return F.when(~missing(F.col(col)), hit)
+        hit = hit | F.coalesce(number(F.col(col), (types or {}).get(col)).isin(numbers), F.lit(False))
+    return F.when(~missing(F.col(col), (types or {}).get(col)), hit)
 
 
-def presence(cols: list[str], must: str = "all") -> Column:
+def presence(cols: list[str], must: str = "all", types: dict | None = None) -> Column:
     """Two-valued: all populated, or none (RL-6)."""
-    return reduce(lambda a, b: a & b, [~missing(F.col(c)) if must == "all" else missing(F.col(c)) for c in cols])
+    return reduce(lambda a, b: a & b, [~missing(F.col(c), (types or {}).get(c)) if must == "all" else missing(F.col(c), (types or {}).get(c)) for c in cols])
 
 
-def eq_cond(col: str, val) -> Column:
-    same = number(F.col(col)) == float(val) if isinstance(val, (int, float)) else F.trim(F.col(col).cast("string")) == str(val)
-    return F.coalesce(same & ~missing(F.col(col)), F.lit(False))
+def eq_cond(col: str, val, types: dict | None = None) -> Column:
+    same = number(F.col(col), (types or {}).get(col)) == float(val) if isinstance(val, (int, float)) else F.trim(F.col(col).cast("string")) == str(val)
+    return F.coalesce(same & ~missing(F.col(col), (types or {}).get(col)), F.lit(False))
 
 
-def in_cond(col: str, vals: list) -> Column:
-    return F.coalesce(F.trim(F.col(col).cast("string")).isin([str(v) for v in vals]) & ~missing(F.col(col)), F.lit(False))
+def in_cond(col: str, vals: list, types: dict | None = None) -> Column:
+    return F.coalesce(F.trim(F.col(col).cast("string")).isin([str(v) for v in vals]) & ~missing(F.col(col), (types or {}).get(col)), F.lit(False))
 
 
 KINDS = {
     "ineq": ineq, "dateorder": dateorder, "identity": identity, "dom_range": dom_range, "dom_set": dom_set, "presence": presence,
-    "present_number": lambda col: ~missing(F.col(col)), "eq_cond": eq_cond, "in_cond": in_cond,
+    "present_number": lambda col, types=None: ~missing(F.col(col), (types or {}).get(col)), "eq_cond": eq_cond, "in_cond": in_cond,
 }
 
 
-def predicate(spec: dict) -> Column:
-    """A predicate of its specification, {kind: ..., parameters} (RL-10)."""
-    return KINDS[spec["kind"]](**{k: v for k, v in spec.items() if k != "kind"})
+def predicate(spec: dict, types: dict | None = None) -> Column:
+    """A predicate of its specification, {kind: ..., parameters} (RL-10). `types` are the columns that are numbers or dates by
+    their type (values.kinds); others are read as texts."""
+    return KINDS[spec["kind"]](**{k: v for k, v in spec.items() if k != "kind"}, types=types)
 
 
 def columns_of(spec: dict | None) -> set[str]:
@@ -98,11 +99,11 @@ def rule_columns(rule: dict) -> set[str]:
     return columns_of(rule["expression"]) | columns_of(rule.get("condition")) | {c for e in rule.get("exceptions") or [] for c in columns_of(e)}
 
 
-def states(rule: dict) -> tuple[Column, Column, Column]:
+def states(rule: dict, types: dict | None = None) -> tuple[Column, Column, Column]:
     """(in scope and evaluable, excepted, violating), all two-valued."""
-    value = predicate(rule["expression"])
-    scope = F.coalesce(predicate(rule["condition"]), F.lit(False)) if rule.get("condition") else F.lit(True)
-    excepted = reduce(lambda a, b: a | b, [F.coalesce(predicate(e), F.lit(False)) for e in rule.get("exceptions") or []], F.lit(False))
+    value = predicate(rule["expression"], types)
+    scope = F.coalesce(predicate(rule["condition"], types), F.lit(False)) if rule.get("condition") else F.lit(True)
+    excepted = reduce(lambda a, b: a | b, [F.coalesce(predicate(e, types), F.lit(False)) for e in rule.get("exceptions") or []], F.lit(False))
     evaluated = scope & value.isNotNull()
     return evaluated, evaluated & excepted, evaluated & ~excepted & ~F.coalesce(value, F.lit(True))
 
@@ -116,7 +117,7 @@ def first_match_join(left: DataFrame, right: DataFrame, on: list[str], order: st
 
 def evaluate(df: DataFrame, rules: list[dict]) -> DataFrame:
     """One row a rule: outcome PASS, VIOLATION or NOT-APPLICABLE with its reason, and the counts (RL-11)."""
-    spark, usable, rows = df.sparkSession, [], []
+    spark, types, usable, rows = df.sparkSession, kinds(df.schema), [], []
     for r in rules:
         absent = sorted(rule_columns(r) - set(df.columns))
         (rows.append((r["id"], f"column absent: {', '.join(absent)}")) if absent else usable.append(r))
@@ -124,8 +125,8 @@ def evaluate(df: DataFrame, rules: list[dict]) -> DataFrame:
     if usable:
         stages, aggregates = [], []
         for i, r in enumerate(usable):  # 0 out of scope, 1 not evaluable, 2 passing, 3 excepted, 4 violating: each predicate is computed once a row
-            evaluated, excepted, violating = states(r)
-            scope = F.coalesce(predicate(r["condition"]), F.lit(False)) if r.get("condition") else F.lit(True)
+            evaluated, excepted, violating = states(r, types)
+            scope = F.coalesce(predicate(r["condition"], types), F.lit(False)) if r.get("condition") else F.lit(True)
             stages.append(F.when(~scope, 0).when(~evaluated, 1).when(excepted, 3).when(violating, 4).otherwise(2).alias(f"c{i}"))
             aggregates += [F.count_if(cond).alias(f"{n}{i}") for n, cond in (("s", F.col(f"c{i}") >= 1), ("n", F.col(f"c{i}") >= 2), ("e", F.col(f"c{i}") == 3), ("v", F.col(f"c{i}") == 4))]
         one = df.select(*stages).agg(*aggregates)  # one pass for all rules
@@ -144,7 +145,7 @@ def evaluate(df: DataFrame, rules: list[dict]) -> DataFrame:
 
 def evidence(df: DataFrame, rules: list[dict], keys: list[str], cap: int = 5) -> DataFrame:
     """Up to `cap` violating rows a rule, by key, with the rule's total (SL-2)."""
-    found = F.array_compact(F.array(*[F.when(states(r)[2], F.lit(r["id"])) for r in rules]))
+    found = F.array_compact(F.array(*[F.when(states(r, kinds(df.schema))[2], F.lit(r["id"])) for r in rules]))
     hits = df.select(*keys, F.explode(found).alias("rule_id"))
     ranked = hits.withColumn("rn", F.row_number().over(Window.partitionBy("rule_id").orderBy(*keys))).where(F.col("rn") <= cap)
     totals = hits.groupBy("rule_id").agg(F.count("*").alias("total"))
@@ -153,7 +154,7 @@ def evidence(df: DataFrame, rules: list[dict], keys: list[str], cap: int = 5) ->
 
 def pattern(df: DataFrame, rule: dict, segment: str) -> DataFrame:
     """Per segment: scope, violations, lift; CLUSTERED if segments of lift >= 3 hold half of the violations (RL-12)."""
-    evaluated, _, violating = states(rule)
+    evaluated, _, violating = states(rule, kinds(df.schema))
     per = df.where(F.col(segment).isNotNull()).groupBy(F.col(segment).cast("string").alias("segment")).agg(F.count_if(evaluated).alias("scope"), F.count_if(violating).alias("violations"))
     total = Window.partitionBy()
     rate = F.sum("violations").over(total) / F.sum("scope").over(total)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.drift import assign
+from plumbline.functions.values import kinds
 from plumbline.operators.rules import states
 
 
@@ -16,7 +17,8 @@ def windowed_bins(stream: DataFrame, spec: dict, at: str, window: str = "1 hour"
 
 def windowed_rules(stream: DataFrame, rules: list[dict], at: str, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Evaluated and violating rows of each rule per window."""
-    counts = [c for r in rules for c in (F.count_if(states(r)[0]).alias(f"{r['id']}_evaluated"), F.count_if(states(r)[2]).alias(f"{r['id']}_violations"))]
+    types = kinds(stream.schema)
+    counts = [c for r in rules for c in (F.count_if(states(r, types)[0]).alias(f"{r['id']}_evaluated"), F.count_if(states(r, types)[2]).alias(f"{r['id']}_violations"))]
     return stream.withWatermark(at, late).groupBy(F.window(at, window)).agg(*counts)
 
 
