@@ -44,6 +44,10 @@ def hypergeometric_greater(hits: int, drawn: int, events: int, total: int) -> fl
     if hits > top:
         return 0.0
     start = max(hits, drawn - (total - events), 0)
-    logs = [choose(events, k) + choose(total - events, drawn - k) - choose(total, drawn) for k in range(start, min(top, start + 5000) + 1)]
-    high = max(logs)
+    logs, high = [], -math.inf
+    for k in range(start, top + 1):
+        logs.append(choose(events, k) + choose(total - events, drawn - k) - choose(total, drawn))
+        high = max(high, logs[-1])
+        if logs[-1] < high - 60:  # beyond the mode terms only shrink
+            break
     return min(1.0, math.exp(high) * sum(math.exp(x - high) for x in logs))

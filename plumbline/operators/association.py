@@ -402,7 +402,8 @@ def tree_auc(cells: DataFrame, max_leaves: int = 6, min_share: float = 0.02) ->
 
 def localized(df: DataFrame, features: list[str], target: Column, min_rows: int = 30, min_events: int = 5, rate: float = 0.9, uplift: float = 0.1) -> DataFrame:
     """Values and tails of each feature whose event rate is at least `rate` and `uplift` above the rest, with Fisher's
-    exact p (greater), Bonferroni-adjusted, the best by capture per feature (TA-22, TA-23). Only survivors reach Python."""
+    exact p (greater), Bonferroni-adjusted, the best by capture per feature (TA-22, TA-23). Only those of the highest capture
+    reach Python."""
     rows = df.select(target.alias("y"), F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features])).alias("r")).where("y is not null").select("y", "r.*")
     per = rows.groupBy("feature", "v").agg(F.count("*").alias("n"), F.sum("y").alias("e"))
     per = cumulative(per, ["v"], {"cn": "n", "ce": "e"}, ["feature"]).withColumnsRenamed({"cn_total": "tn", "ce_total": "te"})
@@ -419,7 +420,9 @@ def localized(df: DataFrame, features: list[str], target: Column, min_rows: int
         return pd.Series([hypergeometric_greater(int(a), int(b), int(c), int(d)) for a, b, c, d in zip(hits, drawn, events, total)])
 
     ship(df.sparkSession)
-    scored = kept.withColumn("p", F.least(fisher("events", "rows", "te", "tn") * F.col("tried"), F.lit(1.0))).withColumn("capture", F.col("events") / F.col("te"))
+    most = F.rank().over(Window.partitionBy("feature").orderBy(F.desc("capture")))
+    ties = kept.withColumn("capture", F.col("events") / F.col("te")).withColumn("most", most).where("most = 1")
+    scored = ties.withColumn("p", F.least(fisher("events", "rows", "te", "tn") * F.col("tried"), F.lit(1.0)))
     best = F.row_number().over(Window.partitionBy("feature").orderBy(F.desc("capture"), "p", "kind", "v"))
     return scored.withColumn("rn", best).where("rn = 1").select("feature", "kind", F.col("v").alias("value"), "rows", "events", "capture", "p")
 
@@ -583,10 +586,19 @@ def separation_tree_leaves(spark, sf_dir):
     return tree_leaves(_tree_cells(spark, sf_dir))
 
 
-@query("separation_localized")
+_LOCAL = ("l_quantity", "l_extendedprice", "l_tax")
+_FISHER = "exp(lgamma(te + 1) - lgamma(i + 1) - lgamma(te - i + 1) + lgamma(tn - te + 1) - lgamma(n - i + 1) - lgamma(tn - te - n + i + 1) - lgamma(tn + 1) + lgamma(n + 1) + lgamma(tn - n + 1))"
+
+
+@query("separation_localized", f"""WITH r AS ({' UNION ALL '.join(f"SELECT '{f}' AS feature, {f}::DOUBLE AS v, (l_quantity > 40)::INT AS y FROM lineitem" for f in _LOCAL)}), per AS (SELECT feature, v, count(*) AS n, sum(y) AS e FROM r GROUP BY 1, 2),
+ c AS (SELECT *, sum(n) OVER w AS cn, sum(e) OVER w AS ce, sum(n) OVER t AS tn, sum(e) OVER t AS te FROM per WINDOW w AS (PARTITION BY feature ORDER BY v ROWS UNBOUNDED PRECEDING), t AS (PARTITION BY feature)),
+ k AS (SELECT feature, 'value' AS kind, v, n, e, tn, te FROM c UNION ALL SELECT feature, 'lower', v, cn, ce, tn, te FROM c UNION ALL SELECT feature, 'upper', v, tn - cn + n, te - ce + e, tn, te FROM c), a AS (SELECT *, count(*) OVER (PARTITION BY feature) AS tried FROM k),
+ s AS (SELECT feature, kind, v, n::BIGINT AS n, e::BIGINT AS e, tn::BIGINT AS tn, te::BIGINT AS te, tried FROM a WHERE n >= 30 AND e >= 5 AND e / n >= 0.9 AND e / n - coalesce((te - e) / nullif(tn - n, 0), 0) >= 0.1 QUALIFY rank() OVER (PARTITION BY feature ORDER BY e / te DESC) = 1),
+ p AS (SELECT *, least(1, tried * list_sum(list_transform(range(greatest(e, n - tn + te), least(n, te) + 1), lambda i: {_FISHER}))) AS p FROM s)
+ SELECT feature, kind, v AS value, n AS rows, e AS events, round(e / te, 6) AS capture, round(p, 6) AS p FROM p QUALIFY row_number() OVER (PARTITION BY feature ORDER BY p, kind, v) = 1""")
 def separation_localized(spark, sf_dir):
     df = table(spark, sf_dir, "lineitem").withColumn("y", (F.col("l_quantity") > 40).cast("int"))
-    return localized(df, ["l_quantity", "l_extendedprice", "l_tax"], F.col("y"))
+    return localized(df, list(_LOCAL), F.col("y")).withColumns({c: rounded(F.col(c)) for c in ("capture", "p")})
 
 
 @query("separation_leakage", "SELECT 'l_tax' AS \"column\", count(l_tax) AS populated FROM lineitem")

@@ -15,7 +15,7 @@ from plumbline.functions.tails import chi2_one, t_two_sided
 from plumbline.functions.values import bucket, rounded
 from plumbline.operators.drift import quantile_edges
 from plumbline.plans.registry import query
-from plumbline.session import ship, table
+from plumbline.session import materialise, ship, table
 
 MATERIAL, ALPHA = 0.20, 0.05
 
@@ -68,28 +68,34 @@ def linear(df: DataFrame, feature: str, target: str) -> DataFrame:
 
 
 def logistic(df: DataFrame, feature: str, target: str, c: float = 1e6) -> DataFrame:
-    """Standardised univariate logistic regression with the likelihood-ratio test (DR-4): Newton steps, each one
-    aggregation of five sums."""
+    """Standardised univariate logistic regression with the likelihood-ratio test (DR-4): Newton steps, each one aggregation
+    of five sums over the distinct values, which are counted once. Where the classes are separable the steps stop when the
+    weights vanish."""
     x, y = F.col(feature).cast("double"), F.col(target).cast("double")
-    rows = df.where(x.isNotNull() & y.isNotNull()).select(x.alias("x"), y.alias("y"))
-    m = rows.agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"), F.avg("y").alias("p"), F.count("*").alias("n")).first()
+    rows = df.where(x.isNotNull() & y.isNotNull()).groupBy(x.alias("x")).agg(F.count("*").alias("n"), F.sum(y).alias("k"))
+    rows = materialise(rows, "logistic")
+    n, k = F.sum("n"), F.sum("k")
+    m = rows.agg(n.alias("n"), (k / n).alias("p"), (F.sum(F.col("x") * F.col("n")) / n).alias("m")).first()
     spark = df.sparkSession
-    if not m.n or not m.s or m.p in (0.0, 1.0):
+    spread = rows.agg((F.sum(F.pow(F.col("x") - F.lit(m.m), 2) * F.col("n")) / n).alias("v")).first().v if m.n else None
+    if not spread or m.p in (0.0, 1.0):
         return spark.createDataFrame([(None, None, None)], "slope double, intercept double, p double")
-    z = (F.col("x") - m.m) / m.s
+    z = (F.col("x") - m.m) / math.sqrt(spread)
     a, b = math.log(m.p / (1 - m.p)), 0.0
     for _ in range(25):
         p = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * z)))
-        w = p * (1 - p)
-        g = rows.agg(F.sum(F.col("y") - p), F.sum((F.col("y") - p) * z), F.sum(w), F.sum(w * z), F.sum(w * z * z)).first()
+        over, w = F.col("k") - F.col("n") * p, F.col("n") * p * (1 - p)
+        g = rows.agg(F.sum(over), F.sum(over * z), F.sum(w), F.sum(w * z), F.sum(w * z * z)).first()
         g1, h22 = g[1] - b / c, g[4] + 1 / c
         det = g[2] * h22 - g[3] ** 2
+        if det <= 1e-12 * m.n:
+            break
         da, db = (h22 * g[0] - g[3] * g1) / det, (g[2] * g1 - g[3] * g[0]) / det
         a, b = a + da, b + db
         if abs(da) + abs(db) < 1e-9:
             break
     eta = F.lit(a) + F.lit(b) * z
-    fitted = rows.agg(F.sum(F.col("y") * eta - F.log1p(F.exp(eta)))).first()[0]
+    fitted = rows.agg(F.sum(F.col("k") * eta - F.col("n") * (F.greatest(eta, F.lit(0.0)) + F.log1p(F.exp(-F.abs(eta)))))).first()[0]
     null = m.n * (m.p * math.log(m.p) + (1 - m.p) * math.log(1 - m.p))
     return spark.createDataFrame([(b, a, chi2_one(2 * (fitted - null)))], "slope double, intercept double, p double")
 

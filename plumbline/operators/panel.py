@@ -223,8 +223,9 @@ def panel_continuity(spark, sf_dir):
 
 @query("panel_calendar_gaps", """WITH m AS (SELECT DISTINCT year(o_orderdate) * 12 + month(o_orderdate) - 1 AS o FROM orders WHERE o_totalprice > 490000) SELECT g.o::INT AS ordinal, (g.o // 12) || '-' || lpad((g.o % 12 + 1)::VARCHAR, 2, '0') AS period FROM (SELECT unnest(range(min(o), max(o) + 1)) AS o FROM m) g ANTI JOIN m ON m.o = g.o""")
 def panel_calendar_gaps(spark, sf_dir):
-    """Months without a very large order."""
-    return calendar_gaps(orders_panel(spark, sf_dir, "month").where("o_totalprice > 490000"), "month")
+    """Months without a very large order; all other orders are rows without a period."""
+    o = table(spark, sf_dir, "orders").withColumn("day", F.when(F.col("o_totalprice") > 490000, F.date_format("o_orderdate", "yyyy-MM-dd")))
+    return calendar_gaps(prepared(o, "o_custkey", "day", "month"), "month")
 
 
 @query("panel_duplicates", f"""{_PANEL}, d AS (SELECT e, o, count(*) AS rows, count(DISTINCT o_orderstatus) AS kinds FROM p GROUP BY 1, 2 HAVING count(*) > 1)

@@ -443,3 +443,39 @@ def test_concordance_equals_all_pairs(spark):
         scores = [0.5 if a[0] == b[0] else float(a[0] > b[0]) for a in whole for b in whole if a[1] > b[1]]
         want = sum(scores) / len(scores)
         assert abs(association.concordance(spark.createDataFrame(rows, "s double, t int"), "s", "t").first().auc - max(want, 1 - want)) < 1e-9
+
+
+def test_logistic_equals_newton_on_rows(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    x = np.round(rng.normal(3, 2, 400), 1)
+    y = (rng.random(400) < 1 / (1 + np.exp(1.5 - 0.7 * x))).astype(int)
+    got = direction.logistic(spark.createDataFrame([*zip(x.tolist(), y.tolist()), (None, 1), (1.0, None)], "x double, y int"), "x", "y").first()
+    z, beta = (x - x.mean()) / x.std(), np.zeros(2)
+    m = np.stack([np.ones(400), z], 1)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-m @ beta))
+        beta += np.linalg.solve((m * (p * (1 - p))[:, None]).T @ m, m.T @ (y - p))
+    assert abs(got.intercept - beta[0]) < 1e-4 and abs(got.slope - beta[1]) < 1e-4 and got.p < 1e-6
+    apart = direction.logistic(spark.createDataFrame([(float(i), int(i > 50)) for i in range(100)], "x double, y int"), "x", "y").first()
+    assert apart.slope > 5 and apart.p < 1e-9  # separable classes
+    assert direction.logistic(spark.createDataFrame([(1.0, 1), (2.0, 1)], "x double, y int"), "x", "y").first().slope is None
+
+
+def test_categories_merge_by_least_loss(spark):
+    import math
+
+    counts = {"a": (50, 2, 3), "b": (10, 40, 1), "c": (48, 3, 3), "d": (9, 35, 6), "e": (1, 1, 30)}
+    rows = [("f", v, str(i), k) for v, ks in counts.items() for i, k in enumerate(ks)]
+    got = {r.value: r.grp for r in association.merge_categories(spark.createDataFrame(rows, "feature string, value string, class_ string, k long"), 3).collect()}
+    cost = lambda ks: -sum(k * math.log(k / sum(ks)) for k in ks if k)
+    groups = [((v,), ks) for v, ks in counts.items()]
+    while len(groups) > 3:
+        tried = [(cost([p + q for p, q in zip(a[1], b[1])]) - cost(a[1]) - cost(b[1]), a, b) for i, a in enumerate(groups) for b in groups[i + 1 :]]
+        _, a, b = min(tried, key=lambda t: t[0])
+        groups = [g for g in groups if g not in (a, b)] + [(a[0] + b[0], tuple(p + q for p, q in zip(a[1], b[1])))]
+    assert {frozenset(v for v in got if got[v] == n) for n in got.values()} == {frozenset(g[0]) for g in groups}
+    many = spark.createDataFrame([("f", f"v{i}", "0", 1) for i in range(association.CELLS + 1)], "feature string, value string, class_ string, k long")
+    with pytest.raises(Exception, match="categories"):
+        association.merge_categories(many, 3).collect()
