@@ -175,7 +175,10 @@ def matching_dictionary(spark, sf_dir):
     return dictionary_mapping(d, populated_columns(spark, sf_dir)).withColumn("score", rounded(F.col("score")))
 
 
-@query("matching_roles", """SELECT * FROM (VALUES ('customer', 'customer', 'c_custkey', 1.0), ('date', 'orders', 'o_orderdate', 1.0), ('segment', 'customer', 'c_mktsegment', 1.0)) v(role, "table", "column", score) WHERE (SELECT count(*) FROM orders) > 0""")
+@query("matching_roles", """WITH r(role, name, wants) AS (VALUES ('customer', 'c_custkey', NULL), ('segment', 'c_mktsegment', 'categorical'), ('date', 'o_orderdate', 'datetime'), ('amount', 'o_orderdate', 'numerical')),
+ n AS (SELECT (SELECT count(DISTINCT c_mktsegment) FROM customer) AS k, (SELECT count(o_orderdate) FROM orders) AS dated),
+ c AS (SELECT table_name AS t, column_name AS c, CASE WHEN data_type LIKE 'TIMESTAMP%' AND dated > 0 THEN 'datetime' WHEN data_type = 'VARCHAR' AND k <= 30 THEN 'categorical' ELSE 'numerical' END AS kind FROM duckdb_columns(), n WHERE table_name IN ('orders', 'customer'))
+ SELECT role, t AS "table", c AS "column", 1.0::DOUBLE AS score FROM r JOIN c ON c.c = r.name AND (wants IS NULL OR wants = kind)""")
 def matching_roles(spark, sf_dir):
     r = spark.createDataFrame([("customer", "c_custkey", None), ("segment", "c_mktsegment", "categorical"), ("date", "o_orderdate", "datetime"), ("amount", "o_orderdate", "numerical")], "role string, name string, wants string")
     return roles(r, column_types(spark, sf_dir))

@@ -187,8 +187,10 @@ def classify(df: DataFrame, columns: list[str]) -> DataFrame:
     aggregates = []
     for c in columns:
         s = F.trim(F.col(c).cast("string"))
-        aggregates += [F.count(c).alias(f"n__{c}"), F.count_if(s.try_cast("double").isNotNull()).alias(f"nums__{c}"), F.count_if(s.rlike(r"^\d{4}-\d{2}-\d{2}") & F.try_to_timestamp(s).isNotNull()).alias(f"dates__{c}"), F.count_distinct(s).alias(f"distinct__{c}"), F.count_if(~F.lower(s).isin("0", "1", "y", "n", "yes", "no", "true", "false")).alias(f"nonbinary__{c}")]
-    long = _stack(df.agg(*aggregates), columns, ["n", "nums", "dates", "distinct", "nonbinary"])
+        aggregates += [F.count(c).alias(f"n__{c}"), F.count_if(s.try_cast("double").isNotNull()).alias(f"nums__{c}"), F.count_if(s.rlike(r"^\d{4}-\d{2}-\d{2}") & F.try_to_timestamp(s).isNotNull()).alias(f"dates__{c}"), F.count_if(~F.lower(s).isin("0", "1", "y", "n", "yes", "no", "true", "false")).alias(f"nonbinary__{c}")]
+    texts = df.select(*[F.trim(F.col(c).cast("string")).alias(c) for c in columns])
+    different = distinct_counts(texts, columns).select("column", F.col("distinct_raw").alias("distinct"))
+    long = _stack(df.agg(*aggregates), columns, ["n", "nums", "dates", "nonbinary"]).join(different, "column", "left").na.fill(0, ["distinct"])
     n, share = F.col("n"), lambda m: F.col(m) / F.nullif(F.col("n"), F.lit(0))
     kind = (
         F.when(n == 0, "text").when(share("dates") >= 0.9, "datetime").when((F.col("nonbinary") == 0) & (F.col("distinct") <= 2), "binary")
@@ -375,7 +377,14 @@ def profile_cross_check(spark, sf_dir):
 _TYPED = ["o_orderkey", "o_orderdate", "o_totalprice", "o_orderpriority", "o_orderstatus"]
 
 
-@query("profile_classify", """SELECT * FROM (VALUES ('o_orderkey', 'identifier', 1.0, 0.0), ('o_orderdate', 'datetime', 0.0, 1.0), ('o_totalprice', 'numerical', 1.0, 0.0), ('o_orderpriority', 'categorical', 0.0, 0.0), ('o_orderstatus', 'categorical', 0.0, 0.0)) v("column", logical_type, number_rate, date_rate) WHERE (SELECT count(*) FROM orders) > 0""")
+def _texts(columns: list[str], source: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{c}' AS c, trim({c}::VARCHAR) AS t FROM {source}" for c in columns)
+
+
+@query("profile_classify", f"""WITH l AS ({_texts(_TYPED, "orders")}), m AS (SELECT c, count(t) AS n, count(try_cast(t AS DOUBLE)) / nullif(count(t), 0) AS nums, count(*) FILTER (WHERE regexp_matches(t, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AND try_cast(t AS TIMESTAMP) IS NOT NULL) / nullif(count(t), 0) AS dates,
+ count(DISTINCT t) AS k, count(*) FILTER (WHERE lower(t) NOT IN ('0', '1', 'y', 'n', 'yes', 'no', 'true', 'false')) AS other FROM l GROUP BY c)
+ SELECT c AS "column", CASE WHEN n = 0 THEN 'text' WHEN dates >= 0.9 THEN 'datetime' WHEN other = 0 AND k <= 2 THEN 'binary' WHEN n >= 5 AND k / n >= 0.98 AND (regexp_matches(c, '(id|key)$') OR nums < 0.5) THEN 'identifier'
+ WHEN nums >= 0.5 THEN 'numerical' WHEN k <= 30 THEN 'categorical' ELSE 'text' END AS logical_type, nums AS number_rate, dates AS date_rate FROM m""")
 def profile_classify(spark, sf_dir):
     return classify(table(spark, sf_dir, "orders"), _TYPED)
 
@@ -391,18 +400,31 @@ def profile_iqr_outliers(spark, sf_dir):
     return iqr_outliers(table(spark, sf_dir, "events"), "value").withColumns({"low": rounded(F.col("low"), 4), "high": rounded(F.col("high"), 4), "rate": rounded(F.col("rate"))})
 
 
-@query("profile_anomalies", """SELECT 'o_orderstatus' AS "column", 2 AS severity, 'constant' AS flag, 1 AS position WHERE (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') > 0""")
+_STAINED = {
+    "o_totalprice": "o_totalprice", "currency": "'EUR'", "late_rate": "o_totalprice / 100000", "net_price": "o_totalprice - 2000",
+    "open_price": "CASE WHEN o_orderstatus = 'O' THEN o_totalprice END", "known_price": "CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END", "mixed": "CASE WHEN o_orderstatus = 'F' THEN '12' ELSE 'x' END",
+}
+_STAINS = f"""WITH d AS (SELECT {', '.join(f'{e} AS {c}' for c, e in _STAINED.items())} FROM orders), l AS ({_texts(list(_STAINED), "d")}),
+ m AS (SELECT c, count(*) AS n, (count(*) - count(t)) / count(*) AS gone, count(DISTINCT t) AS k, min(try_cast(t AS DOUBLE)) AS low, max(try_cast(t AS DOUBLE)) AS high, count(try_cast(t AS DOUBLE)) / nullif(count(t), 0) AS nums FROM l GROUP BY c)"""
+
+
+def stained_orders(spark, sf_dir) -> DataFrame:
+    """All orders under columns with the defects that flags and warnings are about."""
+    return table(spark, sf_dir, "orders").selectExpr(*[f"{e} AS {c}" for c, e in _STAINED.items()])
+
+
+@query("profile_anomalies", f"""{_STAINS}, f AS (SELECT c, 3 AS severity, 'all_null' AS flag FROM m WHERE gone = 1 UNION ALL SELECT c, 2, 'half_null' FROM m WHERE gone >= 0.5 AND gone < 1 UNION ALL SELECT c, 1, 'some_null' FROM m WHERE gone > 0.2 AND gone < 0.5 UNION ALL SELECT c, 2, 'constant' FROM m WHERE k = 1
+ UNION ALL SELECT c, 3, 'unit_range' FROM m WHERE regexp_matches(c, 'rate|ratio|pct|discount|tax') AND (low < 0 OR high > 1) UNION ALL SELECT c, 2, 'negative' FROM m WHERE regexp_matches(c, 'price|qty|quantity|amount|size') AND low < 0)
+ SELECT c AS "column", severity, flag, row_number() OVER (ORDER BY severity DESC, c, flag)::INT AS position FROM f""")
 def profile_anomalies(spark, sf_dir):
-    df = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
-    cols = ["o_orderstatus", "o_totalprice"]
-    return anomalies(counts(df, cols).join(numeric(df, cols).select("column", "low", "high", "negatives"), "column"))
+    df = stained_orders(spark, sf_dir)
+    return anomalies(counts(df, df.columns).join(numeric(df, df.columns).select("column", "low", "high", "negatives"), "column"))
 
 
-@query("profile_warnings", """SELECT 'o_orderstatus' AS "column", 'constant' AS warning WHERE (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') > 0""")
+@query("profile_warnings", f"""{_STAINS} SELECT c AS "column", 'all_null' AS warning FROM m WHERE gone = 1 UNION ALL SELECT c, 'mixed_type' FROM m WHERE nums > 0.1 AND nums < 0.9 UNION ALL SELECT c, 'constant' FROM m WHERE k = 1 UNION ALL SELECT c, 'sparse' FROM m WHERE gone > 0.2""")
 def profile_warnings(spark, sf_dir):
-    df = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
-    cols = ["o_orderstatus", "o_totalprice"]
-    return warnings(counts(df, cols).join(classify(df, cols), "column"))
+    df = stained_orders(spark, sf_dir)
+    return warnings(counts(df, df.columns).join(classify(df, df.columns), "column"))
 
 
 @query("source_inventory", " UNION ALL ".join(f"""SELECT '{t}' AS "table", count(*) AS rows, {n} AS columns FROM {t}""" for t, n in (("orders", 6), ("lineitem", 11), ("customer", 5), ("events", 6))))
