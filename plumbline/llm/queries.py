@@ -1,9 +1,12 @@
-"""The registered queries of the ten numbered operators (two of operator 1), and their SQL where SQL can state them."""
+"""The registered queries of the numbered operators (two of operator 1), and their SQL where SQL can state them."""
 
 from __future__ import annotations
 
 from plumbline.llm.bitsliced import OP5_SQL, op5_bitsliced
 from plumbline.llm.bpe import op10_bpe
+from plumbline.llm.conversationrepair import OP12_SQL, op12_conversations
+from plumbline.llm.decontamination import OP13_SQL, op13_decontamination
+from plumbline.llm.filteraudit import OP11_SQL, op11_filteraudit
 from plumbline.llm.licenses import op6_licenses, op6_sql
 from plumbline.llm.linededup import OP8_SQL, op8_linededup
 from plumbline.llm.packing import op9_packing
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_linededup": op8_linededup,
     "op9_packing": op9_packing,
     "op10_bpe": op10_bpe,
+    "op11_filteraudit": op11_filteraudit,
+    "op12_conversations": op12_conversations,
+    "op13_decontamination": op13_decontamination,
     "spotsigs_links": spotsigs_links,
 }
-ORACLE_SQL = {"op4_sharding": OP4_SQL, "op5_bitsliced": OP5_SQL, "op6_licenses": op6_sql(), "op8_linededup": OP8_SQL}
+ORACLE_SQL = {"op4_sharding": OP4_SQL, "op5_bitsliced": OP5_SQL, "op6_licenses": op6_sql(), "op8_linededup": OP8_SQL, "op11_filteraudit": OP11_SQL, "op12_conversations": OP12_SQL, "op13_decontamination": OP13_SQL}
