@@ -1,18 +1,15 @@
-"""Binning, weight of evidence, separation and localized leakage (TA-*). All features of a table share one unpivoted
-aggregation; trees and optimal bins work on its bounded statistics, one feature a group."""
+"""Binning, weight of evidence, AUC and concordance (TA-1 to TA-16, TA-19, TA-20, TA-28, TA-29). All features of a table share one unpivoted
+aggregation; optimal bins work on its bounded statistics, one feature a group."""
 
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.prefix import cumulative
-from plumbline.functions.tails import hypergeometric_greater
-from plumbline.functions.quantiles import percentiles
 from plumbline.functions.values import bucket, rounded
 from plumbline.plans.registry import query
 from plumbline.session import materialise, ship, table
@@ -238,14 +235,6 @@ def grouped_auc(scored: DataFrame, by: list[str], score: str = "score") -> DataF
     return out.withColumn("auc", F.greatest("auc", 1 - F.col("auc"))).withColumn("gini", 2 * F.col("auc") - 1)
 
 
-def percentile_benchmark(df: DataFrame, features: list[str], target: Column, buckets: int = 10) -> DataFrame:
-    """Quantile buckets and a bucket of missing values, scored by their mean target, and the AUC of that (TA-21)."""
-    found = percentiles(df, {f: F.col(f) for f in features}, [i / buckets for i in range(1, buckets)]).collect()  # one row a feature
-    qs = {f: None for f in features} | {r["column"]: r.q for r in found}
-    stats = fine_statistics(long_bins(df, {f: apply_bins(f, sorted(set(qs[f] or []))) for f in features}, target))
-    return grouped_auc(stats.select("feature", (F.col("s") / F.col("n")).alias("score"), F.col("s").alias("p"), (F.col("n") - F.col("s")).alias("q")), ["feature"])
-
-
 def concordance(df: DataFrame, score: str, target: str) -> DataFrame:
     """Share of concordant pairs of rows with different targets, score ties at a half, folded (TA-20). Null scores and targets
     take no part.
@@ -268,178 +257,6 @@ def concordance(df: DataFrame, score: str, target: str) -> DataFrame:
     return one.select(F.greatest(auc, 1 - auc).alias("auc"))
 
 
-#: Leaves, depth and smallest share of a leaf of the configurations of single-feature trees, and the AUC of risk tiers.
-TREES = {"primary": (6, 3, 0.02), "conservative": (4, 2, 0.05), "permissive": (10, 4, 0.01)}
-MEDIUM_RISK, HIGH_RISK, STABLE = 0.75, 0.90, 0.03
-
-
-def tree_leaves(cells: DataFrame, max_leaves: int = 6, max_depth: int = 3, min_share: float = 0.02) -> DataFrame:
-    """(feature, leaf, low, high, n, s, rule): the leaves of each feature's best-first tree over its ordered cells (feature,
-    position, n, s), with the observed ends of each and its rule (TA-18, TA-24). Leaves hold max(50, share of n) rows at
-    least and, as leaves and depth, adapt to the number of cells. A null position is a state of its own, split off first
-    if it is large enough: the missing indicator. At most some thousand cells a feature."""
-
-    def grow(g: pd.DataFrame) -> pd.DataFrame:
-        name, total = g.feature.iloc[0], int(g.n.sum())
-        least = max(50, math.ceil(min_share * total))
-        known, gone = g[g.position.notna()].sort_values("position"), g[g.position.isna()]
-        at, cn, cs = known.position.tolist(), [0, *known.n.cumsum().tolist()], [0.0, *known.s.astype(float).cumsum().tolist()]
-        states = len(known) + (len(gone) > 0)
-        leaves_allowed, depth_allowed = max(2, min(max_leaves, states)), max(1, min(max_depth, states - 1))
-
-        def split(a, b, depth):
-            best = (0.0, None)
-            if depth < depth_allowed:
-                n, s = cn[b] - cn[a], cs[b] - cs[a]
-                for m in range(a + 1, b):
-                    l, r = cn[m] - cn[a], cn[b] - cn[m]
-                    if l >= least and r >= least:
-                        gain = (cs[m] - cs[a]) ** 2 / l + (cs[b] - cs[m]) ** 2 / r - s * s / n
-                        if gain > best[0] + 1e-12:
-                            best = (gain, m)
-            return best
-
-        apart = len(gone) > 0 and gone.n.sum() >= least and cn[-1] >= least
-        leaves = {(0, len(known), int(apart)): split(0, len(known), int(apart))} if len(known) else {}
-        while leaves and len(leaves) + apart < leaves_allowed:
-            k = max(leaves, key=lambda k: (leaves[k][0], -k[0]))
-            m = leaves[k][1]
-            if m is None:
-                break
-            del leaves[k]
-            leaves[k[0], m, k[2] + 1], leaves[m, k[1], k[2] + 1] = split(k[0], m, k[2] + 1), split(m, k[1], k[2] + 1)
-        out = []
-        for i, (a, b, _) in enumerate(sorted(leaves)):
-            ends = ([f"{name} > {at[a - 1]:.6g}"] if a else []) + ([f"{name} <= {at[b - 1]:.6g}"] if b < len(at) else [])
-            out.append((name, i, at[a], at[b - 1], int(cn[b] - cn[a]), float(cs[b] - cs[a]), " and ".join(ends) or "all values"))
-        if len(gone):
-            n, s = int(gone.n.sum()), float(gone.s.sum())
-            if apart or not out:
-                out.append((name, len(out), None, None, n, s, f"{name} missing"))
-            else:  # too few to stand alone: with the leaf of the nearest rate
-                j = min(range(len(out)), key=lambda j: abs(out[j][5] / out[j][4] - s / n))
-                out[j] = (*out[j][:4], out[j][4] + n, out[j][5] + s, out[j][6] + " or missing")
-        return pd.DataFrame(out, columns=["feature", "leaf", "low", "high", "n", "s", "rule"])
-
-    ship(cells.sparkSession)
-    return cells.select("feature", F.col("position").cast("double").alias("position"), "n", F.col("s").cast("double").alias("s")).groupBy("feature").applyInPandas(grow, "feature string, leaf int, low double, high double, n bigint, s double, rule string")
-
-
-def leaves_auc(leaves: DataFrame, by: list[str]) -> DataFrame:
-    """AUC, Gini and number of leaves of leaf means against a 0/1 target."""
-    auc = grouped_auc(leaves.select(*by, (F.col("s") / F.col("n")).alias("score"), F.col("s").alias("p"), (F.col("n") - F.col("s")).alias("q")), by)
-    return auc.join(leaves.groupBy(*by).agg(F.count("*").cast("int").alias("leaves")), by)
-
-
-def tree_separation(cells: DataFrame) -> DataFrame:
-    """Per feature: AUC of the primary tree, its risk tier, the spread over all configurations and what that says of its
-    robustness; the other configurations count for features of medium or high risk only (TA-18)."""
-    every = [tree_leaves(cells, *p).withColumn("configuration", F.lit(k)) for k, p in TREES.items()]
-    found = leaves_auc(reduce(DataFrame.unionByName, every), ["feature", "configuration"])
-    tier = lambda a: F.when(a >= HIGH_RISK, "high").when(a >= MEDIUM_RISK, "medium").otherwise("low")
-    wide = found.withColumn("tier", tier(F.col("auc"))).groupBy("feature").agg(
-        F.max(F.when(F.col("configuration") == "primary", F.col("auc"))).alias("auc"), F.max(F.when(F.col("configuration") == "primary", F.col("leaves"))).alias("leaves"),
-        (F.max("auc") - F.min("auc")).alias("spread"), F.count_distinct("tier").alias("tiers"))
-    risk = tier(F.col("auc"))
-    robust = F.when(risk == "low", "not tested (low risk)").when((F.col("spread") > STABLE) | (F.col("tiers") > 1), "configuration-sensitive").when(risk == "high", "robust high association").otherwise("stable")
-    return wide.select("feature", "auc", (2 * F.col("auc") - 1).alias("gini"), "leaves", risk.alias("risk"), F.when(risk != "low", F.col("spread")).alias("spread"), robust.alias("robustness"))
-
-
-def quick_bins(distinct: int, continuous: bool, max_fine: int = 100, max_bins: int = 10, min_bins: int = 2, user_splits: int = 0) -> dict[str, int]:
-    """Limits of quick binning by the number of distinct values (TA-14): fine bins by its root, coarse ones by its logarithm."""
-    fine_cap, cap, factor = (16, 5, 1.5) if continuous else (25, 6, 2.0)
-    fine = max(4, min(fine_cap, math.ceil(factor * math.sqrt(max(distinct, 1)))))
-    coarse = min(max_bins, max(2, min(cap, math.ceil(math.log2(max(distinct, 1) + 1)))))
-    return {"max_fine": min(max_fine, max(fine, user_splits + 1)), "max_bins": coarse, "min_bins": min(min_bins, coarse)}
-
-
-def foundation_bins(found: int, max_fine: int = 100, max_bins: int = 10, min_bins: int = 2, user_splits: int = 0) -> tuple[dict[str, int], list[str]]:
-    """Limits that `found` fine bins allow, and which of them were lowered (TA-14)."""
-    fine, coarse = max(4, min(max_fine, max(found, user_splits + 1))), max(2, min(max_bins, found))
-    limits = {"max_fine": fine, "max_bins": coarse, "min_bins": min(min_bins, coarse)}
-    return limits, [k for k, was in (("max_fine", max_fine), ("max_bins", max_bins), ("min_bins", min_bins)) if limits[k] < was]
-
-
-def tree_auc(cells: DataFrame, max_leaves: int = 6, min_share: float = 0.02) -> DataFrame:
-    """Best-first regression tree of each feature over its ordered cells (feature, position, n, s), leaves no smaller than
-    max(50, share of n), and the AUC of the leaf means (TA-18). At most some thousand cells a feature."""
-
-    def grow(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("position")
-        cn, cs = [0, *g.n.cumsum()], [0.0, *g.s.astype(float).cumsum()]
-        least = max(50, min_share * cn[-1])
-
-        def split(a, b):
-            best = (0.0, None)
-            n, s = cn[b] - cn[a], cs[b] - cs[a]
-            for m in range(a + 1, b):
-                l, r = cn[m] - cn[a], cn[b] - cn[m]
-                if l >= least and r >= least:
-                    gain = (cs[m] - cs[a]) ** 2 / l + (cs[b] - cs[m]) ** 2 / r - s * s / n
-                    if gain > best[0] + 1e-12:
-                        best = (gain, m)
-            return best
-
-        leaves = {(0, len(g)): split(0, len(g))}
-        while len(leaves) < max_leaves:
-            at = max(leaves, key=lambda k: (leaves[k][0], -k[0]))
-            gain, m = leaves[at]
-            if m is None:
-                break
-            del leaves[at]
-            leaves[at[0], m], leaves[m, at[1]] = split(at[0], m), split(m, at[1])
-        rows = sorted((((cs[b] - cs[a]) / max(cn[b] - cn[a], 1), cs[b] - cs[a], cn[b] - cn[a] - cs[b] + cs[a]) for a, b in leaves))
-        p, q, seen, area = sum(r[1] for r in rows), sum(r[2] for r in rows), 0.0, 0.0
-        for _, x, y in rows:
-            area += x * (seen + y / 2)
-            seen += y
-        auc = area / (p * q) if p and q else 0.5
-        return pd.DataFrame({"feature": [g.feature.iloc[0]], "auc": [max(auc, 1 - auc)], "leaves": [len(leaves)]})
-
-    ship(cells.sparkSession)
-    return cells.groupBy("feature").applyInPandas(grow, "feature string, auc double, leaves int")
-
-
-def localized(df: DataFrame, features: list[str], target: Column, min_rows: int = 30, min_events: int = 5, rate: float = 0.9, uplift: float = 0.1) -> DataFrame:
-    """Values and tails of each feature whose event rate is at least `rate` and `uplift` above the rest, with Fisher's
-    exact p (greater), Bonferroni-adjusted, the best by capture per feature (TA-22, TA-23). Only those of the highest capture
-    reach Python."""
-    rows = df.select(target.alias("y"), F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features])).alias("r")).where("y is not null").select("y", "r.*")
-    per = rows.groupBy("feature", "v").agg(F.count("*").alias("n"), F.sum("y").alias("e"))
-    per = cumulative(per, ["v"], {"cn": "n", "ce": "e"}, ["feature"]).withColumnsRenamed({"cn_total": "tn", "ce_total": "te"})
-    kinds = F.explode(F.array(F.struct(F.when(F.col("v").isNull(), "missing").otherwise("value").alias("kind"), F.col("n").alias("rows"), F.col("e").alias("events")), F.struct(F.lit("lower").alias("kind"), F.col("cn").alias("rows"), F.col("ce").alias("events")), F.struct(F.lit("upper").alias("kind"), (F.col("tn") - F.col("cn") + F.col("n")).alias("rows"), (F.col("te") - F.col("ce") + F.col("e")).alias("events")))).alias("k")
-    all_ = per.select("feature", "v", "tn", "te", kinds).select("feature", "v", "tn", "te", "k.*").where("v is not null or kind = 'missing'")
-    tried = all_.groupBy("feature").agg(F.count("*").alias("tried"))
-    all_ = all_.join(F.broadcast(tried), "feature")  # one row a feature
-    share = F.col("events") / F.col("rows")
-    rest = (F.col("te") - F.col("events")) / F.nullif(F.col("tn") - F.col("rows"), F.lit(0))
-    kept = all_.where((F.col("rows") >= min_rows) & (F.col("events") >= min_events) & (share >= rate) & (share - F.coalesce(rest, F.lit(0.0)) >= uplift))
-
-    @F.pandas_udf("double")
-    def fisher(hits: pd.Series, drawn: pd.Series, events: pd.Series, total: pd.Series) -> pd.Series:
-        return pd.Series([hypergeometric_greater(int(a), int(b), int(c), int(d)) for a, b, c, d in zip(hits, drawn, events, total)])
-
-    ship(df.sparkSession)
-    most = F.rank().over(Window.partitionBy("feature").orderBy(F.desc("capture")))
-    ties = kept.withColumn("capture", F.col("events") / F.col("te")).withColumn("most", most).where("most = 1")
-    scored = ties.withColumn("p", F.least(fisher("events", "rows", "te", "tn") * F.col("tried"), F.lit(1.0)))
-    best = F.row_number().over(Window.partitionBy("feature").orderBy(F.desc("capture"), "p", "kind", "v"))
-    return scored.withColumn("rn", best).where("rn = 1").select("feature", "kind", F.col("v").alias("value"), "rows", "events", "capture", "p")
-
-
-def separation(auc: Column, iv: Column) -> Column:
-    """suspicious, strong, medium or weak by AUC or information value (TA-25)."""
-    return F.when((auc >= 0.9) | (iv >= 0.5), "suspicious").when((auc >= 0.7) | (iv >= 0.3), "strong").when((auc >= 0.55) | (iv >= 0.05), "medium").otherwise("weak")
-
-
-def separation_table(aucs: DataFrame, ivs: DataFrame) -> DataFrame:
-    """AUC and information value by feature, with category and findings (TA-26, TA-27)."""
-    both = aucs.select("feature", "auc").join(ivs.select("feature", "iv"), "feature", "full_outer")
-    reasons = F.array_compact(F.array(F.when(F.col("auc") >= 0.9, "auc >= 0.90"), F.when(F.col("iv") >= 0.5, "iv >= 0.5"), F.when(F.col("auc") < 0.6, "auc < 0.60"), F.when(F.col("iv") < 0.05, "iv < 0.05")))
-    leak = (F.col("auc") >= 0.9) | (F.col("iv") >= 0.5)
-    return both.withColumns({"category": separation(F.col("auc"), F.col("iv")), "finding": F.when(leak, "target_leakage").when((F.col("auc") < 0.6) & (F.col("iv") < 0.05), "poor_discrimination"), "reasons": F.array_join(reasons, "; ")})
-
-
 def leakage(df: DataFrame, post_outcome: list[str]) -> DataFrame:
     """Post-outcome columns that are present and populated (TA-28)."""
     there = [c for c in post_outcome if c in df.columns]
@@ -534,73 +351,11 @@ def separation_auc(spark, sf_dir):
     return line_auc(spark, sf_dir).withColumns({"auc": rounded(F.col("auc")), "gini": rounded(F.col("gini"))})
 
 
-@query("separation_benchmark", """WITH e AS (SELECT quantile_cont(l_extendedprice, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS q FROM lineitem), s AS (SELECT len(list_filter(q, lambda z: z < l_extendedprice)) AS b, count(*) AS n, sum((l_returnflag = 'R')::INT) AS s FROM lineitem, e GROUP BY 1),
- a AS (SELECT s / n AS score, sum(s) AS p, sum(n - s) AS q FROM s GROUP BY 1), c AS (SELECT p * (sum(q) OVER (ORDER BY score) - q / 2) AS a, p, q FROM a), u AS (SELECT sum(a) / (sum(p) * sum(q)) AS x FROM c)
- SELECT 'l_extendedprice' AS feature, round(greatest(x, 1 - x), 6) AS auc, round(2 * greatest(x, 1 - x) - 1, 6) AS gini FROM u""")
-def separation_benchmark(spark, sf_dir):
-    return percentile_benchmark(table(spark, sf_dir, "lineitem"), ["l_extendedprice"], positive("l_returnflag", "R")).withColumns({"auc": rounded(F.col("auc")), "gini": rounded(F.col("gini"))})
-
-
-@query("separation_table", f"""{_WOE.replace("WITH r AS", "WITH r AS", 1)}, i AS (SELECT feature, sum(iv) AS iv FROM v GROUP BY 1), a AS (SELECT feature, s / n AS score, sum(s) AS p, sum(n - s) AS q FROM s GROUP BY 1, 2),
- c AS (SELECT feature, p * (sum(q) OVER (PARTITION BY feature ORDER BY score) - q / 2) AS a, p, q FROM a), u AS (SELECT feature, sum(a) / (sum(p) * sum(q)) AS x FROM c GROUP BY 1), z AS (SELECT feature, greatest(x, 1 - x) AS auc, iv FROM u JOIN i USING (feature))
- SELECT feature, round(auc, 6) AS auc, round(iv, 6) AS iv, CASE WHEN auc >= 0.9 OR iv >= 0.5 THEN 'suspicious' WHEN auc >= 0.7 OR iv >= 0.3 THEN 'strong' WHEN auc >= 0.55 OR iv >= 0.05 THEN 'medium' ELSE 'weak' END AS category,
- CASE WHEN auc >= 0.9 OR iv >= 0.5 THEN 'target_leakage' WHEN auc < 0.6 AND iv < 0.05 THEN 'poor_discrimination' END AS finding, array_to_string(list_filter([CASE WHEN auc >= 0.9 THEN 'auc >= 0.90' END, CASE WHEN iv >= 0.5 THEN 'iv >= 0.5' END, CASE WHEN auc < 0.6 THEN 'auc < 0.60' END, CASE WHEN iv < 0.05 THEN 'iv < 0.05' END], lambda q: q IS NOT NULL), '; ') AS reasons FROM z""")
-def separation_table_query(spark, sf_dir):
-    stats = fine_statistics(line_bins(spark, sf_dir))
-    ivs = woe(stats).groupBy("feature").agg(F.first("feature_iv").alias("iv"))
-    return separation_table(line_auc(spark, sf_dir), ivs).withColumns({"auc": rounded(F.col("auc")), "iv": rounded(F.col("iv"))})
-
-
 @query("separation_concordance", """WITH s AS (SELECT l_linenumber AS s, l_quantity AS t, count(*) AS n FROM lineitem GROUP BY 1, 2), p AS (SELECT sum(a.n * b.n * CASE WHEN a.s = b.s THEN 0.5 WHEN a.s > b.s THEN 1 ELSE 0 END) / sum(a.n * b.n) AS x FROM s a, s b WHERE a.t > b.t) SELECT round(greatest(x, 1 - x), 6) AS auc FROM p""")
 def separation_concordance(spark, sf_dir):
     return concordance(table(spark, sf_dir, "lineitem"), "l_linenumber", "l_quantity").withColumn("auc", rounded(F.col("auc")))
 
 
-@query("separation_tree")
-def separation_tree(spark, sf_dir):
-    rows = long_bins(table(spark, sf_dir, "lineitem"), {"l_quantity": F.col("l_quantity"), "l_linenumber": F.col("l_linenumber").cast("double"), "l_discount": F.col("l_discount")}, positive("l_returnflag", "R"))
-    cells = fine_statistics(rows.where("bin is not null")).select("feature", F.col("bin").alias("position"), "n", "s")
-    return tree_auc(cells).withColumn("auc", rounded(F.col("auc")))
-
-
-def _tree_cells(spark, sf_dir) -> DataFrame:
-    rows = long_bins(table(spark, sf_dir, "lineitem"), {"l_quantity": F.col("l_quantity"), "l_discount": F.when(F.col("l_discount") < 0.08, F.col("l_discount")), "price": F.when(F.col("l_quantity") > 25, 1.0).otherwise(0.0)}, F.when(F.col("l_quantity") > 25, 1).otherwise(0))
-    return fine_statistics(rows).select("feature", F.col("bin").cast("double").alias("position"), "n", "s")
-
-
-@query("separation_tree_risk", """WITH c AS (SELECT count(*) AS n FROM lineitem) SELECT 'l_quantity' AS feature, 1.0 AS auc, 1.0 AS gini, 'high' AS risk, 0.0 AS spread, 'robust high association' AS robustness FROM c UNION ALL SELECT 'price', 1.0, 1.0, 'high', 0.0, 'robust high association' FROM c WHERE n > 0""")
-def separation_tree_risk(spark, sf_dir):
-    """The target is a threshold of l_quantity, which every configuration finds."""
-    out = tree_separation(_tree_cells(spark, sf_dir)).where("feature <> 'l_discount'")
-    return out.select("feature", rounded(F.col("auc")).alias("auc"), rounded(F.col("gini")).alias("gini"), "risk", rounded(F.col("spread")).alias("spread"), "robustness")
-
-
-@query("separation_tree_missing", """SELECT 'l_discount missing' AS rule, count(*) AS n, sum((l_quantity > 25)::INT)::DOUBLE AS s FROM lineitem WHERE l_discount >= 0.08""")
-def separation_tree_missing(spark, sf_dir):
-    """The leaf of missing discounts, which stands apart."""
-    return tree_leaves(_tree_cells(spark, sf_dir)).where("rule = 'l_discount missing'").select("rule", "n", "s")
-
-
-@query("separation_tree_leaves")
-def separation_tree_leaves(spark, sf_dir):
-    return tree_leaves(_tree_cells(spark, sf_dir))
-
-
-_LOCAL = ("l_quantity", "l_extendedprice", "l_tax")
-_FISHER = "exp(lgamma(te + 1) - lgamma(i + 1) - lgamma(te - i + 1) + lgamma(tn - te + 1) - lgamma(n - i + 1) - lgamma(tn - te - n + i + 1) - lgamma(tn + 1) + lgamma(n + 1) + lgamma(tn - n + 1))"
-
-
-@query("separation_localized", f"""WITH r AS ({' UNION ALL '.join(f"SELECT '{f}' AS feature, {f}::DOUBLE AS v, (l_quantity > 40)::INT AS y FROM lineitem" for f in _LOCAL)}), per AS (SELECT feature, v, count(*) AS n, sum(y) AS e FROM r GROUP BY 1, 2),
- c AS (SELECT *, sum(n) OVER w AS cn, sum(e) OVER w AS ce, sum(n) OVER t AS tn, sum(e) OVER t AS te FROM per WINDOW w AS (PARTITION BY feature ORDER BY v ROWS UNBOUNDED PRECEDING), t AS (PARTITION BY feature)),
- k AS (SELECT feature, 'value' AS kind, v, n, e, tn, te FROM c UNION ALL SELECT feature, 'lower', v, cn, ce, tn, te FROM c UNION ALL SELECT feature, 'upper', v, tn - cn + n, te - ce + e, tn, te FROM c), a AS (SELECT *, count(*) OVER (PARTITION BY feature) AS tried FROM k),
- s AS (SELECT feature, kind, v, n::BIGINT AS n, e::BIGINT AS e, tn::BIGINT AS tn, te::BIGINT AS te, tried FROM a WHERE n >= 30 AND e >= 5 AND e / n >= 0.9 AND e / n - coalesce((te - e) / nullif(tn - n, 0), 0) >= 0.1 QUALIFY rank() OVER (PARTITION BY feature ORDER BY e / te DESC) = 1),
- p AS (SELECT *, least(1, tried * list_sum(list_transform(range(greatest(e, n - tn + te), least(n, te) + 1), lambda i: {_FISHER}))) AS p FROM s)
- SELECT feature, kind, v AS value, n AS rows, e AS events, round(e / te, 6) AS capture, round(p, 6) AS p FROM p QUALIFY row_number() OVER (PARTITION BY feature ORDER BY p, kind, v) = 1""")
-def separation_localized(spark, sf_dir):
-    df = table(spark, sf_dir, "lineitem").withColumn("y", (F.col("l_quantity") > 40).cast("int"))
-    return localized(df, list(_LOCAL), F.col("y")).withColumns({c: rounded(F.col(c)) for c in ("capture", "p")})
-
-
 @query("separation_leakage", "SELECT 'l_tax' AS \"column\", count(l_tax) AS populated FROM lineitem")
 def separation_leakage(spark, sf_dir):
     return leakage(table(spark, sf_dir, "lineitem"), ["l_tax", "recovery_date"])

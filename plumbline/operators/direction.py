@@ -1,4 +1,5 @@
-"""Directional and monotonic consistency (DR-*)."""
+"""Correlations, charts and candidate pairs of directional tests (DR-1, DR-2, DR-10 to DR-12); the analysis itself is in
+directionality.py."""
 
 from __future__ import annotations
 
@@ -6,22 +7,22 @@ import math
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.prefix import cumulative
-from plumbline.functions.tails import chi2_one, t_two_sided
-from plumbline.functions.values import bucket, rounded
-from plumbline.operators.drift import quantile_edges
+from plumbline.functions.tails import t_two_sided
+from plumbline.functions.values import rounded
 from plumbline.plans.registry import query
-from plumbline.session import materialise, ship, table
+from plumbline.session import ship, table
 
+#: Floor of a correlation, highest p.
 MATERIAL, ALPHA = 0.20, 0.05
 
 
 @F.pandas_udf(T.DoubleType())
-def _t_tail(r: pd.Series, n: pd.Series) -> pd.Series:
+def t_tail(r: pd.Series, n: pd.Series) -> pd.Series:
     def one(r, n):
         if r is None or n is None or n < 3 or r != r:
             return None
@@ -41,7 +42,7 @@ def pearson(df: DataFrame, a: str, b: str) -> DataFrame:
     """Correlation, rows, two-sided p, and whether it is material (DR-1)."""
     ship(df.sparkSession)
     one = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).agg(F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias("r"), F.count("*").alias("n"))
-    return one.withColumn("p", _t_tail("r", F.col("n").cast("double"))).withColumn("material", (F.abs("r") >= MATERIAL) & (F.col("p") <= ALPHA))
+    return one.withColumn("p", t_tail("r", F.col("n").cast("double"))).withColumn("material", (F.abs("r") >= MATERIAL) & (F.col("p") <= ALPHA))
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -56,128 +57,7 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     var = lambda c: F.sum(F.col(c) * F.col(c) * F.col("w")) / w - mean(c) * mean(c)
     ship(df.sparkSession)
     one = j.agg((prod / F.nullif(F.sqrt(var("ra") * var("rb")), F.lit(0.0))).alias("r"), w.alias("n"))
-    return one.withColumn("p", _t_tail("r", F.col("n").cast("double"))).withColumn("material", (F.abs("r") >= MATERIAL) & (F.col("p") <= ALPHA))
-
-
-def linear(df: DataFrame, feature: str, target: str) -> DataFrame:
-    """Slope and intercept on the standardised feature (DR-3)."""
-    x, y = F.col(feature).cast("double"), F.col(target).cast("double")
-    one = df.where(x.isNotNull() & y.isNotNull()).agg(F.covar_pop(x, y).alias("c"), F.stddev_pop(x).alias("sx"), F.avg(y).alias("my"), F.corr(x, y).alias("r"), F.count("*").alias("n"))
-    ship(df.sparkSession)
-    return one.select((F.col("c") / F.nullif(F.col("sx"), F.lit(0.0))).alias("slope"), F.col("my").alias("intercept"), _t_tail("r", F.col("n").cast("double")).alias("p"))
-
-
-def logistic(df: DataFrame, feature: str, target: str, c: float = 1e6) -> DataFrame:
-    """Standardised univariate logistic regression with the likelihood-ratio test (DR-4): Newton steps, each one aggregation
-    of five sums over the distinct values, which are counted once. Where the classes are separable the steps stop when the
-    weights vanish."""
-    x, y = F.col(feature).cast("double"), F.col(target).cast("double")
-    rows = df.where(x.isNotNull() & y.isNotNull()).groupBy(x.alias("x")).agg(F.count("*").alias("n"), F.sum(y).alias("k"))
-    rows = materialise(rows, "logistic")
-    n, k = F.sum("n"), F.sum("k")
-    m = rows.agg(n.alias("n"), (k / n).alias("p"), (F.sum(F.col("x") * F.col("n")) / n).alias("m")).first()
-    spark = df.sparkSession
-    spread = rows.agg((F.sum(F.pow(F.col("x") - F.lit(m.m), 2) * F.col("n")) / n).alias("v")).first().v if m.n else None
-    if not spread or m.p in (0.0, 1.0):
-        return spark.createDataFrame([(None, None, None)], "slope double, intercept double, p double")
-    z = (F.col("x") - m.m) / math.sqrt(spread)
-    a, b = math.log(m.p / (1 - m.p)), 0.0
-    for _ in range(25):
-        p = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * z)))
-        over, w = F.col("k") - F.col("n") * p, F.col("n") * p * (1 - p)
-        g = rows.agg(F.sum(over), F.sum(over * z), F.sum(w), F.sum(w * z), F.sum(w * z * z)).first()
-        g1, h22 = g[1] - b / c, g[4] + 1 / c
-        det = g[2] * h22 - g[3] ** 2
-        if det <= 1e-12 * m.n:
-            break
-        da, db = (h22 * g[0] - g[3] * g1) / det, (g[2] * g1 - g[3] * g[0]) / det
-        a, b = a + da, b + db
-        if abs(da) + abs(db) < 1e-9:
-            break
-    eta = F.lit(a) + F.lit(b) * z
-    fitted = rows.agg(F.sum(F.col("k") * eta - F.col("n") * (F.greatest(eta, F.lit(0.0)) + F.log1p(F.exp(-F.abs(eta)))))).first()[0]
-    null = m.n * (m.p * math.log(m.p) + (1 - m.p) * math.log(1 - m.p))
-    return spark.createDataFrame([(b, a, chi2_one(2 * (fitted - null)))], "slope double, intercept double, p double")
-
-
-def binned(df: DataFrame, feature: str, target: str, bins: int = 5, floor: float = 0.02, step: float = 0.0) -> DataFrame:
-    """Mean target of quantile bins and their shape: NON_MONOTONIC on an interior turning point beyond the ends, else
-    INCREASING, DECREASING or FLAT by the movement between the end bins (DR-5), with steps up and down (DR-13)."""
-    rows = df.where(F.col(feature).isNotNull() & F.col(target).isNotNull())
-    edges = quantile_edges(rows, feature, bins)
-    per = rows.groupBy(bucket(F.col(feature).cast("double"), edges[1:-1], right=True).alias("bin")).agg(F.count("*").alias("n"), F.avg(F.col(target).cast("double")).alias("mean"))
-    order = Window.partitionBy().orderBy("bin")  # one row a bin
-    diff = F.col("mean") - F.lag("mean").over(order)
-    one = per.withColumn("d", diff).agg(F.min_by("mean", "bin").alias("first"), F.max_by("mean", "bin").alias("last"), F.max("mean").alias("high"), F.min("mean").alias("low"), F.count_if(F.col("d") > step).alias("ups"), F.count_if(F.col("d") < -step).alias("downs"), F.count("*").alias("bins"))
-    turn = (F.col("high") > F.greatest("first", "last") + floor) | (F.col("low") < F.least("first", "last") - floor)
-    move = F.col("last") - F.col("first")
-    shape = F.when(turn, "NON_MONOTONIC").when(move >= floor, "INCREASING").when(move <= -floor, "DECREASING").otherwise("FLAT")
-    return one.select("bins", "ups", "downs", move.alias("movement"), shape.alias("shape"))
-
-
-def consensus(votes: list[Column], shape: Column) -> tuple[Column, Column]:
-    """(direction, strength) of signed votes (1, -1, 0): STRONG if all agree, MODERATE if two do, CONFLICTING, WEAK (DR-6)."""
-    ups = sum((F.when(v > 0, 1).otherwise(0) for v in votes), F.lit(0))
-    downs = sum((F.when(v < 0, 1).otherwise(0) for v in votes), F.lit(0))
-    n = len(votes)
-    strength = F.when(shape == "NON_MONOTONIC", "NON_MONOTONIC").when((ups == n) | (downs == n), "STRONG").when((ups > 0) & (downs > 0), "CONFLICTING").when(F.greatest(ups, downs) >= 2, "MODERATE").otherwise("WEAK")
-    return F.when(ups > downs, "INCREASING").when(downs > ups, "DECREASING").otherwise("NONE"), strength
-
-
-def analyse(df: DataFrame, feature: str, target: str, special: list | None = None, binary: bool = False) -> DataFrame:
-    """Direction and strength of one feature, or INSUFFICIENT_DATA (DR-7)."""
-    rows = df.where(F.col(feature).isNotNull() & F.col(target).isNotNull() & ~F.col(feature).isin(special or [-1e308]))
-    enough = F.col("n") >= 30
-    gate = rows.agg(F.count("*").alias("n"), F.count_distinct(feature).alias("k"), F.least(F.count_if(F.col(target) == 1), F.count_if(F.col(target) == 0)).alias("minor"))
-    ok = enough & (F.col("k") > 1) & ((F.col("minor") >= 10) if binary else F.lit(True))
-    rank = spearman(rows, feature, target).select(F.col("r").alias("rho"), F.col("material").alias("rho_material"))
-    fit = (logistic if binary else linear)(rows, feature, target).select("slope", F.col("p").alias("slope_p"))
-    one = gate.crossJoin(rank).crossJoin(fit).crossJoin(binned(rows, feature, target).select("shape"))  # single rows
-    votes = [F.when(F.col("rho_material"), F.signum("rho")).otherwise(0.0), F.when(F.col("slope_p") <= ALPHA, F.signum("slope")).otherwise(0.0), F.when(F.col("shape") == "INCREASING", 1.0).when(F.col("shape") == "DECREASING", -1.0).otherwise(0.0)]
-    direction, strength = consensus(votes, F.col("shape"))
-    return one.select(F.lit(feature).alias("feature"), "n", "rho", "slope", "shape", F.when(ok, direction).alias("direction"), F.when(ok, strength).otherwise("INSUFFICIENT_DATA").alias("strength"))
-
-
-def against_expected(found: DataFrame, expected: DataFrame) -> DataFrame:
-    """Observed against expected direction (feature, expected, flip): a flipped target turns the expectation (DR-8)."""
-    want = F.when(F.col("flip") & (F.col("expected") == "INCREASING"), "DECREASING").when(F.col("flip") & (F.col("expected") == "DECREASING"), "INCREASING").otherwise(F.col("expected"))
-    status = F.when(F.col("expected").isNull(), "NO_EXPECTATION").when(F.col("strength") == "INSUFFICIENT_DATA", "NOT_ASSESSED").when(F.col("direction") == want, "AGREEMENT").otherwise("REVIEW_RECOMMENDED")
-    return found.join(expected, "feature", "left").select("feature", "direction", "strength", "expected", status.alias("status"))
-
-
-def segmented(df: DataFrame, segment: str, feature: str, target: str, bins: int = 5, floor: float = 0.02) -> DataFrame:
-    """analyse() of every segment in one plan (DR-9): rows, rank correlation, standardised slope, shape over the segment's
-    own quantile bins, direction, strength and the reason where a segment is not assessed. The row with a null
-    segment is the whole table, which is always computed; rows without a segment are the segment of the empty text. Bins cut a segment's distinct values where their running count passes an
-    equal share of its rows, so a value never stands in two bins."""
-    ship(df.sparkSession)
-    both = df.where(F.col(feature).isNotNull() & F.col(target).isNotNull())
-    rows = both.select(F.explode(F.array(F.lit(None).cast("string"), F.concat(F.lit("="), F.coalesce(F.col(segment).cast("string"), F.lit(""))))).alias("seg"), F.col(feature).cast("double").alias("a"), F.col(target).cast("double").alias("b"))
-    pairs = rows.withColumn("seg", F.coalesce("seg", F.lit(""))).groupBy("seg", "a", "b").agg(F.count("*").alias("w"))
-    ranked = {}
-    for c in "ab":
-        per = pairs.groupBy("seg", F.col(c).alias("v")).agg(F.sum("w").alias("n"))
-        ranked[c] = cumulative(per, ["v"], {"c": "n"}, ["seg"]).select("seg", F.col("v").alias(c), (F.col("c") - (F.col("n") - 1) / 2).alias(f"r{c}"), (F.col("c") - F.col("n")).alias(f"below{c}"))
-    j = pairs.join(ranked["a"], ["seg", "a"]).join(ranked["b"], ["seg", "b"])
-    w = F.sum("w")
-    mean = lambda x: F.sum(x * F.col("w")) / w
-    cov = lambda x, y: mean(F.col(x) * F.col(y)) - mean(F.col(x)) * mean(F.col(y))
-    sums = j.groupBy("seg").agg(w.alias("n"), F.count_distinct("a").alias("k"), cov("ra", "rb").alias("rab"), cov("ra", "ra").alias("raa"), cov("rb", "rb").alias("rbb"), cov("a", "b").alias("ab"), cov("a", "a").alias("aa"), cov("b", "b").alias("bb"))
-    total = pairs.groupBy("seg").agg(F.sum("w").alias("total"))
-    binned_ = j.join(total, "seg").groupBy("seg", F.floor(F.col("belowa") * bins / F.col("total")).alias("bin")).agg((F.sum(F.col("b") * F.col("w")) / F.sum("w")).alias("m"))
-    ends = binned_.groupBy("seg").agg(F.min_by("m", "bin").alias("first"), F.max_by("m", "bin").alias("last"), F.max("m").alias("high"), F.min("m").alias("low"))
-    turn = (F.col("high") > F.greatest("first", "last") + floor) | (F.col("low") < F.least("first", "last") - floor)
-    move = F.col("last") - F.col("first")
-    shape = F.when(turn, "NON_MONOTONIC").when(move >= floor, "INCREASING").when(move <= -floor, "DECREASING").otherwise("FLAT")
-    safe = lambda x: F.nullif(F.sqrt(x), F.lit(0.0))
-    one = sums.join(ends, "seg").select("seg", "n", "k", (F.col("rab") / safe(F.col("raa") * F.col("rbb"))).alias("rho"), (F.col("ab") / safe(F.col("aa"))).alias("slope"), (F.col("ab") / safe(F.col("aa") * F.col("bb"))).alias("r"), shape.alias("shape"))
-    n = F.col("n").cast("double")
-    one = one.withColumns({"rho_p": _t_tail("rho", n), "slope_p": _t_tail("r", n)})
-    votes = [F.when((F.abs("rho") >= MATERIAL) & (F.col("rho_p") <= ALPHA), F.signum("rho")).otherwise(0.0), F.when(F.col("slope_p") <= ALPHA, F.signum("slope")).otherwise(0.0), F.when(F.col("shape") == "INCREASING", 1.0).when(F.col("shape") == "DECREASING", -1.0).otherwise(0.0)]
-    direction, strength = consensus(votes, F.col("shape"))
-    reason = F.when(F.col("n") < 30, "fewer than 30 rows").when(F.col("k") < 2, "constant feature")
-    name = F.when(F.col("seg") != "", F.substring("seg", 2, 2**31 - 1))
-    return one.select(name.alias("segment"), "n", "rho", "slope", "shape", F.when(reason.isNull(), direction).alias("direction"), F.when(reason.isNull(), strength).otherwise("INSUFFICIENT_DATA").alias("strength"), reason.alias("reason"))
+    return one.withColumn("p", t_tail("r", F.col("n").cast("double"))).withColumn("material", (F.abs("r") >= MATERIAL) & (F.col("p") <= ALPHA))
 
 
 def holds(rho: Column, kind: str, floor: float = 0.1) -> Column:
@@ -230,31 +110,6 @@ def direction_spearman(spark, sf_dir):
     return spearman(table(spark, sf_dir, "part"), "p_size", "p_retailprice").select(rounded(F.col("r")).alias("r"), "n")
 
 
-@query("direction_linear", "SELECT round(covar_pop(l_quantity, l_extendedprice) / stddev_pop(l_quantity), 3) AS slope, round(avg(l_extendedprice), 3) AS intercept FROM lineitem")
-def direction_linear(spark, sf_dir):
-    return linear(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice").select(rounded(F.col("slope"), 3).alias("slope"), rounded(F.col("intercept"), 3).alias("intercept"))
-
-
-@query("direction_logistic")
-def direction_logistic(spark, sf_dir):
-    df = table(spark, sf_dir, "lineitem").withColumn("y", (F.col("l_extendedprice") > 40000).cast("int"))
-    return logistic(df, "l_quantity", "y")
-
-
-@query("direction_binned", """WITH e AS (SELECT quantile_cont(l_quantity, [0.2, 0.4, 0.6, 0.8]) AS q FROM lineitem), b AS (SELECT len(list_filter(list_distinct(q), lambda z: z < l_quantity)) AS bin, avg(l_extendedprice) AS m FROM lineitem, e GROUP BY 1), d AS (SELECT bin, m, m - lag(m) OVER (ORDER BY bin) AS d FROM b)
- SELECT count(*) AS bins, count(*) FILTER (WHERE d > 0) AS ups, count(*) FILTER (WHERE d < 0) AS downs, round(arg_max(m, bin) - arg_min(m, bin), 3) AS movement,
- CASE WHEN max(m) > greatest(arg_max(m, bin), arg_min(m, bin)) + 0.02 OR min(m) < least(arg_max(m, bin), arg_min(m, bin)) - 0.02 THEN 'NON_MONOTONIC' WHEN arg_max(m, bin) - arg_min(m, bin) >= 0.02 THEN 'INCREASING' WHEN arg_max(m, bin) - arg_min(m, bin) <= -0.02 THEN 'DECREASING' ELSE 'FLAT' END AS shape FROM d""")
-def direction_binned(spark, sf_dir):
-    return binned(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice").withColumn("movement", rounded(F.col("movement"), 3))
-
-
-@query("direction_expected", "SELECT 'l_quantity' AS feature, 'INCREASING' AS direction, 'STRONG' AS strength, 'INCREASING' AS expected, 'AGREEMENT' AS status WHERE (SELECT count(*) FROM lineitem) > 0")
-def direction_expected(spark, sf_dir):
-    df = table(spark, sf_dir, "lineitem").withColumn("gross", F.col("l_quantity") * F.col("l_extendedprice"))
-    found = analyse(df, "l_quantity", "gross")
-    return against_expected(found, spark.createDataFrame([("l_quantity", "INCREASING", False)], "feature string, expected string, flip boolean"))
-
-
 @query("direction_segments", "SELECT l_linestatus AS segment, round(corr(l_quantity, l_extendedprice), 6) AS r, corr(l_quantity, l_extendedprice) >= 0.1 AS holds FROM lineitem GROUP BY 1")
 def direction_segments(spark, sf_dir):
     """The relation within each segment (DR-9, DR-10)."""
@@ -278,15 +133,3 @@ def direction_candidate_pairs(spark, sf_dir):
     from plumbline.operators.profile import live_catalogue
 
     return candidate_pairs(live_catalogue(table(spark, sf_dir, "lineitem").withColumnsRenamed(_NAMED), "lineitem").where("distinct > 1"), top=12)
-
-
-@query("direction_segmented", """WITH x AS (SELECT NULL AS segment, l_quantity AS a, l_extendedprice AS b FROM lineitem UNION ALL SELECT l_returnflag, l_quantity, l_extendedprice FROM lineitem),
- r AS (SELECT *, rank() OVER (PARTITION BY segment ORDER BY a) + (count(*) OVER (PARTITION BY segment, a) - 1) / 2 AS ra, rank() OVER (PARTITION BY segment ORDER BY b) + (count(*) OVER (PARTITION BY segment, b) - 1) / 2 AS rb,
-  floor((rank() OVER (PARTITION BY segment ORDER BY a) - 1) * 5 / count(*) OVER (PARTITION BY segment)) AS bin FROM x),
- m AS (SELECT segment, bin, avg(b) AS m FROM r GROUP BY ALL),
- e AS (SELECT segment, arg_min(m, bin) AS f, arg_max(m, bin) AS l, max(m) AS h, min(m) AS w FROM m GROUP BY 1),
- s AS (SELECT segment, CASE WHEN h > greatest(f, l) + 0.02 OR w < least(f, l) - 0.02 THEN 'NON_MONOTONIC' WHEN l - f >= 0.02 THEN 'INCREASING' WHEN l - f <= -0.02 THEN 'DECREASING' ELSE 'FLAT' END AS shape FROM e)
- SELECT r.segment, count(*) AS n, round(corr(ra, rb), 6) AS rho, round(covar_pop(a, b) / stddev_pop(a), 2) AS slope, any_value(shape) AS shape FROM r JOIN s ON s.segment IS NOT DISTINCT FROM r.segment GROUP BY 1""")
-def direction_segmented(spark, sf_dir):
-    found = segmented(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_quantity", "l_extendedprice")
-    return found.select("segment", "n", rounded(F.col("rho")).alias("rho"), rounded(F.col("slope"), 2).alias("slope"), "shape")

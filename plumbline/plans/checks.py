@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import direction, drift, keys, missingness, panel, profile, rules
+from plumbline.operators import direction, directionality, drift, keys, missingness, panel, profile, rules
 from plumbline.plans.registry import Check, Registry
 
 
@@ -32,7 +32,7 @@ def standard() -> Registry:
         Check("granularity", lambda df, date: panel.granularity(df, date), {"date": ...}, ("structure",), ("modal_gap",)),
         Check("pearson", lambda df, a, b: direction.pearson(df, a, b), {"a": ..., "b": ...}, ("direction",), ("r", "p")),
         Check("spearman", lambda df, a, b: direction.spearman(df, a, b), {"a": ..., "b": ...}, ("direction",), ("r", "p")),
-        Check("binned_shape", lambda df, feature, target, bins: direction.binned(df, feature, target, bins), {"feature": ..., "target": ..., "bins": 5}, ("direction",), ("shape",)),
+        Check("binned_shape", lambda df, feature, target, bins: directionality.assess(df, [feature], target, "continuous", bins=bins), {"feature": ..., "target": ..., "bins": 5}, ("direction",), ("shape",)),
         Check("rules", lambda df, specs: rules.evaluate(df, specs), {"specs": ...}, ("rules",), ("rule_id", "outcome")),
         Check("rows", lambda df: df.agg(F.count("*").alias("rows")), {}, ("inventory",), ("rows",)),
     ):
