@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,6 +59,19 @@ def date(c: Column, kind: str | None = None) -> Column:
     return out
 
 
+@F.pandas_udf(T.StringType())
+def _compatible(s: pd.Series) -> pd.Series:
+    return s.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v).strip())
+
+
+def normal_text(c: Column) -> Column:
+    """Compatibility form (NFKC) without white space around it, null where nothing is left; case stays. Only texts beyond ASCII
+    go through Python."""
+    text = c.cast("string")
+    plain = text.rlike(r"^[\x00-\x7F]*\z")
+    return F.nullif(F.when(plain, F.trim(text, F.lit(" \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"))).otherwise(_compatible(F.when(~plain, text))), F.lit(""))
+
+
 def norm(c: Column) -> Column:
     """Upper case, trimmed, whole numbers without their '.0'."""
     return F.regexp_replace(F.upper(F.trim(c.cast("string"))), r"\.0$", "")

@@ -1,31 +1,61 @@
-"""Missingness: rates, co-missing blocks, breaks, trees and verdicts (CM-1..13, 35, 39), and driver search (DV-*)."""
+"""Missingness: rates, declared codes, co-missing blocks and breaks (CM-1 to CM-6, CM-35), and attribution (DV-7)."""
 
 from __future__ import annotations
 
+import unicodedata
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions.quantiles import percentile_row
-from plumbline.functions.values import missing, rounded
+from plumbline.functions.values import missing, normal_text, rounded
 from plumbline.operators.profile import is_special
 from plumbline.plans.registry import query
 from plumbline.session import table
 
-TOLERANCE, JACCARD = 0.01, 0.95
+#: Tolerated missing share, likeness of columns of one block, share on either side of a break.
+TOLERANCE, JACCARD, EXTREME = 0.01, 0.95, 0.95
 
 
-def rates(df: DataFrame, columns: list[str], codes: dict[str, list] | None = None) -> DataFrame:
-    """Null, blank and coded values of every column in one pass, with the tolerance's verdict (CM-1, 4, 35, 39)."""
+def parse_codes(cell) -> list[str]:
+    """The codes of one dictionary cell: comma-separated, blanks left out (CM-4)."""
+    return [] if cell is None else [p.strip() for p in str(cell).split(",") if p.strip()]
+
+
+def dictionary_codes(dictionary: DataFrame, name: str = "column_name", codes: str = "missing_codes") -> dict[str, list[str]]:
+    """Codes by column of a dictionary table, which has one row a column of the data (CM-4)."""
+    return {r[0]: parse_codes(r[1]) for r in dictionary.select(name, codes).collect() if parse_codes(r[1])}
+
+
+def missing_parts(df: DataFrame, column: str, codes: list | None = None) -> tuple[Column, Column, Column]:
+    """Whether a row's value is null (or not a number), blank, or a declared code, never two of them. Texts and codes are
+    compared in their compatibility form, so a no-break space is blank and full-width letters match; numbers by value (CM-4)."""
+    x, codes = F.col(column), codes or []
+    kind = df.schema[column].dataType
+    if isinstance(kind, T.StringType):
+        text = normal_text(x)
+        known = [unicodedata.normalize("NFKC", str(v)).strip() for v in codes]
+        return x.isNull(), x.isNotNull() & text.isNull(), F.coalesce(text.isin(known), F.lit(False)) if known else F.lit(False)
+    null = x.isNull() | (F.isnan(x) if isinstance(kind, (T.DoubleType, T.FloatType)) else F.lit(False))
+    return null, F.lit(False), is_special(x, codes)
+
+
+def missing_mask(df: DataFrame, column: str, codes: list | None = None) -> Column:
+    null, blank, coded = missing_parts(df, column, codes)
+    return null | blank | coded
+
+
+def rates(df: DataFrame, columns: list[str], codes: dict[str, list] | None = None, tolerance: float = TOLERANCE) -> DataFrame:
+    """Null, blank and coded values of every column in one pass, with the tolerance's verdict and whether a not-null
+    expectation holds (CM-1, 4, 35, 39)."""
     codes, aggregates = codes or {}, [F.count("*").alias("_n")]
     for c in columns:
-        x = F.col(c)
-        blank = x.isNotNull() & (F.trim(x.cast("string")) == "")
-        aggregates += [F.count_if(x.isNull()).alias(f"n_{c}"), F.count_if(blank).alias(f"b_{c}"), F.count_if(is_special(x, codes.get(c, [])) & ~blank).alias(f"c_{c}")]
+        aggregates += [F.count_if(part).alias(f"{k}_{c}") for k, part in zip("nbc", missing_parts(df, c, codes.get(c)))]
     rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n_{c}").alias("nulls"), F.col(f"b_{c}").alias("blanks"), F.col(f"c_{c}").alias("coded")) for c in columns])
     long = df.agg(*aggregates).select("_n", F.explode(rows).alias("r")).select("_n", "r.*")
     rate = (F.col("nulls") + F.col("blanks") + F.col("coded")) / F.nullif(F.col("_n"), F.lit(0))
-    return long.withColumn("rate", rate).withColumn("passed", F.col("rate") <= TOLERANCE).drop("_n")
+    return long.withColumns({"rate": rate, "passed": rate <= tolerance, "not_null": F.col("nulls") == 0}).drop("_n")
 
 
 def change(windowed: DataFrame, column: str) -> DataFrame:
@@ -42,9 +72,9 @@ def cross_tab(populated: DataFrame, column: str, segment: str, codes: list) -> D
     return populated.where("population is not null").groupBy("population", F.coalesce(F.col(segment).cast("string"), F.lit("(missing)")).alias("segment")).agg(F.count("*").alias("rows"), F.count_if(x.isNull()).alias("physical"), F.count_if(special).alias("declared"), F.count_if(x.isNull() | special).alias("effective"))
 
 
-def co_missing(df: DataFrame, columns: list[str]) -> DataFrame:
+def co_missing(df: DataFrame, columns: list[str], masks: dict[str, Column] | None = None) -> DataFrame:
     """Jaccard of the missing rows of every pair of columns, one aggregation over the rows (CM-5)."""
-    mask = {c: missing(F.col(c)) for c in columns}
+    mask = masks or {c: missing(F.col(c)) for c in columns}
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     one = df.agg(*[F.count_if(m).alias(f"m_{c}") for c, m in mask.items()], *[F.count_if(mask[a] & mask[b]).alias(f"p_{i}") for i, (a, b) in enumerate(pairs)])
     rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"p_{i}").alias("both"), (F.col(f"m_{a}") + F.col(f"m_{b}") - F.col(f"p_{i}")).alias("either")) for i, (a, b) in enumerate(pairs)])
@@ -60,76 +90,27 @@ def blocks(pairs: DataFrame, floor: float = JACCARD) -> list[set[str]]:
     return sorted(found, key=min)
 
 
-def structural_break(df: DataFrame, column: str, period: Column) -> DataFrame:
-    """The first period boundary where a column goes from never to always missing, or back (CM-6)."""
-    per = df.groupBy(period.alias("period")).agg(F.count("*").alias("n"), F.count_if(F.col(column).isNull()).alias("m"))
-    before, after = Window.partitionBy().orderBy("period").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy().orderBy("period").rowsBetween(0, Window.unboundedFollowing)  # one row a period
-    b, a = F.sum("m").over(before) / F.sum("n").over(before), F.sum("m").over(after) / F.sum("n").over(after)
-    cut = per.select("period", b.alias("before"), a.alias("after")).where("(before = 0 and after = 1) or (before = 1 and after = 0)")
-    return cut.orderBy("period").limit(1)
-
-
-def encoded(df: DataFrame, predictors: list[str], levels: int = 20) -> tuple[DataFrame, list[str]]:
-    """Predictors as double columns: numbers with missing indicators, dates as year and quarter, categories as their most
-    frequent levels by index and the rest (CM-8, 9, DV-3)."""
-    from pyspark.sql import types as T
-
-    out, names = {}, []
-    for c in predictors:
-        kind = df.schema[c].dataType
-        if isinstance(kind, T.NumericType):
-            out |= {f"{c}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)), f"{c}_missing": F.col(c).isNull().cast("double")}
-        elif isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-            out |= {f"{c}_year": F.coalesce(F.year(c), F.lit(0)).cast("double"), f"{c}_quarter": F.coalesce(F.quarter(c), F.lit(0)).cast("double")}
-        else:
-            top = [r[0] for r in df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("v")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "v").limit(levels).collect()]
-            out |= {f"{c}={v}": (F.coalesce(F.col(c).cast("string"), F.lit("\0")) == v).cast("double") for v in top}
-    names = [f"f{i}" for i in range(len(out))]
-    return df.withColumns({n: e for n, e in zip(names, out.values())}), list(out)
-
-
-def tree_drivers(df: DataFrame, target: Column, predictors: list[str], depth: int = 3, key: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(features, leaves) of a shallow Gini tree on a 0/1 target: importance summed to the source column with AUC of the
-    held-out third (by hash), and leaves with support, purity and lift (CM-10, DV-1..6)."""
-    from pyspark.ml.evaluation import BinaryClassificationEvaluator
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import DecisionTreeRegressor
-
-    spark = df.sparkSession
-    rows, names = encoded(df.withColumn("y", target.cast("double")).where("y is not null"), predictors)
-    rows = VectorAssembler(inputCols=[f"f{i}" for i in range(len(names))], outputCol="features").transform(rows)
-    fold = F.pmod(F.xxhash64(*([key] if key else predictors)), F.lit(10))
-    # the variance of a 0/1 target is half its Gini impurity; a classifier would join leaves of the same majority
-    model = DecisionTreeRegressor(labelCol="y", maxDepth=depth, minInstancesPerNode=30, maxBins=64, seed=7).fit(rows.where(fold < 7))
-    held = model.transform(rows.where(fold >= 7))
-    auc = BinaryClassificationEvaluator(labelCol="y", rawPredictionCol="prediction").evaluate(held) if held.select("y").distinct().count() == 2 else None
-    total: dict[str, float] = {}
-    for n, v in zip(names, model.featureImportances.toArray()):
-        source = max((p for p in predictors if n == p or n.startswith(f"{p}_") or n.startswith(f"{p}=")), key=len)
-        total[source] = total.get(source, 0.0) + float(v)
-    features = spark.createDataFrame([(k, v, auc) for k, v in sorted(total.items(), key=lambda x: (-x[1], x[0]))], "feature string, importance double, auc double")
-    scored = model.transform(rows).groupBy(F.col("prediction").alias("leaf")).agg(F.count("*").alias("support"), F.avg("y").alias("purity"), F.sum("y").alias("hits"))
-    all_ = Window.partitionBy()  # at most 2 ** depth leaves
-    base = F.sum("hits").over(all_) / F.sum("support").over(all_)
-    leaves = scored.select("support", "purity", (F.col("purity") / base).alias("lift"), (F.col("hits") / F.sum("hits").over(all_)).alias("coverage")).where("lift > 1")
-    return features, leaves.orderBy(F.desc("lift"), F.desc("support")).limit(8)
-
-
-def verdicts(evidence: DataFrame) -> DataFrame:
-    """Column verdicts from rate, tolerance, break, support, purity and lift (CM-11)."""
-    strong = (F.col("purity") >= 0.8) & (F.col("lift") >= 1.25)
-    v = (
-        F.when(F.col("rate") <= F.col("tolerance"), "below threshold").when(F.col("rate") == 1, "entirely empty").when(F.col("has_break"), "lineage break")
-        .when(F.col("support").isNull(), "untestable").when(strong, "strong pattern").when(F.col("lift") >= 1.25, "weak pattern").otherwise("no pattern")
-    )
-    return evidence.withColumn("verdict", v)
-
-
-def fitness(findings: DataFrame) -> DataFrame:
-    """Columns by verdict and the dataset's status (CM-13)."""
-    per = findings.groupBy("verdict").agg(F.count("*").alias("columns"))
-    bad = F.max(F.col("verdict").isin("strong pattern", "lineage break", "entirely empty").cast("int")).over(Window.partitionBy())
-    return per.withColumn("status", F.when(bad == 1, "REVIEW").otherwise("FIT"))
+def block_table(pairs: DataFrame, columns: list[str], floor: float = JACCARD) -> DataFrame:
+    """(column, block, size) of every column; block numbers follow the columns' order, and a column without mates is alone (CM-5)."""
+    found = blocks(pairs, floor)
+    own = {c: next((b for b in found if c in b), {c}) for c in columns}
+    number = {}
+    for c in columns:
+        number.setdefault(frozenset(own[c]), f"B{len(number) + 1:03d}")
+    return pairs.sparkSession.createDataFrame([(c, number[frozenset(own[c])], len(own[c])) for c in columns], "column string, block string, size int")
+
+
+def structural_breaks(df: DataFrame, masks: dict[str, Column], period: Column, extreme: float = EXTREME) -> DataFrame:
+    """(column, period, before, after): for each column the first period before which at least `extreme` of the rows lack it
+    and from which on at most the rest, or the other way round. Rows without a period take no part, and periods are ordered as
+    texts; all columns share one aggregation (CM-6)."""
+    per = df.groupBy(period.cast("string").alias("period")).agg(F.count("*").alias("n"), *[F.count_if(m).alias(f"m_{c}") for c, m in masks.items()]).where("period is not null")
+    long = per.select("period", "n", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"m_{c}").alias("m")) for c in masks])).alias("r")).select("period", "n", "r.*")
+    order = Window.partitionBy("column").orderBy("period")  # one row a period
+    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
+    cut = long.select("column", "period", (F.sum("m").over(before) / F.sum("n").over(before)).alias("before"), (F.sum("m").over(after) / F.sum("n").over(after)).alias("after"))
+    flipped = ((F.col("before") >= extreme) & (F.col("after") <= 1 - extreme)) | ((F.col("after") >= extreme) & (F.col("before") <= 1 - extreme))
+    return cut.where(flipped).groupBy("column").agg(F.min_by(F.struct("period", "before", "after"), "period").alias("r")).select("column", "r.*")
 
 
 def attribution(populated: DataFrame, symptom: Column, segment: Column) -> DataFrame:
@@ -145,7 +126,7 @@ def labelled(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id", "left")
 
 
-@query("missing_rates", " UNION ALL ".join(f"""SELECT '{c}' AS "column", count(*) FILTER (WHERE {c} IS NULL) AS nulls, count(*) FILTER (WHERE trim({c}::VARCHAR) = '') AS blanks, count(*) FILTER (WHERE {c}::VARCHAR = 'es') AS coded, round(avg(({c} IS NULL OR {c}::VARCHAR = 'es')::INT), 6) AS rate, avg(({c} IS NULL OR {c}::VARCHAR = 'es')::INT) <= 0.01 AS passed FROM documents LEFT JOIN labels USING (doc_id)""" for c in ("lang", "toxic", "quality")))
+@query("missing_rates", " UNION ALL ".join(f"""SELECT '{c}' AS "column", count(*) FILTER (WHERE {c} IS NULL) AS nulls, count(*) FILTER (WHERE trim({c}::VARCHAR) = '') AS blanks, count(*) FILTER (WHERE {c}::VARCHAR = 'es') AS coded, round(avg(({c} IS NULL OR {c}::VARCHAR = 'es')::INT), 6) AS rate, avg(({c} IS NULL OR {c}::VARCHAR = 'es')::INT) <= 0.01 AS passed, count(*) FILTER (WHERE {c} IS NULL) = 0 AS not_null FROM documents LEFT JOIN labels USING (doc_id)""" for c in ("lang", "toxic", "quality")))
 def missing_rates(spark, sf_dir):
     return rates(labelled(spark, sf_dir), ["lang", "toxic", "quality"], {"lang": ["es"]}).withColumn("rate", rounded(F.col("rate")))
 
@@ -172,27 +153,6 @@ def missing_co_missing(spark, sf_dir):
     return co_missing(labelled(spark, sf_dir), ["quality", "toxic", "lang"])
 
 
-@query("missing_break", """SELECT '1998-01' AS period, 1.0 AS before, 0.0 AS after WHERE (SELECT count(*) FROM orders) > 0""")
-def missing_break(spark, sf_dir):
-    """Of a column that was first recorded in 1998."""
-    df = table(spark, sf_dir, "orders").withColumn("late", F.when(F.col("o_orderdate") >= F.lit("1998-01-01").cast("timestamp"), F.col("o_totalprice")))
-    return structural_break(df, "late", F.date_format("o_orderdate", "yyyy-MM"))
-
-
-@query("missing_tree")
-def missing_tree(spark, sf_dir):
-    """Of prices that urgent orders lack."""
-    from plumbline.operators.gates import planted
-
-    return tree_drivers(planted(spark, sf_dir), F.col("urgent_gone").isNull(), ["o_orderpriority", "o_orderstatus", "o_custkey"], key="o_orderkey")[1]
-
-
-@query("drivers_features")
-def drivers_features(spark, sf_dir):
-    df = table(spark, sf_dir, "lineitem")
-    return tree_drivers(df, F.col("l_extendedprice") > 50000, ["l_quantity", "l_discount", "l_returnflag", "l_shipdate"])[0]
-
-
 @query("drivers_attribution", """WITH p AS (SELECT CASE WHEN o_orderdate < TIMESTAMP '1998-01-01' THEN 'baseline' ELSE 'current' END AS p, o_totalprice > 300000 AS s, o_orderpriority AS segment FROM orders),
  g AS (SELECT segment, count(*) FILTER (WHERE p = 'baseline') AS bn, count(*) FILTER (WHERE p = 'current') AS cn, count(*) FILTER (WHERE p = 'baseline' AND s) AS bs, count(*) FILTER (WHERE p = 'current' AND s) AS cs FROM p GROUP BY 1), m AS (SELECT segment, cs / sum(cn) OVER () - bs / sum(bn) OVER () AS m FROM g)
  SELECT segment, round(m, 6) AS movement, round(m / sum(m) OVER (), 4) AS share FROM m""")
@@ -204,16 +164,33 @@ def drivers_attribution(spark, sf_dir):
     return out.select("segment", rounded(F.col("movement")).alias("movement"), rounded(F.col("share"), 4).alias("share"))
 
 
-@query("missing_verdicts", """SELECT 'lang' AS "column", 'below threshold' AS verdict WHERE (SELECT count(*) FROM documents) > 0 UNION ALL SELECT 'toxic', 'untestable' WHERE (SELECT count(*) FROM documents) > 0""")
-def missing_verdicts(spark, sf_dir):
-    e = rates(labelled(spark, sf_dir), ["lang", "toxic"]).withColumns({"tolerance": F.lit(TOLERANCE), "has_break": F.lit(False), "support": F.lit(None).cast("long"), "purity": F.lit(None).cast("double"), "lift": F.lit(None).cast("double")})
-    return verdicts(e).select("column", "verdict")
-
-
-@query("missing_fitness", """WITH t AS (SELECT count(*) AS n, count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS u FROM orders), v AS (SELECT 'below threshold' AS verdict FROM t UNION ALL SELECT 'entirely empty' FROM t UNION ALL SELECT CASE WHEN u >= 2 * greatest(30, round(0.01 * n)) THEN 'strong pattern' ELSE 'untestable' END FROM t) SELECT verdict, count(*) AS columns, 'REVIEW' AS status FROM v GROUP BY 1""")
-def missing_fitness(spark, sf_dir):
-    """Of three columns: whole, empty, and missing where orders are urgent."""
-    from plumbline.operators.gates import column_verdicts, planted
-
-    roles = {"whole": "mandatory", "empty": "optional", "urgent_gone": "unmarked"}
-    return fitness(column_verdicts(planted(spark, sf_dir), roles, ["o_orderpriority", "o_orderstatus"]))
+@query("missing_break", """WITH p AS (SELECT strftime(o_orderdate, '%Y-%m') AS period, count(*) AS n, count(*) FILTER (WHERE NOT (o_orderdate >= TIMESTAMP '1998-01-01' OR o_orderkey % 40 = 0)) AS late, count(*) FILTER (WHERE o_orderdate >= TIMESTAMP '1997-06-01') AS ended, count(*) FILTER (WHERE o_orderdate < TIMESTAMP '1998-01-01' AND o_orderkey % 5 <> 0) AS partly FROM orders GROUP BY 1),
+ l AS (UNPIVOT p ON late, ended, partly INTO NAME "column" VALUE m), w AS (SELECT "column", period, sum(m) OVER b / sum(n) OVER b AS before, sum(m) OVER a / sum(n) OVER a AS after FROM l
+  WINDOW b AS (PARTITION BY "column" ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), a AS (PARTITION BY "column" ORDER BY period ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+ SELECT "column", period, round(before, 6) AS before, round(after, 6) AS after FROM w WHERE (before >= 0.95 AND after <= 0.05) OR (after >= 0.95 AND before <= 0.05) QUALIFY row_number() OVER (PARTITION BY "column" ORDER BY period) = 1""")
+def missing_break(spark, sf_dir):
+    """Columns recorded (but for a few) from 1998 on, recorded until the middle of 1997, and mostly missing before 1998."""
+    day, key = F.col("o_orderdate"), F.col("o_orderkey")
+    later = day >= F.lit("1998-01-01").cast("timestamp")
+    masks = {"late": ~(later | (key % 40 == 0)), "ended": day >= F.lit("1997-06-01").cast("timestamp"), "partly": ~later & (key % 5 != 0)}
+    found = structural_breaks(table(spark, sf_dir, "orders"), masks, F.date_format("o_orderdate", "yyyy-MM"))
+    return found.select("column", "period", rounded(F.col("before")).alias("before"), rounded(F.col("after")).alias("after"))
+
+
+@query("missing_codes", """WITH r AS (SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN chr(160) || ' ' WHEN 1 THEN chr(65326) || chr(65313) WHEN 2 THEN ' NA ' WHEN 3 THEN NULL WHEN 4 THEN '' ELSE 'kept' END AS note, CASE WHEN o_custkey % 7 = 0 THEN -999 ELSE o_custkey END AS cust FROM orders)
+ SELECT 'note' AS "column", count(*) FILTER (WHERE note IS NULL) AS nulls, count(*) FILTER (WHERE trim(replace(note, chr(160), ' ')) = '') AS blanks, count(*) FILTER (WHERE trim(note) IN ('NA', chr(65326) || chr(65313))) AS coded, round(avg((note IS DISTINCT FROM 'kept')::INT), 6) AS rate, false AS passed, count(*) FILTER (WHERE note IS NULL) = 0 AS not_null FROM r
+ UNION ALL SELECT 'cust', 0, 0, count(*) FILTER (WHERE cust = -999), round(avg((cust = -999)::INT), 6), avg((cust = -999)::INT) <= 0.01, true FROM r""")
+def missing_codes(spark, sf_dir):
+    """No-break spaces and full-width letters, with the codes of a dictionary table."""
+    key = F.col("o_orderkey")
+    note = F.when(key % 6 == 0, "\u00a0 ").when(key % 6 == 1, "\uff2e\uff21").when(key % 6 == 2, " NA ").when(key % 6 == 4, "").when(key % 6 == 5, "kept")
+    df = table(spark, sf_dir, "orders").select(note.alias("note"), F.when(F.col("o_custkey") % 7 == 0, -999).otherwise(F.col("o_custkey")).alias("cust"))
+    dictionary = spark.createDataFrame([("note", "NA, ?"), ("cust", "-999"), ("other", None)], "column_name string, missing_codes string")
+    return rates(df, ["note", "cust"], dictionary_codes(dictionary)).withColumn("rate", rounded(F.col("rate")))
+
+
+@query("missing_blocks", """WITH j AS (SELECT quality, toxic, quality AS again, lang FROM documents LEFT JOIN labels USING (doc_id)), c AS (SELECT avg((quality IS NULL AND toxic IS NULL)::INT) / nullif(avg((quality IS NULL OR toxic IS NULL)::INT), 0) AS qt FROM j)
+ SELECT unnest(['quality', 'toxic', 'again', 'lang']) AS "column", unnest(CASE WHEN qt >= 0.95 THEN ['B001', 'B001', 'B001', 'B002'] ELSE ['B001', 'B002', 'B001', 'B003'] END) AS block, unnest(CASE WHEN qt >= 0.95 THEN [3, 3, 3, 1] ELSE [2, 1, 2, 1] END)::INTEGER AS size FROM c""")
+def missing_blocks(spark, sf_dir):
+    columns = ["quality", "toxic", "again", "lang"]
+    return block_table(co_missing(labelled(spark, sf_dir).withColumn("again", F.col("quality")), columns), columns)
