@@ -1,4 +1,4 @@
-"""Matching of names: dictionaries, roles, entities and knowledge-base entries to columns (MT-*). The catalogues are
+"""Matching of names: dictionaries, entities and knowledge-base entries to columns (MT-1 to MT-3, MT-5, MT-7, MT-8, MT-10). The catalogues are
 tables of columns, so the work grows with columns and names."""
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from plumbline.functions.values import jaccard, name_tokens, norm_name, rounded,
 from plumbline.plans.registry import query
 from plumbline.session import ship, table
 
-SUGGEST, ALIAS, ROLE = 0.60, 0.84, 0.70
+SUGGEST, ALIAS = 0.60, 0.84
 
 
 @F.pandas_udf(T.DoubleType())
@@ -38,7 +38,7 @@ def dictionary_mapping(dictionary: DataFrame, columns: DataFrame, floor: float =
     """One-to-one mapping of dictionary names to columns within each table, in file order: a name takes the free column that
     equals it when normalised, else suggests the free column of the highest sequence ratio, else is below the floor, with
     that ratio and no column (MT-1). One group a table: the names of its columns. A dictionary of a table without columns
-    gives no row."""
+    gives no row. The greedy choice is a loop over a table's names and columns: some thousand of each are borne."""
     left = dictionary.select("table", "name", "position", norm_name(F.col("name")).alias("a"))
     right = columns.select("table", F.col("column").alias("other"), norm_name(F.col("column")).alias("b")).distinct()
     pairs = left.join(right, "table").withColumn("score", sequence_ratio("a", "b")).withColumn("exact", F.col("a") == F.col("b"))
@@ -80,19 +80,6 @@ def aliases(headers: DataFrame, known: DataFrame, floor: float = ALIAS) -> DataF
     return pairs.withColumn("rn", rn).where("rn = 1").select("name", "field", "score")
 
 
-def roles(role_names: DataFrame, columns: DataFrame, floor: float = ROLE) -> DataFrame:
-    """The best column of each role (role, name, wants) over columns (table, column, logical_type): exact 1.00, all words
-    0.92, contained 0.88, else likeness; a numeric or binary role refuses columns of another type (MT-4, 6, 9)."""
-    pairs = scored_pairs(role_names.select("name").distinct(), columns.select(F.col("column").alias("other")).distinct())
-    j = pairs.join(role_names, "name").join(columns.withColumnRenamed("column", "other"), "other")
-    a, b = name_tokens(F.col("name")), name_tokens(F.col("other"))
-    rung = F.when(F.col("exact"), 1.0).when(F.size(F.array_except(a, b)) == 0, 0.92).when(F.contains(norm_name(F.col("other")), norm_name(F.col("name"))), 0.88).otherwise(F.col("score") * 0.85)
-    veto = F.col("wants").isNotNull() & (F.col("wants") != F.col("logical_type"))
-    found = j.withColumn("rung", F.when(veto, 0.0).otherwise(rung)).where(F.col("rung") >= floor)
-    rn = F.row_number().over(Window.partitionBy("role").orderBy(F.desc("rung"), "table", "other"))
-    return found.withColumn("rn", rn).where("rn = 1").select("role", "table", F.col("other").alias("column"), F.col("rung").alias("score"))
-
-
 def entity_tables(bindings: DataFrame) -> DataFrame:
     """The table that most roles of an entity are bound to (MT-5)."""
     per = bindings.groupBy("entity", "table").agg(F.count("*").alias("votes"))
@@ -175,13 +162,23 @@ def matching_dictionary(spark, sf_dir):
     return dictionary_mapping(d, populated_columns(spark, sf_dir)).withColumn("score", rounded(F.col("score")))
 
 
-@query("matching_roles", """WITH r(role, name, wants) AS (VALUES ('customer', 'c_custkey', NULL), ('segment', 'c_mktsegment', 'categorical'), ('date', 'o_orderdate', 'datetime'), ('amount', 'o_orderdate', 'numerical')),
- n AS (SELECT (SELECT count(DISTINCT c_mktsegment) FROM customer) AS k, (SELECT count(o_orderdate) FROM orders) AS dated),
- c AS (SELECT table_name AS t, column_name AS c, CASE WHEN data_type LIKE 'TIMESTAMP%' AND dated > 0 THEN 'datetime' WHEN data_type = 'VARCHAR' AND k <= 30 THEN 'categorical' ELSE 'numerical' END AS kind FROM duckdb_columns(), n WHERE table_name IN ('orders', 'customer'))
- SELECT role, t AS "table", c AS "column", 1.0::DOUBLE AS score FROM r JOIN c ON c.c = r.name AND (wants IS NULL OR wants = kind)""")
-def matching_roles(spark, sf_dir):
-    r = spark.createDataFrame([("customer", "c_custkey", None), ("segment", "c_mktsegment", "categorical"), ("date", "o_orderdate", "datetime"), ("amount", "o_orderdate", "numerical")], "role string, name string, wants string")
-    return roles(r, column_types(spark, sf_dir))
+@query("matching_state", """WITH d("table", name) AS (VALUES ('orders', 'O_ORDERKEY'), ('orders', 'o_custkey'), ('orders', 'O Order Status'), ('orders', 'nothing'), ('customer', 'c_name'), ('customer', 'zzz')),
+ c AS (SELECT table_name AS "table", column_name AS c FROM duckdb_columns() WHERE table_name IN ('orders', 'customer', 'nation')), m AS (SELECT DISTINCT c."table", c FROM c JOIN d ON d."table" = c."table" AND regexp_replace(lower(trim(name)), '[^a-z0-9]+', '_', 'g') = regexp_replace(lower(trim(c)), '[^a-z0-9]+', '_', 'g'))
+ SELECT "table", count(*) AS columns, count(m.c) AS described, CASE WHEN count(m.c) >= 0.5 * count(*) THEN 'yes' WHEN count(m.c) > 0 THEN 'thin' ELSE 'absent' END AS state FROM c LEFT JOIN m USING ("table", c) GROUP BY 1""")
+def matching_state(spark, sf_dir):
+    """How far a dictionary covers three tables."""
+    names = [("orders", "O_ORDERKEY", 0), ("orders", "o_custkey", 1), ("orders", "O Order Status", 2), ("orders", "nothing", 3), ("customer", "c_name", 0), ("customer", "zzz", 1)]
+    columns = populated_columns(spark, sf_dir, ("orders", "customer", "nation"))
+    return dictionary_state(columns, dictionary_mapping(spark.createDataFrame(names, "table string, name string, position int"), columns, 2.0))
+
+
+@query("matching_aliases", """WITH k(alias, field) AS (VALUES ('custkey', 'customer'), ('orderkey', 'order'), ('totalprice', 'amount')), h AS (SELECT substr(column_name, 3) AS name FROM duckdb_columns() WHERE table_name = 'orders'),
+ s AS (SELECT name, field, CASE WHEN name = alias THEN 1.0 ELSE 1 - levenshtein(name, alias) / greatest(length(name), length(alias)) END AS score FROM h, k) SELECT name, field, round(score, 6) AS score FROM s WHERE score >= 0.84 QUALIFY row_number() OVER (PARTITION BY name ORDER BY score DESC, field) = 1""")
+def matching_aliases(spark, sf_dir):
+    """Headers of orders, without their prefix, and known names of fields."""
+    headers = populated_columns(spark, sf_dir, ("orders",)).select(F.substring("column", 3, 100).alias("name"))
+    known = spark.createDataFrame([("custkey", "customer"), ("orderkey", "order"), ("totalprice", "amount")], "alias string, field string")
+    return aliases(headers, known).withColumn("score", rounded(F.col("score")))
 
 
 @query("matching_applicable", "SELECT 'drift' AS test, true AS applicable WHERE (SELECT count(*) FROM orders) > 0 UNION ALL SELECT 'text', false WHERE (SELECT count(*) FROM orders) > 0")
