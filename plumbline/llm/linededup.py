@@ -23,6 +23,8 @@ RATIO = 0.05
 LEAST_PAGES = 2
 #: Measured size of the per-host table up to which it is broadcast.
 BROADCAST_BYTES = 8 << 20
+#: Tasks among which the pages of one host are dealt beyond that.
+PARTS = 32
 
 
 def line_counts(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
@@ -42,17 +44,25 @@ def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio
 
 def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = LEAST_PAGES) -> DataFrame:
     """`docs` with the boilerplate lines taken out of `text`, and the number taken out in lines_dropped."""
-    bad = materialise(boilerplate(docs, host, text, ratio, min_pages), "boilerplate").select(F.col("host").alias("_host"), "bad")
-    size = bad.agg(F.coalesce(F.sum(F.size("bad") * 24 + 64), F.lit(0)).alias("bytes")).first().bytes
-    joined = docs.join(F.broadcast(bad) if size <= BROADCAST_BYTES else bad, F.col(host).eqNullSafe(F.col("_host")), "left")
+    own = lambda name: next(n for n in (name + "_" * k for k in range(1, len(docs.columns) + 2)) if n not in docs.columns)
+    at, lines_of, part = own("host"), own("bad"), own("part")
+    bad = materialise(boilerplate(docs, host, text, ratio, min_pages), "boilerplate").select(F.col("host").alias(at), F.col("bad").alias(lines_of))
+    size = bad.agg(F.coalesce(F.sum(F.size(lines_of) * 24 + 64), F.lit(0)).alias("bytes")).first().bytes
+    same = F.col(host).eqNullSafe(F.col(at))
+    if size <= BROADCAST_BYTES:
+        joined = docs.join(F.broadcast(bad), same, "left")
+    else:  # a host's pages are dealt to PARTS tasks, and its lines go to each of them
+        dealt = docs.withColumn(part, F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in docs.columns]), F.lit(PARTS)))
+        spread = bad.withColumn(own("of"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)).cast("array<bigint>")))
+        joined = dealt.join(spread, same & (F.col(part) == F.col(own("of"))), "left").drop(part, own("of"))
     lines = F.split(text, "\n")
-    kept = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("bad"), F.unhex(F.md5(F.trim(x)))))
-    text_now = F.when(F.col("bad").isNull() | F.col(text).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
-    dropped = F.when(F.col("bad").isNull() | F.col(text).isNull(), 0).otherwise(F.size(lines) - F.size(kept)).cast("long")
+    kept = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col(lines_of), F.unhex(F.md5(F.trim(x)))))
+    text_now = F.when(F.col(lines_of).isNull() | F.col(text).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
+    dropped = F.when(F.col(lines_of).isNull() | F.col(text).isNull(), 0).otherwise(F.size(lines) - F.size(kept)).cast("long")
     columns = {text: text_now, "lines_dropped": dropped}
     if "n_chars" in docs.columns:
-        columns["n_chars"] = F.when(F.col("bad").isNull(), F.col("n_chars")).otherwise(F.length(text_now)).cast(docs.schema["n_chars"].dataType)
-    return joined.withColumns(columns).drop("_host", "bad")
+        columns["n_chars"] = F.when(F.col(lines_of).isNull(), F.col("n_chars")).otherwise(F.length(text_now)).cast(docs.schema["n_chars"].dataType)
+    return joined.withColumns(columns).drop(at, lines_of)
 
 
 def op8_linededup(spark, sf_dir):

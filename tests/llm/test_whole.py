@@ -1,10 +1,11 @@
 """The near-duplicate and boilerplate stages of the pipeline."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from plumbline.llm import nearcopies
+from plumbline.llm import linededup, nearcopies
 from plumbline.session import table
 from tests.llm import helpers
 from tests.llm.helpers import SF_DIR
@@ -92,3 +93,35 @@ def test_small_hosts_lose_their_boilerplate(spark):
     assert [got[i] for i in range(6)] == ["body %d" % i for i in range(6)]
     assert got[9] == "Home | About\nonly page"
     assert [got[100 + i] for i in range(50)] == ["text %d" % i for i in range(50)]
+
+
+def test_settings_follow_the_number_of_classes():
+    assert nearcopies.settings(1) == nearcopies.settings(3_000_000) == (13, 40)
+    for n in (10**7, 10**9, 10**11):
+        raw, blocks = nearcopies.settings(n)
+        meets = 0.85**raw * (0.85**8 + 8 * 0.15 * 0.85**7)
+        assert 2.3 * n / (16 * 2**raw) <= nearcopies.LOAD and 1 - (1 - meets) ** blocks >= nearcopies.MEETING
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 2**63, (3, nearcopies.SIMHASH_WORDS)).astype(np.uint64)
+    for raw, blocks in ((13, 40), (22, 175)):
+        bits = nearcopies.block_bits(raw, blocks)
+        assert bits.shape == (blocks, 8 + raw) and all(len(set(b)) == 8 + raw for b in bits.tolist())
+        row, anchor = nearcopies.anchors(x, raw, blocks)
+        assert len(set(zip(row.tolist(), anchor.tolist()))) == len(row) and anchor.max() < (blocks << 4) << raw
+
+
+def test_columns_of_its_own_are_named(spark):
+    docs = spark.createDataFrame([(1, "a b c", 5)], "doc_id bigint, text string, _n int")
+    with pytest.raises(ValueError, match="_n"):
+        nearcopies.one_per_group(docs)
+
+
+@pytest.mark.parametrize("limit", [linededup.BROADCAST_BYTES, 0])
+def test_boilerplate_goes_whatever_the_columns_are_called(spark, monkeypatch, limit):
+    monkeypatch.setattr(linededup, "BROADCAST_BYTES", limit)
+    rows = [(i, ("menu\n" if i % 2 else "") + f"text {i}", None if i < 40 else "big", "x", 1, 2, 3) for i in range(120)] + [(7, None, "big", "x", 1, 2, 3)] * 2
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, bad string, _host int, host_ int, bad_ int")
+    got = linededup.drop_boilerplate(docs)
+    assert got.columns == [*docs.columns, "lines_dropped"] and got.count() == 122
+    texts = {r.doc_id: (r.text, r.lines_dropped) for r in got.where("text is not null").collect()}
+    assert texts == {i: (f"text {i}", i % 2) for i in range(120)}
