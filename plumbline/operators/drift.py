@@ -215,7 +215,8 @@ def segment_attribution(df: DataFrame, feature: str, segment: str) -> DataFrame:
     """Change of the mean per segment, ranked by size (ST-18)."""
     early = F.col("window") == "early"
     per = df.groupBy(F.col(segment).alias("segment")).agg(F.avg(F.when(early, F.col(feature))).alias("early"), F.avg(F.when(~early, F.col(feature))).alias("recent")).withColumn("change", F.col("recent") - F.col("early"))
-    return per.withColumn("position", F.row_number().over(Window.partitionBy().orderBy(F.desc_nulls_last(F.abs("change")), "segment")))  # one row a segment
+    numbered = indexed(per.withColumns({"_none": F.col("change").isNull(), "_less": -F.abs("change")}), ["_none", "_less", "segment"])  # segments may be many
+    return numbered.withColumn("position", (F.col("_index") + 1).cast("int")).drop("_index", "_none", "_less")
 
 
 def gaps(df: DataFrame, date: str, top: int = 10) -> DataFrame:

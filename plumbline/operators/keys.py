@@ -39,21 +39,37 @@ def cadences(df: DataFrame, entities: list[str], dates: list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, [cadence(df, e, d).withColumns({"entity": F.lit(e), "axis": F.lit(d)}) for e, d in product(entities, dates)])
 
 
-def grain(df: DataFrame, candidates: list[list[str]]) -> DataFrame:
-    """For every candidate key: distinct keys, excess rows, rows with a null in it, uniqueness, coverage, verdict and rank
-    (CM-28, 29, 34, 38); all candidates in one aggregation."""
-    aggregates = [F.count("*").alias("rows")]
-    for i, c in enumerate(candidates):
-        whole = reduce(lambda a, b: a & b, [F.col(x).isNotNull() for x in c])
-        aggregates += [F.count_distinct(F.when(whole, F.struct(*c))).alias(f"d{i}"), F.count_if(whole).alias(f"k{i}")]
-    one = df.agg(*aggregates)
-    rows = F.array(*[F.struct(F.lit("+".join(c)).alias("key"), F.lit(len(c)).alias("width"), F.col("rows"), F.col(f"d{i}").alias("distinct"), F.col(f"k{i}").alias("keyed")) for i, c in enumerate(candidates)])
-    long = one.select(F.explode(rows).alias("r")).select("r.*")
-    ratio = F.col("distinct") / F.nullif(F.col("keyed"), F.lit(0))
-    out = long.select("key", "width", "distinct", (F.col("keyed") - F.col("distinct")).alias("excess"), (F.col("rows") - F.col("keyed")).alias("null_keys"), ratio.alias("uniqueness"), (F.col("keyed") / F.nullif(F.col("rows"), F.lit(0))).alias("coverage"))
-    verdict = F.when(F.col("uniqueness") == 1, "exact").when(F.col("uniqueness") >= 0.95, "near-unique").otherwise("insufficient")
-    order = Window.partitionBy().orderBy(F.desc("uniqueness"), F.desc("coverage"), "width", "key")  # one row a candidate
-    return out.withColumn("verdict", verdict).withColumn("position", F.row_number().over(order))
+def grain(df: DataFrame, candidates: list[list[str]], codes: dict[str, list] | None = None, roles: dict[str, str] | None = None) -> DataFrame:
+    """For every candidate key: usable rows (all parts there, none a declared code), distinct keys, excess rows, rows in duplicates,
+    uniqueness, coverage, whether it is exact (no row without it, none twice), nearly unique (0.95) or insufficient, and, where it
+    is nearly unique, its duplicate groups: of equal rows, or of rows that contradict each other (CM-28, 29, 34, 38). One shuffle of
+    (candidate, digest of the key) with the least and greatest digest of the rows serves all candidates; equal keys are
+    counted before it. `position` ranks them by quality, uniqueness, coverage, width, roles (an identifier, a period) and names."""
+    codes, roles = codes or {}, roles or {}
+    spelled = lambda names: F.concat(*[F.coalesce(F.concat(F.length(F.col(n).cast("string")).cast("string"), F.lit(":"), F.col(n).cast("string")), F.lit("-")) for n in names])
+    used = sorted({x for c in candidates for x in c})
+    bad = {x: F.col(x).isNull() | (F.trim(F.col(x).cast("string")).isin([str(v).strip() for v in codes[x]]) if codes.get(x) else F.lit(False)) for x in used}
+    each = [F.struct(F.lit(i).alias("i"), F.when(~reduce(lambda a, b: a | b, [bad[x] for x in c]), F.unhex(F.md5(spelled(c)))).alias("k")) for i, c in enumerate(candidates)]
+    rows = df.select(F.unhex(F.md5(spelled(df.columns))).alias("row"), F.array(*each).alias("each")).select("row", F.inline("each"))
+    groups = rows.groupBy("i", "k").agg(F.count("*").alias("n"), F.min("row").alias("a"), F.max("row").alias("b"))
+    n, keyed, twice, same = F.col("n"), F.col("k").isNotNull(), F.col("n") > 1, F.col("a") == F.col("b")
+    total = lambda cond, what=n: F.coalesce(F.sum(F.when(cond, what)), F.lit(0))
+    per = groups.groupBy("i").agg(
+        F.sum("n").alias("rows"), total(keyed).alias("usable"), F.count_if(keyed).alias("distinct"), total(keyed & twice).alias("rows_in_duplicates"),
+        F.count_if(keyed & twice).alias("groups"), F.count_if(keyed & twice & same).alias("equal"), F.count_if(keyed & twice & ~same).alias("differing"),
+    )
+    own = lambda c: {roles.get(x, "") for x in c}
+    named = df.sparkSession.createDataFrame([(i, "+".join(c), len(c), int("identifier" not in own(c)), 0 if "period" in own(c) else 1 if "date" in own(c) else 2) for i, c in enumerate(candidates)], "i int, key string, width int, no_identifier int, no_period int")
+    uniqueness, coverage = F.coalesce(F.col("distinct") / F.nullif(F.col("usable"), F.lit(0)), F.lit(0.0)), F.coalesce(F.col("usable") / F.nullif(F.col("rows"), F.lit(0)), F.lit(0.0))
+    exact, near = (F.col("rows") > 0) & (F.col("usable") == F.col("rows")) & (F.col("distinct") == F.col("rows")), F.col("uniqueness") >= 0.95
+    out = named.join(per, "i", "left").na.fill(0).withColumns({"uniqueness": uniqueness, "coverage": coverage}).withColumn("verdict", F.when(exact, "exact").when(near, "near_unique").otherwise("insufficient"))
+    grouped = lambda c: F.when(near, F.col(c)).otherwise(0)
+    order = Window.partitionBy().orderBy(F.array_position(F.array(*map(F.lit, ("exact", "near_unique", "insufficient"))), F.col("verdict")), F.desc(F.round("uniqueness", 6)), F.desc(F.round("coverage", 6)), "width", "no_identifier", "no_period", "key")  # one row a candidate
+    return out.select(
+        "key", "width", "distinct", (F.col("usable") - F.col("distinct")).alias("excess"), (F.col("rows") - F.col("usable")).alias("null_keys"), "uniqueness", "coverage", "verdict", (F.col("verdict") == "exact").alias("is_unique"),
+        "rows_in_duplicates", grouped("groups").alias("duplicate_groups"), grouped("equal").alias("exact_groups"), grouped("differing").alias("conflicting_groups"),
+        ((F.col("verdict") == "near_unique") & (F.col("groups") > 0) & (F.col("differing") == 0)).alias("deduplicate"), F.row_number().over(order).alias("position"),
+    )
 
 
 def key_health(df: DataFrame, key: str) -> DataFrame:
@@ -114,10 +130,23 @@ def keys_cadence(spark, sf_dir):
 _KEYS = [["l_orderkey"], ["l_partkey"], ["l_orderkey", "l_linenumber"], ["l_orderkey", "l_shipdate"]]
 
 
-@query("keys_grain", "WITH g AS (" + " UNION ALL ".join(f"SELECT '{'+'.join(c)}' AS key, {len(c)} AS width, count(*) AS rows, count(DISTINCT ({', '.join(c)})) AS d, count(*) FILTER (WHERE {' AND '.join(x + ' IS NOT NULL' for x in c)}) AS k FROM lineitem" for c in _KEYS) + """)
- SELECT key, width, d AS "distinct", k - d AS excess, rows - k AS null_keys, round(d / k, 6) AS uniqueness, k / rows AS coverage, CASE WHEN d = k THEN 'exact' WHEN d / k >= 0.95 THEN 'near-unique' ELSE 'insufficient' END AS verdict, row_number() OVER (ORDER BY d / k DESC, k / rows DESC, width, key)::INT AS position FROM g""")
+def _twice(spark, sf_dir) -> DataFrame:
+    """Line items, a few of them twice, a few twice with another tax."""
+    df = table(spark, sf_dir, "lineitem")
+    again = df.where("l_orderkey % 97 = 0")
+    return df.unionByName(again.where("l_linenumber = 1")).unionByName(again.where("l_linenumber = 2").withColumn("l_tax", F.col("l_tax") + 1)).withColumn("half", F.when(F.col("l_partkey") % 2 == 0, F.col("l_orderkey")))
+
+
+_KEYS = [["l_orderkey"], ["l_partkey"], ["l_orderkey", "l_linenumber"], ["l_orderkey", "l_shipdate"], ["half", "l_linenumber"], ["l_orderkey", "l_linenumber", "l_tax"]]
+
+
+@query("keys_grain", """WITH t AS (SELECT *, CASE WHEN l_partkey % 2 = 0 THEN l_orderkey END AS half FROM (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_orderkey % 97 = 0 AND l_linenumber = 1 UNION ALL SELECT * REPLACE (l_tax + 1 AS l_tax) FROM lineitem WHERE l_orderkey % 97 = 0 AND l_linenumber = 2)),
+ g AS (""" + " UNION ALL ".join(f"""SELECT '{'+'.join(c)}' AS key, {len(c)} AS width, sum(n) AS rows, coalesce(sum(n) FILTER (WHERE u), 0) AS k, count(*) FILTER (WHERE u) AS d, coalesce(sum(n) FILTER (WHERE u AND n > 1), 0) AS rd, count(*) FILTER (WHERE u AND n > 1) AS dg, count(*) FILTER (WHERE u AND n > 1 AND v = 1) AS eg FROM (SELECT {' AND '.join(x + ' IS NOT NULL' for x in c)} AS u, count(*) AS n, count(DISTINCT t) AS v FROM t GROUP BY {', '.join(c)})""" for c in _KEYS) + """),
+ r AS (SELECT *, d / k AS q, CASE WHEN k = rows AND d = rows THEN 'exact' WHEN d / k >= 0.95 THEN 'near_unique' ELSE 'insufficient' END AS verdict FROM g)
+ SELECT key, width, d AS "distinct", (k - d)::BIGINT AS excess, (rows - k)::BIGINT AS null_keys, round(q, 6) AS uniqueness, round(k / rows, 6) AS coverage, verdict, verdict = 'exact' AS is_unique, rd::BIGINT AS rows_in_duplicates, CASE WHEN q >= 0.95 THEN dg ELSE 0 END AS duplicate_groups,
+ CASE WHEN q >= 0.95 THEN eg ELSE 0 END AS exact_groups, CASE WHEN q >= 0.95 THEN dg - eg ELSE 0 END AS conflicting_groups, verdict = 'near_unique' AND dg > 0 AND dg = eg AS deduplicate, row_number() OVER (ORDER BY CASE verdict WHEN 'exact' THEN 1 WHEN 'near_unique' THEN 2 ELSE 3 END, round(q, 6) DESC, round(k / rows, 6) DESC, width, key)::INT AS position FROM r""")
 def keys_grain(spark, sf_dir):
-    return grain(table(spark, sf_dir, "lineitem"), _KEYS).withColumn("uniqueness", rounded(F.col("uniqueness")))
+    return grain(_twice(spark, sf_dir), _KEYS).withColumns({"uniqueness": rounded(F.col("uniqueness")), "coverage": rounded(F.col("coverage"))})
 
 
 @query("keys_health", "WITH p AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1) SELECT sum(n)::BIGINT AS rows, count(k) AS \"distinct\", coalesce(sum(n) FILTER (WHERE k IS NULL), 0) / sum(n) AS null_rate, round(coalesce(sum(n) FILTER (WHERE n > 1), 0) / sum(n), 6) AS duplicate_rate FROM p")

@@ -95,8 +95,9 @@ def segment_cells(rows: DataFrame, segment: str, grain: str) -> DataFrame:
 
 
 def peer_coverage(cells: DataFrame) -> DataFrame:
-    """Each cell's coverage beside the median of its period (CM-23, JN-5)."""
-    return cells.withColumn("peer_median", F.percentile("coverage", F.lit(0.5)).over(Window.partitionBy("ordinal")))
+    """Each cell's coverage beside the median of its period (CM-23, JN-5); medians by rank, so no task holds a period's cells."""
+    medians = percentiles(cells, {"coverage": F.col("coverage")}, [0.5], ["ordinal"]).select(F.col("ordinal").alias("_at"), F.col("q")[0].alias("peer_median"))
+    return cells.join(medians, F.col("ordinal").eqNullSafe(F.col("_at")), "left").drop("_at")
 
 
 def windowed_grid(rows: DataFrame, origination: str, grain: str = "month") -> DataFrame:

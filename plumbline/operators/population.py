@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions.quantiles import percentiles
 from plumbline.functions.values import rounded
-from plumbline.operators.profile import is_special, live_catalogue
+from plumbline.operators.profile import distinct_counts, is_special, live_catalogue
 from plumbline.plans.registry import query
 from plumbline.session import table
 
@@ -109,8 +109,9 @@ def eligible(columns: DataFrame, allowed: list[str]) -> DataFrame:
 
 def selection(df: DataFrame, columns: list[str], outcome: str | None = None) -> DataFrame:
     """Columns left out by rule: constant, discrete grade, name of an outcome's sibling (PF-14, PF-15)."""
-    one = df.agg(*[F.count_distinct(c).alias(c) for c in columns])
-    long = one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("levels"), F.lit(isinstance(df.schema[c].dataType, T.NumericType)).alias("is_number")) for c in columns])).alias("r")).select("r.*")
+    kinds = df.sparkSession.createDataFrame([(c, isinstance(df.schema[c].dataType, T.NumericType)) for c in columns], "column string, is_number boolean")
+    found = distinct_counts(df, columns).select("column", F.col("distinct_raw").alias("levels"))  # one shuffle for all columns
+    long = kinds.join(found, "column", "left").na.fill(0, ["levels"]).select("column", "levels", "is_number")
     sibling = F.lower("column").contains((outcome or "\0").lower()) & (F.col("column") != F.lit(outcome or ""))
     reason = F.when(F.col("levels") <= 1, "constant").when(sibling, "outcome sibling").when(F.col("is_number") & (F.col("levels") <= 10), "discrete grade")
     return long.select("column", "levels", reason.alias("reason"), reason.isNull().alias("recommended"))

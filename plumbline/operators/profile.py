@@ -172,8 +172,8 @@ def segment_missing(df: DataFrame, column: str, segment: str) -> DataFrame:
     """Missing share per segment state, with worst and best marked (AG-14)."""
     seg = F.coalesce(F.col(segment).cast("string"), F.lit("(missing)"))
     per = df.groupBy(seg.alias("segment")).agg(F.count("*").alias("rows"), F.count_if(F.col(column).isNull()).alias("missing")).withColumn("share", F.col("missing") / F.col("rows"))
-    all_ = Window.partitionBy()
-    return per.withColumns({"worst": F.max_by("segment", F.struct("share", "segment")).over(all_) == F.col("segment"), "best": F.min_by("segment", F.struct("share", "segment")).over(all_) == F.col("segment")})
+    ends = per.agg(F.max_by("segment", F.struct("share", "segment")).alias("_worst"), F.min_by("segment", F.struct("share", "segment")).alias("_best"))  # one row
+    return per.crossJoin(F.broadcast(ends)).withColumns({"worst": F.col("_worst") == F.col("segment"), "best": F.col("_best") == F.col("segment")}).drop("_worst", "_best")
 
 
 def cross_check(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.values import rounded
+from plumbline.operators.drift import indexed
 from plumbline.plans.registry import query
 from plumbline.session import materialise, table
 
@@ -47,7 +48,9 @@ def latest_failures(runs: DataFrame, plan: DataFrame) -> DataFrame:
     last = runs.groupBy("table", "test").agg(F.max_by(F.struct("passed", "violations"), "run_at").alias("r"), F.max("violations").alias("worst"))
     out = last.join(plan, ["table", "test"], "left").where(~F.col("r.passed"))
     rank = F.array_position(F.array(*map(F.lit, WEIGHTS)), F.coalesce("criticality", F.lit("Low")))
-    return out.select("table", "test", F.coalesce("criticality", F.lit("Low")).alias("criticality"), F.col("r.violations").alias("violations"), "worst").withColumn("position", F.row_number().over(Window.partitionBy().orderBy(rank, F.desc("violations"), "table", "test")))
+    rows = out.select("table", "test", F.coalesce("criticality", F.lit("Low")).alias("criticality"), F.col("r.violations").alias("violations"), "worst", rank.alias("_rank"), (-F.col("r.violations")).alias("_less"))
+    numbered = indexed(rows, ["_rank", "_less", "table", "test"])  # one row a failing test, numbered over range partitions
+    return numbered.withColumn("position", (F.col("_index") + 1).cast("int")).drop("_index", "_rank", "_less")
 
 
 def coverage(register: DataFrame, ran: DataFrame) -> DataFrame:

@@ -108,9 +108,10 @@ def states(rule: dict, types: dict | None = None) -> tuple[Column, Column, Colum
     return evaluated, evaluated & excepted, evaluated & ~excepted & ~F.coalesce(value, F.lit(True))
 
 
-def first_match_join(left: DataFrame, right: DataFrame, on: list[str], order: str) -> DataFrame:
-    """Left join with the right side reduced to one row a key: the first by `order`, null keys dropped (JN-1)."""
-    rest = [c for c in right.columns if c not in on]
+def first_match_join(left: DataFrame, right: DataFrame, on: list[str], order: str, wanted: list[str] | None = None) -> DataFrame:
+    """Left join with the right side reduced to one row a key: the first by `order`, null keys dropped (JN-1). Only the `wanted`
+    columns of the right side are read, where they are named."""
+    rest = [c for c in right.columns if c not in on and (wanted is None or c in wanted)]
     first = right.dropna(subset=on).groupBy(*on).agg(F.min_by(F.struct(*rest), F.col(order)).alias("_first"))
     return left.join(first.select(*on, *[F.col(f"_first.{c}").alias(c) for c in rest if c not in left.columns]), on, "left")
 
@@ -202,7 +203,8 @@ ORDER_RULES = [
 
 def order_lines(spark, sf_dir) -> DataFrame:
     orders = table(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "l_orderkey")
-    return first_match_join(table(spark, sf_dir, "lineitem"), orders, ["l_orderkey"], "o_orderdate")
+    wanted = sorted({c for r in ORDER_RULES for c in rule_columns(r)})
+    return first_match_join(table(spark, sf_dir, "lineitem"), orders, ["l_orderkey"], "o_orderdate", wanted)
 
 
 _JOINED = """j AS (SELECT l.*, o.* FROM lineitem l LEFT JOIN (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY o_orderdate) = 1) o ON o.o_orderkey = l.l_orderkey)"""
