@@ -8,6 +8,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions.prefix import cumulative
 from plumbline.functions.values import bucket, rounded
@@ -17,10 +18,48 @@ from plumbline.session import materialise, ship, table
 CELLS = 1000
 
 
-def target_route(df: DataFrame, target: str) -> str:
-    """binary (two values), continuous (numeric) or multinomial (TA-1)."""
-    levels = df.where(F.col(target).isNotNull()).select(target).distinct().limit(3).count()
-    return "binary" if levels == 2 else "continuous" if df.schema[target].dataType.typeName() in ("double", "float", "long", "integer", "decimal") else "multinomial"
+def target_route(df: DataFrame, target: str, requested: str = "auto", label=None) -> DataFrame:
+    """(kind, label) of a target: as requested, or binary with two values, continuous if a number, else multinomial; and of a binary
+    one the label that counts as event, given (by text or, if one label only equals it, as a number) or the last in order
+    (TA-1). Fewer than two values, or a label that is not there, are errors. The driver sees three values at most."""
+    values = df.where(F.col(target).isNotNull()).select(F.col(target).alias("v")).distinct()
+    found = sorted(str(r.v) for r in values.select(F.col("v").cast("string").alias("v")).limit(3).collect())
+    if len(found) < 2:
+        raise ValueError("the target needs two different values at least")
+    numeric = isinstance(df.schema[target].dataType, T.NumericType)
+    kind = requested if requested != "auto" else "binary" if len(found) == 2 else "continuous" if numeric else "multinomial"
+    event = None
+    if kind == "binary":
+        if len(found) != 2:
+            raise ValueError("a binary target has exactly two classes")
+        event = found[1] if label is None else str(label)
+        if event not in found:
+            same = [f for f in found if _number(f) is not None and _number(f) == _number(event)]
+            if len(same) != 1:
+                raise ValueError(f"class {event!r} is not in {found}")
+            event = same[0]
+    return df.sparkSession.createDataFrame([(target, kind, event)], "target string, kind string, label string")
+
+
+def _number(text: str) -> float | None:
+    try:
+        return float(text)
+    except ValueError:
+        return None
+
+
+def review(df: DataFrame, feature: str, definition: dict, target: Column, min_share: float = 0.02, min_events: int = 5) -> DataFrame:
+    """An edited definition (edges, specials, guards) applied to all rows again: rows, events, rate, weight of evidence and information
+    value of each bin, and its warnings (TA-17). Rows without a target are an error, as in a supervised fit."""
+    if df.where(target.isNull()).limit(1).count():
+        raise ValueError("the target has missing values")
+    edges = definition.get("edges", [])
+    if any(a >= b for a, b in zip(edges, edges[1:])):
+        raise ValueError("edges must ascend")
+    bins = apply_bins(feature, edges, definition.get("specials"), definition.get("guards"))
+    stats = woe(fine_statistics(long_bins(df, {feature: bins}, target)))
+    found = bin_warnings(stats, min_share, min_events).groupBy("feature", "bin").agg(F.array_join(F.array_sort(F.collect_list("warning")), "; ").alias("warnings"))
+    return stats.join(found, ["feature", "bin"], "left").withColumn("warnings", F.coalesce("warnings", F.lit("")))
 
 
 def positive(target: str, label) -> Column:
@@ -378,3 +417,19 @@ def bins_ranges(spark, sf_dir):
 def bins_merged_categories(spark, sf_dir):
     per = table(spark, sf_dir, "orders").groupBy(F.lit("o_orderpriority").alias("feature"), F.col("o_orderpriority").alias("value"), F.col("o_orderstatus").alias("class_")).agg(F.count("*").alias("k"))
     return merge_categories(per, 3)
+
+
+@query("bins_target_route", """SELECT 'o_orderstatus' AS target, CASE count(DISTINCT o_orderstatus) WHEN 2 THEN 'binary' ELSE 'multinomial' END AS kind, CASE count(DISTINCT o_orderstatus) WHEN 2 THEN max(o_orderstatus) END AS label FROM orders UNION ALL SELECT 'o_totalprice', CASE count(DISTINCT o_totalprice) WHEN 2 THEN 'binary' ELSE 'continuous' END, NULL FROM orders
+ UNION ALL SELECT 'l_linestatus', 'binary', max(l_linestatus) FROM lineitem UNION ALL SELECT 'toxic', 'binary', max(toxic)::VARCHAR FROM labels""")
+def bins_target_route(spark, sf_dir):
+    orders, labels = table(spark, sf_dir, "orders"), table(spark, sf_dir, "labels")
+    found = [target_route(orders, "o_orderstatus"), target_route(orders, "o_totalprice"), target_route(table(spark, sf_dir, "lineitem"), "l_linestatus"), target_route(labels, "toxic", label="1.0")]
+    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
+
+
+@query("bins_review", """WITH b AS (SELECT CASE WHEN l_quantity = 50 THEN 'S0' WHEN l_quantity < 2 THEN 'GUARD_LOW' WHEN l_quantity > 60 THEN 'GUARD_HIGH' ELSE 'R' || len(list_filter([5, 20, 49], lambda z: z < l_quantity)) END AS bin, (l_returnflag = 'R')::INT AS y FROM lineitem), s AS (SELECT bin, count(*) AS n, sum(y)::BIGINT AS s FROM b GROUP BY 1),
+ p AS (SELECT *, (s + 0.5) / (sum(s) OVER () + 0.5 * count(*) OVER ()) AS pe, (n - s + 0.5) / (sum(n - s) OVER () + 0.5 * count(*) OVER ()) AS pn, lag(s / n) OVER (ORDER BY bin) AS x, lead(s / n) OVER (ORDER BY bin) AS z, n / sum(n) OVER () AS share FROM s)
+ SELECT bin, n, s AS events, round(ln(pn / pe), 6) AS woe, round((pn - pe) * ln(pn / pe), 8) AS iv, array_to_string(list_sort(list_filter([CASE WHEN share < 0.02 THEN 'small' END, CASE WHEN s < 5 THEN 'few events' END, CASE WHEN (s / n - x) * (z - s / n) < 0 THEN 'not monotonic' END], lambda q: q IS NOT NULL)), '; ') AS warnings FROM p""")
+def bins_review(spark, sf_dir):
+    found = review(table(spark, sf_dir, "lineitem"), "l_quantity", {"edges": [5.0, 20.0, 49.0], "specials": [50], "guards": (2.0, 60.0)}, positive("l_returnflag", "R"))
+    return found.select("bin", "n", "events", rounded(F.col("woe")).alias("woe"), rounded(F.col("iv"), 8).alias("iv"), "warnings")

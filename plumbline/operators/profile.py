@@ -200,10 +200,17 @@ def classify(df: DataFrame, columns: list[str]) -> DataFrame:
     return long.select("column", kind.alias("logical_type"), share("nums").alias("number_rate"), share("dates").alias("date_rate"))
 
 
-def role(name: Column) -> Column:
-    """Role of a column by its name (OT-6)."""
-    n = F.lower(name)
-    return F.when(n.rlike("(target|default_flag|label|toxic|quality)"), "target").when(n.rlike("(^|_)(id|key)$|key$|_id$"), "identifier").when(n.rlike("(period|quarter|month)"), "period").when(n.rlike("(date|_dt$|^ts$)"), "date").when(n.rlike("(score|rating)"), "score").otherwise("feature")
+def role(name: Column, logical_type: Column | None = None, target: str | None = None, unique_text: Column | None = None, temporal: Column | None = None) -> Column:
+    """Role of a column: the target by its own name or a target's, an identifier by type or name or because all its texts differ, a
+    period or date by evidence or type (never by name alone), a score by name, else a feature (OT-6)."""
+    label = lambda c: F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", " "))
+    n, kind, when = label(name), F.lower(F.trim(F.coalesce(logical_type, F.lit("")))) if logical_type is not None else F.lit(""), temporal if temporal is not None else F.lit(None).cast("string")
+    own = label(F.lit(target))
+    return (
+        F.when((own != "") & (n == own), "Target").when(n.rlike("(^| )(target|label|outcome|default)( |$)"), "Target")
+        .when((kind == "identifier") | n.endswith(" id") | (n == "id") | (unique_text if unique_text is not None else F.lit(False)), "Identifier").when(when == "period", "Period")
+        .when((when == "date") | kind.isin("date", "datetime", "timestamp"), "Date").when(n.rlike("(^| )(score|rating|grade)( |$)"), "Score").otherwise("Feature")
+    )
 
 
 def warnings(metrics: DataFrame) -> DataFrame:
@@ -230,13 +237,52 @@ def iqr_outliers(df: DataFrame, column: str, times: float = 1.5) -> DataFrame:
     return x.crossJoin(F.broadcast(q)).groupBy("low", "high").agg(F.count_if(out).alias("outliers"), F.avg(out.cast("int")).alias("rate"))  # one row beside each
 
 
+#: Words of names of shares in 0 to 1 and 0 to 100, and parts of names of what is never negative.
+UNIT_WORDS, PERCENT_WORDS = ("pd", "lgd", "prob", "probability"), ("pct", "percent", "percentage")
+NOT_NEGATIVE = (
+    "amount", "balance", "age", "count", "qty", "quantity", "num", "nbr", "units", "principal", "exposure", "income", "salary", "limit", "tenure", "duration", "days", "months", "years", "price", "value", "score", "weight",
+    "volume", "revenue", "cost", "fee", "deposit", "loan", "ltv",
+)
+
+
+def far_outliers(df: DataFrame, columns: list[str], times: float = 3.0) -> DataFrame:
+    """(column, far, far_share) of the values beyond `times` interquartile ranges, for all numeric columns in one pass after their
+    quartiles, which are one row a column (OT-8)."""
+    quartiles = {r["column"]: r.q for r in percentiles(df, {c: F.col(c) for c in columns}, [0.25, 0.75]).collect()} if columns else {}
+    wide = {c: q for c, q in quartiles.items() if q[1] > q[0]}
+    if not wide:
+        return df.sparkSession.createDataFrame([], "column string, far bigint, far_share double")
+    each = []
+    for c, (low, high) in wide.items():
+        x = F.col(c).cast("double")
+        far = (x < low - times * (high - low)) | (x > high + times * (high - low))
+        each.append(F.struct(F.lit(c).alias("column"), F.count_if(far).alias("far"), F.avg(far.cast("int")).alias("far_share")))
+    return df.agg(F.array(*each).alias("r")).select(F.inline("r"))
+
+
 def anomalies(metrics: DataFrame) -> DataFrame:
-    """Flags of numeric() joined with counts(), most severe first (OT-8, OT-9)."""
+    """Flags of numeric() joined with counts() and far_outliers(), most severe first: the worst tier of nulls, one value only, a
+    range that the name rules out (one finding a column), and far outliers with their number and share (OT-8, OT-9)."""
     name = F.lower("column")
+    parts = F.split(name, "[^a-z0-9]+")
+    has = lambda some: F.arrays_overlap(parts, F.array(*map(F.lit, some)))
     share = F.col("nulls") / F.nullif(F.col("total"), F.lit(0))
-    flags = {"all_null": (3, share == 1), "half_null": (2, (share >= 0.5) & (share < 1)), "some_null": (1, (share > 0.2) & (share < 0.5)), "constant": (2, F.col("distinct_raw") == 1), "unit_range": (3, name.rlike("(rate|ratio|pct|discount|tax)") & ((F.col("low") < 0) | (F.col("high") > 1))), "negative": (2, name.rlike("(price|qty|quantity|amount|size)") & (F.col("negatives") > 0))}
+    low, high = F.col("low"), F.col("high")
+    unit, percent = has(UNIT_WORDS), has(PERCENT_WORDS) & ~has(UNIT_WORDS)
+    ranged = (unit & ((low < 0) | (high > 1))) | (percent & ((low < 0) | (high > 100)))
+    flags = {
+        "null_critical": (3, share >= 1), "null_high": (2, (share >= 0.5) & (share < 1)), "null_elevated": (1, (share > 0.2) & (share < 0.5)), "constant_value": (2, F.col("distinct_raw") == 1), "range_violation": (3, ranged),
+        "negative_values": (2, ~ranged & (low < 0) & name.rlike("|".join(NOT_NEGATIVE))), "extreme_outliers": (1, F.col("far") > 0),
+    }
     found = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(s).alias("severity"), F.lit(n).alias("flag"))) for n, (s, c) in flags.items()]))
-    return metrics.select("column", F.explode(found).alias("f")).select("column", "f.severity", "f.flag").withColumn("position", F.row_number().over(Window.partitionBy().orderBy(F.desc("severity"), "column", "flag")))  # columns x flags rows
+    long = metrics.select("column", "far", "far_share", F.explode(found).alias("f"))
+    shown = {c: F.when(F.col("f.flag") == "extreme_outliers", F.col(c)) for c in ("far", "far_share")}
+    return long.select("column", "f.severity", "f.flag", *(v.alias(k) for k, v in shown.items())).withColumn("position", F.row_number().over(Window.partitionBy().orderBy(F.desc("severity"), "column", "flag")))  # columns x flags rows
+
+
+def mostly_null(metrics: DataFrame) -> DataFrame:
+    """One row: the columns of a table that are null in more than half of the rows, in the order of names (OT-8)."""
+    return metrics.agg(F.array_join(F.array_sort(F.collect_list(F.when(F.col("nulls") > 0.5 * F.col("total"), F.col("column")))), ", ").alias("high_null_columns"))
 
 
 def schema_drift(old: DataFrame, new: DataFrame, floor: float = 0.8) -> DataFrame:
@@ -413,12 +459,37 @@ def stained_orders(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "orders").selectExpr(*[f"{e} AS {c}" for c, e in _STAINED.items()])
 
 
-@query("profile_anomalies", f"""{_STAINS}, f AS (SELECT c, 3 AS severity, 'all_null' AS flag FROM m WHERE gone = 1 UNION ALL SELECT c, 2, 'half_null' FROM m WHERE gone >= 0.5 AND gone < 1 UNION ALL SELECT c, 1, 'some_null' FROM m WHERE gone > 0.2 AND gone < 0.5 UNION ALL SELECT c, 2, 'constant' FROM m WHERE k = 1
- UNION ALL SELECT c, 3, 'unit_range' FROM m WHERE regexp_matches(c, 'rate|ratio|pct|discount|tax') AND (low < 0 OR high > 1) UNION ALL SELECT c, 2, 'negative' FROM m WHERE regexp_matches(c, 'price|qty|quantity|amount|size') AND low < 0)
- SELECT c AS "column", severity, flag, row_number() OVER (ORDER BY severity DESC, c, flag)::INT AS position FROM f""")
+_FLAGGED = {
+    "whole_pd": "o_totalprice", "share_pct": "o_totalprice / 1000", "fine_prob": "CASE WHEN o_orderstatus = 'F' THEN 0.5 ELSE 0.25 END", "net_price": "o_totalprice - 200000", "far_one": "CASE WHEN o_orderkey % 1000 = 1 THEN 5000000 ELSE o_totalprice END",
+    "none": "CAST(NULL AS DOUBLE)", "mostly": "CASE WHEN o_orderstatus = 'P' THEN o_totalprice END", "third": "CASE WHEN o_orderkey % 4 <> 0 THEN o_totalprice END", "same_value": "7",
+}
+
+
+@query("profile_anomalies", f"""WITH d AS (SELECT {', '.join(f"CAST({e} AS DOUBLE) AS {c}" for c, e in _FLAGGED.items())} FROM orders), l AS ({' UNION ALL '.join(f"SELECT '{c}' AS c, {c} AS x FROM d" for c in _FLAGGED)}),
+ q AS (SELECT c, quantile_cont(x, [0.25, 0.75]) AS q FROM l GROUP BY 1), m AS (SELECT l.c, count(*) AS n, (count(*) - count(x)) / count(*) AS gone, count(DISTINCT x) AS k, min(x) AS low, max(x) AS high,
+  count(*) FILTER (WHERE q[2] > q[1] AND (x < q[1] - 3 * (q[2] - q[1]) OR x > q[2] + 3 * (q[2] - q[1]))) AS far, count(x) AS there FROM l JOIN q ON q.c = l.c GROUP BY l.c),
+ r AS (SELECT *, (regexp_matches(c, '(^|_)(pd|lgd|prob|probability)(_|$)') AND (low < 0 OR high > 1)) OR (regexp_matches(c, '(^|_)(pct|percent|percentage)(_|$)') AND (low < 0 OR high > 100)) AS ranged FROM m),
+ f AS (SELECT c, 3 AS severity, 'null_critical' AS flag, NULL AS far, NULL AS far_share FROM r WHERE gone = 1 UNION ALL SELECT c, 2, 'null_high', NULL, NULL FROM r WHERE gone >= 0.5 AND gone < 1 UNION ALL SELECT c, 1, 'null_elevated', NULL, NULL FROM r WHERE gone > 0.2 AND gone < 0.5 UNION ALL SELECT c, 2, 'constant_value', NULL, NULL FROM r WHERE k = 1
+  UNION ALL SELECT c, 3, 'range_violation', NULL, NULL FROM r WHERE ranged UNION ALL SELECT c, 2, 'negative_values', NULL, NULL FROM r WHERE coalesce(NOT ranged, true) AND low < 0 AND regexp_matches(c, '{"|".join(NOT_NEGATIVE)}') UNION ALL SELECT c, 1, 'extreme_outliers', far, far / there FROM r WHERE far > 0)
+ SELECT c AS "column", severity, flag, far, round(far_share, 6) AS far_share, row_number() OVER (ORDER BY severity DESC, c, flag)::INT AS position FROM f""")
 def profile_anomalies(spark, sf_dir):
-    df = stained_orders(spark, sf_dir)
-    return anomalies(counts(df, df.columns).join(numeric(df, df.columns).select("column", "low", "high", "negatives"), "column"))
+    df = table(spark, sf_dir, "orders").selectExpr(*[f"CAST({e} AS DOUBLE) AS {c}" for c, e in _FLAGGED.items()])
+    metrics = counts(df, df.columns).join(numeric(df, df.columns).select("column", "low", "high"), "column").join(far_outliers(df, df.columns), "column", "left")
+    return anomalies(metrics).withColumn("far_share", rounded(F.col("far_share")))
+
+
+@query("profile_mostly_null", """SELECT array_to_string(list_sort(list_filter([CASE WHEN count(*) > 0 THEN 'none' END, CASE WHEN count(*) FILTER (WHERE o_orderstatus = 'P') < 0.5 * count(*) THEN 'mostly' END, CASE WHEN count(*) FILTER (WHERE o_orderkey % 4 = 0) > 0.5 * count(*) THEN 'third' END], lambda x: x IS NOT NULL)), ', ') AS high_null_columns FROM orders""")
+def profile_mostly_null(spark, sf_dir):
+    df = table(spark, sf_dir, "orders").selectExpr(*[f"{e} AS {c}" for c, e in _FLAGGED.items()])
+    return mostly_null(counts(df, df.columns))
+
+
+@query("profile_roles", """WITH c AS (SELECT column_name AS c, data_type AS t, trim(regexp_replace(lower(column_name), '[^a-z0-9]+', ' ', 'g')) AS n FROM duckdb_columns() WHERE table_name IN ('labels', 'documents', 'events')), k AS (SELECT count(DISTINCT props) = count(*) AS u FROM events)
+ SELECT DISTINCT c AS "column", CASE WHEN n = 'quality' THEN 'Target' WHEN regexp_matches(n, '(^| )(target|label|outcome|default)( |$)') THEN 'Target' WHEN n LIKE '% id' OR n = 'id' THEN 'Identifier' WHEN t LIKE 'TIMESTAMP%' THEN 'Date' WHEN regexp_matches(n, '(^| )(score|rating|grade)( |$)') THEN 'Score' ELSE 'Feature' END AS role FROM c""")
+def profile_roles(spark, sf_dir):
+    """Columns of three tables with their types of storage; one is named as the target."""
+    found = [catalogue(table(spark, sf_dir, t), t) for t in ("labels", "documents", "events")]
+    return found[0].unionByName(found[1]).unionByName(found[2]).select("column", role(F.col("column"), F.col("dtype").substr(1, 9), "quality").alias("role")).distinct()
 
 
 @query("profile_warnings", f"""{_STAINS} SELECT c AS "column", 'all_null' AS warning FROM m WHERE gone = 1 UNION ALL SELECT c, 'mixed_type' FROM m WHERE nums > 0.1 AND nums < 0.9 UNION ALL SELECT c, 'constant' FROM m WHERE k = 1 UNION ALL SELECT c, 'sparse' FROM m WHERE gone > 0.2""")

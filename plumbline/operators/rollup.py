@@ -66,6 +66,24 @@ def usage(events: DataFrame, by: list[str], unit: str | None = None) -> DataFram
     return events.groupBy(*keys).agg(F.count("*").alias("events"), F.count_distinct("actor").alias("actors"))
 
 
+def usage_details(events: DataFrame, measures: dict[str, tuple[str, list[str] | None]]) -> DataFrame:
+    """(measure, key, events) of events (type, detail as JSON, context): for each measure its event type and the fields of the detail
+    of which the first that is there is the key, or None for the context (RS-9): preferred tests, use cases, points of
+    abandonment, dispositions; cadence and restores by context. Events without the key are left out; all measures share one scan."""
+    each = []
+    for name, (kind, paths) in measures.items():
+        key = F.coalesce(*[F.get_json_object("detail", f"$.{p}") for p in paths]) if paths else F.nullif(F.col("context"), F.lit(""))
+        each.append(F.when((F.col("type") == kind) & key.isNotNull(), F.struct(F.lit(name).alias("measure"), key.alias("key"))))
+    return events.select(F.explode(F.array_compact(F.array(*each))).alias("m")).groupBy("m.measure", "m.key").agg(F.count("*").alias("events"))
+
+
+def rerun_rate(events: DataFrame, kind: str, field: str) -> DataFrame:
+    """Runs, those whose detail marks them as made after a replacement, and their rate (RS-9)."""
+    flag = F.coalesce(F.get_json_object("detail", f"$.{field}").isin("true", "1"), F.lit(False))
+    runs = F.col("type") == kind
+    return events.agg(F.count_if(runs).alias("runs"), F.count_if(runs & flag).alias("reruns")).withColumn("rate", F.coalesce(F.col("reruns") / F.nullif(F.col("runs"), F.lit(0)), F.lit(0.0)))
+
+
 def durations(events: DataFrame, start: str, end: str) -> DataFrame:
     """Seconds from the last start of an object to each of its ends (RS-10, JN-9); objects without a start give no row."""
     s = events.where(F.col("event_type") == start).groupBy("object_id").agg(F.max("at").alias("started"))
@@ -306,3 +324,24 @@ def rollup_row_ids(spark, sf_dir):
 @query("rollup_fingerprint")
 def rollup_fingerprint(spark, sf_dir):
     return fingerprint(table(spark, sf_dir, "orders"), ["o_orderkey", "o_totalprice"])
+
+
+def _detailed(spark, sf_dir):
+    """Events with the detail of what they tell, from their properties."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    detail = F.to_json(F.struct(F.when(k % 3 == 0, F.concat(F.lit("t"), (k % 7).cast("string"))).alias("test_id"), F.when(k % 4 == 0, "kept").alias("disposition"), F.when(k % 2 == 0, "dropped").alias("action"), (k % 5 == 0).alias("after_replacement")))
+    return table(spark, sf_dir, "events").select(F.col("event_type").alias("type"), detail.alias("detail"), F.when(k < 50, "monthly").when(k < 75, "").alias("context"))
+
+
+_DETAILED = "WITH e AS (SELECT event_type AS type, (props->>'$.k')::INT AS k FROM events)"
+
+
+@query("rollup_usage_details", f"""{_DETAILED} SELECT 'preferences' AS measure, 't' || (k % 7) AS key, count(*) AS events FROM e WHERE type = 'view' AND k % 3 = 0 GROUP BY 2 UNION ALL SELECT 'dispositions', CASE WHEN k % 4 = 0 THEN 'kept' ELSE 'dropped' END, count(*) FROM e WHERE type = 'purchase' AND k % 2 = 0 GROUP BY 2
+ UNION ALL SELECT 'cadence', 'monthly', count(*) FROM e WHERE type = 'signup' AND k < 50""")
+def rollup_usage_details(spark, sf_dir):
+    return usage_details(_detailed(spark, sf_dir), {"preferences": ("view", ["test_id"]), "dispositions": ("purchase", ["disposition", "action"]), "cadence": ("signup", None)})
+
+
+@query("rollup_reruns", f"{_DETAILED} SELECT count(*) AS runs, count(*) FILTER (WHERE k % 5 = 0) AS reruns, round(count(*) FILTER (WHERE k % 5 = 0) / count(*), 6) AS rate FROM e WHERE type = 'click'")
+def rollup_reruns(spark, sf_dir):
+    return rerun_rate(_detailed(spark, sf_dir), "click", "after_replacement").withColumn("rate", rounded(F.col("rate")))

@@ -144,13 +144,18 @@ def evaluate(df: DataFrame, rules: list[dict]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def bounded(df: DataFrame, by: list[str], order: list[Column | str], cap: int) -> DataFrame:
+    """Up to `cap` rows of each group in an order, with their place `rn`, the group's total and whether it is cut: a report's
+    sample (SL-2). Only the first rows of each sorted part are kept before groups meet."""
+    ranked = df.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rn") <= cap)
+    totals = df.groupBy(*by).agg(F.count("*").alias("total"))
+    return ranked.join(totals, by).withColumn("truncated", F.col("total") > cap)
+
+
 def evidence(df: DataFrame, rules: list[dict], keys: list[str], cap: int = 5) -> DataFrame:
-    """Up to `cap` violating rows a rule, by key, with the rule's total (SL-2)."""
+    """Up to `cap` violating rows a rule, by key, with the rule's total."""
     found = F.array_compact(F.array(*[F.when(states(r, kinds(df.schema))[2], F.lit(r["id"])) for r in rules]))
-    hits = df.select(*keys, F.explode(found).alias("rule_id"))
-    ranked = hits.withColumn("rn", F.row_number().over(Window.partitionBy("rule_id").orderBy(*keys))).where(F.col("rn") <= cap)
-    totals = hits.groupBy("rule_id").agg(F.count("*").alias("total"))
-    return ranked.join(totals, "rule_id").withColumn("truncated", F.col("total") > cap)
+    return bounded(df.select(*keys, F.explode(found).alias("rule_id")), ["rule_id"], keys, cap)
 
 
 def pattern(df: DataFrame, rule: dict, segment: str) -> DataFrame:
@@ -198,6 +203,7 @@ ORDER_RULES = [
     {"id": "R6", "severity": "MINOR", "condition": {"kind": "eq_cond", "col": "o_orderstatus", "val": "X"}, "expression": {"kind": "present_number", "col": "l_tax"}},
     {"id": "R7", "severity": "CRITICAL", "expression": {"kind": "identity", "target": "l_extendedprice", "operands": ["l_quantity", "#1500"], "op": "*", "tol": 20000.0}, "tolerance": 0.9},
     {"id": "R8", "severity": "MINOR", "expression": {"kind": "present_number", "col": "no_such_column"}},
+    {"id": "R9", "severity": "MINOR", "condition": {"kind": "eq_cond", "col": "o_orderstatus", "val": "O"}, "expression": {"kind": "present_number", "col": "l_tax"}},
 ]
 
 
@@ -214,7 +220,7 @@ s AS (SELECT *, o_orderdate::DATE <= l_shipdate::DATE AS p1, l_returnflag IN ('A
 u AS (SELECT 'R1' AS rule_id, 'CRITICAL' AS severity, 0.0::DOUBLE AS tolerance, true AS sc, p1 AS p, false AS ex, * FROM s
  UNION ALL SELECT 'R2', 'MATERIAL', 0.2, true, p2, false, * FROM s UNION ALL SELECT 'R3', 'MATERIAL', 0.5, true, p3, false, * FROM s
  UNION ALL SELECT 'R4', 'MINOR', 0, true, p4, l_linestatus = 'O', * FROM s UNION ALL SELECT 'R5', 'MINOR', 0, o_orderstatus = 'F', p5, false, * FROM s
- UNION ALL SELECT 'R6', 'MINOR', 0, o_orderstatus = 'X', p6, false, * FROM s UNION ALL SELECT 'R7', 'CRITICAL', 0.9, true, p7, false, * FROM s)"""
+ UNION ALL SELECT 'R6', 'MINOR', 0, o_orderstatus = 'X', p6, false, * FROM s UNION ALL SELECT 'R7', 'CRITICAL', 0.9, true, p7, false, * FROM s UNION ALL SELECT 'R9', 'MINOR', 0, o_orderstatus = 'O', p6, false, * FROM s)"""
 _RESULTS = f"""{_STATES},
 a AS (SELECT rule_id, severity, tolerance, count(*) FILTER (WHERE sc) AS n_scope, count(*) FILTER (WHERE sc AND p IS NOT NULL) AS n_evaluated,
       count(*) FILTER (WHERE sc AND p IS NOT NULL AND ex) AS n_excepted, count(*) FILTER (WHERE sc AND NOT p AND NOT ex) AS n_violations FROM u GROUP BY ALL
@@ -269,3 +275,19 @@ def rules_label_consistency(spark, sf_dir):
     ]
     df = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang"), "doc_id")
     return evaluate(df, rules).select("rule_id", "n_evaluated", "n_violations")
+
+
+@query("rules_in_scope", f"""{_RESULTS} SELECT rule_id, n_scope, n_violations, outcome FROM r WHERE rule_id IN ('R2', 'R3', 'R9')""")
+def rules_in_scope(spark, sf_dir):
+    """Rules kept as rows of a table, of which those of one use case run."""
+    cases = {"R2": ["pricing"], "R3": ["pricing", "audit"], "R4": ["audit"], "R7": [], "R9": ["pricing"]}
+    rows = [(r["id"], json.dumps(r), cases[r["id"]]) for r in ORDER_RULES if r["id"] in cases]
+    wanted = from_table(spark.createDataFrame(rows, "rule_id string, spec string, use_cases array<string>"), "pricing")
+    return evaluate(order_lines(spark, sf_dir), wanted).select("rule_id", "n_scope", "n_violations", "outcome")
+
+
+@query("rules_bounded", """SELECT o_orderpriority, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey)::INT AS rn, count(*) OVER (PARTITION BY o_orderpriority) AS total, count(*) OVER (PARTITION BY o_orderpriority) > 12 AS truncated FROM orders QUALIFY rn <= 12""")
+def rules_bounded(spark, sf_dir):
+    """The dearest orders of each priority, with how many there are."""
+    df = table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey", "o_totalprice")
+    return bounded(df, ["o_orderpriority"], [F.desc("o_totalprice"), F.col("o_orderkey")], 12)
