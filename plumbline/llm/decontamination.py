@@ -17,6 +17,7 @@ id, a null item id counts as the empty string. Other columns are not looked at.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,7 +30,7 @@ WINDOW = 10
 BLOCK = 3
 #: Words of a piece of an item; size of the pieces that are searched for at once.
 PIECE = 2000
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 2 << 20  # some 350,000 windows, under 200 MB of tables in a worker
 PART = 1 << 20
 
 IN_WORDS = bytes(range(48, 58)) + bytes(range(97, 123)) + bytes(range(128, 256))
@@ -128,6 +129,17 @@ class Patterns:
         return total, spans, items
 
 
+_made: dict[str, Patterns] = {}
+
+
+def made(name: str, broadcast) -> Patterns:
+    """The tables of a group, made once a Python worker; those of the group before go."""
+    if name not in _made:
+        _made.clear()
+        _made[name] = Patterns(broadcast.value)
+    return _made[name]
+
+
 def pieces(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
     """(item, words, bytes): the words of each item in pieces of PIECE windows that overlap by all but one word of a window."""
 
@@ -147,13 +159,12 @@ def pieces(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> D
 def search(docs: DataFrame, found: list[tuple[str, bytes]], only_hits: bool) -> DataFrame:
     """(doc_id, key, n_words, spans, items) of `docs` (doc_id, key, text as bytes) against the pieces."""
     spark = docs.sparkSession
-    broadcast = spark.sparkContext.broadcast(found)
+    broadcast, name = spark.sparkContext.broadcast(found), uuid.uuid4().hex
     span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
     def run(batches):
-        patterns = None
+        patterns = made(name, broadcast)
         for batch in batches:
-            patterns = patterns or Patterns(broadcast.value)
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
                 rows = []
@@ -175,7 +186,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, group_bytes: int = GROU
     each other), and the ids of the items they come from."""
     spark = docs.sparkSession
     ship(spark)
-    cut = materialise(pieces(benchmark), "benchmark")
+    cut = materialise(pieces(benchmark).distinct(), "benchmark")
     size = cut.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first().bytes
     groups = max(1, -(-size // group_bytes))
     read = lambda g: [(r.item, bytes(r.words)) for r in cut.where(F.pmod(F.xxhash64("item", "words"), F.lit(groups)) == g).select("item", "words").collect()]
