@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from plumbline.session import materialise, shuffle_partitions
 
+FEW_PARTS = 100_000
+
 
 def cumulative(df: DataFrame, order: list[str], sums: dict[str, str], by: list[str] | None = None) -> DataFrame:
     """`df` with, for each new column -> summed column, the sum of the rows of its group up to and including its own in
     the order, and `<new>_total` for the whole group. The order must tell rows of a group apart.
 
-    The table of totals has one row for each group in each range partition."""
+    The table of totals has one row for each group in each range partition; it is broadcast if it has FEW_PARTS rows at most
+    (counted, unless there is one group), and joined otherwise."""
     by = by or []
     n = shuffle_partitions(df.sparkSession)
     dealt = materialise(df.repartitionByRange(n, *by, *order).withColumn("_part", F.spark_partition_id()), "prefix")
@@ -26,5 +29,5 @@ def cumulative(df: DataFrame, order: list[str], sums: dict[str, str], by: list[s
     match = F.col("_part") == F.col("_at")
     for c in by:
         match = match & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
-    joined = rows.join(bases, match).withColumns({new: F.col(new) + F.col(f"_base_{new}") for new in sums})
+    joined = rows.join(F.broadcast(bases) if not by or parts.count() <= FEW_PARTS else bases, match).withColumns({new: F.col(new) + F.col(f"_base_{new}") for new in sums})
     return joined.drop("_part", "_at", *[f"_by_{c}" for c in by], *[f"_base_{new}" for new in sums])
