@@ -6,8 +6,9 @@ updated in logarithmic time, until no pair has a rank. The trees of a batch's ne
 processed in step. Texts are cut at single spaces into chunks that no pre-token crosses, and the results of chunks
 and pre-tokens are kept in bounded per-worker caches, since words repeat.
 
-A null text is read as the empty text (no ids). Repeated rows give repeated results; other columns pass through
-untouched unless they clash with a result column, in which case the result wins.
+A null text is read as the empty text (no ids). Texts of any length are encoded whole. Repeated rows and ties give repeated
+results, an empty table an empty one. Other columns pass through encode() and decode() untouched unless they clash with a
+result column, in which case the result wins; digests() returns the key and its results only.
 """
 
 from __future__ import annotations

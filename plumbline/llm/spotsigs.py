@@ -9,7 +9,8 @@ Two fingerprints are alike as the Jaccard coefficient of their sets; two empty s
 near_links() finds all pairs of at least a given likeness: sets are partitioned by length, so that only lengths that
 can reach the likeness meet, and each set is looked up by its rarest signatures only; near_classes() tells them by row.
 
-Null texts count as empty (empty fingerprint). Rows that repeat a key are ordered by their text. Null keys come first.
+Null texts count as empty (empty fingerprint). Texts of any length are read whole, in memory that grows with one text. Keys
+are numbers or dates. Rows that repeat a key are ordered by their text. Null keys come first.
 Extra columns are ignored. An empty table gives an empty result.
 """
 

@@ -1,8 +1,10 @@
 """Operators 1 and 3 against brute force."""
 
 import hashlib
+from collections import Counter
 
 import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
 from plumbline.llm import simhash, spotsigs
@@ -90,6 +92,34 @@ def test_edited_likeness(spark):
         assert abs(r.near_next - (len(a & c) / len(a | c) if a | c else 1)) < 1e-12
 
 
+def chains(text):
+    """Signatures by words, with their number: an anchor and the next two content words after it."""
+    words = [t.strip("".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”‘’…–—¿¡") for t in text.lower().split()]
+    words = [w for w in words if w]
+    common = set(spotsigs.ANCHORS)
+    found = Counter()
+    for i, w in enumerate(words):
+        if w in common or xxhash.xxh64_intdigest(w.encode()) % 8 == 0:
+            after = [x for x in words[i + 1 : i + 400] if x not in common][:2]
+            if len(after) == 2:
+                found[w, *after] += 1
+    return found or Counter([text.lower().split() and " ".join(text.lower().split())] if text.split() else [])
+
+
+def test_likeness_is_that_of_chains_of_words(spark):
+    docs = table(spark, SF_DIR, "documents")
+    rows = sorted((r.doc_id, r.text or "") for r in docs.collect())
+    got = {r.doc_id: r for r in spotsigs.edited_likeness(docs).collect()}
+    for i, (k, text) in enumerate(rows):
+        after = rows[(i + 1) % len(rows)][1]
+        half = len(text) // 2
+        a, b, c = chains(text), chains(text[: len(text) - half] + after[:half]), chains(after)
+        for value, other in ((got[k].near_edited, b), (got[k].near_next, c)):
+            assert abs(value - ((a & other).total() / (a | other).total() if a or other else 1)) < 1e-6, k
+    words = "the cat sat on a mat in the house of cards"
+    assert ("the", "cat", "sat") in chains(words) and ("in", "house", "cards") in chains(words)
+
+
 def test_edited_likeness_edge_cases(spark):
     got = spotsigs.edited_likeness(documents(spark)).collect()
     assert len(got) == len(ROWS)
