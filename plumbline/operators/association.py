@@ -368,7 +368,15 @@ def bins_fine_splits(spark, sf_dir):
     return spark.createDataFrame([(x,) for x in fine_splits(table(spark, sf_dir, "events"), "value", 5)], "split double").withColumn("split", rounded(F.col("split")))
 
 
-@query("bins_optimal")
+@query("bins_optimal", """WITH r AS (SELECT 'l_quantity' AS feature, len(list_filter([5, 10, 15, 20, 25, 30, 35, 40, 45], lambda e: l_quantity >= e)) AS p, (l_returnflag = 'R')::INT AS y FROM lineitem
+  UNION ALL SELECT 'l_discount', len(list_filter([0.005, 0.015, 0.025, 0.035, 0.045, 0.055, 0.065, 0.075, 0.085, 0.095], lambda e: l_discount >= e)), (l_returnflag = 'R')::INT FROM lineitem),
+ f AS (SELECT feature, row_number() OVER (PARTITION BY feature ORDER BY p) - 1 AS i, p, count(*) AS n, sum(y) AS s FROM r GROUP BY feature, p), t AS (SELECT feature, count(*) AS m, sum(n) AS tn, sum(s) AS ts FROM f GROUP BY 1),
+ k AS (SELECT feature, m, tn, ts, unnest(range(1::BIGINT, 1::BIGINT << (m - 1))) AS mask FROM t),
+ b AS (SELECT f.feature, mask, bit_count(mask & ((1::BIGINT << f.i) - 1)) AS bin, any_value(tn) AS tn, any_value(ts) AS ts, sum(n) AS n, sum(s) AS s FROM k JOIN f ON f.feature = k.feature WHERE bit_count(mask) <= 4 GROUP BY 1, 2, 3),
+ v AS (SELECT *, s / n - lag(s / n) OVER (PARTITION BY feature, mask ORDER BY bin) AS step, ((n - s + 0.5) / (tn - ts + 2.5) - (s + 0.5) / (ts + 2.5)) * ln(((n - s + 0.5) / (tn - ts + 2.5)) / ((s + 0.5) / (ts + 2.5))) AS iv FROM b),
+ c AS (SELECT feature, mask, sum(iv) AS objective, CASE WHEN min(step) > 0 THEN 'ascending' ELSE 'descending' END AS trend FROM v GROUP BY 1, 2 HAVING min(n) >= 0.05 * any_value(tn) AND (min(step) > 0 OR max(step) < 0)),
+ d AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY feature ORDER BY objective DESC) = 1)
+ SELECT f.feature, f.p AS "position", bit_count(mask & ((1::BIGINT << f.i) - 1))::BIGINT AS coarse, trend, round(objective, 6) AS objective FROM f JOIN d ON d.feature = f.feature""")
 def bins_optimal(spark, sf_dir):
     df = table(spark, sf_dir, "lineitem")
     rows = long_bins(df, {f: bucket(F.col(f), e) for f, e in {"l_quantity": [float(i) for i in range(5, 50, 5)], "l_discount": [i / 100 + 0.005 for i in range(10)]}.items()}, positive("l_returnflag", "R"))

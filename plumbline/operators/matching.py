@@ -181,9 +181,12 @@ def matching_aliases(spark, sf_dir):
     return aliases(headers, known).withColumn("score", rounded(F.col("score")))
 
 
-@query("matching_applicable", "SELECT 'drift' AS test, true AS applicable WHERE (SELECT count(*) FROM orders) > 0 UNION ALL SELECT 'text', false WHERE (SELECT count(*) FROM orders) > 0")
+@query("matching_applicable", """WITH k AS (SELECT count(DISTINCT c_mktsegment) AS segments, count(DISTINCT c_name) AS names FROM customer), d AS (SELECT count(o_orderdate) > 0 AS dated FROM orders),
+ have AS (SELECT CASE WHEN data_type LIKE 'TIMESTAMP%' AND dated THEN 'datetime' WHEN data_type = 'VARCHAR' AND column_name = 'c_mktsegment' AND segments BETWEEN 3 AND 30 THEN 'categorical' WHEN data_type = 'VARCHAR' AND column_name = 'c_name' AND names > 30 THEN 'long' WHEN data_type = 'DOUBLE' THEN 'numerical' END AS kind FROM duckdb_columns(), k, d WHERE table_name IN ('orders', 'customer')),
+ n(test, needs) AS (VALUES ('drift', ['numerical', 'datetime']), ('text', ['categorical', 'free_text']), ('groups', ['categorical']))
+ SELECT test, list_has_all((SELECT list(DISTINCT kind) FROM have WHERE kind IS NOT NULL), needs) AS applicable FROM n""")
 def matching_applicable(spark, sf_dir):
-    library = spark.createDataFrame([("drift", ["numerical", "datetime"]), ("text", ["categorical", "free_text"])], "test string, needs array<string>")
+    library = spark.createDataFrame([("drift", ["numerical", "datetime"]), ("text", ["categorical", "free_text"]), ("groups", ["categorical"])], "test string, needs array<string>")
     return applicable(library, column_types(spark, sf_dir))
 
 

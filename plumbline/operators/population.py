@@ -174,11 +174,13 @@ def population_best_match(spark, sf_dir):
     return best_match(both, both)
 
 
-@query("population_eligible", """SELECT 'l_tax' AS "column", true AS kept, NULL AS reason WHERE (SELECT count(*) FROM lineitem) > 0 UNION ALL SELECT 'l_returnflag', false, 'type categorical' WHERE (SELECT count(*) FROM lineitem) > 0""")
+@query("population_eligible", """WITH k AS (SELECT count(DISTINCT l_returnflag) AS flags, count(DISTINCT l_linestatus) AS states, count(TRY_CAST(l_returnflag AS DOUBLE)) AS numbers, count(DISTINCT l_tax) AS taxes FROM lineitem),
+ t AS (SELECT 'l_tax' AS "column", CASE WHEN taxes > 2 THEN 'numerical' ELSE 'binary' END AS kind FROM k UNION ALL SELECT 'l_returnflag', CASE WHEN numbers = 0 AND flags <= 30 THEN 'categorical' ELSE 'text' END FROM k UNION ALL SELECT 'l_linestatus', CASE WHEN states <= 30 THEN 'categorical' ELSE 'text' END FROM k)
+ SELECT "column", kind IN ('numerical', 'binary') AS kept, CASE WHEN kind NOT IN ('numerical', 'binary') THEN 'type ' || kind END AS reason FROM t""")
 def population_eligible(spark, sf_dir):
     from plumbline.operators.profile import classify
 
-    return eligible(classify(table(spark, sf_dir, "lineitem"), ["l_tax", "l_returnflag"]), ["numerical", "binary"])
+    return eligible(classify(table(spark, sf_dir, "lineitem"), ["l_tax", "l_returnflag", "l_linestatus"]), ["numerical", "binary"])
 
 
 @query("population_pooled", """SELECT population, count(*) AS rows, count(o_totalprice) AS priced, round(avg(o_totalprice), 2) AS mean FROM (SELECT 'baseline' AS population, o_totalprice FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01' UNION ALL SELECT 'current', NULL FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01') GROUP BY 1""")

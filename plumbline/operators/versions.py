@@ -79,7 +79,9 @@ def _versions(spark, sf_dir):
     return df.where(cut), df.where(~cut).drop("o_orderpriority").withColumns({"flag": F.col("o_custkey") % 2, "o_orderkey": F.col("o_orderkey").cast("string")})
 
 
-@query("versions_schema", """SELECT 'orders' AS "table", * FROM (VALUES ('o_orderkey', 'bigint', 'string', 'retyped'), ('o_custkey', 'bigint', 'bigint', 'same'), ('o_totalprice', 'double', 'double', 'same'), ('o_orderdate', 'timestamp_ntz', 'timestamp_ntz', 'same'), ('o_orderpriority', 'string', NULL, 'removed'), ('flag', NULL, 'bigint', 'added')) v("column", old_type, new_type, change) WHERE (SELECT count(*) FROM orders) > 0""")
+@query("versions_schema", """WITH t AS (SELECT column_name AS c, CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' END AS t FROM duckdb_columns() WHERE table_name = 'orders' AND column_name <> 'o_orderstatus'),
+ o AS (SELECT c, t FROM t), w AS (SELECT c, CASE c WHEN 'o_orderkey' THEN 'string' ELSE t END AS t FROM t WHERE c <> 'o_orderpriority' UNION ALL SELECT 'flag', 'bigint')
+ SELECT 'orders' AS "table", coalesce(o.c, w.c) AS "column", o.t AS old_type, w.t AS new_type, CASE WHEN o.t IS NULL THEN 'added' WHEN w.t IS NULL THEN 'removed' WHEN o.t <> w.t THEN 'retyped' ELSE 'same' END AS change FROM o FULL JOIN w ON o.c = w.c""")
 def versions_schema(spark, sf_dir):
     old, new = _versions(spark, sf_dir)
     return schema_tier({"orders": old}, {"orders": new})

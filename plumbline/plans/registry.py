@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -25,6 +27,14 @@ def query(name: str, sql: str | None = None) -> Callable:
     return take
 
 
+#: Parameters of checks that name a column.
+COLUMN_PARAMETERS = ("column", "feature", "target", "date", "key", "entity", "segment", "a", "b")
+
+
+def _digest(body: dict) -> str:
+    return hashlib.sha256(json.dumps(body, sort_keys=True, default=str).encode()).hexdigest()
+
+
 @dataclass(frozen=True)
 class Check:
     """A named check: parameters with defaults, the tests it serves, the columns that it returns."""
@@ -69,6 +79,32 @@ class Registry:
             raise ValueError(f"{name} did not return {missing}")
         return out
 
+    def readiness(self, name: str, df: DataFrame, **params) -> dict:
+        """Whether a check may run on `df`, and what it lacks: parameters, or columns that text parameters name (UD-4)."""
+        check = self._checks[name]
+        given = {**check.params, **params}
+        lacking = [k for k, v in given.items() if v is ...]
+        named = [v for k, v in given.items() if isinstance(v, str) and k in COLUMN_PARAMETERS]
+        absent = sorted({v for v in named if v not in df.columns})
+        return {"name": name, "ready": not (lacking or absent), "missing_parameters": lacking, "missing_columns": absent}
+
+    def manifest(self, name: str, df: DataFrame, **params) -> dict:
+        """A frozen statement of a run: the check, its parameters, the columns with their types, and a digest of all of it."""
+        state = self.readiness(name, df, **params)
+        if not state["ready"]:
+            raise ValueError(f"{name} is not ready: {state}")
+        body = {"name": name, "params": {**self._checks[name].params, **params}, "schema": [(f.name, f.dataType.simpleString()) for f in df.schema]}
+        return {**body, "digest": _digest(body)}
+
+    def execute(self, manifest: dict, df: DataFrame) -> DataFrame:
+        """Run what a manifest states on a frame of the stated schema."""
+        body = {k: manifest[k] for k in ("name", "params", "schema")}
+        if _digest(body) != manifest.get("digest"):
+            raise ValueError("the manifest was changed")
+        if [tuple(x) for x in manifest["schema"]] != [(f.name, f.dataType.simpleString()) for f in df.schema]:
+            raise ValueError("the frame has another schema than the manifest")
+        return self.call(manifest["name"], df, **manifest["params"])
+
     def validate(self, check: Check, df: DataFrame, examples: list[dict]) -> DataFrame:
         """Accept a check of the user's: three parameter examples at least, each of which runs on `df` and keeps the contract."""
         if len(examples) < 3:
