@@ -274,26 +274,28 @@ def grouped_auc(scored: DataFrame, by: list[str], score: str = "score") -> DataF
     return out.withColumn("auc", F.greatest("auc", 1 - F.col("auc"))).withColumn("gini", 2 * F.col("auc") - 1)
 
 
-def concordance(df: DataFrame, score: str, target: str) -> DataFrame:
-    """Share of concordant pairs of rows with different targets, score ties at a half, folded (TA-20). Null scores and targets
-    take no part.
+def concordance(df: DataFrame, score: str, target: str, by: list[str] | None = None, weight: str | None = None) -> DataFrame:
+    """Share of concordant pairs of rows with different targets, score ties at a half, folded (TA-20), for each group of `by`; rows
+    may carry their number in `weight`. Null scores and targets take no part.
 
     Scores are numbered in their order. Two different numbers agree above their highest differing bit, so each pair of cells
     (score, target) meets exactly once, under that bit and the bits above it, the lower score with a 0 and the higher with
     a 1; there running counts in the order of targets tell how many pairs agree. Rows grow as cells x bits of the number of scores,
     and no two levels are joined."""
-    per = materialise(df.select(F.col(score).alias("s"), F.col(target).alias("t")).where("s is not null and t is not null").groupBy("s", "t").agg(F.count("*").alias("n")), "concordance")
-    number = cumulative(per.select("s").distinct().withColumn("one", F.lit(1)), ["s"], {"r": "one"}).select("s", F.col("r").cast("long").alias("r"))
+    by = by or []
+    rows = df.select(*by, F.col(score).alias("s"), F.col(target).alias("t"), (F.col(weight) if weight else F.lit(1)).alias("w")).where("s is not null and t is not null")
+    per = materialise(rows.groupBy(*by, "s", "t").agg(F.sum("w").alias("n")), "concordance")
+    number = cumulative(per.select(*by, "s").distinct().withColumn("one", F.lit(1)), ["s"], {"r": "one"}, by).select(*by, "s", F.col("r").cast("long").alias("r"))
     bits = max(1, per.agg(F.count_distinct("s")).first()[0].bit_length())
     at = F.explode(F.array(*[F.struct(F.lit(k).alias("bit"), F.shiftright("r", k + 1).alias("above"), F.shiftright("r", k).bitwiseAND(F.lit(1)).alias("high")) for k in range(bits + 1)])).alias("b")
-    cells = per.join(number, "s").select("t", "n", at).groupBy("b.bit", "b.above", "t").agg(F.sum(F.when(F.col("b.high") == 0, F.col("n")).otherwise(0)).alias("low"), F.sum(F.when(F.col("b.high") == 1, F.col("n")).otherwise(0)).alias("high"))
-    c = cumulative(cells, ["t"], {"upto": "low"}, ["bit", "above"])
+    cells = per.join(number, [*by, "s"]).select(*by, "t", "n", at).groupBy(*by, "b.bit", "b.above", "t").agg(F.sum(F.when(F.col("b.high") == 0, F.col("n")).otherwise(0)).alias("low"), F.sum(F.when(F.col("b.high") == 1, F.col("n")).otherwise(0)).alias("high"))
+    c = cumulative(cells, ["t"], {"upto": "low"}, [*by, "bit", "above"])
     high = F.col("high").cast("double")
-    apart = c.agg(F.sum(high * (F.col("upto") - F.col("low"))).alias("agree"), F.sum(high * (F.col("upto_total") - F.col("upto"))).alias("disagree"))
-    same = per.groupBy("s").agg(F.sum("n").cast("double").alias("all"), F.sum(F.col("n").cast("double") * F.col("n")).alias("own")).agg((F.sum(F.col("all") * F.col("all") - F.col("own")) / 2).alias("ties"))
-    one = apart.crossJoin(F.broadcast(same))  # one row beside one row
+    apart = c.groupBy(*by).agg(F.sum(high * (F.col("upto") - F.col("low"))).alias("agree"), F.sum(high * (F.col("upto_total") - F.col("upto"))).alias("disagree"))
+    same = per.groupBy(*by, "s").agg(F.sum("n").cast("double").alias("all"), F.sum(F.col("n").cast("double") * F.col("n")).alias("own")).groupBy(*by).agg((F.sum(F.col("all") * F.col("all") - F.col("own")) / 2).alias("ties"))
+    one = apart.join(same, by) if by else apart.crossJoin(F.broadcast(same))  # one row beside one row
     auc = (F.col("agree") + F.col("ties") / 2) / F.nullif(F.col("agree") + F.col("disagree") + F.col("ties"), F.lit(0.0))
-    return one.select(F.greatest(auc, 1 - auc).alias("auc"))
+    return one.select(*by, F.greatest(auc, 1 - auc).alias("auc"))
 
 
 def leakage(df: DataFrame, post_outcome: list[str]) -> DataFrame:

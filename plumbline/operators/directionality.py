@@ -188,7 +188,8 @@ def assess(
     pairs = pairs.groupBy(*KEYS, "x", "y").agg(F.sum("w").alias("w"))
 
     ys = cumulative(pairs.groupBy(*KEYS, "y").agg(F.sum("w").alias("n")), ["y"], {"upto": "n"}, KEYS).withColumn("ry", F.col("upto") - (F.col("n") - 1) / 2)
-    met = pairs.join(ys.select(*KEYS, "y", "ry"), [*KEYS, "y"])
+    ranked = ys.select(*KEYS, "y", "ry")
+    met = pairs.join(F.broadcast(ranked) if binary and few else ranked, [*KEYS, "y"])  # of a binary target two rows a group
     xs = met.groupBy(*KEYS, "x").agg(F.sum("w").alias("n"), F.sum(F.col("y") * F.col("w")).alias("k"), F.sum(F.col("ry") * F.col("w")).alias("kr"))
     xs = materialise(cumulative(xs, ["x"], {"upto": "n"}, KEYS).withColumn("rx", F.col("upto") - (F.col("n") - 1) / 2), "direction-values")
     edges = [quantile_of(i / bins) for i in range(bins + 1)]

@@ -8,14 +8,14 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.prefix import cumulative
 from plumbline.functions.tails import hypergeometric_greater
 from plumbline.functions.values import rounded
-from plumbline.operators.association import CELLS, grouped_auc, woe
+from plumbline.operators.association import CELLS, concordance, grouped_auc, woe
 from plumbline.plans.registry import query
 from plumbline.session import materialise, ship, table
 
@@ -35,10 +35,9 @@ def outcomes_of(target: Column, classes: Sequence | None = None) -> dict[str, Co
     return {"1": target.cast("double")} if classes is None else {str(c): (target.cast("string") == str(c)).cast("double") for c in classes}
 
 
-def value_counts(df: DataFrame, features: Sequence[str], outcomes: Mapping[str, Column], specials: Mapping[str, Sequence[float]] | None = None) -> DataFrame:
-    """(feature, state, x, label, n, v, upto, upv, upto_total, levels, regular_levels, rows): each distinct value of each feature with its
-    rows and outcome sums, and both summed up to it in the order of its state. Numeric columns have the states missing,
-    regular and special:<code>, all others missing and category. Rows without an outcome take no part."""
+def value_rows(df: DataFrame, features: Sequence[str], outcomes: Mapping[str, Column], specials: Mapping[str, Sequence[float]] | None = None) -> DataFrame:
+    """(v0, v1, ..., feature, state, x, label): a row for each row and feature. Numeric columns have the states missing, regular and
+    special:<code>, all others missing and category. Rows without an outcome take no part."""
     specials = specials or {}
 
     def of(f: str) -> Column:
@@ -54,7 +53,14 @@ def value_counts(df: DataFrame, features: Sequence[str], outcomes: Mapping[str,
 
     names = [f"v{i}" for i in range(len(outcomes))]
     wide = df.select(*(c.alias(v) for v, c in zip(names, outcomes.values())), F.array(*map(of, features)).alias("named"))
-    rows = wide.where(" and ".join(f"{v} is not null" for v in names)).select(*names, F.inline("named"))
+    return wide.where(" and ".join(f"{v} is not null" for v in names)).select(*names, F.inline("named"))
+
+
+def value_counts(df: DataFrame, features: Sequence[str], outcomes: Mapping[str, Column], specials: Mapping[str, Sequence[float]] | None = None) -> DataFrame:
+    """(feature, state, x, label, n, v, upto, upv, upto_total, levels, regular_levels, rows): each distinct value of each feature with its
+    rows and outcome sums, and both summed up to it in the order of its state (value_rows())."""
+    names = [f"v{i}" for i in range(len(outcomes))]
+    rows = value_rows(df, features, outcomes, specials)
     per = rows.groupBy("feature", "state", "x", "label").agg(F.count("*").alias("n"), *(F.sum(v).alias(v) for v in names))
     up = cumulative(per, ["x", "label"], {"upto": "n"} | {f"up{v}": v for v in names}, ["feature", "state"])
     here = F.col("state") != "missing"
@@ -63,11 +69,16 @@ def value_counts(df: DataFrame, features: Sequence[str], outcomes: Mapping[str,
     return both.select("feature", "state", "x", "label", "n", F.array(*names).alias("v"), "upto", F.array(*(f"up{v}" for v in names)).alias("upv"), F.array(*(f"up{v}_total" for v in names)).alias("upv_total"), "upto_total", "levels", "regular_levels", "rows", "all")
 
 
+def cell_of(limit: int = CELLS) -> Column:
+    """The cell of a value of `value_counts`: its own, or one of `limit` of equal shares of rows where there are more values."""
+    many = (F.col("state") == "regular") & (F.col("regular_levels") > limit)
+    return F.when(many, F.floor((F.col("upto") - F.col("n")) * limit / F.col("upto_total")).cast("double")).otherwise(F.col("x"))
+
+
 def cells(counts: DataFrame, outcomes: int = 1, limit: int = CELLS) -> DataFrame:
     """`counts` with at most `limit` cells of regular values a feature: each value is its own cell where that is enough, else
     values are gathered by equal shares of rows, whole values only."""
-    gathered = F.when((F.col("state") == "regular") & (F.col("regular_levels") > limit), F.floor((F.col("upto") - F.col("n")) * limit / F.col("upto_total")).cast("double")).otherwise(F.col("x"))
-    per = counts.withColumn("cell", gathered).groupBy("feature", "state", "cell", "label")
+    per = counts.withColumn("cell", cell_of(limit)).groupBy("feature", "state", "cell", "label")
     sums = F.array(*(F.sum(F.col("v")[i]) for i in range(outcomes)))
     return per.agg(F.min("x").alias("low"), F.max("x").alias("high"), F.sum("n").alias("n"), sums.alias("v"), F.first("levels").alias("levels"))
 
@@ -194,6 +205,28 @@ def class_aucs(scored: DataFrame, by: list[str]) -> DataFrame:
     return found.join(rows, [*by, "outcome"]).groupBy(*by).agg(F.max("auc").alias("auc"), F.avg("auc").alias("macro"), (F.sum(F.col("auc") * F.col("rows")) / F.sum("rows")).alias("weighted"))
 
 
+def continuous_separation(df: DataFrame, features: Sequence[str], target: str, specials: Mapping[str, Sequence[float]] | None = None) -> DataFrame:
+    """tree_separation() for a continuous target: trees by squared error, whose leaves' means are scored by the concordance of pairs of
+    rows with different targets (TA-18, TA-20). Values lead rows to cells and cells to leaves; what is compared are the counts of (leaf,
+    target), of all features and trees at once."""
+    outcomes = {"1": F.col(target).cast("double")}
+    counts = materialise(value_counts(df, features, outcomes, specials), "counts")
+    keys = ["feature", "state", "label"]
+    trees = materialise(grown(cells(counts)), "trees")
+    leaves = materialise(leaf_table(trees), "leaves")
+    means = trees.join(leaves.select("feature", "configuration", "leaf", (F.col("v")[0] / F.col("n")).alias("score")), ["feature", "configuration", "leaf"])
+    cell = counts.withColumn("cell", cell_of()).groupBy(*keys, "cell").agg(F.min("x").alias("low"))
+    same = lambda a, b, names: [F.col(f"{a}.{n}").eqNullSafe(F.col(f"{b}.{n}")) for n in names]
+    scores = means.alias("m").join(F.broadcast(cell.alias("c")), same("m", "c", [*keys, "low"])).select("m.configuration", "m.score", *(F.col(f"m.{k}").alias(k) for k in keys), "c.cell")  # CELLS a feature
+    values = counts.select("feature", "state", "label", "x", cell_of().alias("cell"))
+    rows = value_rows(df, features, outcomes, specials).groupBy(*keys, "x", F.col("v0").alias("y")).agg(F.count("*").alias("n"))
+    placed = rows.alias("r").join(values.alias("v"), same("r", "v", [*keys, "x"])).groupBy(*(F.col(f"r.{k}").alias(k) for k in keys), "v.cell", "r.y").agg(F.sum("r.n").alias("n"))
+    scored = placed.alias("p").join(F.broadcast(scores.alias("s")), same("p", "s", [*keys, "cell"])).select("p.feature", "s.configuration", "s.score", "p.y", "p.n")
+    aucs = concordance(scored, "score", "y", ["feature", "configuration"], "n")
+    every = leaves.select("feature", "configuration").distinct().join(aucs, ["feature", "configuration"], "left").na.fill(0.5, ["auc"])
+    return judged(every.withColumns({"macro": F.col("auc"), "weighted": F.col("auc")}), leaves)
+
+
 def tier(auc: Column) -> Column:
     return F.when(auc >= HIGH_RISK, "high").when(auc >= MEDIUM_RISK, "medium").otherwise("low")
 
@@ -202,7 +235,12 @@ def tree_separation(counts: DataFrame, outcomes: int = 1) -> DataFrame:
     """Per feature: AUC of the primary tree and its risk; for medium risk also the conservative tree, for high risk the
     permissive one too, the spread of their AUCs, and what that says of its robustness (TA-18)."""
     leaves = materialise(leaf_table(grown(cells(counts, outcomes)), outcomes), "leaves")
-    found = class_aucs(leaves, ["feature", "configuration"]).withColumn("tier", tier(F.col("auc")))
+    return judged(class_aucs(leaves, ["feature", "configuration"]), leaves)
+
+
+def judged(aucs: DataFrame, leaves: DataFrame) -> DataFrame:
+    """Risk and robustness of each feature by the AUCs of its trees."""
+    found = aucs.withColumn("tier", tier(F.col("auc")))
     found = found.join(leaves.groupBy("feature", "configuration", "most_leaves").agg(F.count("*").cast("int").alias("leaves")), ["feature", "configuration"])
     mine = F.struct("auc", "macro", "weighted", "tier", "leaves", "most_leaves")
     wide = found.groupBy("feature").agg(*(F.max(F.when(F.col("configuration") == c, mine)).alias(c) for c in TREES))
@@ -278,11 +316,11 @@ def localized(counts: DataFrame, names: Sequence[str] = ("1",)) -> DataFrame:
     number = all_.agg(F.count("*").alias("tests"))
     scored = kept.crossJoin(F.broadcast(number)).withColumn("p", F.least(F.lit(1.0), _fisher("events", "rows", "all_events", "all_rows") * F.col("tests")))  # one row
     sure = scored.where(F.col("p") <= SCAN["p"]).withColumn("capture", F.col("events") / F.col("all_events"))
-    # of equals, states come before tails, tails in the order of their values, single values last
-    kind = F.when(F.col("kind") == "exact", 2).when(F.col("kind").isin("lower", "upper"), 1).otherwise(0)
-    best = F.row_number().over(Window.partitionBy("feature", "outcome").orderBy(F.desc("capture"), "p", kind, "value", "kind", "label"))
-    out = sure.withColumn("best", best).where("best = 1")
-    return out.select("feature", "outcome", "kind", "value", "label", "rows", F.col("events").cast("bigint").alias("events"), rate.alias("rate"), base.alias("base_rate"), (rate / base).alias("lift"), "capture", "p")
+    # of equals, states come before tails, tails in the order of their values, single values last; candidates may be many
+    place = F.when(F.col("kind") == "exact", 2).when(F.col("kind").isin("lower", "upper"), 1).otherwise(0)
+    row = F.struct("rows", F.col("events").cast("bigint").alias("events"), rate.alias("rate"), base.alias("base_rate"), (rate / base).alias("lift"), "capture", "p")
+    best = sure.groupBy("feature", "outcome").agg(F.min(F.struct((-F.col("capture")).alias("less"), F.col("p").alias("first"), place.alias("place"), "value", "kind", "label", row.alias("row"))).alias("b"))
+    return best.select("feature", "outcome", "b.kind", "b.value", "b.label", "b.row.*")
 
 
 def separation(auc: Column, iv: Column) -> Column:
@@ -377,6 +415,15 @@ def separation_tree_classes(spark, sf_dir):
     return tree_separation(counts, 3).select("feature", *(rounded(F.col(c)).alias(c) for c in ("auc", "macro", "weighted")))
 
 
+@query("separation_tree_continuous", """WITH per AS (SELECT l_returnflag AS v, count(*) AS n, avg(l_extendedprice) AS score FROM lineitem GROUP BY 1), c AS (SELECT v, l_quantity::DOUBLE AS t, count(*) AS n FROM lineitem GROUP BY ALL),
+ m AS (SELECT l_returnflag AS v, avg(l_quantity) AS score FROM lineitem GROUP BY 1), p AS (SELECT sum(a.n * b.n * CASE WHEN x.score = y.score THEN 0.5 WHEN x.score > y.score THEN 1 ELSE 0 END) / sum(a.n * b.n) AS u FROM c a JOIN m x ON x.v = a.v, c b JOIN m y ON y.v = b.v WHERE a.t > b.t)
+ SELECT 'l_returnflag' AS feature, round(greatest(u, 1 - u), 6) AS auc, CASE WHEN greatest(u, 1 - u) >= 0.75 THEN 'high' WHEN greatest(u, 1 - u) >= 0.6 THEN 'medium' ELSE 'low' END AS risk FROM p""".replace("SELECT v, l_quantity::DOUBLE", "SELECT l_returnflag AS v, l_quantity::DOUBLE"))
+def separation_tree_continuous(spark, sf_dir):
+    """Three categories against a quantity: their means order the pairs of rows."""
+    found = continuous_separation(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_quantity")
+    return found.select("feature", rounded(F.col("auc")).alias("auc"), "risk")
+
+
 @query("separation_benchmark", f"""WITH {_LINE}, e AS (SELECT quantile_cont(quantity, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) FILTER (WHERE quantity <> -1) AS q, quantile_cont(discount, [0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875]) AS d FROM line),
  s AS (SELECT 'quantity' AS feature, CASE WHEN quantity = -1 THEN 'S' ELSE 'R' || len(list_filter(list_distinct(q), lambda z: z < quantity)) END AS b, count(*) AS n, sum(y) AS s FROM line, e GROUP BY ALL
   UNION ALL SELECT 'discount', CASE WHEN discount IS NULL THEN 'M' ELSE 'R' || len(list_filter(list_distinct(d), lambda z: z < discount)) END, count(*), sum(y) FROM line, e GROUP BY ALL),

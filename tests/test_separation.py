@@ -191,3 +191,28 @@ def test_findings(spark):
         poor = (a is not None and a < 0.6) or (v is not None and v < 0.05)
         assert got[f].finding == ("target_leakage" if leak else "poor_discrimination" if poor else None) and got[f].leakage_status == ("candidate" if x else "clear")
     assert {r.leakage_status for r in sp.separation_table(aucs, ivs).collect()} == {"not_available"}
+
+
+def test_continuous_targets_by_pairs(spark):
+    rng = np.random.default_rng(9)
+    n = 400
+    x = np.round(rng.normal(size=n), 1)
+    c = rng.choice(["a", "b", "c"], n)
+    y = np.round(2 * x + np.where(c == "a", 3, 0) + rng.normal(size=n), 1)
+    missing = rng.random(n) < 0.2
+    rows = [(None if m else float(a), str(b), float(t)) for m, a, b, t in zip(missing, x, c, y)]
+    df = spark.createDataFrame(rows, "x double, c string, y double")
+    got = {r.feature: r for r in sp.continuous_separation(df, ["x", "c"], "y").collect()}
+    counts = sp.value_counts(df, ["x", "c"], {"1": F.col("y")})
+    leaves = {}
+    for r in sp.grown(sp.cells(counts), {"primary": sp.TREES["primary"]}).collect():
+        leaves[r.feature, r.label if r.feature == "c" else r.low] = r.leaf
+    for f, values in (("x", [None if m else float(a) for m, a in zip(missing, x)]), ("c", c.tolist())):
+        at = [leaves[f, v] for v in values]
+        mean = {k: np.mean([t for t, a in zip(y, at) if a == k]) for k in set(at)}
+        score = [mean[a] for a in at]
+        pairs = [(1.0 if score[i] > score[j] else 0.5 if score[i] == score[j] else 0.0) for i in range(n) for j in range(n) if y[i] > y[j]]
+        want = sum(pairs) / len(pairs)
+        assert abs(got[f].auc - max(want, 1 - want)) < 1e-9
+    flat = sp.continuous_separation(df.withColumn("one", F.lit(1.0)), ["one"], "y").first()
+    assert (flat.auc, flat.risk, flat.leaves) == (0.5, "low", 1)
