@@ -223,7 +223,8 @@ def assess(
         reason = reason.when(~F.col("present"), "Configured positive class is not present in the usable target.").when(F.col("rarer") < LEAST_CLASS, "The smaller binary class is below the minimum sample.")
     else:
         reason = reason.when(F.col("target_levels") < 2, "Continuous target is constant.")
-    one = materialise(one.withColumn("reason", reason), "direction-evidence")
+    one = one.withColumn("reason", reason)
+    one = materialise(one, "direction-evidence") if binary else one  # the fit and the result read it
     rows = F.col("rows").cast("double")
     if binary:
         able = one.where(F.col("reason").isNull())
@@ -315,17 +316,19 @@ def _sql(features: Sequence[str], rows: str, target: str, p_floor: bool = True)
 
 
 _BOTH_SIDES = "SELECT '' AS segment, * FROM lineitem UNION ALL SELECT 'accepted', * FROM lineitem WHERE l_returnflag = 'R'"
-_ASSESSED = _sql(LINE, _BOTH_SIDES, "l_extendedprice * (1 + l_tax)")
+_CHARGE = "l_extendedprice / 10 + l_quantity * 1500 - l_discount * 200000 + (l_linenumber - 4) * (l_linenumber - 4) * 5000"
+_ASSESSED = _sql(LINE, _BOTH_SIDES, _CHARGE)
 
 
 def _assessed(spark, sf_dir):
-    df = table(spark, sf_dir, "lineitem").withColumn("charge", F.col("l_extendedprice") * (1 + F.col("l_tax")))
+    df = table(spark, sf_dir, "lineitem").withColumn("charge", F.expr(_CHARGE))
     return assess(df, LINE, "charge", "continuous", accepted=F.col("l_returnflag") == "R")
 
 
 @query("direction_assessed", _ASSESSED)
 def direction_assessed(spark, sf_dir):
-    """Four features of line items against the charge, for all rows and the returned ones."""
+    """Four features of line items against a charge that one raises, one lowers, one turns and one does not touch, for all rows and the
+    returned ones."""
     return _assessed(spark, sf_dir).select(*_SHOWN)
 
 

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.plans.checks import standard
 from plumbline.session import table
@@ -38,5 +39,6 @@ def test_readiness_manifest_and_run(spark):
 
 
 def test_binned_shape_of_a_frame(spark):
-    got = standard().call("binned_shape", table(spark, SF_DIR, "lineitem"), feature="l_quantity", target="l_extendedprice")
+    lines = table(spark, SF_DIR, "lineitem").withColumn("gross", F.col("l_quantity") * F.col("l_extendedprice"))
+    got = standard().call("binned_shape", lines, feature="l_quantity", target="gross")
     assert got.first().shape == "INCREASING"
