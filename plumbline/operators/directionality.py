@@ -185,7 +185,6 @@ def assess(
         labels = classes(counted, label)
         base = base.join(labels, KEYS, "left")
         pairs = _with(pairs, labels, few).withColumn("y", (F.col("y") == F.col("event")).cast("double"))
-    pairs = pairs.groupBy(*KEYS, "x", "y").agg(F.sum("w").alias("w"))
 
     ys = cumulative(pairs.groupBy(*KEYS, "y").agg(F.sum("w").alias("n")), ["y"], {"upto": "n"}, KEYS).withColumn("ry", F.col("upto") - (F.col("n") - 1) / 2)
     ranked = ys.select(*KEYS, "y", "ry")

@@ -43,15 +43,16 @@ def grain(df: DataFrame, candidates: list[list[str]], codes: dict[str, list] | N
     """For every candidate key: usable rows (all parts there, none a declared code), distinct keys, excess rows, rows in duplicates,
     uniqueness, coverage, whether it is exact (no row without it, none twice), nearly unique (0.95) or insufficient, and, where it
     is nearly unique, its duplicate groups: of equal rows, or of rows that contradict each other (CM-28, 29, 34, 38). One shuffle of
-    (candidate, digest of the key) with the least and greatest digest of the rows serves all candidates; equal keys are
+    (candidate, digests of the key) with the least and greatest digest of the rows serves all candidates; equal keys are
     counted before it. `position` ranks them by quality, uniqueness, coverage, width, roles (an identifier, a period) and names."""
     codes, roles = codes or {}, roles or {}
-    spelled = lambda names: F.concat(*[F.coalesce(F.concat(F.length(F.col(n).cast("string")).cast("string"), F.lit(":"), F.col(n).cast("string")), F.lit("-")) for n in names])
     used = sorted({x for c in candidates for x in c})
     bad = {x: F.col(x).isNull() | (F.trim(F.col(x).cast("string")).isin([str(v).strip() for v in codes[x]]) if codes.get(x) else F.lit(False)) for x in used}
-    each = [F.struct(F.lit(i).alias("i"), F.when(~reduce(lambda a, b: a | b, [bad[x] for x in c]), F.unhex(F.md5(spelled(c)))).alias("k")) for i, c in enumerate(candidates)]
-    rows = df.select(F.unhex(F.md5(spelled(df.columns))).alias("row"), F.array(*each).alias("each")).select("row", F.inline("each"))
-    groups = rows.groupBy("i", "k").agg(F.count("*").alias("n"), F.min("row").alias("a"), F.max("row").alias("b"))
+    # numbers as digests: two for a key, one for a row (with its nulls, which a hash passes over), so counts stay in hash tables
+    key = lambda c, ok: [F.when(ok, F.xxhash64(*c)).alias("k"), F.when(ok, F.xxhash64(F.lit(1), *c)).alias("l")]
+    each = [F.struct(F.lit(i).alias("i"), *key(c, ~reduce(lambda a, b: a | b, [bad[x] for x in c]))) for i, c in enumerate(candidates)]
+    rows = df.select(F.xxhash64(*df.columns, F.array(*[F.col(c).isNull() for c in df.columns])).alias("row"), F.array(*each).alias("each")).select("row", F.inline("each"))
+    groups = rows.groupBy("i", "k", "l").agg(F.count("*").alias("n"), F.min("row").alias("a"), F.max("row").alias("b"))
     n, keyed, twice, same = F.col("n"), F.col("k").isNotNull(), F.col("n") > 1, F.col("a") == F.col("b")
     total = lambda cond, what=n: F.coalesce(F.sum(F.when(cond, what)), F.lit(0))
     per = groups.groupBy("i").agg(
