@@ -54,12 +54,12 @@ def _with(df: DataFrame, stats: DataFrame, few: bool, how: str = "inner") -> Dat
 
 
 def cells(df: DataFrame, features: Sequence[str], target: str, binary: bool, specials: Sequence[float], target_specials: Sequence[float], accepted: Column | None) -> DataFrame:
-    """(segment, feature, x, y, special) with the number of rows w. Segment '' is the whole table, 'accepted' the side for
-    which `accepted` holds. Values that are special on either side are counted apart and take no part."""
-    sides = F.array(F.lit(""), F.when(F.coalesce(accepted, F.lit(False)), "accepted")) if accepted is not None else F.array(F.lit(""))
+    """(segment, feature, x, y, special) with the number of rows w. Segment 0 is the whole table, 1 the side for which `accepted`
+    holds; features go by their place, since numbers sort and hash faster than names. Values that are special on either side are counted apart and take no part."""
+    sides = F.array(F.lit(0), F.when(F.coalesce(accepted, F.lit(False)), 1)) if accepted is not None else F.array(F.lit(0))
     number = F.col(target).cast("string").try_cast("double") if df.schema[target].dataType.typeName() == "string" else F.col(target).cast("double")
     y = F.col(target).cast("string") if binary else _finite(number)
-    named = F.array(*(F.struct(F.lit(f).alias("feature"), _finite(F.col(f).cast("double")).alias("x")) for f in features))
+    named = F.array(*(F.struct(F.lit(i).alias("feature"), _finite(F.col(f).cast("double")).alias("x")) for i, f in enumerate(features)))
     odd = F.coalesce(number.isin(*map(float, target_specials)), F.lit(False)) if target_specials else F.lit(False)
     rows = df.select(F.array_compact(sides).alias("sides"), y.alias("y"), odd.alias("odd"), named.alias("named"))
     long = rows.select(F.explode("sides").alias("segment"), "y", "odd", "named").select("segment", "y", "odd", F.inline("named"))
@@ -174,7 +174,7 @@ def assess(
     binary = kind == "binary"
     usable = [f for f in features if isinstance(df.schema[f].dataType, T.NumericType)]
     few = (1 + (accepted is not None)) * len(features) <= FEW_GROUPS
-    whole = lambda found: found.unionByName(_unfit(df, features, usable, accepted), allowMissingColumns=True).withColumn("segment", F.when(F.col("segment") != "", F.col("segment")))
+    whole = lambda found: found.unionByName(_unfit(df, features, usable, accepted), allowMissingColumns=True)
     if not usable:
         return whole(df.sparkSession.createDataFrame([], RESULT))
     counted = materialise(cells(df, usable, target, binary, specials, target_specials, accepted), "direction-cells")
@@ -250,7 +250,8 @@ def assess(
     shown = {c: F.when(fine, F.col(c)) for c in ("r", "r_p", "pearson", "rho", "rho_p", "spearman", "slope", "intercept", "slope_p", "regression", "curve", "bins", "movement")}
     shown |= {"shape": F.when(fine, F.col("shape")).otherwise("UNAVAILABLE"), "ups": F.when(fine, ups), "downs": F.when(fine, downs), "trend": F.when(fine, trend), "variant": F.when(fine, other)}
     shown |= {"direction": F.when(fine, direction).otherwise("INSUFFICIENT_DATA"), "strength": F.when(fine, strength).otherwise("NOT_APPLICABLE"), "event": F.col("event") if binary else F.lit(None).cast("string")}
-    return whole(one.select(*KEYS, "n_input", "n_paired", "n_special", "reason", *(c.alias(n) for n, c in shown.items())))
+    names = {"segment": F.when(F.col("segment") == 1, "accepted"), "feature": F.element_at(F.array(*map(F.lit, usable)), F.col("feature") + 1)}
+    return whole(one.select(*(c.alias(n) for n, c in names.items()), "n_input", "n_paired", "n_special", "reason", *(c.alias(n) for n, c in shown.items())))
 
 
 def _unfit(df: DataFrame, features: Sequence[str], usable: Sequence[str], accepted: Column | None) -> DataFrame:
@@ -259,7 +260,7 @@ def _unfit(df: DataFrame, features: Sequence[str], usable: Sequence[str], accept
     if not rest:
         return df.sparkSession.createDataFrame([], "segment string, feature string, direction string")
     sizes = df.agg(F.count("*").alias("all"), F.count_if(accepted if accepted is not None else F.lit(False)).alias("side"))
-    sides = F.array(F.struct(F.lit("").alias("segment"), F.col("all").alias("n_input")), *([F.struct(F.lit("accepted").alias("segment"), F.col("side").alias("n_input"))] if accepted is not None else []))
+    sides = F.array(F.struct(F.lit(None).cast("string").alias("segment"), F.col("all").alias("n_input")), *([F.struct(F.lit("accepted").alias("segment"), F.col("side").alias("n_input"))] if accepted is not None else []))
     rows = sizes.select(F.inline(sides)).select("*", F.explode(F.array(*map(F.lit, rest))).alias("feature"))
     said = {"direction": "NOT_APPLICABLE", "strength": "NOT_APPLICABLE", "reason": "Feature is not numeric.", "shape": "UNAVAILABLE"}
     return rows.select("segment", "feature", "n_input", F.lit(0).cast("bigint").alias("n_paired"), F.lit(0).cast("bigint").alias("n_special"), *(F.lit(v).alias(k) for k, v in said.items()))
