@@ -12,7 +12,7 @@ from plumbline.functions.quantiles import percentile_row
 from plumbline.functions.values import missing, normal_text, rounded
 from plumbline.operators.profile import is_special
 from plumbline.plans.registry import query
-from plumbline.session import table
+from plumbline.session import materialise, table
 
 #: Tolerated missing share, likeness of columns of one block, share on either side of a break.
 TOLERANCE, JACCARD, EXTREME = 0.01, 0.95, 0.95
@@ -116,10 +116,11 @@ def structural_breaks(df: DataFrame, masks: dict[str, Column], period: Column, e
 def attribution(populated: DataFrame, symptom: Column, segment: Column) -> DataFrame:
     """Share of a symptom's movement between the populations that rows in and out of a segment make up (DV-7)."""
     per = populated.where("population is not null").groupBy(segment.alias("segment")).agg(F.count_if(F.col("population") == "baseline").alias("bn"), F.count_if(F.col("population") == "current").alias("cn"), F.count_if((F.col("population") == "baseline") & symptom).alias("bs"), F.count_if((F.col("population") == "current") & symptom).alias("cs"))
-    all_ = Window.partitionBy()  # one row a segment
-    move = F.col("cs") / F.sum("cn").over(all_) - F.col("bs") / F.sum("bn").over(all_)
-    out = per.select("segment", move.alias("movement"))
-    return out.withColumn("share", F.col("movement") / F.nullif(F.sum("movement").over(all_), F.lit(0.0)))
+    per = materialise(per, "segments")  # one row a segment, and these may be many
+    whole = per.agg(F.sum("cn").alias("_cn"), F.sum("bn").alias("_bn"))
+    out = per.crossJoin(F.broadcast(whole)).select("segment", (F.col("cs") / F.col("_cn") - F.col("bs") / F.col("_bn")).alias("movement"))
+    total = out.agg(F.sum("movement").alias("_total"))
+    return out.crossJoin(F.broadcast(total)).select("segment", "movement", (F.col("movement") / F.nullif(F.col("_total"), F.lit(0.0))).alias("share"))
 
 
 def labelled(spark, sf_dir):

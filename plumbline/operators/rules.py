@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.values import date, kinds, missing, number, rounded
 from plumbline.plans.registry import query
-from plumbline.session import table
+from plumbline.session import materialise, table
 
 SEVERITIES = ("CRITICAL", "MATERIAL", "MINOR")
 LIFT, COVERAGE = 3.0, 0.5
@@ -162,11 +162,12 @@ def pattern(df: DataFrame, rule: dict, segment: str) -> DataFrame:
     """Per segment: scope, violations, lift; CLUSTERED if segments of lift >= 3 hold half of the violations (RL-12)."""
     evaluated, _, violating = states(rule, kinds(df.schema))
     per = df.where(F.col(segment).isNotNull()).groupBy(F.col(segment).cast("string").alias("segment")).agg(F.count_if(evaluated).alias("scope"), F.count_if(violating).alias("violations"))
-    total = Window.partitionBy()
-    rate = F.sum("violations").over(total) / F.sum("scope").over(total)
-    per = per.withColumn("lift", F.when((F.col("scope") > 0) & (rate > 0), F.col("violations") / F.col("scope") / rate))
-    share = F.sum(F.when(F.col("lift") >= LIFT, F.col("violations")).otherwise(0)).over(total) / F.nullif(F.sum("violations").over(total), F.lit(0))
-    return per.withColumn("pattern", F.when(share >= COVERAGE, "CLUSTERED").otherwise("SCATTERED"))
+    per = materialise(per, "segments")  # one row a segment, and these may be many
+    whole = per.agg((F.sum("violations") / F.nullif(F.sum("scope"), F.lit(0))).alias("_rate"), F.sum("violations").alias("_all"))
+    per = per.crossJoin(F.broadcast(whole)).withColumn("lift", F.when((F.col("scope") > 0) & (F.col("_rate") > 0), F.col("violations") / F.col("scope") / F.col("_rate")))
+    high = per.agg(F.sum(F.when(F.col("lift") >= LIFT, F.col("violations")).otherwise(0)).alias("_high"))
+    share = F.col("_high") / F.nullif(F.col("_all"), F.lit(0))
+    return per.crossJoin(F.broadcast(high)).withColumn("pattern", F.when(share >= COVERAGE, "CLUSTERED").otherwise("SCATTERED")).drop("_rate", "_all", "_high")
 
 
 def rollup(results: DataFrame) -> DataFrame:
