@@ -15,7 +15,7 @@ from plumbline.functions.quantiles import percentiles
 from plumbline.functions.values import rounded
 from plumbline.operators.drift import assign, governed_psi
 from plumbline.operators.population import split
-from plumbline.operators.profile import is_special
+from plumbline.operators.profile import distinct_counts, is_special
 from plumbline.plans.registry import query
 from plumbline.session import materialise, table
 
@@ -28,9 +28,10 @@ LEARN, DEPTH, LEAST_CLASS, LEAST_LEAF, LEAF_SHARE, LEVELS, RULES = 0.7, 3, 20, 2
 NUMERIC_SHARE, DATE_SHARE = 0.9, 0.8
 
 
-def universe(df: DataFrame, affected: str, split_feature: str | None = None, requested: Sequence[str] = ()) -> DataFrame:
+def universe(df: DataFrame, affected: str, split_feature: str | None = None, requested: Sequence[str] = (), values: DataFrame | None = None) -> DataFrame:
     """(column, used, reason) of every column, those asked for first: the affected and the split column, identifiers and direct
-    indicators of the affected column by their names are out, and so is what is beyond the first PREDICTORS (DV-2)."""
+    indicators of the affected column by their names are out, and so is what is beyond the first PREDICTORS (DV-2). With `values`
+    (column, distinct) columns of fewer than two values are out as well."""
     order = [*requested, *(c for c in df.columns if c not in requested)]
     catalogue = df.sparkSession.createDataFrame([(i, c, c in df.columns) for i, c in enumerate(order)], "position int, column string, present boolean")
     name, own = F.lower("column"), affected.lower()
@@ -39,12 +40,21 @@ def universe(df: DataFrame, affected: str, split_feature: str | None = None, req
         identifier = identifier | (name == part) | name.endswith(f"_{part}") | name.startswith(f"{part}_")
     indicator = name.isin(*[f"{own}_{p}" for p in INDICATOR_PARTS], *[f"{p}_{own}" for p in INDICATOR_PARTS])
     reason = F.when(~F.col("present"), "absent").when(F.col("column") == affected, "affected").when(F.col("column") == F.lit(split_feature), "split").when(identifier, "identifier").when(indicator, "indicator")
+    if values is not None:
+        catalogue = catalogue.join(F.broadcast(values), "column", "left")  # one row a column
+        reason = reason.when(F.coalesce("distinct", F.lit(0)) < 2, "constant")
     found = catalogue.withColumn("reason", reason)
     place = F.sum(F.when(F.col("reason").isNull(), 1).otherwise(0)).over(Window.partitionBy().orderBy("position"))  # one row a column
     found = found.withColumn("reason", F.when(F.col("reason").isNull() & (place > PREDICTORS), "beyond the limit").otherwise(F.col("reason")))
     return found.select("column", F.col("reason").isNull().alias("used"), "reason")
 
 
+def surveyed(df: DataFrame, affected: str, split_feature: str | None = None, requested: Sequence[str] = ()) -> DataFrame:
+    """The universe with the number of different values of every column (distinct), counted over all rows: constants are out."""
+    values = materialise(distinct_counts(df, df.columns).select("column", F.col("distinct_raw").alias("distinct")), "survey")
+    return universe(df, affected, split_feature, requested, values).join(F.broadcast(values), "column", "left").na.fill(0, ["distinct"])
+
+
 def dominant_bin(parts: DataFrame) -> str:
     """The bin of the largest movement, up or down, of one feature's PSI contributions (bin, contribution)."""
     return parts.orderBy(F.desc(F.abs("contribution")), "bin").first().bin
@@ -290,9 +300,9 @@ def _orders(spark, sf_dir):
     return df.withColumns({"o_clerk_id": F.col("o_custkey") % 7, "o_totalprice_missing": F.lit(0), "row_number": F.col("o_orderkey")}).select(*_COLUMNS)
 
 
-@query("gates_universe", "WITH o AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority, o_custkey % 7 AS o_clerk_id, 0 AS o_totalprice_missing, o_orderkey AS row_number FROM orders LIMIT 1), n AS (SELECT unnest(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate', 'o_orderpriority', 'o_clerk_id', 'o_totalprice_missing', 'row_number']) AS \"column\" FROM o), r AS (SELECT \"column\", CASE WHEN \"column\" = 'o_totalprice' THEN 'affected' WHEN \"column\" = 'o_orderdate' THEN 'split' WHEN regexp_matches(\"column\", '(^|_)(id|uuid|guid|row_number|row_num|index)$|^(id|uuid|guid|row_number|row_num|index)_') THEN 'identifier' WHEN regexp_matches(\"column\", '^o_totalprice_(missing|missing_flag|is_missing|null_flag|complete_flag)$') THEN 'indicator' END AS reason FROM n) SELECT \"column\", reason IS NULL AS used, reason FROM r")
+@query("gates_universe", "WITH o AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority, o_custkey % 7 AS o_clerk_id, 0 AS o_totalprice_missing, o_orderkey AS row_number FROM orders), n AS (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS d FROM o" for c in _COLUMNS) + "), r AS (SELECT \"column\", d, CASE WHEN \"column\" = 'o_totalprice' THEN 'affected' WHEN \"column\" = 'o_orderdate' THEN 'split' WHEN regexp_matches(\"column\", '(^|_)(id|uuid|guid|row_number|row_num|index)$|^(id|uuid|guid|row_number|row_num|index)_') THEN 'identifier' WHEN regexp_matches(\"column\", '^o_totalprice_(missing|missing_flag|is_missing|null_flag|complete_flag)$') THEN 'indicator' WHEN d < 2 THEN 'constant' END AS reason FROM n) SELECT \"column\", reason IS NULL AS used, reason, d AS \"distinct\" FROM r")
 def gates_universe(spark, sf_dir):
-    return universe(_orders(spark, sf_dir), "o_totalprice", "o_orderdate")
+    return surveyed(_orders(spark, sf_dir), "o_totalprice", "o_orderdate")
 
 
 @query("gates_segments", """SELECT CASE WHEN l_quantity = 50 THEN 'l_quantity special: 50' WHEN l_quantity <= 25 THEN 'l_quantity <= 25' ELSE 'l_quantity > 25' END AS segment, count(*) AS rows, count(*) FILTER (WHERE l_extendedprice > 40000) AS hits, round(count(*) FILTER (WHERE l_extendedprice > 40000) / count(*), 6) AS rate FROM lineitem GROUP BY 1""")

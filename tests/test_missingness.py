@@ -102,6 +102,13 @@ def test_universe_goes_by_names(spark):
     assert sum(r is None for r in got.values()) == drivers.PREDICTORS and got["measure"] is None and got["x59"] == "beyond the limit" and len(got) == 70
 
 
+def test_universe_counts_all_rows(spark):
+    df = spark.range(200).select((F.col("id") * 2).alias("debt"), F.lit(1).alias("one"), F.when(F.col("id") == 199, 1).alias("last"), (F.col("id") == 199).cast("int").alias("late"), F.col("id").alias("measure"))
+    got = {r["column"]: (r.used, r.reason, r.distinct) for r in drivers.surveyed(df, "debt").collect()}
+    assert got == {"debt": (False, "affected", 200), "one": (False, "constant", 1), "last": (False, "constant", 1), "late": (True, None, 2), "measure": (True, None, 200)}
+    assert {r.distinct for r in drivers.surveyed(df.where("false"), "debt").collect()} == {0}
+
+
 def test_classes_are_dealt_to_the_row(spark):
     df = spark.range(1003).select(F.col("id").alias("uid"), (F.col("id") % 7 == 0).cast("int").alias("y"))
     got = {r.y: (r.n, r.k) for r in drivers.dealt(df).groupBy("y").agg(F.count("*").alias("n"), F.count_if("learn").alias("k")).collect()}
