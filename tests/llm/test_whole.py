@@ -1,5 +1,7 @@
 """The near-duplicate and boilerplate stages of the pipeline."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -125,3 +127,46 @@ def test_boilerplate_goes_whatever_the_columns_are_called(spark, monkeypatch, li
     assert got.columns == [*docs.columns, "lines_dropped"] and got.count() == 122
     texts = {r.doc_id: (r.text, r.lines_dropped) for r in got.where("text is not null").collect()}
     assert texts == {i: (f"text {i}", i % 2) for i in range(120)}
+
+
+def test_every_pair_at_the_threshold_is_joined(spark):
+    rng = random.Random(8)
+
+    def altered(words, k):
+        words = list(words)
+        for i in rng.sample(range(2, len(words) - 2), k):
+            words[i] = f"x{rng.random()}"
+        return words
+
+    def near(a, b):
+        x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a, b))
+        return 10 * len(x & y) >= 8 * len(x | y)
+
+    texts = []
+    for g in range(150):  # pairs of their own, most of them just at the threshold
+        base = [f"g{g}w{rng.randrange(400)}" for _ in range(rng.choice([60, 120, 240, 700]))]
+        texts += [base, altered(base, len(base) // 45)]
+    core = [f"core{i}" for i in range(200)]
+    texts += [altered(core, 3) for _ in range(60)]  # a dense group around the threshold
+    groups = helpers.components([(i, j) for i in range(len(texts)) for j in range(max(0, i - 1) if i < 300 else 300, i) if near(texts[i], texts[j])], range(len(texts)))
+    want = sorted(set(groups.values()))
+    rows = [(i, " ".join(x)) for i, x in enumerate(texts)]
+    kept = nearcopies.LISTED, nearcopies.MEET
+    try:
+        for limits in (kept, (2, 4)):
+            nearcopies.LISTED, nearcopies.MEET = limits
+            assert [k for k, _ in near_dedup(spark, rows)] == want
+    finally:
+        nearcopies.LISTED, nearcopies.MEET = kept
+
+
+def test_parity_sketches_never_exceed_the_difference():
+    rng = np.random.default_rng(4)
+    for n, m in ((3, 3), (250, 260), (250, 300), (4000, 4300)):
+        x = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        y = np.unique(np.concatenate([x[: n // 2], rng.integers(0, 2**63, m - n // 2).astype(np.uint64)]))
+        a, b = nearcopies.parity(x), nearcopies.parity(y)
+        words = min(len(a), len(b))
+        apart = int(np.bitwise_count(nearcopies.folded(a, words) ^ nearcopies.folded(b, words)).sum(dtype=np.int64))
+        real = len(np.setxor1d(x, y))
+        assert 0.8 * real <= apart <= real
