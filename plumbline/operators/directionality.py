@@ -53,12 +53,12 @@ def _with(df: DataFrame, stats: DataFrame, few: bool, how: str = "inner") -> Dat
     return df.join(F.broadcast(stats) if few else stats, KEYS, how)
 
 
-def cells(df: DataFrame, features: Sequence[str], target: str, binary: bool, specials: Sequence[float], target_specials: Sequence[float], accepted: Column | None) -> DataFrame:
-    """(segment, feature, x, y, special) with the number of rows w. Segment 0 is the whole table, 1 the side for which `accepted`
+def cells(df: DataFrame, features: Sequence[str], target: str, specials: Sequence[float], target_specials: Sequence[float], accepted: Column | None) -> DataFrame:
+    """(segment, feature, x, y, special) of a binary target with the number of rows w. Segment 0 is the whole table, 1 the side for which `accepted`
     holds; features go by their place, since numbers sort and hash faster than names. Values that are special on either side are counted apart and take no part."""
     sides = F.array(F.lit(0), F.when(F.coalesce(accepted, F.lit(False)), 1)) if accepted is not None else F.array(F.lit(0))
     number = F.col(target).cast("string").try_cast("double") if df.schema[target].dataType.typeName() == "string" else F.col(target).cast("double")
-    y = F.col(target).cast("string") if binary else _finite(number)
+    y = F.col(target).cast("string")
     named = F.array(*(F.struct(F.lit(i).alias("feature"), _finite(F.col(f).cast("double")).alias("x")) for i, f in enumerate(features)))
     odd = F.coalesce(number.isin(*map(float, target_specials)), F.lit(False)) if target_specials else F.lit(False)
     rows = df.select(F.array_compact(sides).alias("sides"), y.alias("y"), odd.alias("odd"), named.alias("named"))
@@ -78,6 +78,57 @@ def classes(counted: DataFrame, label: str | None) -> DataFrame:
     return usable.groupBy(*KEYS).agg(F.count("*").alias("labels"), event.alias("event"), found.alias("present"))
 
 
+def continuous_values(df: DataFrame, features: Sequence[str], target: str, specials: Sequence[float], target_specials: Sequence[float], accepted: Column | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(base, per_y, xs) of a continuous target: counts of each group, the levels of its target with the squares of values and
+    ranks, and (segment, feature, x) with rows, sum of the target and sum of its ranks.
+
+    The target is ranked once for all features that no row with a target lacks, and once for each of the others; rows meet
+    their ranks before they are unpivoted, and both segments are summed side by side, so the rows are shuffled once."""
+    spark = df.sparkSession
+    number = F.col(target).cast("string").try_cast("double") if df.schema[target].dataType.typeName() == "string" else F.col(target).cast("double")
+    odd = F.coalesce(number.isin(*map(float, target_specials)), F.lit(False)) if target_specials else F.lit(False)
+    named = F.array(*(F.struct(F.lit(i).alias("feature"), _finite(F.col(f).cast("double")).alias("x")) for i, f in enumerate(features)))
+    side = F.coalesce(accepted, F.lit(False)) if accepted is not None else F.lit(False)
+    rows = df.select(side.alias("side"), _finite(number).alias("y"), odd.alias("odd"), named.alias("named"))
+    special = F.col("odd") | (F.coalesce(F.col("x").isin(*map(float, specials)), F.lit(False)) if specials else F.lit(False))
+    usable, paired = F.col("y").isNotNull() & ~F.col("odd"), F.col("x").isNotNull() & F.col("y").isNotNull() & ~special
+    long, counts = rows.select("side", "y", "odd", F.inline("named")), []
+    for k, inside in enumerate((F.lit(True), F.col("side"))):
+        counts += [F.count_if(inside).alias(f"i{k}"), F.count_if(inside & paired).alias(f"p{k}"), F.count_if(inside & special).alias(f"s{k}"), F.count_if(inside & usable).alias(f"u{k}"), F.avg(F.when(inside & paired, F.col("y"))).alias(f"m{k}")]
+    found = sorted(long.groupBy("feature").agg(*counts).collect())  # one row a feature
+    segments = range(1 + (accepted is not None))
+    full = [r.feature for r in found if r.p0 == r.u0]
+    own = [r.feature for r in found if r.p0 != r.u0]
+    base = spark.createDataFrame([(k, r.feature, r[f"i{k}"], r[f"p{k}"], r[f"s{k}"]) for r in found for k in segments if r[f"i{k}"]], "segment int, feature int, n_input bigint, n_paired bigint, n_special bigint")
+
+    def value(i: int) -> Column:
+        x = F.col("named")[i]["x"]
+        return F.when(~F.coalesce(x.isin(*map(float, specials)), F.lit(False)), x) if specials else x
+
+    sets = [F.struct(F.lit(-1).alias("ranking"), F.array(*(value(i) for i in full)).alias("xs"))] if full else []
+    sets += [F.struct(F.lit(i).alias("ranking"), F.array(value(i)).alias("xs")) for i in own]
+    met = rows.where(usable).select("side", "y", F.inline(F.array(*sets))) if sets else spark.createDataFrame([], "side boolean, y double, ranking int, xs array<double>")
+    met = met.where((F.col("ranking") < 0) | F.col("xs")[0].isNotNull())
+    each = met.groupBy("ranking", "y").agg(F.count("*").alias("n0"), F.count_if("side").alias("n1"))
+    ys = cumulative(each, ["y"], {"upto0": "n0", "upto1": "n1"}, ["ranking"]).withColumns({f"r{k}": F.col(f"upto{k}") - (F.col(f"n{k}") - 1) / 2 for k in (0, 1)})
+    means = spark.createDataFrame([(-1, r.m0, r.m1) for r in found if r.feature in full[:1]] + [(r.feature, r.m0, r.m1) for r in found if r.feature in own], "ranking int, m0 double, m1 double")
+    squares = []
+    for k in (0, 1):
+        y, rank = F.col("y") - F.col(f"m{k}"), F.col(f"r{k}") - (F.col(f"upto{k}_total") + 1) / 2
+        squares += [F.count_if(F.col(f"n{k}") > 0).alias(f"l{k}"), F.sum(F.col(f"n{k}") * y * y).alias(f"yy{k}"), F.sum(F.col(f"n{k}") * rank * rank).alias(f"ryy{k}")]
+    owner = spark.createDataFrame([(r.feature, -1 if r.p0 == r.u0 else r.feature) for r in found], "feature int, ranking int")
+    per_y = ys.join(F.broadcast(means), "ranking").groupBy("ranking").agg(*squares).join(F.broadcast(owner), "ranking")  # a row or less a feature
+    per_y = per_y.select("feature", F.inline(F.array(*(F.struct(F.lit(k).alias("segment"), F.col(f"l{k}").alias("target_levels"), F.col(f"yy{k}").alias("yy"), F.col(f"ryy{k}").alias("ryy")) for k in segments)))).where("target_levels > 0")
+    ranked = met.join(ys.select("ranking", "y", "r0", "r1"), ["ranking", "y"]).select("side", "y", "r0", "r1", "ranking", F.posexplode("xs").alias("at", "x"))
+    place = F.when(F.col("ranking") < 0, F.element_at(F.array(*map(F.lit, full)), F.col("at") + 1)).otherwise(F.col("ranking")) if full else F.col("ranking")
+    sums = []
+    for k, inside in enumerate((F.lit(True), F.col("side"))):
+        sums += [F.count_if(inside).alias(f"n{k}"), F.sum(F.when(inside, F.col("y"))).alias(f"k{k}"), F.sum(F.when(inside, F.col(f"r{k}"))).alias(f"kr{k}")]
+    xs = ranked.groupBy(place.alias("feature"), "x").agg(*sums)
+    xs = xs.select("feature", "x", F.inline(F.array(*(F.struct(F.lit(k).alias("segment"), F.col(f"n{k}").alias("n"), F.col(f"k{k}").alias("k"), F.col(f"kr{k}").alias("kr")) for k in segments)))).where("n > 0")
+    return base, materialise(per_y, "direction-targets"), xs
+
+
 def quantile_of(share: float) -> list[Column]:
     """The two values around a share of a group's rows, and the place between them, of rows with their running count."""
     place = F.floor((F.col("upto_total") - 1) * F.lit(share))
@@ -177,19 +228,21 @@ def assess(
     whole = lambda found: found.unionByName(_unfit(df, features, usable, accepted), allowMissingColumns=True)
     if not usable:
         return whole(df.sparkSession.createDataFrame([], RESULT))
-    counted = materialise(cells(df, usable, target, binary, specials, target_specials, accepted), "direction-cells")
-    paired = F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.col("special")
-    base = counted.groupBy(*KEYS).agg(F.sum("w").alias("n_input"), F.sum(F.when(paired, F.col("w")).otherwise(0)).alias("n_paired"), F.sum(F.when(F.col("special"), F.col("w")).otherwise(0)).alias("n_special"))
-    pairs = counted.where(paired).drop("special")
     if binary:
+        counted = materialise(cells(df, usable, target, specials, target_specials, accepted), "direction-cells")
+        paired = F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.col("special")
+        base = counted.groupBy(*KEYS).agg(F.sum("w").alias("n_input"), F.sum(F.when(paired, F.col("w")).otherwise(0)).alias("n_paired"), F.sum(F.when(F.col("special"), F.col("w")).otherwise(0)).alias("n_special"))
         labels = classes(counted, label)
         base = base.join(labels, KEYS, "left")
-        pairs = _with(pairs, labels, few).withColumn("y", (F.col("y") == F.col("event")).cast("double"))
-
-    ys = cumulative(pairs.groupBy(*KEYS, "y").agg(F.sum("w").alias("n")), ["y"], {"upto": "n"}, KEYS).withColumn("ry", F.col("upto") - (F.col("n") - 1) / 2)
-    ranked = ys.select(*KEYS, "y", "ry")
-    met = pairs.join(F.broadcast(ranked) if binary and few else ranked, [*KEYS, "y"])  # of a binary target two rows a group
-    xs = met.groupBy(*KEYS, "x").agg(F.sum("w").alias("n"), F.sum(F.col("y") * F.col("w")).alias("k"), F.sum(F.col("ry") * F.col("w")).alias("kr"))
+        pairs = _with(counted.where(paired).drop("special"), labels, few).withColumn("y", (F.col("y") == F.col("event")).cast("double"))
+        ys = cumulative(pairs.groupBy(*KEYS, "y").agg(F.sum("w").alias("n")), ["y"], {"upto": "n"}, KEYS).withColumn("ry", F.col("upto") - (F.col("n") - 1) / 2)
+        ranked = ys.select(*KEYS, "y", "ry")
+        met = pairs.join(F.broadcast(ranked) if few else ranked, [*KEYS, "y"])  # two rows a group
+        xs = met.groupBy(*KEYS, "x").agg(F.sum("w").alias("n"), F.sum(F.col("y") * F.col("w")).alias("k"), F.sum(F.col("ry") * F.col("w")).alias("kr"))
+        levels = ys.groupBy(*KEYS).agg(F.count("*").alias("target_levels"), F.min("n").alias("rarer"))
+    else:
+        base, per_y, xs = continuous_values(df, usable, target, specials, target_specials, accepted)
+        levels = per_y.select(*KEYS, "target_levels")
     xs = materialise(cumulative(xs, ["x"], {"upto": "n"}, KEYS).withColumn("rx", F.col("upto") - (F.col("n") - 1) / 2), "direction-values")
     edges = [quantile_of(i / bins) for i in range(bins + 1)]
     stats = xs.groupBy(*KEYS).agg(
@@ -197,14 +250,14 @@ def assess(
         (F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("mx"), (F.sum("k") / F.sum("n")).alias("my"),
         F.array(*(lo + (hi - lo) * at for lo, hi, at in edges)).alias("edges"),
     )
-    stats = stats.join(ys.groupBy(*KEYS).agg(F.count("*").alias("target_levels"), F.min("n").alias("rarer")), KEYS).withColumn("mr", (F.col("rows") + 1) / 2).withColumn("edges", F.array_distinct("edges"))
+    stats = stats.join(levels, KEYS).withColumn("mr", (F.col("rows") + 1) / 2).withColumn("edges", F.array_distinct("edges"))
     stats = materialise(stats, "direction-stats")
 
     x, y, rx, ry, n = F.col("x") - F.col("mx"), F.col("y") - F.col("my"), F.col("rx") - F.col("mr"), F.col("ry") - F.col("mr"), F.col("n")
     by_x = _with(xs, stats, few).groupBy(*KEYS).agg(
         F.sum(n * x * x).alias("xx"), F.sum(x * (F.col("k") - n * F.col("my"))).alias("xy"), F.sum(n * rx * rx).alias("rxx"), F.sum(rx * (F.col("kr") - n * F.col("mr"))).alias("rxy")
     )
-    by_y = _with(ys.select(*KEYS, "y", "n", "ry"), stats, few).groupBy(*KEYS).agg(F.sum(n * y * y).alias("yy"), F.sum(n * ry * ry).alias("ryy"))
+    by_y = _with(ys.select(*KEYS, "y", "n", "ry"), stats, few).groupBy(*KEYS).agg(F.sum(n * y * y).alias("yy"), F.sum(n * ry * ry).alias("ryy")) if binary else per_y.drop("target_levels")
     inner = F.when(F.size("edges") > 2, F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0)))).otherwise(F.array().cast("array<double>"))
     binned = _with(xs, stats, few).withColumn("bin", F.size(F.filter(inner, lambda e: e < F.col("x"))) + 1)
     binned = binned.groupBy(*KEYS, "bin", F.element_at("edges", F.col("bin")).alias("lower"), F.element_at("edges", F.least(F.col("bin") + 1, F.size("edges"))).alias("upper")).agg(
