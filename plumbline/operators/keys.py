@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from itertools import product
 
@@ -10,7 +11,10 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.values import rounded
 from plumbline.plans.registry import query
-from plumbline.session import table
+from plumbline.session import shuffle_partitions, table
+
+#: Rows a key, as estimated, below which equal keys are not counted before the shuffle; keys in a part then.
+FEW_EQUAL, KEYS_A_PART = 8, 1_000_000
 
 
 def interval_class(days: Column) -> Column:
@@ -44,7 +48,8 @@ def grain(df: DataFrame, candidates: list[list[str]], codes: dict[str, list] | N
     uniqueness, coverage, whether it is exact (no row without it, none twice), nearly unique (0.95) or insufficient, and, where it
     is nearly unique, its duplicate groups: of equal rows, or of rows that contradict each other (CM-28, 29, 34, 38). One shuffle of
     (candidate, digests of the key) with the least and greatest digest of the rows serves all candidates; equal keys are
-    counted before it. `position` ranks them by quality, uniqueness, coverage, width, roles (an identifier, a period) and names."""
+    counted before it, but where an estimate finds few: those rows are dealt to parts of KEYS_A_PART keys uncounted, so that neither side
+    of the shuffle fills its hash tables. `position` ranks them by quality, uniqueness, coverage, width, roles (an identifier, a period) and names."""
     codes, roles = codes or {}, roles or {}
     used = sorted({x for c in candidates for x in c})
     bad = {x: F.col(x).isNull() | (F.trim(F.col(x).cast("string")).isin([str(v).strip() for v in codes[x]]) if codes.get(x) else F.lit(False)) for x in used}
@@ -52,15 +57,20 @@ def grain(df: DataFrame, candidates: list[list[str]], codes: dict[str, list] | N
     key = lambda c, ok: [F.when(ok, F.xxhash64(*c)).alias("k"), F.when(ok, F.xxhash64(F.lit(1), *c)).alias("l")]
     each = [F.struct(F.lit(i).alias("i"), *key(c, ~reduce(lambda a, b: a | b, [bad[x] for x in c]))) for i, c in enumerate(candidates)]
     rows = df.select(F.xxhash64(*df.columns, F.array(*[F.col(c).isNull() for c in df.columns])).alias("row"), F.array(*each).alias("each")).select("row", F.inline("each"))
-    groups = rows.groupBy("i", "k", "l").agg(F.count("*").alias("n"), F.min("row").alias("a"), F.max("row").alias("b"))
-    n, keyed, twice, same = F.col("n"), F.col("k").isNotNull(), F.col("n") > 1, F.col("a") == F.col("b")
-    total = lambda cond, what=n: F.coalesce(F.sum(F.when(cond, what)), F.lit(0))
+    ok = [~reduce(lambda a, b: a | b, [bad[x] for x in c]) for c in candidates]
+    size = df.agg(F.count("*").alias("rows"), *[F.count_if(o).alias(f"u{i}") for i, o in enumerate(ok)], *[F.approx_count_distinct(key(c, o)[0]).alias(f"d{i}") for i, (c, o) in enumerate(zip(candidates, ok))]).first()
+    many = [i for i in range(len(candidates)) if size[f"d{i}"] * FEW_EQUAL > size[f"u{i}"]]
+    rows, parts = rows.where("k is not null"), max(shuffle_partitions(df.sparkSession), math.ceil(sum(size[f"u{i}"] for i in many) / KEYS_A_PART))
+    sides = [rows.where(F.col("i").isin(many)).repartition(parts, "i", "k", "l")] if many else []
+    sides += [rows.where(~F.col("i").isin(many))] if len(many) < len(candidates) else []
+    groups = reduce(DataFrame.unionByName, [r.groupBy("i", "k", "l").agg(F.count("*").alias("n"), F.min("row").alias("a"), F.max("row").alias("b")) for r in sides])
+    n, twice, same = F.col("n"), F.col("n") > 1, F.col("a") == F.col("b")
     per = groups.groupBy("i").agg(
-        F.sum("n").alias("rows"), total(keyed).alias("usable"), F.count_if(keyed).alias("distinct"), total(keyed & twice).alias("rows_in_duplicates"),
-        F.count_if(keyed & twice).alias("groups"), F.count_if(keyed & twice & same).alias("equal"), F.count_if(keyed & twice & ~same).alias("differing"),
+        F.count("*").alias("distinct"), F.coalesce(F.sum(F.when(twice, n)), F.lit(0)).alias("rows_in_duplicates"),
+        F.count_if(twice).alias("groups"), F.count_if(twice & same).alias("equal"), F.count_if(twice & ~same).alias("differing"),
     )
     own = lambda c: {roles.get(x, "") for x in c}
-    named = df.sparkSession.createDataFrame([(i, "+".join(c), len(c), int("identifier" not in own(c)), 0 if "period" in own(c) else 1 if "date" in own(c) else 2) for i, c in enumerate(candidates)], "i int, key string, width int, no_identifier int, no_period int")
+    named = df.sparkSession.createDataFrame([(i, "+".join(c), len(c), int("identifier" not in own(c)), 0 if "period" in own(c) else 1 if "date" in own(c) else 2, size["rows"], size[f"u{i}"]) for i, c in enumerate(candidates)], "i int, key string, width int, no_identifier int, no_period int, rows bigint, usable bigint")
     uniqueness, coverage = F.coalesce(F.col("distinct") / F.nullif(F.col("usable"), F.lit(0)), F.lit(0.0)), F.coalesce(F.col("usable") / F.nullif(F.col("rows"), F.lit(0)), F.lit(0.0))
     exact, near = (F.col("rows") > 0) & (F.col("usable") == F.col("rows")) & (F.col("distinct") == F.col("rows")), F.col("uniqueness") >= 0.95
     out = named.join(per, "i", "left").na.fill(0).withColumns({"uniqueness": uniqueness, "coverage": coverage}).withColumn("verdict", F.when(exact, "exact").when(near, "near_unique").otherwise("insufficient"))
