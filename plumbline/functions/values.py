@@ -64,12 +64,19 @@ def _compatible(s: pd.Series) -> pd.Series:
     return s.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v).strip())
 
 
-def normal_text(c: Column) -> Column:
+def is_ascii(c: Column) -> Column:
+    return c.cast("string").rlike(r"^[\x00-\x7F]*\z")
+
+
+def normal_text(c: Column, ascii_only: bool = False) -> Column:
     """Compatibility form (NFKC) without white space around it, null where nothing is left; case stays. Only texts beyond ASCII
-    go through Python."""
+    go through Python; where a column is known to have none, no Python worker is started."""
     text = c.cast("string")
-    plain = text.rlike(r"^[\x00-\x7F]*\z")
-    return F.nullif(F.when(plain, F.trim(text, F.lit(" \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"))).otherwise(_compatible(F.when(~plain, text))), F.lit(""))
+    trimmed = F.trim(text, F.lit(" \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"))
+    if ascii_only:
+        return F.nullif(trimmed, F.lit(""))
+    plain = is_ascii(c)
+    return F.nullif(F.when(plain, trimmed).otherwise(_compatible(F.when(~plain, text))), F.lit(""))
 
 
 def norm(c: Column) -> Column:

@@ -3,7 +3,7 @@ dataset's fitness (CM-7 to CM-13, CM-39)."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions.quantiles import percentiles
 from plumbline.functions.values import normal_text, rounded
-from plumbline.operators.missingness import block_table, co_missing, missing_mask, structural_breaks
+from plumbline.operators.missingness import ascii_columns, block_table, co_missing, missing_mask, structural_breaks
 from plumbline.plans.registry import query
 from plumbline.session import materialise, table
 
@@ -35,12 +35,12 @@ def _is_text(df: DataFrame, column: str) -> bool:
     return not isinstance(df.schema[column].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType))
 
 
-def profiles(df: DataFrame, columns: Sequence[str], masks: Mapping[str, Column], rows: int, types: Mapping[str, str] | None = None) -> DataFrame:
+def profiles(df: DataFrame, columns: Sequence[str], masks: Mapping[str, Column], rows: int, types: Mapping[str, str] | None = None, ascii_only: Collection[str] = ()) -> DataFrame:
     """(column, logical_type, raw_levels, parsed, observed, retained, top): distinct known values of every column, from one shuffle of
     (column, value); texts in their compatibility form. The logical type is the given one, or told from the values: binary
     with two, date, continuous, categorical up to RAW_LEVELS, else free text (CM-7). `top` holds the most frequent levels of
     columns that have no more than RAW_LEVELS, most frequent first; levels are only gathered where they are so few."""
-    text = {c: normal_text(F.col(c)) if _is_text(df, c) else F.col(c).cast("string") for c in columns}
+    text = {c: normal_text(F.col(c), c in ascii_only) if _is_text(df, c) else F.col(c).cast("string") for c in columns}
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.when(~masks[c], text[c]).alias("v")) for c in columns])
     per = df.select(pairs.alias("r")).select(F.inline("r")).where("v is not null").groupBy("column", "v").agg(F.count("*").alias("n"))
     per = materialise(per, "levels")
@@ -101,7 +101,7 @@ class Encoded:
     sources: list[str]
 
 
-def encode(df: DataFrame, screened: DataFrame, masks: Mapping[str, Column]) -> Encoded:
+def encode(df: DataFrame, screened: DataFrame, masks: Mapping[str, Column], ascii_only: Collection[str] = ()) -> Encoded:
     """All usable predictors at once: categories as their kept levels with the most frequent one for missing values and the rest
     pooled, numbers and dates with the median (CM-9). The rows are stored once for the trees of all columns."""
     named: list[tuple[str, str, Column]] = []
@@ -110,7 +110,7 @@ def encode(df: DataFrame, screened: DataFrame, masks: Mapping[str, Column]) -> E
         c = r["column"]
         if r.encoded_levels is not None:
             kept = [t.v for t in (r.top or [])[: r.retained_levels]]
-            text = normal_text(F.col(c)) if r.storage == "text" else F.col(c).cast("string")
+            text = normal_text(F.col(c), c in ascii_only) if r.storage == "text" else F.col(c).cast("string")
             value = F.coalesce(F.when(~masks[c], text), F.lit(r.top[0].v))
             level = F.when(value.isin(*kept), value).otherwise(OTHER)
             named += [(f"{c} = {v}", c, (level == v).cast("double")) for v in [*kept, *([OTHER] if r.pooled_levels else [])]]
@@ -220,13 +220,14 @@ def column_verdicts(df: DataFrame, roles: Mapping[str, str], predictors: Sequenc
     spark, codes = df.sparkSession, codes or {}
     candidates = list(predictors) if predictors is not None else list(df.columns)
     columns = list(dict.fromkeys([*roles, *candidates]))
-    masks = {c: missing_mask(df, c, codes.get(c)) for c in columns}
+    plain = ascii_columns(df, columns)
+    masks = {c: missing_mask(df, c, codes.get(c), c in plain) for c in columns}
     one = df.agg(F.count("*").alias("_n"), *[F.count_if(masks[c]).alias(c) for c in roles]).first()
     n = one["_n"]
     share = {c: one[c] / n if n else 0.0 for c in roles}
     suspects = [c for c in roles if TOLERANCES[roles[c]] < share[c] < 1]
     least = resolved(n)["min_leaf_rows"]
-    found = materialise(profiles(df, columns, masks, n, types), "profiles")
+    found = materialise(profiles(df, columns, masks, n, types, plain), "profiles")
     kinds = {r["column"]: r.logical_type for r in found.collect()}  # one row a column
     broken = {}
     if period is not None and suspects:
@@ -234,7 +235,7 @@ def column_verdicts(df: DataFrame, roles: Mapping[str, str], predictors: Sequenc
     pairs = materialise(co_missing(df, columns, masks), "co-missing")
     own = {r["column"]: r.block for r in block_table(pairs, columns).collect()}
     tested = [c for c in suspects if kinds[c] != "other" and c not in broken and min(one[c], n - one[c]) >= 2 * least]
-    encoded = encode(df, screen(found.where(F.col("column").isin(*candidates)), ""), masks) if tested else None
+    encoded = encode(df, screen(found.where(F.col("column").isin(*candidates)), ""), masks, plain) if tested else None
     out = []
     for c, role in roles.items():
         says = {"coverage": None, "precision": None, "agrees": None, "max_lift": None, "rules": [], "features": [], "reason": None, "confidence": "high"}
@@ -348,9 +349,10 @@ def missing_fitness(spark, sf_dir):
 def gates_leaf_rule(spark, sf_dir):
     """The pattern leaves of two columns: one level, and two levels together."""
     df = planted(spark, sf_dir)
-    masks = {c: missing_mask(df, c) for c in ("o_orderpriority", "o_orderstatus", "urgent_gone", "open_urgent_gone")}
+    plain = ascii_columns(df, ["o_orderpriority", "o_orderstatus"])
+    masks = {c: missing_mask(df, c, ascii_only=c in plain) for c in ("o_orderpriority", "o_orderstatus", "urgent_gone", "open_urgent_gone")}
     n = df.count()
-    encoded = encode(df, screen(profiles(df, ["o_orderpriority", "o_orderstatus"], masks, n), ""), masks)
+    encoded = encode(df, screen(profiles(df, ["o_orderpriority", "o_orderstatus"], masks, n, ascii_only=plain), ""), masks, plain)
     out = []
     for c in ("urgent_gone", "open_urgent_gone"):
         tree = grow(encoded, F.col(f"m_{c}"), range(len(encoded.names)), resolved(n)["min_leaf_rows"])
@@ -374,7 +376,8 @@ def gates_screen(spark, sf_dir):
     key = F.col("o_orderkey")
     df = df.withColumns({"clerk": F.concat(F.lit("C"), (F.col("o_custkey") % 60).cast("string")), "comment": F.concat(F.lit("note "), key.cast("string")), "one": F.lit("x"), "mostly": F.when(key % 900 == 0, F.concat(F.lit("r"), (key % 4).cast("string"))).otherwise("common")})
     columns = list(_SCREENED)
-    masks = {c: missing_mask(df, c) for c in columns}
+    plain = ascii_columns(df, columns)
+    masks = {c: missing_mask(df, c, ascii_only=c in plain) for c in columns}
     mates = block_table(co_missing(df, columns, masks), columns)
     block = [r["column"] for r in mates.join(mates.where("column = 'urgent_gone'").select("block"), "block").collect()]  # one row a column
-    return screen(profiles(df, columns, masks, df.count()), "urgent_gone", block).select("column", "logical_type", "reason", "raw_levels", "retained_levels", "pooled_levels", "encoded_levels")
+    return screen(profiles(df, columns, masks, df.count(), ascii_only=plain), "urgent_gone", block).select("column", "logical_type", "reason", "raw_levels", "retained_levels", "pooled_levels", "encoded_levels")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.quantiles import percentile_row
-from plumbline.functions.values import missing, normal_text, rounded
+from plumbline.functions.values import is_ascii, missing, normal_text, rounded
 from plumbline.operators.profile import is_special
 from plumbline.plans.registry import query
 from plumbline.session import materialise, table
@@ -28,21 +28,30 @@ def dictionary_codes(dictionary: DataFrame, name: str = "column_name", codes: st
     return {r[0]: parse_codes(r[1]) for r in dictionary.select(name, codes).collect() if parse_codes(r[1])}
 
 
-def missing_parts(df: DataFrame, column: str, codes: list | None = None) -> tuple[Column, Column, Column]:
+def ascii_columns(df: DataFrame, columns: list[str]) -> set[str]:
+    """Those of the columns that hold texts, none of them beyond ASCII; one aggregation over all rows."""
+    texts = [c for c in dict.fromkeys(columns) if isinstance(df.schema[c].dataType, T.StringType)]
+    if not texts:
+        return set()
+    beyond = df.agg(*[F.count_if(~is_ascii(F.col(c))).alias(f"b{i}") for i, c in enumerate(texts)]).first()
+    return {c for i, c in enumerate(texts) if not beyond[i]}
+
+
+def missing_parts(df: DataFrame, column: str, codes: list | None = None, ascii_only: bool = False) -> tuple[Column, Column, Column]:
     """Whether a row's value is null (or not a number), blank, or a declared code, never two of them. Texts and codes are
     compared in their compatibility form, so a no-break space is blank and full-width letters match; numbers by value (CM-4)."""
     x, codes = F.col(column), codes or []
     kind = df.schema[column].dataType
     if isinstance(kind, T.StringType):
-        text = normal_text(x)
+        text = normal_text(x, ascii_only)
         known = [unicodedata.normalize("NFKC", str(v)).strip() for v in codes]
         return x.isNull(), x.isNotNull() & text.isNull(), F.coalesce(text.isin(known), F.lit(False)) if known else F.lit(False)
     null = x.isNull() | (F.isnan(x) if isinstance(kind, (T.DoubleType, T.FloatType)) else F.lit(False))
     return null, F.lit(False), is_special(x, codes)
 
 
-def missing_mask(df: DataFrame, column: str, codes: list | None = None) -> Column:
-    null, blank, coded = missing_parts(df, column, codes)
+def missing_mask(df: DataFrame, column: str, codes: list | None = None, ascii_only: bool = False) -> Column:
+    null, blank, coded = missing_parts(df, column, codes, ascii_only)
     return null | blank | coded
 
 
