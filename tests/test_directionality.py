@@ -154,3 +154,16 @@ def test_expected_directions(spark):
         else:
             want = "AGREEMENT" if s == turned else "REVIEW_RECOMMENDED"
         assert got[f].conclusion == want
+
+
+def test_continuous_targets_are_ranked_once(spark):
+    from pyspark.sql import functions as F
+
+    from plumbline.operators import directionality
+
+    df = spark.range(40).select(F.col("id").cast("double").alias("a"), F.when(F.col("id") % 4 != 0, F.col("id")).alias("b"), (F.col("id") % 10).cast("double").alias("y"))
+    base, per_y, xs = directionality.continuous_values(df, ["a", "b"], "y", [], [], F.col("a") < 20)
+    assert {(r.segment, r.feature): (r.n_input, r.n_paired) for r in base.collect()} == {(0, 0): (40, 40), (0, 1): (40, 30), (1, 0): (20, 20), (1, 1): (20, 15)}
+    assert {(r.segment, r.feature): r.target_levels for r in per_y.collect()} == {(0, 0): 10, (0, 1): 10, (1, 0): 10, (1, 1): 10}
+    got = {(r.segment, r.feature, r.x): (r.n, r.k, r.kr) for r in xs.collect()}
+    assert got[0, 0, 0.0] == (1, 0.0, 2.5) and got[1, 0, 0.0] == (1, 0.0, 1.5) and got[0, 1, 1.0] == (1, 1.0, 4.5) and len(got) == 40 + 30 + 20 + 15

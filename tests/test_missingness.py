@@ -171,3 +171,13 @@ def test_targets_and_encodings(spark):
     assert len(more.names) == 22 and more.names[-1] == "kind = <other>"
     wide = more.rows.select(*[F.sum(f"f{i}").alias(f"s{i}") for i in range(22)]).first()
     assert sum(wide) == 500 and wide.s21 == 100
+
+
+def test_ascii_columns_start_no_python(spark):
+    from plumbline.operators.missingness import ascii_columns, missing_mask
+
+    df = spark.createDataFrame([(" a", "Ａ"), (None, "b"), (" ", None)], "x string, y string")
+    assert ascii_columns(df, ["x", "y"]) == {"x"}
+    plan = lambda c, a: df.select(missing_mask(df, c, ascii_only=a).alias("m"))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" in plan("x", False) and "Python" not in plan("x", True)
+    assert [r.m for r in df.select(missing_mask(df, "x", ascii_only=True).alias("m")).collect()] == [False, True, True]
